@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,75 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more inside a label: vec_id, n_links, component_id, kept."""
+    from .embedding_dedup import near_dedup
+
+    return near_dedup(spark, read(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best integer inner products of each 50th vector: query_id, rank, vec_id, score."""
+    from .topk_search import top_k
+
+    return top_k(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256.0)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids: one row per piece, with the CRC of its ids."""
+    from .packing import pack
+
+    p = pack(spark, read(spark, sf_dir, "documents"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "begins", "ends")
+
+
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature mixing, every source seen at least once and at most twice: a row per drawn copy of a document."""
+    from .mixing import mixture
+
+    d, _ = mixture(spark, read(spark, sf_dir, "documents"), most_repeats=2.0)
+    return d.select("doc_id", "source", "n_tokens", "epoch", "weight", "block", "block_key")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_exact_topk_search": op4_exact_topk_search,
+    "op8_packing": op8_packing,
+    "op10_mixing_sources": op10_mixing_sources,
 }
 
-ORACLES: dict[str, str] = {}
+#: Least node reachable over the links l(a, b) from every node of n(x).
+_REACH = """
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT x, x FROM n UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+comp AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+p AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM p a JOIN p b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 100 * k >= 90 * (n + m - k)),
+n AS (SELECT doc_id AS x FROM s),""" + _REACH + """
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, comp.component_id FROM s JOIN comp ON comp.x = s.doc_id""",
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT vec_id AS x FROM embeddings),""" + _REACH + """,
+k AS (SELECT a AS x, count(*) AS n_links FROM e GROUP BY a)
+SELECT comp.x AS vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, comp.component_id, comp.x = comp.component_id AS kept FROM comp LEFT JOIN k ON k.x = comp.x""",
+    "op4_exact_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
