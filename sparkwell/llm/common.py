@@ -50,6 +50,21 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows in one Arrow batch: bounds what a task holds outside the JVM's heap, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(key).rstrip("b"))
+    except ValueError:  # in a larger unit: set by hand
+        return
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 # ---------------------------------------------------------------- word hashing
 
 _U = np.uint64

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, runs, stored
+from .common import bounded_batches, components, runs, stored
 from .topk_search import matrices
 
 EPSILON = 3.0
@@ -175,6 +175,7 @@ def _links(cells: DataFrame, threshold: float, width: int, bands: int) -> DataFr
 
 def near_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs of one label with cosine >= threshold."""
+    bounded_batches(spark)
     units = stored(unit_vectors(vectors, id_col, vector, label), "units")
     classes = stored(units.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1

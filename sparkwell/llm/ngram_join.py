@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, runs, shingles, stored, text_chunks, words_of
+from .common import bounded_batches, components, runs, shingles, stored, text_chunks, words_of
 
 BUCKET_BITS = 22
 CHUNK_BITS = 16
@@ -244,6 +244,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent
 
     links: (a, b, overlap, n_a, n_b) between class representatives, all but those implied by a common family.
     """
+    bounded_batches(spark)
     docs = docs.select(id_col, text)
     sets = stored(shingle_sets(docs, id_col, text, k, percent, shingle_order(docs, text, k)), "sets")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_chunks
+from .common import bounded_batches, stored, text_chunks
 
 LENGTH = 2048
 END_ID = 1
@@ -43,12 +43,14 @@ def encoder(path: str):
     Byte-level files whose ids are their merge ranks run on the faster of the two installed byte-pair engines, built
     from the same file; what that engine rejects, and every other file, goes to the file's own library.
     """
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
+    own: list = []  # loaded when first needed
 
     def slow(text: str) -> np.ndarray:
-        return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not own:
+            from tokenizers import Tokenizer
+
+            own.append(Tokenizer.from_file(path))
+        return np.array(own[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -143,6 +145,7 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence of at most length ids."""
+    bounded_batches(spark)
     return cut(stored(token_ids(docs, tokenizer or default_tokenizer(), id_col, text, end_id), "ids"), length)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import bounded_batches, stored
 
 BLOCK_BYTES = 16 << 20
 TILE = 512
@@ -89,6 +89,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest of floor(scale * x) inner products for each query row."""
+    bounded_batches(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
     asked = v.where("q and id is not null and v is not null").select("id", "v")
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
