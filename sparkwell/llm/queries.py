@@ -22,6 +22,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    from .warc import write_and_read
+
+    r = write_and_read(spark, read(spark, sf_dir, "pages"), min_payload=0)
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.93 or more inside a label: vec_id, n_links, component_id, kept."""
     from .embedding_dedup import near_dedup
@@ -36,6 +44,33 @@ def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256.0)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    from .language_model import lm_scores
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scores(spark, read(spark, sf_dir, "documents"), held_out)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text: doc_id, held_out, lang_pred, score."""
+    from .language_id import identify, learn
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = learn(spark, docs, ~held_out)
+    return identify(spark, docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: page_id, host, path, rule, verdict."""
+    from .url_filter import Rule, url_filter
+
+    rules = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+    d = url_filter(spark, read(spark, sf_dir, "pages"), rules)
+    return d.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids: one row per piece, with the CRC of its ids."""
     from .packing import pack
@@ -54,8 +89,12 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_exact_topk_search": op4_exact_topk_search,
+    "op5_language_model": op5_language_model,
+    "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op10_mixing_sources": op10_mixing_sources,
 }
@@ -78,6 +117,14 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS n, a
 l AS (SELECT a, b FROM c WHERE 100 * k >= 90 * (n + m - k)),
 n AS (SELECT doc_id AS x FROM s),""" + _REACH + """
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, comp.component_id FROM s JOIN comp ON comp.x = s.doc_id""",
+    "op2_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""",
     "op3_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -93,4 +140,18 @@ WITH v AS (
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest, lower(coalesce(url, '')) AS low FROM pages),
+h AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '/.*$') AS path FROM u),
+w AS (SELECT *, CASE
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
+  CASE WHEN contains(low, 'cheap-pills.') THEN 'cheap-pills.' WHEN contains(low, '/casino-') THEN '/casino-' WHEN contains(low, '://ads.') THEN '://ads.'
+  WHEN contains(low, '/adserver/') THEN '/adserver/' WHEN regexp_matches(low, '/track/.*\.gif([^a-z0-9_.%-]|$)', 's') THEN '/track/*.gif^'
+  WHEN regexp_matches(low, '://click\..*/redirect([^a-z0-9_.%-]|$)', 's') THEN '://click.*/redirect^'
+  WHEN regexp_matches(low, '/wp-login\.php([^a-z0-9_.%-]|$)', 's') THEN '/wp-login.php^' END AS pattern FROM h)
+SELECT page_id, host, path, rule, pattern, CASE WHEN rule IN ('example.com/en/7', 'example.net/de/8') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM w""",
 }
