@@ -79,6 +79,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "begins", "ends")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by text, source and language within the source: evidence, posteriors, kept."""
+    from .quality import classify, learn
+
+    docs = read(spark, sf_dir, "documents")
+    model = learn(spark, docs, read(spark, sf_dir, "labels"), "source", "lang")
+    return classify(spark, docs, model, "source", "lang", ["doc_id", "source", "lang"])
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature mixing, every source seen at least once and at most twice: a row per drawn copy of a document."""
     from .mixing import mixture
@@ -96,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
 }
 
