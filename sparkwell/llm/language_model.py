@@ -197,27 +197,39 @@ def targets(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // CLASS_WORDS, HEAD_CLASSES + token - HEAD)
 
 
-def softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x - m) and, by row, ln of sum(exp(x)). m is one number where no row underflows with it, else the rows' maxima."""
+    m = x.max()
+    e = np.exp(x - m)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if total.min() > 1e-25:
+        return e, np.log(total) + m
+    m = x.max(axis=1)
+    e = np.exp(x - m[:, None])
+    return e, np.log(e.sum(axis=1)) + m
+
+
+def by_class(cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Rows of each head class that occurs."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    bound = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+    return [(c, order[bound[c] : bound[c + 1]]) for c in range(HEAD_CLASSES) if bound[c] < bound[c + 1]]
 
 
 def log_probability(p: Params, s: np.ndarray, token: np.ndarray) -> np.ndarray:
     """ln of the class and, for head words, of the word inside it, from the states before each token."""
+    token = token.astype(np.int64)
+    cls = targets(token)
     out = np.empty(len(token))
-    for a in range(0, len(token), 16384):
-        st, tk = s[a : a + 16384], token[a : a + 16384].astype(np.int64)
-        cls = targets(tk)
-        rows = np.arange(len(tk))
-        got = softmax_log(st @ p["c"].T + p["cb"])[rows, cls].astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        bound = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-        for c in range(HEAD_CLASSES):
-            o = order[bound[c] : bound[c + 1]]
-            if len(o):
-                w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-                got[o] += softmax_log(st[o] @ p["w"][w].T + p["wb"][w])[np.arange(len(o)), tk[o] - c * CLASS_WORDS]
-        out[a : a + 16384] = got
+    for a in range(0, len(token), 8192):
+        x = s[a : a + 8192] @ p["c"].T + p["cb"]
+        out[a : a + 8192] = x[np.arange(len(x)), cls[a : a + 8192]] - soft(x)[1]
+    for c, o in by_class(cls):
+        w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+        for a in range(0, len(o), 16384):
+            r = o[a : a + 16384]
+            x = s[r] @ p["w"][w].T + p["wb"][w]
+            out[r] += x[np.arange(len(r)), token[r] - c * CLASS_WORDS] - soft(x)[1]
     return out
 
 
@@ -267,28 +279,24 @@ def gradients(p: Params, h: np.ndarray, token: np.ndarray) -> tuple[Params, floa
     g = {name: np.zeros_like(x) for name, x in p.items()}
     if not total:
         return g, 0.0, 0, h
-    at = np.arange(total)
-    lp = softmax_log(s @ p["c"].T + p["cb"])
-    loss = -float(lp[at, cls].sum())
-    d = np.exp(lp)
-    d[at, cls] -= 1
-    d /= total
+    def cross_entropy(x: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of -ln, and the gradient of the window's mean."""
+        at = np.arange(len(x))
+        e, lse = soft(x)
+        lost = float((lse - x[at, right]).sum())
+        e /= e.sum(axis=1, keepdims=True)
+        e[at, right] -= 1
+        return lost, e / total
+
+    loss, d = cross_entropy(s @ p["c"].T + p["cb"], cls)
     ds = d @ p["c"]
     g["c"], g["cb"] = d.T @ s, d.sum(axis=0)
-    order = np.argsort(cls, kind="stable")
-    bound = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        o = order[bound[c] : bound[c + 1]]
-        if len(o):
-            w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            lp = softmax_log(s[o] @ p["w"][w].T + p["wb"][w])
-            a, b = np.arange(len(o)), tk[o] - c * CLASS_WORDS
-            loss -= float(lp[a, b].sum())
-            d = np.exp(lp)
-            d[a, b] -= 1
-            d /= total
-            ds[o] += d @ p["w"][w]
-            g["w"][w], g["wb"][w] = d.T @ s[o], d.sum(axis=0)
+    for c, o in by_class(cls):
+        w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+        lost, d = cross_entropy(s[o] @ p["w"][w].T + p["wb"][w], tk[o] - c * CLASS_WORDS)
+        loss += lost
+        ds[o] += d @ p["w"][w]
+        g["w"][w], g["wb"][w] = d.T @ s[o], d.sum(axis=0)
     full = np.zeros((steps * rows, k), np.float32)
     full[live] = ds
     full = full.reshape(steps, rows, k)
@@ -305,8 +313,10 @@ def gradients(p: Params, h: np.ndarray, token: np.ndarray) -> tuple[Params, floa
         g["n"] += before.T @ dq
         g["nb"] += dq.sum(axis=0)
         dh = dh * z + dzr @ p["zr"].T + dq @ p["n"].T + full[t]
-    ids = np.maximum(token.T.ravel(), 0).astype(np.int64)
-    np.add.at(g["x"], ids, dg.reshape(-1, 3 * k) * live[:, None])
+    order = np.argsort(token.T.ravel()[live], kind="stable")
+    ids = tk[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    g["x"][ids[first]] = np.add.reduceat(dg.reshape(-1, 3 * k)[live][order], first, axis=0)
     return g, loss, total, h
 
 
