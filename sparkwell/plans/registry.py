@@ -1,10 +1,22 @@
-"""Named queries of the engine's analytics, retrieval, ranking and embedding operators, and their SQL."""
+"""Named queries of the analytics, retrieval, ranking and embedding operators, with equivalent SQL where it exists.
+
+Each query reads whole tables; doubles are rounded to six digits for comparison.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import scalar as S
+from ..operators import analytics as A
+from ..operators import embeddings as E
+from ..operators import ranking as R
+from ..operators import retrieval as B
+from ..sources import bridge, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,9 +24,641 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Double columns rounded; -0.0 becomes 0.0."""
+    doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.select(*((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns))
+
+
+L = bridge.SQL
+TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+TYPES = ("de", "en", "es", "fr", "xx")  # the bridge's document types; the last never occurs
+
+# ------------------------------------------------------------------ scans and validation
+
+
+@query("s2_documents", L + " SELECT doc_id, title, specialty, doc_type, body_text, created_at, icd_codes FROM l_documents")
+def _(spark, d):
+    return bridge.documents(spark, d).select("doc_id", "title", "specialty", "doc_type", "body_text", "created_at", "icd_codes")
+
+
+@query("s3_physicians", L + " SELECT * FROM l_physicians")
+def _(spark, d):
+    return bridge.physicians(spark, d)
+
+
+_TWICE = ", twice AS (SELECT *, 0 AS arrival FROM l_judgments UNION ALL SELECT query_id, doc_id, CAST(3 - relevance_score AS INTEGER), 1 FROM l_judgments)"
+
+
+def _twice(spark, d):
+    j = bridge.judgments(spark, d)
+    return j.withColumn("arrival", F.lit(0)).union(j.select("query_id", "doc_id", 3 - F.col("relevance_score"), F.lit(1)))
+
+
+@query("s6_first_judgment_wins", L + _TWICE + " SELECT query_id, doc_id, arg_min(relevance_score, arrival) AS relevance_score FROM twice GROUP BY 1, 2")
+def _(spark, d):
+    return tables.first_wins(_twice(spark, d), ["query_id", "doc_id"], "arrival").drop("arrival")
+
+
+_KEY = "SELECT '{0}.key' AS check_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM {1} GROUP BY {2} HAVING count(*) > 1)"
+_DOMAIN = "SELECT '{0}.{2}', CAST(count(*) AS BIGINT) FROM {1} WHERE {2} NOT IN ({3})"
+
+
+@query(
+    "s10_constraint_violations",
+    L + _TWICE + " " + " UNION ALL ".join([
+        _KEY.format("documents", "l_documents", "doc_id"), _DOMAIN.format("documents", "l_documents", "doc_type", ", ".join(f"'{t}'" for t in tables.DOC_TYPES)), _KEY.format("physicians", "l_physicians", "physician_id"),
+        _KEY.format("interactions", "l_interactions", "interaction_id"), _DOMAIN.format("interactions", "l_interactions", "interaction_type", "'view', 'click', 'save', 'dwell'"), _KEY.format("search_queries", "l_queries", "query_id"),
+        _KEY.format("query_document_relevance", "twice", "query_id, doc_id"), _DOMAIN.format("query_document_relevance", "twice", "relevance_score", "0, 1, 2, 3"),
+    ]),
+)
+def _(spark, d):
+    t = bridge.tables(spark, d)
+    t.query_document_relevance = _twice(spark, d)
+    return tables.violations(t)
+
+
+# ------------------------------------------------------------------ scalar expressions
+
+
+@query(
+    "p_scalar_expressions",
+    L + r""" SELECT doc_id, CAST(position('the' IN lower(body_text)) > 0 AS BOOLEAN) AS has_term, coalesce(regexp_matches(body_text, '(?i)tion(nt|sh)'), false) AS matches,
+  replace(substr(body_text, 1, 150), chr(10), ' ') AS preview, substr(body_text, 1, 200) AS head, 'DOC-' || upper(substr(md5('doc_' || doc_type || '_' || doc_id), 1, 12)) AS hashed,
+  'PHY-' || CASE WHEN length(CAST(doc_id AS VARCHAR)) < 4 THEN lpad(CAST(doc_id AS VARCHAR), 4, '0') ELSE CAST(doc_id AS VARCHAR) END AS padded, CAST(len(regexp_extract_all(body_text, '[^\s\x0B\x1C-\x1F\x85]+')) AS INTEGER) AS words,
+  CAST(len(string_split(icd_codes, ',')) AS INTEGER) AS n_codes, CASE WHEN doc_id % 100 / 50.0 >= 1.5 THEN 3 WHEN doc_id % 100 / 50.0 >= 1.0 THEN 2 WHEN doc_id % 100 / 50.0 >= 0.4 THEN 1 ELSE 0 END AS grade,
+  CAST(doc_id % 4 >= 2 AS INTEGER) AS label, printf('%.2f%%', (doc_id % 7) * 12.5) AS pct, replace(replace('{a} in {b}', '{a}', specialty), '{b}', doc_type) AS filled, doc_id || '|' || specialty AS joined FROM l_documents""",
+)
+def _(spark, d):
+    i, t = F.col("doc_id"), F.col("body_text")
+    return bridge.documents(spark, d).select(
+        "doc_id", S.contains_ignoring_case(t, F.lit("The")).alias("has_term"), S.matches_ignoring_case(t, "tion(nt|sh)").alias("matches"), S.preview(t).alias("preview"), F.substring(t, 1, 200).alias("head"),
+        S.hashed_id(F.concat(F.lit("doc_"), "doc_type", F.lit("_"), i)).alias("hashed"), S.padded_id("PHY-", 4, i).alias("padded"), S.word_count(t).cast("int").alias("words"), F.size(F.split("icd_codes", ",")).alias("n_codes"),
+        S.grade(i % 100 / 50.0).alias("grade"), (i % 4 >= 2).cast("int").alias("label"), S.percent_text((i % 7) * 0.125).alias("pct"), S.filled(F.lit("{a} in {b}"), {"a": F.col("specialty"), "b": F.col("doc_type")}).alias("filled"),
+        F.concat_ws("|", i, "specialty").alias("joined"),
+    )
+
+
+# ------------------------------------------------------------------ analytics
+
+_MATRIX = """, m AS (SELECT physician_id, doc_id, CAST(sum(CASE interaction_type WHEN 'save' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS weighted_score, count(*) AS total_interactions,
+  max(dwell_time_seconds) AS max_dwell_time, avg(dwell_time_seconds) AS avg_dwell_time FROM l_interactions GROUP BY 1, 2),
+mx AS (SELECT physician_id, doc_id, weighted_score, 1 + 40 * weighted_score AS confidence, total_interactions, max_dwell_time, avg_dwell_time,
+  CAST(row_number() OVER (PARTITION BY physician_id ORDER BY weighted_score DESC, doc_id) AS INTEGER) AS rank_per_physician FROM m)"""
+
+
+def _matrix(spark, d):
+    return A.interaction_matrix(bridge.interactions(spark, d))
+
+
+@query("a1_interaction_matrix", L + _MATRIX + " SELECT * REPLACE (round(max_dwell_time, 6) AS max_dwell_time, round(avg_dwell_time, 6) AS avg_dwell_time) FROM mx")
+def _(spark, d):
+    return rounded(_matrix(spark, d))
+
+
+@query(
+    "a2_cold_start_documents",
+    L + """ SELECT d.doc_id, title, specialty, doc_type, count(interaction_id) AS interaction_count, count(DISTINCT physician_id) AS unique_physicians, CAST(count(interaction_id) < 5 AS INTEGER) AS is_cold_start
+  FROM l_documents d LEFT JOIN l_interactions i ON d.doc_id = i.doc_id GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, d):
+    return A.cold_start_documents(bridge.documents(spark, d), bridge.interactions(spark, d))
+
+
+@query(
+    "a3_weekly_ctr",
+    L + """ SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%W') AS week_num, count(*) FILTER (interaction_type = 'click') AS click_count, count(*) FILTER (interaction_type = 'view') AS view_count,
+  round(CASE WHEN count(*) FILTER (interaction_type = 'view') > 0 THEN CAST(count(*) FILTER (interaction_type = 'click') AS DOUBLE) / count(*) FILTER (interaction_type = 'view') ELSE 0 END, 6) AS ctr,
+  count(DISTINCT physician_id) AS active_physicians, count(DISTINCT doc_id) AS docs_interacted FROM l_interactions WHERE interaction_type IN ('click', 'view') GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return rounded(A.weekly_ctr(bridge.interactions(spark, d)))
+
+
+@query(
+    "a4_sparsity",
+    L + """, o AS (SELECT (SELECT count(*) FROM l_documents) AS n_documents, (SELECT count(*) FROM l_physicians) AS n_physicians, (SELECT count(*) FROM (SELECT DISTINCT physician_id, doc_id FROM l_interactions WHERE physician_id IS NOT NULL AND doc_id IS NOT NULL)) AS observed_pairs),
+  s AS (SELECT *, n_documents * n_physicians AS total_possible_pairs FROM o)
+  SELECT *, round(CASE WHEN total_possible_pairs > 0 THEN 1 - observed_pairs / CAST(total_possible_pairs AS DOUBLE) ELSE 1 END, 6) AS sparsity, printf('%.2f%%', 100 * CASE WHEN total_possible_pairs > 0 THEN 1 - observed_pairs / CAST(total_possible_pairs AS DOUBLE) ELSE 1 END) AS sparsity_pct FROM s""",
+)
+def _(spark, d):
+    return rounded(A.sparsity(bridge.documents(spark, d), bridge.physicians(spark, d), bridge.interactions(spark, d)))
+
+
+@query("a5_table_counts", L + " " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {t}" for n, t in (("documents", "l_documents"), ("physicians", "l_physicians"), ("interactions", "l_interactions"), ("search_queries", "l_queries"), ("query_document_relevance", "l_judgments"))))
+def _(spark, d):
+    return A.table_counts(bridge.tables(spark, d))
+
+
+@query("a6_distributions", L + " " + " UNION ALL ".join(f"SELECT '{n}' AS distribution, CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM {t} GROUP BY 2" for n, c, t in (("doc_type", "doc_type", "l_documents"), ("specialty", "specialty", "l_documents"), ("interaction_type", "interaction_type", "l_interactions"), ("relevance", "relevance_score", "l_judgments"))))
+def _(spark, d):
+    return A.summary_histograms(bridge.tables(spark, d))
+
+
+@query("a7_sparse_matrix", L + _MATRIX + ", u AS (SELECT physician_id, row_number() OVER (ORDER BY physician_id) - 1 AS i FROM (SELECT DISTINCT physician_id FROM mx)), v AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM (SELECT DISTINCT doc_id FROM mx)) SELECT CAST(u.i AS INTEGER) AS user_idx, CAST(v.i AS INTEGER) AS item_idx, CAST(confidence AS DOUBLE) AS confidence FROM mx JOIN u USING (physician_id) JOIN v USING (doc_id)")
+def _(spark, d):
+    return A.sparse_coordinates(_matrix(spark, d))
+
+
+@query("a13_item_counts", L + _MATRIX + " SELECT doc_id, count(*) AS n FROM mx GROUP BY 1")
+def _(spark, d):
+    return A.item_counts(_matrix(spark, d))
+
+
+@query("a13_als_cold_items", L + _MATRIX + " SELECT doc_id, count(*) AS n FROM mx GROUP BY 1 HAVING count(*) < 5")
+def _(spark, d):
+    return A.als_cold_items(_matrix(spark, d))
+
+
+@query(
+    "c8_matrix_stats",
+    L + _MATRIX + """, c AS (SELECT doc_id, count(*) AS n FROM mx GROUP BY 1), s AS (SELECT count(DISTINCT physician_id) AS n_users, count(DISTINCT doc_id) AS n_items, count(*) AS n_interactions, (SELECT count(*) FROM c WHERE n < 5) AS n_cold_start_items FROM mx)
+  SELECT n_users, n_items, n_interactions, n_cold_start_items, round(1 - n_interactions / CAST(n_users * n_items AS DOUBLE), 6) AS sparsity, round(100.0 * n_cold_start_items / n_items, 6) AS cold_start_pct,
+  round(n_items * 512 / 1048576.0, 6) AS item_factors_mb, round(n_users * 512 / 1048576.0, 6) AS user_factors_mb, round((n_users + n_items) * 512 / 1048576.0, 6) AS total_factors_mb FROM s""",
+)
+def _(spark, d):
+    return rounded(A.matrix_stats(_matrix(spark, d)))
+
+
+@query("a18_distinct_counts", L + " SELECT count(DISTINCT doc_id) AS n_doc_id, count(DISTINCT specialty) AS n_specialty, count(DISTINCT doc_type) AS n_doc_type FROM l_documents")
+def _(spark, d):
+    return A.distinct_counts(bridge.documents(spark, d), ["doc_id", "specialty", "doc_type"])
+
+
+@query("a19_interaction_bins", L + ", c AS (SELECT doc_id, count(*) AS n FROM l_interactions GROUP BY 1), e AS (SELECT min(n) AS lo, max(n) AS hi FROM c) SELECT CAST(least(floor((n - lo) * 50.0 / CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 49) AS INTEGER) AS bin, count(*) AS n FROM c, e GROUP BY 1")
+def _(spark, d):
+    return A.equal_width_bins(bridge.interactions(spark, d).groupBy("doc_id").agg(F.count("*").alias("x")), "x")
+
+
+@query(
+    "w4_ndcg_evaluation",
+    L + """, r AS (SELECT query_id, query_text, doc_id, relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS ideal_rank FROM l_judgments JOIN l_queries USING (query_id)),
+  c AS (SELECT *, 1 / log2(ideal_rank + 1) AS discount, power(2.0, relevance_score) - 1 AS gain FROM r)
+  SELECT query_id, query_text, doc_id, relevance_score, CAST(ideal_rank AS INTEGER) AS ideal_rank, round(discount, 6) AS discount, round(gain, 6) AS gain, round(gain * discount, 6) AS dcg_contribution,
+  round(sum(gain * discount) OVER (PARTITION BY query_id ORDER BY ideal_rank ROWS UNBOUNDED PRECEDING), 6) AS cumulative_dcg FROM c""",
+)
+def _(spark, d):
+    return rounded(A.ndcg_evaluation(bridge.judgments(spark, d), bridge.search_queries(spark, d)))
+
+
+# ------------------------------------------------------------------ joins
+
+
+@query("j3_queries_with_context", L + " SELECT query_id, q.physician_id, query_text, timestamp, specialty AS physician_specialty, years_experience FROM l_queries q JOIN l_physicians p ON q.physician_id = p.physician_id")
+def _(spark, d):
+    return A.queries_with_context(bridge.search_queries(spark, d), bridge.physicians(spark, d))
+
+
+@query("j4_relevance_view", L + " SELECT query_id, doc_id, relevance_score, query_text, title AS doc_title, specialty AS doc_specialty, doc_type FROM l_judgments JOIN l_queries USING (query_id) JOIN l_documents USING (doc_id)")
+def _(spark, d):
+    return A.relevance_view(bridge.judgments(spark, d), bridge.search_queries(spark, d), bridge.documents(spark, d))
+
+
+_PAIRS = """, pairs AS (SELECT query_id, doc_id, relevance_score, query_text, body_text, d.doc_type, coalesce(p.specialty, 'oncology') AS query_specialty, d.specialty AS doc_specialty, CAST(relevance_score >= 2 AS INTEGER) AS label
+  FROM l_judgments JOIN l_queries USING (query_id) JOIN l_documents d USING (doc_id) LEFT JOIN l_physicians p ON p.physician_id = l_queries.physician_id)"""
+
+
+def _pairs(spark, d):
+    t = bridge.tables(spark, d)
+    return A.judged_pairs(t.query_document_relevance, t.search_queries, t.physicians, t.documents)
+
+
+@query("j5_judged_pairs", L + _PAIRS + " SELECT query_id, doc_id, relevance_score, doc_type, query_specialty, doc_specialty, label FROM pairs")
+def _(spark, d):
+    return _pairs(spark, d).drop("query_text", "body_text")
+
+
+@query("j10_warm_documents", L + " SELECT doc_id, specialty FROM l_documents WHERE doc_id IN (SELECT doc_id FROM l_interactions)")
+def _(spark, d):
+    return A.only(bridge.documents(spark, d).select("doc_id", "specialty"), bridge.interactions(spark, d), "doc_id")
+
+
+@query("j10_untouched_documents", L + " SELECT doc_id, specialty FROM l_documents WHERE doc_id NOT IN (SELECT doc_id FROM l_interactions WHERE doc_id IS NOT NULL)")
+def _(spark, d):
+    return A.only(bridge.documents(spark, d).select("doc_id", "specialty"), bridge.interactions(spark, d), "doc_id", False)
+
+
+@query("j12_unseen_judged", L + " SELECT DISTINCT physician_id, doc_id FROM l_judgments JOIN l_queries USING (query_id) WHERE (physician_id, doc_id) NOT IN (SELECT (physician_id, doc_id) FROM l_interactions)")
+def _(spark, d):
+    c = bridge.judgments(spark, d).join(bridge.search_queries(spark, d), "query_id").select("physician_id", "doc_id").distinct()
+    return A.seen_filter(c, bridge.interactions(spark, d))
+
+
+@query("j11_query_split")
+def _(spark, d):
+    return A.hash_split(bridge.judgments(spark, d), "query_id").select("query_id", "doc_id", "is_train")
+
+
+@query("f14_stratified_split")
+def _(spark, d):
+    p = _pairs(spark, d).select("query_id", "doc_id", "label").withColumn("pair", F.concat_ws("|", "query_id", "doc_id"))
+    return A.hash_split(p, "pair", stratum="label").select("query_id", "doc_id", "label", "is_train")
+
+
+# ------------------------------------------------------------------ retrieval
+
+_BM = f"""{L}, dt AS (SELECT doc_id, {TOKENS.format('body_text')} AS t FROM l_documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM dt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, st), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format('query_text')}) AS term FROM l_queries) GROUP BY 1, 2),
+hits AS (SELECT query_id, doc_id, qtf, tf, idf, len(t) AS dl, a FROM q JOIN tf USING (term) JOIN w USING (term) JOIN dt USING (doc_id), st),
+sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM hits GROUP BY 1, 2)"""
+
+
+@query("b2_corpus_stats", _BM + " SELECT n AS n_docs, round(a, 6) AS avgdl FROM st")
+def _(spark, d):
+    return rounded(B.build_index(bridge.documents(spark, d)).stats)
+
+
+@query("b2_postings", _BM + " SELECT term, doc_id, tf FROM tf")
+def _(spark, d):
+    return B.build_index(bridge.documents(spark, d)).postings
+
+
+@query("b3_term_stats", _BM + " SELECT term, df, round(idf, 6) AS idf FROM w")
+def _(spark, d):
+    return rounded(B.build_index(bridge.documents(spark, d)).terms)
+
+
+@query("b5_bm25_scores", _BM + " SELECT * FROM sc")
+def _(spark, d):
+    return rounded(B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d)))
+
+
+_TOP = " SELECT query_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM {}) WHERE n <= 10"
+
+
+@query("t2_bm25_top10", _BM + _TOP.format("sc"))
+def _(spark, d):
+    return B.retrieve(bridge.documents(spark, d), bridge.search_queries(spark, d))
+
+
+@query("t2_bm25_top10_padded", _BM + ", p AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT query_id, doc_id FROM l_queries, l_documents) LEFT JOIN sc USING (query_id, doc_id))" + _TOP.format("p"))
+def _(spark, d):
+    return B.retrieve(bridge.documents(spark, d), bridge.search_queries(spark, d), padded=True)
+
+
+_CASES = ", ".join(f"({i}, '{q}', {j}, '{t}')" for i, (q, ts) in enumerate(B.MISMATCH_CASES) for j, t in enumerate(ts))
+_EXTRA = "(5, 'the thon', 0, 'tion'), (5, 'the thon', 1, 'erst')"
+
+
+@query(
+    "b7_vocabulary_mismatch",
+    _BM + f""", c(case_id, query, term_no, term) AS (VALUES {_CASES}, {_EXTRA}), h AS (SELECT case_id, query, term_no, term, doc_id, substr(body_text, 1, 200) AS text_preview FROM c JOIN l_documents ON contains(lower(body_text), lower(term))),
+cq AS (SELECT case_id, term, count(*) AS qtf FROM (SELECT case_id, unnest({TOKENS.format('query')}) AS term FROM (SELECT DISTINCT case_id, query FROM c)) GROUP BY 1, 2),
+cs AS (SELECT case_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / a))) AS s FROM cq JOIN tf USING (term) JOIN w USING (term) JOIN dt USING (doc_id), st GROUP BY 1, 2),
+f AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS found, row_number() OVER (PARTITION BY case_id ORDER BY term_no, doc_id) AS n FROM h)
+SELECT case_id, query, found, CAST(n AS INTEGER) AS n, doc_id, term AS matched_term, round(coalesce(s, 0), 6) AS bm25_score, text_preview FROM f LEFT JOIN cs USING (case_id, doc_id) WHERE n <= 5""",
+)
+def _(spark, d):
+    return rounded(B.mismatch_report(bridge.documents(spark, d), (*B.MISMATCH_CASES, ("the thon", ("tion", "erst")))))
+
+
+_K1, _BS = (1.0, 1.5, 2.0, 2.5), (0.5, 0.75, 1.0)
+
+
+@query(
+    "b8_parameter_sweep",
+    _BM + f""", g AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in _K1)}) x(k1), (VALUES {', '.join(f'({b})' for b in _BS)}) y(b)), s AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b, query_id, doc_id, sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / a))) AS score FROM hits, g GROUP BY 1, 2, 3, 4)
+SELECT k1, b, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM s GROUP BY 1, 2""",
+)
+def _(spark, d):
+    s = B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d), grid=B.parameter_grid(spark, _K1, _BS))
+    return rounded(s.groupBy("k1", "b").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score")))
+
+
+_JUDGED = _BM + ", js AS (SELECT query_id, doc_id, relevance_score, coalesce(score, 0) AS score FROM l_judgments LEFT JOIN sc USING (query_id, doc_id))"
+
+
+def _judged_scores(spark, d):
+    s = rounded(B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d)))
+    return bridge.judgments(spark, d).join(s, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+_NDCG = """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS i FROM js),
+nd AS (SELECT query_id, count(*) AS n, sum(CASE WHEN r <= 10 THEN (power(2.0, relevance_score) - 1) / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 10 THEN (power(2.0, relevance_score) - 1) / log2(i + 1) ELSE 0 END) AS idcg FROM r GROUP BY 1),
+nq AS (SELECT query_id, n, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM nd)"""
+
+
+@query("e1_ndcg_per_query", _JUDGED + _NDCG + " SELECT query_id, n, round(ndcg, 6) AS ndcg FROM nq")
+def _(spark, d):
+    return rounded(R.ndcg(_judged_scores(spark, d)))
+
+
+@query("b9_bm25_ndcg_summary", _JUDGED + _NDCG + " SELECT count(*) AS n_queries, round(avg(ndcg), 6) AS mean_ndcg, round(median(ndcg), 6) AS median_ndcg, round(stddev_pop(ndcg), 6) AS std_ndcg FROM nq WHERE n >= 2")
+def _(spark, d):
+    return rounded(R.ndcg_summary(R.ndcg(_judged_scores(spark, d))))
+
+
+@query(
+    "b10_tfidf",
+    f"""{L}, t AS (SELECT doc_id, unnest(list_filter({TOKENS.format('body_text')}, lambda x: length(x) > 1)) AS term FROM l_documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 10000), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN k USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM l_documents))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+)
+def _(spark, d):
+    return rounded(B.tfidf(bridge.documents(spark, d)))
+
+
+@query("a11_latency_summary", "SELECT round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(avg(value), 6) AS mean_ms, count(value) AS num_queries FROM events")
+def _(spark, d):
+    return rounded(B.latency_summary(spark.read.parquet(f"{d}/events.parquet"), "value"))
+
+
+# ------------------------------------------------------------------ features and learning to rank
+
+_FEATURES = f"""{_BM}{_PAIRS}, x AS (SELECT *, list_distinct({TOKENS.format('query_text')}) AS q, list_distinct({TOKENS.format('body_text')}) AS b FROM pairs),
+bf AS (SELECT p.query_id, p.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / greatest(a, 1)))) AS bm25 FROM (SELECT query_id, doc_id, unnest(q) AS term FROM x) p JOIN tf ON tf.term = p.term AND tf.doc_id = p.doc_id JOIN w ON w.term = p.term JOIN dt ON dt.doc_id = p.doc_id, st GROUP BY 1, 2),
+ft AS (SELECT query_id, doc_id, relevance_score, label, CASE WHEN len(q) > 0 AND len(b) > 0 THEN len(list_intersect(q, b)) / (sqrt(len(q)) * sqrt(len(b))) ELSE 0 END AS set_cosine, coalesce(bm25, 0) AS bm25,
+  CASE WHEN len(q) > 0 THEN len(list_intersect(q, b)) / CAST(len(q) AS DOUBLE) ELSE 0 END AS overlap, CAST(len(regexp_extract_all(body_text, '\\S+')) AS DOUBLE) AS doc_words, {', '.join(f"CAST(doc_type = '{t}' AS DOUBLE) AS type_{i}" for i, t in enumerate(TYPES))},
+  CAST(query_specialty = doc_specialty AS DOUBLE) AS same_specialty FROM x LEFT JOIN bf USING (query_id, doc_id))"""
+_F = R.FEATURES
+
+
+def _features(spark, d):
+    return R.pair_features(_pairs(spark, d), bridge.documents(spark, d), TYPES)
+
+
+@query("f7_pair_features", _FEATURES + f" SELECT query_id, doc_id, relevance_score, label, {', '.join(f'round({c}, 6) AS {c}' for c in _F)} FROM ft")
+def _(spark, d):
+    return rounded(_features(spark, d))
+
+
+@query("f8_standardized_features", _FEATURES + f" SELECT query_id, doc_id, relevance_score, label, {', '.join(f'round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN stddev_pop({c}) OVER () ELSE 1 END, 6) + 0.0 AS {c}' for c in _F)} FROM ft")
+def _(spark, d):
+    return rounded(R.standardized(_features(spark, d)))
+
+
+@query("l1_trainable_groups", _JUDGED + " SELECT query_id, doc_id, relevance_score, score FROM js WHERE query_id IN (SELECT query_id FROM js GROUP BY 1 HAVING count(DISTINCT relevance_score) >= 2)")
+def _(spark, d):
+    return R.trainable_groups(_judged_scores(spark, d)).select("query_id", "doc_id", "relevance_score", "score")
+
+
+_DELTA = _JUDGED + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS i, power(2.0, relevance_score) - 1 AS g FROM js),
+x AS (SELECT *, 1 / log2(r + 1) AS d, sum(CASE WHEN i <= 10 THEN g / log2(i + 1) ELSE 0 END) OVER (PARTITION BY query_id) AS idcg FROM r),
+pd AS (SELECT a.query_id, a.doc_id AS doc_i, b.doc_id AS doc_j, a.score AS s_i, b.score AS s_j, CASE WHEN a.idcg > 0 THEN abs((a.g - b.g) * (b.d - a.d)) / a.idcg ELSE 0 END AS delta FROM x a JOIN x b ON a.query_id = b.query_id AND a.relevance_score > b.relevance_score)"""
+
+
+@query("l2_delta_ndcg", _DELTA + " SELECT query_id, doc_i, doc_j, s_i, s_j, round(delta, 6) AS delta FROM pd")
+def _(spark, d):
+    return rounded(R.delta_ndcg(_judged_scores(spark, d)))
+
+
+@query("l3_lambda_gradients", _DELTA + """, e AS (SELECT *, delta / (1 + exp(s_i - s_j)) AS x FROM pd), g AS (SELECT query_id, doc_id, sum(x) AS l FROM (SELECT query_id, doc_i AS doc_id, x FROM e UNION ALL SELECT query_id, doc_j, -x FROM e) GROUP BY 1, 2)
+SELECT query_id, doc_id, round(coalesce(l, 0), 6) + 0.0 AS lambda FROM js LEFT JOIN g USING (query_id, doc_id)""")
+def _(spark, d):
+    return rounded(R.lambda_gradients(_judged_scores(spark, d)))
+
+
+@query("f9_logistic_ranking")
+def _(spark, d):
+    from ..operators.linear import fit_logistic
+
+    f = _features(spark, d)
+    return rounded(fit_logistic(f, grid=(0.1, 1.0), cv=2).rank(f))
+
+
+@query("f11_svm_ranking")
+def _(spark, d):
+    from ..operators.linear import fit_svm
+
+    f = _features(spark, d)
+    return rounded(fit_svm(f, grid=(0.1, 1.0), cv=2).rank(f))
+
+
+@query("f13_feature_ablation")
+def _(spark, d):
+    from ..operators.linear import ablation
+
+    return ablation(_features(spark, d).cache(), _F[:4])
+
+
+@query("b11_truncated_svd")
+def _(spark, d):
+    from ..operators.linear import tfidf_vectors, truncated_svd
+
+    v, _ = tfidf_vectors(B.tfidf(bridge.documents(spark, d), 500))
+    out, share = truncated_svd(v.cache(), 16)
+    return out.select("doc_id", F.size("features").alias("k"), F.lit(share > 0).alias("explains"))
+
+
+@query("l6_lambdarank")
+def _(spark, d):
+    from ..operators.lambdarank import Network, Trainer
+
+    f = R.standardized(_features(spark, d)).select("query_id", "doc_id", "relevance_score", F.array(*_F).alias("features")).cache()
+    t = Trainer(Network.random(len(_F), (32, 16)), dropout=0.0)
+    t.train(f, epochs=3)
+    return rounded(A.top(t.predict(f).select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10))
+
+
+# ------------------------------------------------------------------ collaborative filtering
+
+
+@query("c1_als_reconstruction")
+def _(spark, d):
+    from ..operators.collaborative import fit_als
+
+    m = _matrix(spark, d).cache()
+    return fit_als(m, 8, 3).reconstruction(m)
+
+
+@query("c4_item_factors")
+def _(spark, d):
+    from ..operators.collaborative import fit_als
+
+    f = fit_als(_matrix(spark, d).cache(), 8, 3)
+    return f.item_factors(bridge.documents(spark, d)).select("doc_id", F.size("factors").alias("rank"), F.forall("factors", lambda x: x == 0).alias("is_zero"))
+
+
+@query("c5_augmented_features")
+def _(spark, d):
+    from ..operators.collaborative import fit_als
+
+    content = E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text", out="features").select("doc_id", "features")
+    return fit_als(_matrix(spark, d).cache(), 8, 3).augmented(content).select("doc_id", F.size("features").alias("width"))
+
+
+@query("t5_recommendations")
+def _(spark, d):
+    from ..operators.collaborative import fit_als
+
+    i = bridge.interactions(spark, d)
+    return fit_als(_matrix(spark, d).cache(), 8, 3).recommend(bridge.physicians(spark, d), 10, i).drop("score")
+
+
+@query("c6_convergence")
+def _(spark, d):
+    from ..operators.collaborative import convergence
+
+    return convergence(_matrix(spark, d).cache(), 5, 8, (1, 3, 5))
+
+
+@query("c7_factor_sizes")
+def _(spark, d):
+    from ..operators.collaborative import factor_sizes
+
+    return factor_sizes(_matrix(spark, d).cache(), (4, 8), 3)
+
+
+# ------------------------------------------------------------------ embeddings
+
+_CODE_LIST = ", ".join(f"'{c}'" for c in bridge.ICD_CODES)
+
+
+@query("o1_icd_indices", L + f" SELECT doc_id, list_transform(string_split(icd_codes, ','), lambda c: CAST(coalesce(list_position([{_CODE_LIST}], trim(c)), 0) AS INTEGER)) AS codes FROM l_documents")
+def _(spark, d):
+    return bridge.documents(spark, d).select("doc_id", E.icd_indices(F.split("icd_codes", ",")).alias("codes"))
+
+
+_TABLE = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row[:3]) + "]" for row in E.icd_table()) + "]"
+
+
+@query("o1_icd_pooled", L + f""", c AS (SELECT doc_id, list_filter(list_transform(string_split(icd_codes, ','), lambda c: coalesce(list_position([{_CODE_LIST}], trim(c)), 0)), lambda i: i > 0) AS k FROM l_documents)
+SELECT doc_id, {', '.join(f'round(coalesce(list_sum(list_transform(k, lambda i: ({_TABLE})[i][{j + 1}])), 0) / greatest(len(k), 1), 6) + 0.0 AS e{j}' for j in range(3))} FROM c""")
+def _(spark, d):
+    p = E.pooled_codes(E.icd_indices(F.split("icd_codes", ",")), E.icd_table()[:, :3])
+    return rounded(bridge.documents(spark, d).select("doc_id", p.alias("p")).select("doc_id", *(F.col("p")[j].alias(f"e{j}") for j in range(3))))
+
+
+def _metadata(spark, d):
+    i = F.col("doc_id")
+    labs = F.create_map(F.lit("Creatinine"), (i % 150) / 10.0, F.lit("free T4"), (i % 7).cast("double"), F.lit("zinc"), F.lit(3.0))
+    markers = F.create_map(F.lit("HER2"), (i % 100).cast("double"), F.lit("her2"), F.lit(5.0), F.lit("BRAF V600E"), (i % 50).cast("double"), F.lit("kras"), F.lit(9.0))
+    return bridge.documents(spark, d).select("doc_id", "icd_codes", labs.alias("labs"), markers.alias("markers"))
+
+
+@query("o2_lab_vector", "SELECT doc_id, 17 AS width, round((doc_id % 150) / 10.0 / 15, 6) AS creatinine, round((doc_id % 7) / 15.0, 6) AS free_t4, round((doc_id % 150) / 10.0 / 15 + (doc_id % 7) / 15.0, 6) AS total FROM documents")
+def _(spark, d):
+    v = _metadata(spark, d).select("doc_id", E.lab_vector(F.col("labs")).alias("v"))
+    return rounded(v.select("doc_id", F.size("v").alias("width"), F.col("v")[0].alias("creatinine"), F.col("v")[9].alias("free_t4"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query("o3_marker_vector", "SELECT doc_id, 20 AS width, round((doc_id % 100) / 100.0, 6) AS her2, round((doc_id % 50) / 100.0, 6) AS braf, round((doc_id % 100) / 100.0 + (doc_id % 50) / 100.0, 6) AS total FROM documents")
+def _(spark, d):
+    v = _metadata(spark, d).select("doc_id", E.marker_vector(F.col("markers")).alias("v"))
+    return rounded(v.select("doc_id", F.size("v").alias("width"), F.col("v")[5].alias("her2"), F.col("v")[4].alias("braf"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query("o4_structured_encoder")
+def _(spark, d):
+    x = _metadata(spark, d).select("doc_id", E.structured_input(F.split("icd_codes", ","), F.col("labs"), F.col("markers")).alias("x"))
+    return E.encode(x, "x", E.structured_encoder()).select("doc_id", F.size("vec").alias("width"), F.round(S.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("o6_image_encoder")
+def _(spark, d):
+    from ..sources.datagen import image_features
+
+    return E.encode(image_features(bridge.documents(spark, d)), "vec", E.image_encoder(), "out").select("doc_id", F.size("out").alias("width"), F.round(S.norm(F.col("out")), 6).alias("norm"))
+
+
+@query("o7_text_encoder")
+def _(spark, d):
+    return E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text").select("doc_id", F.size("vec").alias("width"), F.round(S.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("o9_l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) + 0.0 AS component_sum FROM embeddings")
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", S.l2_normalized(F.col("embedding")).alias("v"))
+    return rounded(v.select("vec_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("component_sum")))
+
+
+_VECTORS = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), ep AS (SELECT vec_id // 2 AS i, e AS a FROM v WHERE vec_id % 2 = 0), pp AS (SELECT vec_id // 2 AS i, e AS p FROM v WHERE vec_id % 2 = 1), pr AS (SELECT ep.i, a, p FROM ep JOIN pp ON ep.i = pp.i)"
+
+
+@query("o10_info_nce", _VECTORS + """, s AS (SELECT x.i // 64 AS batch, x.i, y.i AS j, list_cosine_similarity(x.a, y.p) / 0.07 AS z FROM pr x JOIN pr y ON x.i // 64 = y.i // 64),
+l AS (SELECT batch, i, max(z) AS m, ln(sum(exp(z - mx))) + max(z) - sum(CASE WHEN i = j THEN z ELSE 0 END) AS l FROM (SELECT *, max(z) OVER (PARTITION BY batch, i) AS mx FROM s) GROUP BY 1, 2) SELECT batch, count(*) AS n, round(avg(l), 6) AS loss FROM l GROUP BY 1""")
+def _(spark, d):
+    return rounded(E.info_nce(E.embedding_pairs(spark, d)))
+
+
+@query("o12_alignment", _VECTORS + """, s AS (SELECT x.i, y.i AS j, list_cosine_similarity(x.a, y.p) AS z FROM pr x, pr y), b AS (SELECT i, arg_max(j, z) AS best FROM s GROUP BY 1)
+SELECT (SELECT count(*) FROM b) AS n, round(avg(z) FILTER (i = j), 6) AS positive_sim, round(avg(z) FILTER (i <> j), 6) AS negative_sim, round((SELECT avg(CAST(best = i AS DOUBLE)) FROM b), 6) AS top1_accuracy FROM s""")
+def _(spark, d):
+    return rounded(E.alignment(E.embedding_pairs(spark, d)))
+
+
+@query("o16_flat_search", _VECTORS + """, s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10""")
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return E.flat_search(v, v.where("vec_id % 25 = 0"))
+
+
+@query("o16_cell_search")
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return E.cell_search(E.build_cells(v, 8), v.where("vec_id % 25 = 0"), probes=4)
+
+
+@query("o16_hash_search")
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return E.hash_search(v, list(v.where("vec_id = 0").first()["embedding"]))
+
+
+@query("o15_projection")
+def _(spark, d):
+    return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", F.size("pca").alias("k"))
+
+
+@query("o11_contrastive_training")
+def _(spark, d):
+    from ..operators.contrastive import ContrastiveTrainer
+
+    v = E.embedding_pairs(spark, d).select("i", F.col("anchor").alias("text"), F.col("positive").alias("image"), F.col("anchor").alias("structured"))
+    t = ContrastiveTrainer(*(E.random_dense(64, 32, seed=s) for s in range(3)))
+    return spark.createDataFrame([(h["epoch"], h["loss"], h["n_batches"]) for h in t.train(v, 3)], "epoch int, loss double, n_batches int")
+
+
+# ------------------------------------------------------------------ generated data and streams
+
+
+@query("g11_generated_dataset")
+def _(spark, d):
+    from ..sources.datagen import Config, dataset
+
+    return A.table_counts(dataset(spark, Config(200, 50, 40, 2000)))
+
+
+@query("g8_structured_metadata")
+def _(spark, d):
+    from ..sources.datagen import documents, structured_metadata
+
+    m = structured_metadata(documents(spark, 200))
+    return m.select("doc_id", F.size("lab_values").alias("labs"), F.size("biomarker_levels").alias("markers"), F.size("icd_codes_list").alias("codes"), "word_count")
+
+
+@query("streaming_ctr")
+def _(spark, d):
+    """Closed windows of a finished stream over the interactions, read back from the sink."""
+    import tempfile
+    import uuid
+
+    from ..streaming.ctr import read_interactions, start_sink, windowed_ctr
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    rows = bridge.interactions(spark, d)
+    rows.write.parquet(f"{path}/in")
+    q = start_sink(windowed_ctr(read_interactions(spark, f"{path}/in", rows.schema), "1 day", start=None), f"{path}/out", f"{path}/check")
+    q.awaitTermination(600)
+    return rounded(spark.read.parquet(f"{path}/out"))
