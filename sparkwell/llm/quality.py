@@ -147,21 +147,24 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column
     slim = docs.select(F.col(id_col).cast("long"), _site(host), _site(path), text).mapInArrow(run, "id long, host string, path string, worded boolean, x array<double>")
     slim = stored(slim, "features")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    sample = slim.where("worded").join(known, "id").orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED).select("x", "y").collect()
+    labelled = slim.where("worded").join(known, "id").select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", "x", "y")
+    # by a hash threshold, so that tasks send about MOST_LABELLED rows in all and not each
+    part = min(1.0, MOST_LABELLED / max(1, known.count()))
+    sample = sorted(labelled.where(F.col("h") < int(part * (1 << 30))).collect(), key=lambda r: (r["h"], str(r["id"])))[:MOST_LABELLED]
     x, y = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], float)
     c = fit(x, y)
     parts = [(F.col("x")[k] - float(c.mean[k])) / float(c.scale[k]) * float(c.weight[k]) for k in range(len(FEATURES))]
     p = 1 / (1 + F.exp(-sum(parts, F.lit(c.bias))))
-    paths = stored(slim.where("worded").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths")
+    paths = stored(slim.where("worded").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths", slim.count())
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     g = paths.agg(F.sum("s") / F.sum("n")).first()[0]
     mean = 0.5 if g is None else float(g)
     host_strength = _strength(hosts, F.lit(mean))
-    hosts = stored(hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior")), "hosts")
+    hosts = stored(hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior")), "hosts", paths.count())
     both = paths.join(hosts, "host")
     path_strength = _strength(both, F.col("host_posterior"))
     sites = both.select("host", "path", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
-    return QualityModel(c, mean, host_strength, path_strength, stored(sites, "sites"))
+    return QualityModel(c, mean, host_strength, path_strength, stored(sites, "sites", paths.count()))
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: QualityModel, host: Column | str, path: Column | str, keep: list[str], text: str = "text") -> DataFrame:
