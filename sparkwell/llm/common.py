@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,16 +29,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+#: Small tables are written with this many rows a file (and LEAST_FILES at least), not one file a shuffle partition.
+FILE_ROWS = 500_000
+LEAST_FILES = 8
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back. rows: an upper bound of its rows, where known."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))).write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice plans that are no longer used: executors keep a plan's shuffle files until it has."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by stored() that no later plan reads."""
     path = getattr(df, "_stored_at", None)
@@ -215,18 +228,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stored(e, "cc")
     seen = _digest(e)
+    rows = 2 * seen[0]
     for _ in range(most_rounds):
         if seen[0] == 0:
             break
         old = e
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc", rows)
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        e = stored(e, "cc")
-        low2 = stored(e.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        e = stored(e, "cc", rows)
+        low2 = stored(e.groupBy("u").agg(F.min("v").alias("m")), "cc", rows)
         small = e.join(low2, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low2.select("u", F.col("m").alias("v")))
-        nxt = stored(nxt.distinct(), "cc")
+        nxt = stored(nxt.distinct(), "cc", rows)
         for x in (old, low, e, low2):
             drop_stored(x)
         e = nxt

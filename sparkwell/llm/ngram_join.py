@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, runs, shingles, stored, text_chunks, words_of
+from .common import bounded_batches, components, drop_stored, runs, shingles, stored, text_chunks, words_of
 
 BUCKET_BITS = 22
 CHUNK_BITS = 16
 FAN_IN = 32
-HOT_LIST = 2048
+HOT_LIST = 1024
+#: Bits of the map of documents that a verification needs (1 MB).
+MAP_BITS = 1 << 23
 BLOCK = 64
 
 
@@ -49,6 +51,33 @@ def _sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
 # ------------------------------------------------------------------ 1: the order of shingles
 
 
+def _packed(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts of a chunk: one byte each where most are there, else positions and bytes; larger counts follow as pairs."""
+    low = np.minimum(x, 255).astype(np.uint8)
+    big = np.flatnonzero(low == 255)
+    more = b"".join((len(big).to_bytes(4, "little"), big.astype(np.uint16).tobytes(), x[big].astype(np.uint32).tobytes()))
+    at = np.flatnonzero(low)
+    if 3 * len(at) >= len(x):
+        return b"", more + low.tobytes()
+    return at.astype(np.uint16).tobytes(), more + low[at].tobytes()
+
+
+def _unpacked(at: bytes, n: bytes) -> np.ndarray:
+    k = int.from_bytes(n[:4], "little")
+    big, counts, low = np.frombuffer(n, np.uint16, k, 4), np.frombuffer(n, np.uint32, k, 4 + 2 * k), np.frombuffer(n, np.uint8, -1, 4 + 6 * k)
+    x = np.zeros(1 << CHUNK_BITS, np.uint64)
+    if len(at) or not len(low):
+        x[np.frombuffer(at, np.uint16)] = low
+    else:
+        x[:] = low
+    x[big] = counts
+    return x
+
+
+def _level(n: np.ndarray | float) -> np.ndarray:
+    return 8 * np.log2(n + 1.0)
+
+
 def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
     """Log-scaled counts of all shingles by bucket: 2**BUCKET_BITS bytes whatever the size of the corpus."""
 
@@ -76,20 +105,15 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
         part = TaskContext.get().partitionId()
         for c in range(1 << (BUCKET_BITS - CHUNK_BITS)):
             x = total[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
-            at = np.flatnonzero(x)
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([c], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())],
-                    ["part", "chunk", "at", "n"],
-                )
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([c], pa.int32()), *(pa.array([b], pa.binary()) for b in _packed(x))], ["part", "chunk", "at", "n"])
 
     def merge(table: pa.Table) -> pa.Table:
         x = np.zeros(1 << CHUNK_BITS, np.uint64)
         for at, n in zip(table["at"], table["n"], strict=True):
-            x[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
-        at = np.flatnonzero(x)
-        x = np.minimum(x[at], 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int64()), "chunk": table["chunk"][:1].cast(pa.int32()), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([x.tobytes()], pa.binary())})
+            x += _unpacked(at.as_py(), n.as_py())
+        at, n = _packed(np.minimum(x, 0xFFFFFFFF).astype(np.uint32))
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int64()), "chunk": table["chunk"][:1].cast(pa.int32()), "at": pa.array([at], pa.binary()), "n": pa.array([n], pa.binary())})
 
     shape = "part long, chunk int, at binary, n binary"
     counts = docs.select(text).mapInArrow(count, shape)
@@ -99,8 +123,8 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
         parts = -(-parts // FAN_IN)
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in level.select("chunk", "at", "n").collect():  # at most 2**(BUCKET_BITS - CHUNK_BITS) rows of fixed size
-        n = np.frombuffer(r["n"], np.uint32)
-        out[(r["chunk"] << CHUNK_BITS) + np.frombuffer(r["at"], np.uint16).astype(np.int64)] = np.minimum(255, 8 * np.log2(n + 1.0)).astype(np.uint8)
+        n = _unpacked(r["at"], r["n"])
+        out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.minimum(255, _level(n)).astype(np.uint8)
     return out.tobytes()
 
 
@@ -108,14 +132,18 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, order: bytes) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, prefix) of each row."""
+    """(doc_id, n_shingles, f1, f2, prefix, light) of each row.
+
+    light: how many of the prefix's shingles are in buckets that count at most HOT_LIST; only the others can have long lists.
+    """
     held = docs.sparkSession.sparkContext.broadcast(order)
+    bound = min(255, int(_level(HOT_LIST)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(held.value, np.uint8)
         mask = np.uint64((1 << BUCKET_BITS) - 1)
         for b in batches:
-            size, f1, f2, prefix = [], [], [], []
+            size, f1, f2, prefix, light = [], [], [], [], []
             for g in _sets(b.column(1), k):
                 n = len(g)
                 f = xxhash.xxh3_128_digest(g.tobytes())
@@ -123,15 +151,18 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int,
                 f1.append(int.from_bytes(f[:8], "little", signed=True))
                 f2.append(int.from_bytes(f[8:], "little", signed=True))
                 most = n - -(-percent * n // 100) + 1 if n else 0
-                prefix.append(g[np.lexsort((g, rank[g & mask]))[:most]].view(np.int64))
+                level = rank[g & mask]
+                first = np.lexsort((g, level))[:most]
+                prefix.append(g[first].view(np.int64))
+                light.append(int(np.searchsorted(level[first], bound)))
             ends = np.cumsum([0, *map(len, prefix)])
             values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                ["doc_id", "n_shingles", "f1", "f2", "prefix"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array(light, pa.int32())],
+                ["doc_id", "n_shingles", "f1", "f2", "prefix", "light"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, light int")
 
 
 # ------------------------------------------------------------------ 3: index lists
@@ -143,11 +174,16 @@ def _enough(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, percent:
     return ((100 + percent) * best >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
+def _place(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, position and side of packed places."""
+    return n >> 32, (n >> 1) & 0x7FFFFFFF, n & 1
+
+
 def index_lists(postings: DataFrame, percent: int) -> DataFrame:
     """Postings of lists with two sets or more, with the list's leader and whether it can link with the leader."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, at in runs(batches, ["token", "i", "j"]):
+        for c, at in runs(batches, ["token", "cell"]):
             length = np.diff(at)
             ok = np.repeat(length > 1, length)
             if not ok.any():
@@ -155,35 +191,45 @@ def index_lists(postings: DataFrame, percent: int) -> DataFrame:
             which = np.repeat(np.arange(len(length)), length)
             by = np.lexsort((c["rep"], which))
             lead = by[at[:-1]][which]  # the smallest rep of each run
-            star = _enough(c["n"], c["pos"], c["n"][lead], c["pos"][lead], percent) & (c["rep"] != c["rep"][lead])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][ok]) for x in ("token", "i", "j", "b", "rep", "n", "pos")), pa.array(c["rep"][lead][ok]), pa.array(star[ok])], ["token", "i", "j", "b", "rep", "n", "pos", "leader", "star"])
+            n, pos, _ = _place(c["place"])
+            star = _enough(n, pos, n[lead], pos[lead], percent) & (c["rep"] != c["rep"][lead])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][ok]) for x in ("token", "cell", "rep", "place")), pa.array(c["rep"][lead][ok]), pa.array(star[ok])], ["token", "cell", "rep", "place", "leader", "star"])
 
-    cells = postings.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return cells.mapInArrow(keep, "token long, i int, j int, b int, rep long, n long, pos long, leader long, star boolean")
+    cells = postings.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return cells.mapInArrow(keep, "token long, cell long, rep long, place long, leader long, star boolean")
 
 
-def _salted(postings: DataFrame) -> DataFrame:
-    """Adds the cells (i, j) of a list's grid: 1 x 1, and for long lists every two parts of it meet in one cell."""
-    hot = postings.groupBy("token").count().where(F.col("count") > HOT_LIST).select("token", F.ceil(F.col("count") / HOT_LIST).cast("int").alias("parts"))
-    p = postings.join(hot, "token", "left")
+def _postings(reps: DataFrame) -> DataFrame:
+    """(token, cell, rep, place) of all prefix shingles.
+
+    A list is a grid of cells i <= j, 1 x 1 but for long lists, where every two parts of the list meet in one cell.
+    place: the set's size and the shingle's position, and whether the posting is of part j (not i) of its cell.
+    """
+    p = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "light", F.posexplode("prefix").alias("pos", "token"))
+    # only shingles in full buckets can have long lists; they are counted exactly
+    hot = p.where("pos >= light").groupBy("token").count().where(F.col("count") > HOT_LIST).select("token", F.ceil(F.col("count") / HOT_LIST).cast("int").alias("parts"))
+    p = p.join(hot, "token", "left")
     b = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
     p = p.withColumn("b", b).withColumn("x", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    return p.select("token", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "rep", "n", "pos")
+    i, j = F.least("b", "x").cast("long"), F.greatest("b", "x").cast("long")
+    place = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 1) + (F.col("b") > F.col("x")).cast("long")
+    return p.select("token", (F.shiftleft(i, 31) + j).alias("cell"), "rep", place.alias("place"))
 
 
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of sets of different families that a list holds and that can link, block by block."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, at in runs(batches, ["token", "i", "j"]):
+        for c, at in runs(batches, ["token", "cell"]):
+            size, where, side = _place(c["place"])
             got: list[tuple[np.ndarray, np.ndarray]] = []
             two = at[:-1][np.diff(at) == 2]
             got.append((two, two + 1))
             for s, e in zip(at[:-1], at[1:], strict=True):
                 if e - s < 3:
                     continue
-                order = s + np.lexsort((c["pos"][s:e], c["n"][s:e]))
-                n, p = c["n"][order], c["pos"][order]
+                order = s + np.lexsort((where[s:e], size[s:e]))
+                n, p = size[order], where[order]
                 for x in range(0, e - s, BLOCK):
                     nx = n[x : x + BLOCK]
                     for y in range(x, e - s, BLOCK):
@@ -200,23 +246,48 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         got.append((order[x + u], order[y + v]))
             u, v = (np.concatenate(z) for z in zip(*got, strict=True))
             ru, rv = c["rep"][u], c["rep"][v]
-            ok = _enough(c["n"][u], c["pos"][u], c["n"][v], c["pos"][v], percent) & (c["family"][u] != c["family"][v]) & (ru != rv)
+            ok = _enough(size[u], where[u], size[v], where[v], percent) & (c["family"][u] != c["family"][v]) & (ru != rv)
             ok &= (ru != c["leader"][u]) & (rv != c["leader"][v])  # compared before
-            ok &= (c["i"][u] == c["j"][u]) | (c["b"][u] != c["b"][v])
+            ok &= (c["cell"][u] >> 31 == c["cell"][u] & 0x7FFFFFFF) | (side[u] != side[v])
             if ok.any():
                 ab = np.unique(np.stack([np.minimum(ru, rv)[ok], np.maximum(ru, rv)[ok]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
-    cells = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    cells = lists.repartition("token", "cell").sortWithinPartitions("token", "cell")
     return cells.mapInArrow(pairs, "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------ 4: verification
 
 
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (ids ^ (ids >> 23)) % MAP_BITS
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, t) of at least all documents in pairs: a bitmap of MAP_BITS bits leaves most others out before a shuffle."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    at = F.expr(f"pmod(id ^ shiftright(id, 23), {MAP_BITS}L) + 1")  # bitmap buckets of positive numbers begin at 1
+    rows = ids.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    bits = np.zeros(MAP_BITS, bool)
+    for r in rows:  # at most MAP_BITS / 32768 rows of 4 KB
+        bits[(r["k"] - 1) * 32768 + np.flatnonzero(np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little"))] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        for b in batches:
+            known = np.asarray(b.column(0).is_valid())
+            ids = b.column(0).fill_null(0).to_numpy()
+            yield b.filter(pa.array(wanted[_bit(ids)] & known))
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(keep, "id long, t string")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """(a, b, overlap, n_a, n_b) of the pairs that link, from the whole texts."""
-    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+    pairs = stored(pairs, "pairs")
+    t = stored(texts_of(pairs, docs, id_col, text), "texts")
     p = pairs.join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +304,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int,
                     out.append((a[i], b[i], both, len(held), len(right)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], ["a", "b", "overlap", "n_a", "n_b"])
 
-    return p.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, overlap long, n_a long, n_b long")
+    out = stored(p.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, overlap long, n_a long, n_b long"), "links")
+    drop_stored(pairs)
+    drop_stored(t)
+    return out
 
 
 # ------------------------------------------------------------------ the operator
@@ -248,19 +322,21 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     docs = docs.select(id_col, text)
     sets = stored(shingle_sets(docs, id_col, text, k, percent, shingle_order(docs, text, k)), "sets")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
+    classes = stored(classes, "classes", sets.count())
     reps = sets.join(classes, (sets.doc_id == classes.rep) & (sets.f1 == classes.f1) & (sets.f2 == classes.f2), "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    postings = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
-    lists = stored(index_lists(_salted(postings), percent), "lists")
+    lists = stored(index_lists(_postings(reps), percent), "lists")
+    heads = stored(sets.drop("prefix", "light"), "heads")
+    drop_stored(sets)
     star = lists.where("star").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = stored(verified(star, docs, id_col, text, k, percent), "links")
+    first = verified(star, docs, id_col, text, k, percent)
     family = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("family"))
-    family = stored(family.withColumn("family", F.least("rep", "family")), "family")
-    rest = lists.join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep")).select("token", "i", "j", "b", "rep", "n", "pos", "leader", "family")
-    second = stored(verified(cross_pairs(rest, percent), docs, id_col, text, k, percent), "links")
+    family = stored(family.withColumn("family", F.least("rep", "family")), "family", first.count())
+    rest = lists.drop("star").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    second = verified(cross_pairs(rest.select("token", "cell", "rep", "place", "leader", "family"), percent), docs, id_col, text, k, percent)
+    drop_stored(lists)
     links = first.union(second)
     nodes = components(links.select("a", "b"))
-    named = sets.drop("prefix").join(classes, ["f1", "f2"], "left")
+    named = heads.join(classes, ["f1", "f2"], "left")
     named = named.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     nodes = nodes.select(F.col("node").alias("rep"), "component")
     out = named.join(nodes, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))

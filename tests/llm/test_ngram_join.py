@@ -1,0 +1,140 @@
+"""N-gram Jaccard join against brute force, with hot lists, hub components and edges."""
+
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import sparkwell.llm.ngram_join as m
+from sparkwell.llm.common import components, runs, shingles, text_chunks, words_of
+from sparkwell.llm.ngram_join import _packed, _unpacked, ngram_jaccard_join, texts_of
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingle_set(text, k):
+    w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute(rows, k, percent):
+    sets = [(i, shingle_set(t, k)) for i, t in rows if i is not None]
+    low = {i: i for i, _ in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for (a, x), (b, y) in combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            u, v = sorted((root(a), root(b)))
+            low[v] = u
+    return sorted((str(i), len(shingle_set(t, k)), str(root(i)) if i is not None else "None") for i, t in rows)
+
+
+def check(spark, rows, k=3, percent=90):
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, rep string, f1 int").repartition(4)
+    members, links = ngram_jaccard_join(spark, df, k, percent)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in members.collect())
+    assert got == brute(rows, k, percent)
+    return members, links
+
+
+def corpus(seed=0, families=25):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(families):
+        base = [rng.choice(["ab", "cd", "ef", "gh", "Ij"]) + str(rng.randrange(200)) for _ in range(rng.choice([1, 2, 3, 4, 20, 60, 200]))]
+        for _ in range(rng.randrange(1, 9)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+EDGES = [(None, "a b c d"), (900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, "a b c d"), (907, "A\tB\nC d"), (907, "A\tB\nC d"), (908, "é É"), (909, "é É x"), (910, "w " * 400), (911, "long " * 3 + "y" * 700_000), (912, "long " * 3 + "y" * 700_000)]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_against_brute_force(spark, k, percent):
+    check(spark, corpus() + EDGES, k, percent)
+
+
+def test_shared_passage_and_families(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 3, 4, 30])))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"c{j if j != i else 999}" for j in range(80))) for i in range(40)]
+    members, links = check(spark, rows)
+    assert links.where("100 * overlap < 90 * (n_a + n_b - overlap)").count() == 0
+
+
+def test_long_lists_are_dealt_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(m, "HOT_LIST", 7)
+    check(spark, corpus(3, 12) + [(1000 + i, " ".join(f"c{j if j != i else 999}" for j in range(60))) for i in range(40)])
+
+
+def test_empty_table(spark):
+    check(spark, [])
+
+
+def test_sketch_round_trip():
+    rng = np.random.default_rng(0)
+    for density in (0, 0.01, 0.9):
+        x = np.where(rng.random(1 << m.CHUNK_BITS) < density, rng.integers(1, 5, 1 << m.CHUNK_BITS), 0).astype(np.uint32)
+        x[[0, 77]] = 255, 1_000_000
+        assert (_unpacked(*_packed(x)) == x).all()
+
+
+def test_map_keeps_every_document_of_a_pair(spark):
+    ids = [0, 1, -1, 32767, 32768, m.MAP_BITS - 1, m.MAP_BITS, 2**40, -(2**62), 2**63 - 1]
+    docs = spark.createDataFrame([(i, "t") for i in [*ids, *range(100, 200), None]], "doc_id long, text string")
+    pairs = spark.createDataFrame(list(zip(ids[::2], ids[1::2])), "a long, b long")
+    got = {r.id for r in texts_of(pairs, docs, "doc_id", "text").collect()}
+    assert set(ids) <= got and len(got) < 30
+
+
+def test_words_across_segments(monkeypatch):
+    import pyarrow as pa
+
+    import sparkwell.llm.common as c
+
+    texts = ["Ab cd", None, "", "x" * 90 + " y", "é e\x0bz", " lead", "trail "] * 7
+    for size in (1, 5, 64, 1 << 19):
+        monkeypatch.setattr(c, "SEGMENT", size)
+        got = []
+        for i, j, data, off in text_chunks(pa.array(texts), 50):
+            _, _, h, first = words_of(data, off)
+            got += [h[first[r] : first[r + 1]].tolist() for r in range(j - i)]
+        words = [re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)) for t in texts]
+        names = {}
+        for hs, ws in zip(got, words, strict=True):
+            assert len(hs) == len(ws)
+            for h, w in zip(hs, ws):
+                assert names.setdefault(w, h) == h
+        assert len(set(names.values())) == len(names)
+    assert len(shingles(np.array([1, 2, 1, 2], np.uint64), 3)) == 2
+
+
+def test_runs_are_not_split():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 4]
+    batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + 3]}) for i in range(0, 10, 3)]
+    got = [c["k"][s:e].tolist() for c, at in runs(iter(batches), ["k"]) for s, e in zip(at[:-1], at[1:])]
+    assert got == [[1, 1, 1], [2], [3] * 5, [4]]
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 160)]
+    e = spark.createDataFrame([*path, *star, (7, 7), (200, 201), (201, 200)], "a long, b long")
+    got = {r.node: r.component for r in components(e).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+    assert components(e.where(F.lit(False))).count() == 0
