@@ -173,12 +173,16 @@ def judged_pairs(judgments: DataFrame, queries: DataFrame, physicians: DataFrame
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """Adds is_train: the share of each stratum's keys with the smallest hashes. Rows of one key stay together."""
-    keys = df.select(key, *([stratum] if stratum else [])).distinct()
-    by = Window.partitionBy(*([stratum] if stratum else [F.lit(0)])).orderBy(F.xxhash64(F.lit(seed), key), key)
-    size = F.count("*").over(Window.partitionBy(*([stratum] if stratum else [F.lit(0)])))
-    keys = keys.withColumn("is_train", F.row_number().over(by) <= F.ceil(size * share))
-    return df.join(keys, [key, *([stratum] if stratum else [])])
+    """Adds is_train: the share of each stratum's keys with the smallest hashes. Rows of one key stay together.
+
+    Keys are ordered by ranges over all tasks (index_of), and a stratum's first position is taken off.
+    """
+    group = F.col(stratum) if stratum else F.lit(0)
+    ordered = index_of(df.select(F.struct(group.alias("s"), F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("key")).alias("k")), "k")
+    ordered = ordered.select("k.s", "k.key", "idx")
+    sizes = ordered.groupBy("s").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+    keys = ordered.join(sizes, "s").select(F.col("key").alias(key), F.col("s"), (F.col("idx") - F.col("first") < F.ceil(F.col("n") * share)).alias("is_train"))
+    return df.join(keys.withColumnRenamed("s", stratum), [key, stratum]) if stratum else df.join(keys.drop("s"), key)
 
 
 def seen_filter(candidates: DataFrame, interactions: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .analytics import als_cold_items, index_of, seen_filter, top
+from .analytics import als_cold_items, index_of, top
 
 # A stored pair without weight still states a preference, at the least confidence: a rating of 0 would be dropped.
 ZERO_WEIGHT = 1e-9
@@ -17,6 +20,33 @@ ITERATIONS = (1, 3, 5, 10, 15, 20, 25, 30)
 SIZES = (32, 64, 128, 256)
 
 
+TILE_USERS, BLOCK_ITEMS = 256, 2048
+
+
+def _packed(df: DataFrame, key: str, size: int, name: str, *columns: str) -> DataFrame:
+    """Rows of about size rows each of df, dealt by a hash of key."""
+    n = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("part")).agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
+
+
+def _partial_top(k: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            for users, items in zip(df["u"], df["i"]):
+                ids = [i["doc_id"] for i in items]
+                at = {d: n for n, d in enumerate(ids)}
+                s = np.stack([np.asarray(u["f"], float) for u in users]) @ np.stack([np.asarray(i["f"], float) for i in items]).T
+                rows = []
+                for u, own in zip(users, s):
+                    left = np.array([at[d] for d in (u["seen"] if u["seen"] is not None else ()) if d in at], int)
+                    own[left] = -np.inf
+                    least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                    rows += [(u["physician_id"], ids[j], float(own[j])) for j in np.flatnonzero(own >= least) if own[j] > -np.inf]
+                yield pd.DataFrame(rows, columns=["physician_id", "doc_id", "score"])
+
+    return run
+
+
 @dataclass
 class Factors:
     """users (physician_id, factors), items (doc_id, factors) and the documents below the cold-start threshold."""
@@ -46,15 +76,18 @@ class Factors:
     def recommend(self, users: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
         """(physician_id, rank, doc_id, score) by raw factors, cold documents included; unknown physicians get no row.
 
-        seen: interactions whose pairs are left out. Scores run over blocks of factors: items are packed in arrays, so
-        a block of users meets a block of items, not a row each row.
+        seen: interactions whose pairs are left out. Tiles of users meet blocks of items as matrix products, each with a
+        partial top k; k rows for each user and block are shuffled, never a row for each pair.
         """
-        u = users.select("physician_id").distinct().join(self.users, "physician_id").select("physician_id", F.col("factors").alias("u"))
-        blocks = self.items.select(F.spark_partition_id().alias("b"), F.floor(F.monotonically_increasing_id() / 1024).alias("c"), F.struct("doc_id", F.col("factors").alias("f")).alias("i")).groupBy("b", "c").agg(F.collect_list("i").alias("items"))
-        s = u.crossJoin(blocks).select("physician_id", F.explode(F.transform("items", lambda i: F.struct(i["doc_id"].alias("doc_id"), S.dot(i["f"], F.col("u")).alias("score")))).alias("x"))
-        s = s.select("physician_id", "x.doc_id", "x.score")
-        if seen is not None:
-            s = seen_filter(s, seen)
+        u = users.select("physician_id").distinct().join(self.users, "physician_id").select("physician_id", F.col("factors").alias("f"))
+        if seen is None:
+            u = u.withColumn("seen", F.lit(None).cast(f"array<{self.items.schema['doc_id'].dataType.simpleString()}>"))
+        else:
+            u = u.join(seen.groupBy("physician_id").agg(F.collect_set("doc_id").alias("seen")), "physician_id", "left")
+        tiles = _packed(u, "physician_id", TILE_USERS, "u", "physician_id", "f", "seen")
+        blocks = _packed(self.items.select("doc_id", F.col("factors").alias("f")), "doc_id", BLOCK_ITEMS, "i", "doc_id", "f")
+        shape = self.users.select("physician_id").schema.add(self.items.schema["doc_id"]).add("score", "double")
+        s = tiles.crossJoin(blocks).mapInPandas(_partial_top(k), shape)
         return top(s, ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).select("physician_id", "rank", "doc_id", "score")
 
     def reconstruction(self, matrix: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..operators.analytics import index_of
 from .bridge import ICD_CODES
 from .tables import DOC_TYPES, Tables, first_wins
 
@@ -144,7 +145,7 @@ def interactions(spark: SparkSession, docs: DataFrame, n_docs: int, people: Data
     tail = 1 - ZIPF
     rank = F.floor(F.pow(1 - uniform(seed, "zipf", i) * (1 - float(max(n_docs, 1) + 1) ** tail), F.lit(1 / tail))).cast("int")
     base = base.withColumn("rank", F.least(rank, F.lit(n_docs)))
-    popular = at.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))).select("rank", "doc_id")
+    popular = index_of(at.select(F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id").alias("k")), "k").select((F.col("idx") + 1).alias("rank"), "k.doc_id")
     drawn = base.where("own").join(in_spec.select("specialty", "pos", "doc_id"), ["specialty", "pos"]).select("interaction_id", "physician_id", "doc_id")
     drawn = drawn.union(base.where("not own").join(popular, "rank").select("interaction_id", "physician_id", "doc_id"))
     u, kind, upto = uniform(seed, "kind", i), F, 0.0
@@ -174,7 +175,7 @@ def linked(rows: DataFrame, n_queries: int, share: float = LINKED, seed: int = 4
 def judgments(queries: DataFrame, docs: DataFrame, n_docs: int, per_query: int = JUDGED, seed: int = 42, noise: bool = True) -> DataFrame:
     """Grades of documents drawn for each query: whitespace-token overlap, a chance bonus and noise."""
     per_query = min(per_query, n_docs)
-    at = docs.select("doc_id", "body_text").withColumn("pos", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    at = docs.select("doc_id", "body_text").join(index_of(docs, "doc_id").withColumnRenamed("idx", "pos"), "doc_id")
     start = F.floor(uniform(seed, "jstart", F.col("query_id")) * n_docs)
     # a stride coprime to the number of documents draws different ones
     stride = next(s for s in range(max(1, int(n_docs * 0.382)), n_docs + 2) if np.gcd(s, n_docs) == 1) if n_docs > 1 else 1

@@ -310,3 +310,35 @@ def test_noise_free_grades(spark):
 def test_interactions_cover_all_rows(spark):
     t = dataset(spark, Config(50, 5, 5, 10))
     assert interactions(spark, t.documents, 50, t.physicians, 5, 500).count() == 500
+
+
+def test_recommendations(spark):
+    from sparkwell.operators.collaborative import Factors
+
+    rng = np.random.default_rng(0)
+    u, v = rng.normal(size=(7, 4)), rng.normal(size=(30, 4))
+    users = spark.createDataFrame([(f"p{i}", u[i].tolist()) for i in range(7)], "physician_id string, factors array<float>")
+    items = spark.createDataFrame([(i, v[i].tolist()) for i in range(30)], "doc_id long, factors array<float>")
+    f = Factors(users, items, spark.createDataFrame([(3, 1)], "doc_id long, n long"), 4)
+    seen = spark.createDataFrame([("p0", int(np.argmax(v @ u[0]))), ("p1", 99)], "physician_id string, doc_id long")
+    ask = spark.createDataFrame([("p0",), ("p1",), ("none",)], "physician_id string")
+    got = f.recommend(ask, 5, seen).orderBy("physician_id", "rank").collect()
+    want = [int(i) for i in np.argsort(-(v.astype(np.float32).astype(float) @ u[0].astype(np.float32).astype(float)))[1:6]]
+    assert [r.doc_id for r in got if r.physician_id == "p0"] == want and len(got) == 10
+    assert len(f.recommend(ask, 40).collect()) == 60
+    z = {r.doc_id: r.factors for r in f.item_factors(spark.createDataFrame([(3,), (4,), (77,)], "doc_id long")).collect()}
+    assert z[3] == z[77] == [0.0] * 4 and z[4] != z[3]
+    assert f.user_factors(ask).where("physician_id = 'none'").first().factors == [0.0] * 4
+    c = spark.createDataFrame([(3, [1.0]), (4, [2.0])], "doc_id long, features array<double>")
+    assert {r.doc_id: len(r.features) for r in f.augmented(c).collect()} == {3: 5, 4: 5}
+
+
+def test_als_prefers_the_own_block(spark):
+    from sparkwell.operators.collaborative import fit_als
+
+    rows = [(f"p{i}", f"d{j}", int((i < 5) == (j < 5)) * 3) for i in range(10) for j in range(10) if (i < 5) == (j < 5) and (i + j) % 4]
+    m = spark.createDataFrame(rows, "physician_id string, doc_id string, weighted_score long").withColumn("confidence", 1 + 40 * F.col("weighted_score"))
+    f = fit_als(m, 2, 10)
+    got = f.recommend(spark.createDataFrame([("p0",)], "physician_id string"), 5).collect()
+    assert {r.doc_id for r in got} == {f"d{j}" for j in range(5)}
+    assert f.reconstruction(m).first().reconstruction_loss > 0
