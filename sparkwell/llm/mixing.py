@@ -14,8 +14,9 @@ not shuffled.
 Without a budget, it is the smallest one that repeats every source at least once: no document is lost.
 
 Defined results: a null source is a source of its own; a null or blank text counts one token (its end); repeated rows
-are drawn together, each counted; a null doc_id hashes like any value; clashing extra columns are kept unless named
-epoch, weight, n_tokens, block or block_key, which are replaced; an empty table gives no row.
+are drawn together, each counted; a null doc_id hashes like any value; extra columns are kept, but those named epoch,
+weight, n_tokens, block or block_key are replaced and names that begin with two underscores are reserved; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def mixture(spark: SparkSession, docs: DataFrame, budget: int | None = None, ent
     Order by (epoch, block_key) to read the blocks as permuted.
     """
     slim = stored(docs.select(F.col(id_col).alias("id"), _key(source).alias("key"), token_count(text).alias("n")), "slim")
-    totals = stored(slim.groupBy("key").agg(F.sum("n").alias("tokens")), "totals")
+    size = slim.count()  # no table of sources is larger
+    totals = stored(slim.groupBy("key").agg(F.sum("n").alias("tokens")), "totals", size)
     a, z, budget = bisect_exponent(totals, budget, entropy, most_repeats)
     total = totals.agg(F.sum("tokens")).first()[0] or 1
     weight = F.pow(F.col("tokens") / F.lit(total), F.lit(a)) / F.lit(z)
@@ -92,7 +94,7 @@ def mixture(spark: SparkSession, docs: DataFrame, budget: int | None = None, ent
     quota = F.floor(F.lit(float(budget)) * weight * F.lit(1 + 1e-9)).cast("long")
     plan = totals.select("key", "tokens", weight.alias("weight"), quota.alias("quota"))
     plan = plan.select("key", "weight", F.expr("quota div tokens").alias("full"), (F.col("quota") % F.col("tokens")).alias("rest"))
-    plan = stored(plan, "plan")
+    plan = stored(plan, "plan", size)
 
     def doc_key(epoch: Column, i: str) -> Column:
         return F.xxhash64(F.lit(seed), epoch, F.col(i).cast("string"))
@@ -109,19 +111,21 @@ def mixture(spark: SparkSession, docs: DataFrame, budget: int | None = None, ent
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("bk", "block"))
     # the block that the budget cuts: the first whose running sum passes the rest
     cutting = sums.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select("key", F.col("bk").alias("cut"), "block", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
-    cutting = stored(cutting, "cutting")
+    cutting = stored(cutting, "cutting", size)
     inside = drawn.join(cutting, ["key", "block"]).withColumn("dk", doc_key(full, "id"))
     ends = F.sum("n").over(Window.partitionBy("key").orderBy("dk").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("upto", ends).where(F.col("upto") <= F.col("left")).groupBy("key").agg(F.max("dk").alias("last"))
     rules = plan.join(cutting.select("key", "cut"), "key", "left").join(last, "key", "left")
-    rules = stored(rules, "rules")
+    rules = rules.select("weight", *(F.col(c).alias(f"__{c}") for c in ("key", "full", "rest", "cut", "last")))
+    rules = stored(rules, "rules", size)
 
     keep = [c for c in docs.columns if c not in OWN]
     d = docs.select(*keep, token_count(text).alias("n_tokens"), _key(source).alias("__key"))
-    d = d.join(rules.withColumnRenamed("key", "__key"), "__key")
+    d = d.join(rules, "__key")
+    full = F.col("__full")
     b = block(full, id_col)
     k = block_key(full, b, F.col("__key"))
-    more = (F.col("rest") > 0) & ((k < F.col("cut")) | ((k == F.col("cut")) & (doc_key(full, id_col) <= F.col("last"))))
+    more = (F.col("__rest") > 0) & ((k < F.col("__cut")) | ((k == F.col("__cut")) & (doc_key(full, id_col) <= F.col("__last"))))
     copies = full + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
     d = d.withColumn("__copies", copies).where("__copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     d = d.withColumn("block", block(F.col("epoch"), id_col))

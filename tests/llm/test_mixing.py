@@ -65,5 +65,13 @@ def test_entropy_and_budget(spark):
     assert sorted((r.doc_id, r.epoch) for r in again) == sorted((r.doc_id, r.epoch) for r in got)
 
 
+def test_clashing_columns(spark):
+    data = [(i, "a b", "s" if i % 3 else "t", "e", "r", 7) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, full string, rest string, weight int")
+    out, _ = mixture(spark, df, most_repeats=1.5)
+    assert out.columns == ["doc_id", "text", "source", "full", "rest", "n_tokens", "epoch", "weight", "block", "block_key"]
+    assert {(r.full, r.rest) for r in out.collect()} == {("e", "r")} and {r.doc_id for r in out.collect()} == set(range(30))
+
+
 def test_empty(spark):
     assert mixture(spark, spark.createDataFrame([], SCHEMA))[0].count() == 0

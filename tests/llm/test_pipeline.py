@@ -85,6 +85,18 @@ def test_stages(spark, tmp_path):
     assert got == want and all(fill[s] == 2048 for s in range(len(fill) - 1))
 
 
+def test_extra_columns_come_back(spark, sf):
+    extra = ("lang_pred", "score", "kept", "quality", "evidence", "epoch", "block", "full", "last", "own score", "component_id", "rep")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    wide = docs.select("*", *(docs.doc_id.cast("string").alias(c) for c in extra))
+    wide = stored(wide, "wide")
+    for _, f in cp.STAGES[:4]:
+        wide = stored(f(spark, wide, sf), "wide")
+        assert wide.columns == [*COLUMNS, *extra]
+        rows = wide.collect()
+        assert rows and all(r[c] == str(r.doc_id) for r in rows for c in extra)
+
+
 def test_run_returns_the_last_stage(spark, sf):
     assert cp.run(spark, sf).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
 
