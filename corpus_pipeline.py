@@ -12,24 +12,32 @@ from pyspark.sql import functions as F
 
 from sparkwell.llm import language_id, quality
 from sparkwell.llm.common import stored
-from sparkwell.llm.mixing import mixture
+from sparkwell.llm.mixing import OWN, mixture
 from sparkwell.llm.ngram_join import ngram_jaccard_join
 from sparkwell.llm.packing import pack
 
 
+def _beside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """docs with columns named like an operator's results renamed, and the columns that give the old names back."""
+    names = {c: f"__own_{c}" for c in docs.columns if c in results}
+    return docs.withColumnsRenamed(names), [F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns]
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those that are ``und`` (no text, no letter) go."""
+    docs, old = _beside(docs, ("lang_pred", "score"))
     model = language_id.learn(spark, docs, F.lit(True))
     found = language_id.identify(spark, docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*old)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, by text, source and language within the source."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, old = _beside(docs, quality.OWN)
     site = ("source", "lang")
     model = quality.learn(spark, docs, labels, *site)
-    return quality.classify(spark, docs, model, *site, docs.columns).where("kept").select(*docs.columns)
+    return quality.classify(spark, docs, model, *site, docs.columns).where("kept").select(*old)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +56,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; smaller sources are repeated, the smallest at most twice."""
+    docs, old = _beside(docs, OWN)
     drawn, _ = mixture(spark, docs, most_repeats=2.0)
-    return drawn.select(*docs.columns)
+    return drawn.select(*old)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
