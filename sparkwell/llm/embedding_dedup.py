@@ -177,13 +177,14 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93,
     """(vec_id, n_links, component_id, kept) of every row; links are pairs of one label with cosine >= threshold."""
     bounded_batches(spark)
     units = stored(unit_vectors(vectors, id_col, vector, label), "units")
-    classes = stored(units.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "classes")
+    size = units.count()
+    classes = stored(units.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "classes", size)
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     width, bands = bands_for(largest, threshold)
     reps = units.join(classes.withColumnRenamed("rep", "vec_id"), ["label", "dim", "fp", "vec_id"]).dropDuplicates(["label", "dim", "fp", "vec_id"]).select("label", "dim", F.col("vec_id").alias("rep"), "copies", "v")
     banded = _banded(reps, width, bands)
     hot = banded.groupBy("label", "dim", "band", "key").count().where(F.col("count") > HOT_BUCKET).select("label", "dim", "band", "key", F.ceil(F.col("count") / HOT_BUCKET).cast("int").alias("parts"))
-    hot = stored(hot, "hot")
+    hot = stored(hot, "hot", size * bands // HOT_BUCKET)
     b = banded.join(hot, ["label", "dim", "band", "key"], "left")
     b = b.withColumn("b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
     b = b.withColumn("x", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
@@ -192,7 +193,7 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93,
     nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.join(links, "rep", "left").join(nodes, "rep", "left")
-    per_class = stored(per_class.select("label", "dim", "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "per_class")
+    per_class = stored(per_class.select("label", "dim", "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "per_class", size)
     known = units.select("vec_id", "label", "dim", "fp").join(per_class, ["label", "dim", "fp"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(known, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

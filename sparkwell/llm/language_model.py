@@ -11,9 +11,8 @@ for one unknown word. So all outcomes sum to one.
 
 The gated recurrent unit is trained in numpy by truncated backpropagation: segments of learned documents go through two
 windows each, the second with the state, but not the gradient, of the first. Each round every partition trains a copy on
-its own segments, and a tree of sums averages the copies, weighted by tokens. Each learned document takes part in every
-part of its text over the rounds' strides, so the work grows with the corpus. The first parameters already give the
-classes' unigram model.
+its own segments, and a tree of sums averages the copies, weighted by tokens. The rounds together train on every token of
+the learned documents. The first parameters already give the classes' unigram model.
 
 Scoring carries the state across windows from a document's first token to its end, so long texts are scored whole.
 
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +43,6 @@ WINDOW = 32
 SEGMENT_TOKENS = 2 * WINDOW
 BATCH = 384
 ROUNDS = 2
-#: Of each document's segments, every STRIDE-th (at another offset for each document and round) is trained on.
-STRIDE = 6
 RATES = (0.02, 0.006)
 FAN_IN = 16
 END_HASH = 0
@@ -359,27 +357,29 @@ def _dump(p: Params) -> bytes:
     return pickle.dumps({k: x.astype(np.float32) for k, x in p.items()})
 
 
-def train_round(docs: DataFrame, text: str, held, params: Params, turn: int) -> Params:
-    """Each partition trains a copy of params on its segments; the copies' average, weighted by tokens."""
+def train_round(encoded: DataFrame, params: Params, turn: int) -> Params:
+    """Each partition trains a copy of params on its segments; the copies' average, weighted by tokens.
+
+    encoded: (ids) of the learned documents. Of each document's segments every ROUNDS-th is this round's, beginning at
+    another one for each document, so that the rounds together train on every token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number, done, waiting = TaskContext.get().partitionId(), 0, 0, []
-        v: Vocabulary = held.value
         adam = Adam({k: x.copy() for k, x in params.items()}, RATES[min(turn, len(RATES) - 1)])
         for b in batches:
-            for i, j, h, tail, first in tokens(b.column(0)):
-                ids, _, _ = v.inputs(h, tail)
-                for r in range(j - i):
-                    doc = np.append(ids[first[r] : first[r + 1]], np.int16(0))
-                    number += 1
-                    phase = (number + turn * (STRIDE // ROUNDS)) % STRIDE
-                    for s in range(phase * SEGMENT_TOKENS, len(doc), STRIDE * SEGMENT_TOKENS):
-                        waiting.append(doc[s : s + SEGMENT_TOKENS])
-                while len(waiting) >= BATCH:
-                    done += train_batch(adam, waiting[:BATCH])
-                    del waiting[:BATCH]
+            for ids in b.column(0):
+                doc = np.frombuffer(ids.as_py(), np.int16)
+                number += 1
+                for s in range((number + turn) % ROUNDS * SEGMENT_TOKENS, len(doc), ROUNDS * SEGMENT_TOKENS):
+                    waiting.append(doc[s : s + SEGMENT_TOKENS])
+                if len(waiting) >= BATCH:
+                    cut = len(waiting) // BATCH * BATCH
+                    for w in range(0, cut, BATCH):
+                        done += train_batch(adam, waiting[w : w + BATCH])
+                    del waiting[:cut]
         if waiting:
             done += train_batch(adam, waiting)
         if done:
@@ -393,7 +393,7 @@ def train_round(docs: DataFrame, text: str, held, params: Params, turn: int) ->
         return pa.table({"part": pa.array([t["part"][0].as_py() // FAN_IN], pa.int64()), "weight": pa.array([float(sum(t["weight"].to_pylist()))]), "params": pa.array([_dump(out)], pa.binary())})
 
     shape = "part long, weight double, params binary"
-    level, parts = docs.select(text).mapInArrow(run, shape), max(1, docs.rdd.getNumPartitions())
+    level, parts = encoded.mapInArrow(run, shape), max(1, encoded.rdd.getNumPartitions())
     while parts > 1:
         level = level.groupBy((F.col("part") / FAN_IN).cast("long").alias("up")).applyInArrow(merge, shape)
         parts = -(-parts // FAN_IN)
@@ -403,80 +403,81 @@ def train_round(docs: DataFrame, text: str, held, params: Params, turn: int) ->
     return {k: (x / rows[0]["weight"]).astype(np.float32) for k, x in pickle.loads(rows[0]["params"]).items()}
 
 
-def score_documents(docs: DataFrame, held, params: Params, id_col: str, text: str) -> DataFrame:
-    """A row per document with all terms but the counts of words outside the dictionary, whose hashes it lists."""
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"]
+def encode_documents(docs: DataFrame, held, out: Column, id_col: str, text: str) -> DataFrame:
+    """A row per document: input ids (int16, the end included), known terms of both scores, and the hashes of words outside the dictionary."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "rare", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, v, sent = TaskContext.get().partitionId() << 40, held.value, 0
+        row, v = TaskContext.get().partitionId() << 40, held.value
         tail_log = np.log10(v.tail_z)
-        end = v.find(np.array([END_HASH]))
-        end_log = float(v.log_counts[end[0][0]]) if end[1][0] else 0.0
-        ids: list = []
-        docs_: list[np.ndarray] = []
-        base: list[float] = []
-        extra: list[float] = []
-        known: list[int] = []
-        rare: list[np.ndarray] = []
+        end_at, end_known = v.find(np.array([END_HASH]))
+        end_log = float(v.log_counts[end_at[0]]) if end_known[0] else 0.0
+        for b in batches:
+            for i, j, h, tail, first in tokens(b.column(2)):
+                inp, at, here = v.inputs(h, tail)
+                logs = np.where(here, v.log_counts[at] if len(v.words) else 0.0, 0.0)
+                inside = np.where(inp >= HEAD, logs - tail_log[tail], 0.0)  # (count + 1) / z; the count of a rare word comes later
+                n = np.diff(first)
+                upto = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+                part = lambda x: upto(x)[first[1:]] - upto(x)[first[:-1]]
+                spots = np.insert(inp, first[1:], 0)  # the end is input 0
+                ends = np.append(0, np.cumsum(2 * (n + 1))).astype(np.int64)
+                missing = np.flatnonzero(~here)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + j - i)), b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n + 1), pa.array(np.rint(part(here)).astype(np.int64) + int(end_known[0])), pa.array(part(logs) + end_log - (n + 1) * v.unit), pa.array(part(inside)),
+                     pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, first), pa.int32()), pa.array(h[missing])),
+                     pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(spots.astype(np.int16).tobytes())]).cast(pa.binary())], names)
+                row += j - i
+
+    return docs.select(F.col(id_col).cast("long"), out, text).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, rare array<long>, ids binary")
+
+
+def score_documents(encoded: DataFrame, params: Params) -> DataFrame:
+    """encoded without ids, with score: the log10 probability but for the counts of words outside the dictionary."""
+    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal sent
-            score = document_scores(params, docs_) / math.log(10) + np.array(extra)
-            ends = np.cumsum([0, *map(len, rare)])
-            n = len(docs_)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row + sent, row + sent + n)), pa.array(ids, pa.int64()), pa.array([len(d) for d in docs_], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare)))], names)
-            sent += n
-            for x in (ids, docs_, base, extra, known, rare):
-                x.clear()
-            return out
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            score = document_scores(params, [np.frombuffer(x.as_py(), np.int16) for x in rows.column(len(own))]) / math.log(10)
+            return pa.RecordBatch.from_arrays([*rows.columns[: len(own)], pa.array(score + rows.column(len(own) - 1).to_numpy())], [*own, "score"])
 
         size = 0
         for b in batches:
-            keys = b.column(0).to_pylist()
-            for i, j, h, tail, first in tokens(b.column(1)):
-                inp, at, here = v.inputs(h, tail)
-                logs = np.where(here, v.log_counts[at] if len(v.words) else 0.0, 0.0)
-                inside = np.where(inp >= HEAD, logs - tail_log[tail], 0.0)  # (count + 1) / z; the count of a rare word comes later
-                for r in range(j - i):
-                    o = slice(first[r], first[r + 1])
-                    n = first[r + 1] - first[r] + 1
-                    ids.append(keys[i + r])
-                    docs_.append(np.append(inp[o], np.int16(0)))
-                    base.append(float(logs[o].sum()) + end_log - n * v.unit)
-                    extra.append(float(inside[o].sum()))
-                    known.append(int(here[o].sum()) + int(end[1][0]))
-                    rare.append(h[o][~here[o]])
-                    size += n
-                if size >= SCORE_TOKENS:
-                    yield flush()
-                    size = 0
-        if docs_:
+            if b.num_rows:
+                held.append(b)
+                size += pa.compute.sum(b.column(3)).as_py()
+            if size >= SCORE_TOKENS:
+                yield flush()
+                size = 0
+        if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>")
+    return encoded.select(*own, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, score double")
 
 
 def lm_scores(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; log10 scores.
 
-    held_out: a condition on doc_id alone; documents where it holds are not learned from.
+    Documents where held_out holds are not learned from.
     """
     bounded_batches(spark)
     out = F.coalesce(held_out, F.lit(False))
-    learned = docs.where(~out).select(text)
-    counts = stored(count_words(learned, text), "counts")
+    counts = stored(count_words(docs.where(~out).select(text), text), "counts")
     v = vocabulary(counts)
     held = spark.sparkContext.broadcast(v)
+    encoded = stored(encode_documents(docs, held, out, id_col, text), "encoded")
     params = initial(v)
     for turn in range(ROUNDS):
-        params = train_round(learned, text, held, params, turn)
-    rows = stored(score_documents(docs, held, params, id_col, text), "scores")
-    rare = rows.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
+        params = train_round(encoded.where("not held_out").select("ids"), params, turn)
+    rows = stored(score_documents(encoded, params), "scores")
+    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
     more = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
-    r = rows.drop("rare").join(more, "row", "left")
+    r = rows.join(more, "row", "left")
     more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return r.select("doc_id", out.alias("held_out"), "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return r.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))

@@ -167,7 +167,7 @@ def with_originals(records: DataFrame) -> DataFrame:
     r = records.drop("html")
     targets = r.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
     originals = r.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"))
-    return r.join(stored(originals, "originals"), "refers_to_id", "left")
+    return r.join(stored(originals, "originals", records.count()), "refers_to_id", "left")
 
 
 def write_and_read(spark: SparkSession, pages: DataFrame, min_payload: int = 0) -> DataFrame:
