@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a small table that is read several times. Lost parts are computed again from the inputs, which is cheap for these."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice plans that are no longer used: executors keep a plan's shuffle files until it has."""
     gc.collect()
@@ -219,14 +225,14 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[di
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for the nodes of edges (a long, b long).
+    """(node, component): the smallest node reachable, for the nodes of edges (a long, b long), a stored table.
 
     Alternating large-star and small-star rounds. Each round's edges and minima are written to the shared
     folder, so a lost executor repeats one round at most and a hub's join can be split by the optimizer.
     Nodes without an edge (or only with themselves) are not returned.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = stored(e, "cc")
+    e = stored(e, "cc", edges.count())
     seen = _digest(e)
     rows = 2 * seen[0]
     for _ in range(most_rounds):

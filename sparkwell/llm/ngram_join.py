@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, drop_stored, runs, shingles, stored, text_chunks, words_of
 
-BUCKET_BITS = 22
+BUCKET_BITS = 24
 CHUNK_BITS = 16
 FAN_IN = 32
 HOT_LIST = 1024
@@ -52,22 +52,26 @@ def _sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _packed(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts of a chunk: one byte each where most are there, else positions and bytes; larger counts follow as pairs."""
+    """Counts of a chunk: a byte each where most are there, else positions (as gaps where these fit a byte) and bytes; larger counts as pairs."""
     low = np.minimum(x, 255).astype(np.uint8)
     big = np.flatnonzero(low == 255)
     more = b"".join((len(big).to_bytes(4, "little"), big.astype(np.uint16).tobytes(), x[big].astype(np.uint32).tobytes()))
     at = np.flatnonzero(low)
-    if 3 * len(at) >= len(x):
+    gaps = np.diff(at, prepend=0)
+    narrow = len(at) and gaps.max() < 256
+    if (2 if narrow else 3) * len(at) >= len(x):
         return b"", more + low.tobytes()
-    return at.astype(np.uint16).tobytes(), more + low[at].tobytes()
+    return (b"g" + gaps.astype(np.uint8).tobytes() if narrow else b"p" + at.astype(np.uint16).tobytes()), more + low[at].tobytes()
 
 
 def _unpacked(at: bytes, n: bytes) -> np.ndarray:
     k = int.from_bytes(n[:4], "little")
     big, counts, low = np.frombuffer(n, np.uint16, k, 4), np.frombuffer(n, np.uint32, k, 4 + 2 * k), np.frombuffer(n, np.uint8, -1, 4 + 6 * k)
     x = np.zeros(1 << CHUNK_BITS, np.uint64)
-    if len(at) or not len(low):
-        x[np.frombuffer(at, np.uint16)] = low
+    if at[:1] == b"g":
+        x[np.cumsum(np.frombuffer(at, np.uint8, -1, 1), dtype=np.int64)] = low
+    elif at:
+        x[np.frombuffer(at, np.uint16, -1, 1)] = low
     else:
         x[:] = low
     x[big] = counts
@@ -84,14 +88,14 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        total = np.zeros(1 << BUCKET_BITS, np.uint16)
         mask = np.uint64((1 << BUCKET_BITS) - 1)
         pending, n = [], 0
 
         def flush() -> None:
             if pending:
                 at, c = np.unique((np.concatenate(pending) & mask).astype(np.uint32), return_counts=True)
-                total[at] += c.astype(np.uint32)
+                total[at] = np.minimum(total[at] + c, 65535)
                 pending.clear()
 
         for b in batches:
@@ -284,9 +288,9 @@ def texts_of(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(keep, "id long, t string")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, overlap, n_a, n_b) of the pairs that link, from the whole texts."""
-    pairs = stored(pairs, "pairs")
+def verified(pairs: DataFrame, rows: int, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """(a, b, overlap, n_a, n_b) of the pairs that link, from the whole texts. rows: about how many pairs there can be."""
+    pairs = stored(pairs, "pairs", rows)
     t = stored(texts_of(pairs, docs, id_col, text), "texts")
     p = pairs.join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
 
@@ -328,11 +332,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     heads = stored(sets.drop("prefix", "light"), "heads")
     drop_stored(sets)
     star = lists.where("star").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = verified(star, docs, id_col, text, k, percent)
+    size = lists.count()
+    first = verified(star, size, docs, id_col, text, k, percent)
     family = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("family"))
     family = stored(family.withColumn("family", F.least("rep", "family")), "family", first.count())
     rest = lists.drop("star").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    second = verified(cross_pairs(rest.select("token", "cell", "rep", "place", "leader", "family"), percent), docs, id_col, text, k, percent)
+    second = verified(cross_pairs(rest.select("token", "cell", "rep", "place", "leader", "family"), percent), size, docs, id_col, text, k, percent)
     drop_stored(lists)
     links = first.union(second)
     nodes = components(links.select("a", "b"))
