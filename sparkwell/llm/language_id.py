@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, stored
+from .common import bounded_batches, kept, mix
 
 CELL_BITS = 20
 HASHES = 2
@@ -149,7 +149,7 @@ def learn(spark: SparkSession, docs: DataFrame, learned: Column, text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([-1], pa.int64()), pa.array([docs_of[name]], pa.int64())], ["lang", "w", "n"])
 
     counts = d.mapInArrow(count, "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "windows")
+    counts = kept(counts)
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("w") < 0, F.col("n"))).alias("docs"), F.sum(F.when(F.col("w") >= 0, F.col("n"))).alias("windows"))
     rows = sorted(totals.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
     if len(rows) > MOST_LANGUAGES:
@@ -173,6 +173,7 @@ def learn(spark: SparkSession, docs: DataFrame, learned: Column, text: str = "te
 
         for r in member.mapInArrow(put, "word int, cell long, mask long").groupBy("word", "cell").agg(F.expr("bit_or(mask)").alias("mask")).toLocalIterator():
             filters[r["word"], r["cell"]] = np.int64(r["mask"]).view(np.uint64)  # at most words * 2**CELL_BITS rows
+    counts.unpersist()
     return LanguageModel(languages, [r["docs"] / every for r in rows], filters)
 
 

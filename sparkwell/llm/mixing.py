@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import kept, stored
 
 BLOCKS = 1024
 STEPS = 32
@@ -84,17 +84,17 @@ def mixture(spark: SparkSession, docs: DataFrame, budget: int | None = None, ent
 
     Order by (epoch, block_key) to read the blocks as permuted.
     """
-    slim = stored(docs.select(F.col(id_col).alias("id"), _key(source).alias("key"), token_count(text).alias("n")), "slim")
-    size = slim.count()  # no table of sources is larger
-    totals = stored(slim.groupBy("key").agg(F.sum("n").alias("tokens")), "totals", size)
+    slim = kept(docs.select(F.col(id_col).alias("id"), _key(source).alias("key"), token_count(text).alias("n")))
+    totals = kept(slim.groupBy("key").agg(F.sum("n").alias("tokens")))
     a, z, budget = bisect_exponent(totals, budget, entropy, most_repeats)
     total = totals.agg(F.sum("tokens")).first()[0] or 1
     weight = F.pow(F.col("tokens") / F.lit(total), F.lit(a)) / F.lit(z)
     # the nudge keeps a quota that is a whole number of tokens from falling below it by rounding
     quota = F.floor(F.lit(float(budget)) * weight * F.lit(1 + 1e-9)).cast("long")
+    sources = totals.count()
     plan = totals.select("key", "tokens", weight.alias("weight"), quota.alias("quota"))
     plan = plan.select("key", "weight", F.expr("quota div tokens").alias("full"), (F.col("quota") % F.col("tokens")).alias("rest"))
-    plan = stored(plan, "plan", size)
+    plan = stored(plan, "plan", sources)
 
     def doc_key(epoch: Column, i: str) -> Column:
         return F.xxhash64(F.lit(seed), epoch, F.col(i).cast("string"))
@@ -111,13 +111,15 @@ def mixture(spark: SparkSession, docs: DataFrame, budget: int | None = None, ent
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("bk", "block"))
     # the block that the budget cuts: the first whose running sum passes the rest
     cutting = sums.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select("key", F.col("bk").alias("cut"), "block", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
-    cutting = stored(cutting, "cutting", size)
+    cutting = stored(cutting, "cutting", sources)
     inside = drawn.join(cutting, ["key", "block"]).withColumn("dk", doc_key(full, "id"))
     ends = F.sum("n").over(Window.partitionBy("key").orderBy("dk").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("upto", ends).where(F.col("upto") <= F.col("left")).groupBy("key").agg(F.max("dk").alias("last"))
     rules = plan.join(cutting.select("key", "cut"), "key", "left").join(last, "key", "left")
     rules = rules.select("weight", *(F.col(c).alias(f"__{c}") for c in ("key", "full", "rest", "cut", "last")))
-    rules = stored(rules, "rules", size)
+    rules = stored(rules, "rules", sources)
+    slim.unpersist()
+    totals.unpersist()
 
     keep = [c for c in docs.columns if c not in OWN]
     d = docs.select(*keep, token_count(text).alias("n_tokens"), _key(source).alias("__key"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, stored, text_chunks
+from .common import bounded_batches, kept, stored, text_chunks
 
 LENGTH = 2048
 END_ID = 1
@@ -114,7 +114,7 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.max(F.col("part_offset") + F.col("doc_tokens")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long").alias("base"))  # a row for each partition
-    bases = stored(bases, "bases", 1)
+    bases = kept(bases)
     if bases.count() <= MOST_BROADCAST:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_offset")).alias("at"), "doc_tokens", "ids")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, text_chunks, words_of
+from .common import bounded_batches, kept, stored, text_chunks, words_of
 
 MOST_LABELLED = 20_000
 THRESHOLD = 0.5
@@ -145,7 +145,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(x[:, 11] > 0), pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64()))], ["id", "host", "path", "worded", "x"])
 
     slim = docs.select(F.col(id_col).cast("long"), _site(host), _site(path), text).mapInArrow(run, "id long, host string, path string, worded boolean, x array<double>")
-    slim = stored(slim, "features")
+    slim = kept(slim)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     labelled = slim.where("worded").join(known, "id").select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", "x", "y")
     # by a hash threshold, so that tasks send about MOST_LABELLED rows in all and not each
@@ -155,16 +155,19 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column
     c = fit(x, y)
     parts = [(F.col("x")[k] - float(c.mean[k])) / float(c.scale[k]) * float(c.weight[k]) for k in range(len(FEATURES))]
     p = 1 / (1 + F.exp(-sum(parts, F.lit(c.bias))))
-    paths = stored(slim.where("worded").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths", slim.count())
+    paths = kept(slim.where("worded").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     g = paths.agg(F.sum("s") / F.sum("n")).first()[0]
     mean = 0.5 if g is None else float(g)
     host_strength = _strength(hosts, F.lit(mean))
-    hosts = stored(hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior")), "hosts", paths.count())
+    hosts = hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior"))
     both = paths.join(hosts, "host")
     path_strength = _strength(both, F.col("host_posterior"))
     sites = both.select("host", "path", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
-    return QualityModel(c, mean, host_strength, path_strength, stored(sites, "sites", paths.count()))
+    sites = stored(sites, "sites", paths.count())
+    slim.unpersist()
+    paths.unpersist()
+    return QualityModel(c, mean, host_strength, path_strength, sites)
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: QualityModel, host: Column | str, path: Column | str, keep: list[str], text: str = "text") -> DataFrame:

@@ -4,13 +4,9 @@ from collections import Counter, defaultdict
 from itertools import combinations
 from pathlib import Path
 
-import pytest
-
-pytest.importorskip("corpus_pipeline")
-
-import corpus_pipeline as cp  # noqa: E402
-from sparkwell.llm.common import stored  # noqa: E402
-from sparkwell.llm.packing import default_tokenizer  # noqa: E402
+import corpus_pipeline as cp
+from sparkwell.llm.common import stored
+from sparkwell.llm.packing import default_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
