@@ -75,12 +75,13 @@ def matched_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
     p = hits.join(q.join(weights, "term"), "term")
+    part = lambda x, y: F.sum(F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), x, y))
     if grid is not None:
-        p = p.crossJoin(F.broadcast(grid))
-        part = F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))
-        return p.groupBy("k1", "b", "query_id", "doc_id").agg(F.sum(part).alias("score"))
-    part = F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), k1, b)
-    return p.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        pairs = [(r["k1"], r["b"]) for r in grid.collect()]  # a small parameter table; its pairs become columns of one aggregation
+        sums = p.groupBy("query_id", "doc_id").agg(*(part(x, y).alias(f"s{i}") for i, (x, y) in enumerate(pairs)))
+        each = F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"s{i}").alias("score")) for i, (x, y) in enumerate(pairs)))
+        return sums.select("query_id", "doc_id", F.explode(each).alias("e")).select("e.k1", "e.b", "query_id", "doc_id", "e.score")
+    return p.groupBy("query_id", "doc_id").agg(part(k1, b).alias("score"))
 
 
 def retrieve(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, padded: bool = False, digits: int = 6) -> DataFrame:
