@@ -17,6 +17,10 @@ from sparkwell.llm.ngram_join import ngram_jaccard_join
 from sparkwell.llm.packing import pack
 
 
+#: Ids of dropped documents are broadcast up to this number (32 MB); more are joined by shuffle.
+MOST_BROADCAST = 4_000_000
+
+
 def _beside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list]:
     """docs with columns named like an operator's results renamed, and the columns that give the old names back."""
     names = {c: f"__own_{c}" for c in docs.columns if c in results}
@@ -45,6 +49,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members, _ = ngram_jaccard_join(spark, docs, k=5, percent=80)
     members = stored(members.select("doc_id", "component_id"), "members")
     copies = members.where("doc_id <> component_id").select("doc_id").distinct()
+    if copies.count() <= MOST_BROADCAST:
+        copies = F.broadcast(copies)
     repeated = members.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = stored(repeated, "repeated")
     kept = docs.join(copies, "doc_id", "left_anti")
