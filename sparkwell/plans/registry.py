@@ -606,7 +606,7 @@ def _(spark, d):
 @query("o16_cell_search")
 def _(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    return E.cell_search(E.build_cells(v, 8), v.where("vec_id % 25 = 0"), probes=4)
+    return E.cell_search(E.build_cells(v, 8), v.where("vec_id % 25 = 0"), probes=6)
 
 
 @query("o16_hash_search")

@@ -16,6 +16,7 @@ from sparkwell.operators import retrieval as B
 from sparkwell.operators.contrastive import ContrastiveTrainer, nce
 from sparkwell.operators.lambdarank import Network, Trainer, group_lambdas
 from sparkwell.operators.linear import fit_logistic, fit_svm
+from sparkwell.plans import registry
 from sparkwell.sources import tables
 from sparkwell.sources.bridge import ICD_CODES
 from sparkwell.sources.datagen import Config, dataset, image_features, interactions, judgments, structured_metadata
@@ -272,6 +273,15 @@ def test_approximate_search_recall(spark, sf):
     assert every == exact and len(some & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("tables", ["sf0.001", "sf0.1"])
+def test_registered_cell_search_recall(spark, tables):
+    d = f"/root/testdata/{tables}"
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in E.flat_search(v, v.where("vec_id % 25 = 0")).collect()}
+    got = {(r.query_id, r.vec_id) for r in registry.queries()["o16_cell_search"](spark, d).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
 # ------------------------------------------------------------------ generated data
 
 
