@@ -218,6 +218,11 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     Queries are grouped in tiles of TILE_ROWS that are replicated to the vectors' partitions, where each tile is one
     matrix product with a partial top k; only k rows for each query and partition are shuffled.
     """
+    return _tiled(vectors, queries, k, id_col, vector, lambda held: _search(held, k, digits))
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, search) -> DataFrame:
+    """The k best of what search, made for each broadcast tile of queries, finds in the vectors' partitions."""
     spark = vectors.sparkSession
     tiles = max(1, -(-queries.count() // TILE_ROWS))
     found = None
@@ -226,7 +231,7 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         if not part:
             continue
         held = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), _unit(np.array([r[1] for r in part], float))))
-        one = vectors.select(F.col(id_col).cast("long"), vector).mapInPandas(_search(held, k, digits), "query_id long, vec_id long, score double")
+        one = vectors.select(F.col(id_col).cast("long"), vector).mapInPandas(search(held), "query_id long, vec_id long, score double")
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -238,22 +243,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, digits: int) -> pd.DataFrame:
+    """The k best of the unit vectors v for each of the unit queries q."""
+    s = np.round(q @ v.T, digits) + 0.0
+    s[qid[:, None] == ids[None]] = -np.inf  # not the query itself
+    row = np.repeat(np.arange(len(qid)), s.shape[1])
+    order = np.lexsort((np.tile(ids, len(qid)), -s.ravel(), row))
+    order = order.reshape(len(qid), -1)[:, :k].ravel()
+    ok = np.isfinite(s.ravel()[order])
+    order = order[ok]
+    return pd.DataFrame({"query_id": qid[row[order]], "vec_id": ids[order % s.shape[1]], "score": s.ravel()[order]})
+
+
+def _vector_tiles(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of at most TILE_ROWS rows."""
+    for df in parts:
+        df = df[df.iloc[:, 1].notna()]
+        for a in range(0, len(df), TILE_ROWS):
+            part = df.iloc[a : a + TILE_ROWS]
+            yield part.iloc[:, 0].to_numpy(), _unit(np.stack(part.iloc[:, 1].to_numpy()).astype(float))
+
+
 def _search(held, k: int, digits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = held.value
-        for df in parts:
-            df = df[df.iloc[:, 1].notna()]
-            for a in range(0, len(df), TILE_ROWS):
-                part = df.iloc[a : a + TILE_ROWS]
-                ids = part.iloc[:, 0].to_numpy()
-                s = np.round(q @ _unit(np.stack(part.iloc[:, 1].to_numpy()).astype(float)).T, digits) + 0.0
-                s[qid[:, None] == ids[None]] = -np.inf  # not the query itself
-                row = np.repeat(np.arange(len(qid)), s.shape[1])
-                order = np.lexsort((np.tile(ids, len(qid)), -s.ravel(), row))
-                order = order.reshape(len(qid), -1)[:, :k].ravel()
-                ok = np.isfinite(s.ravel()[order])
-                order = order[ok]
-                yield pd.DataFrame({"query_id": qid[row[order]], "vec_id": ids[order % s.shape[1]], "score": s.ravel()[order]})
+        for ids, v in _vector_tiles(parts):
+            yield _best(qid, q, ids, v, k, digits)
 
     return run
 
@@ -291,17 +306,32 @@ def cell_search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 4,
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def hash_search(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 4, width: float = 1.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate nearest vectors of one query by bucketed random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+def hash_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, width: float = 1.0, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, seed: int = 42) -> DataFrame:
+    """(query_id, rank, vec_id, score): approximate cosine search among the vectors that share a bucket with the query.
+
+    Each table's buckets are the projections of unit vectors on one random unit vector, in steps of width. Queries of
+    equal buckets share their candidates, so each such group is one matrix product with its candidates in a tile; no
+    bucket is shuffled, however full it is.
+    """
+
+    def codes(x: np.ndarray) -> np.ndarray:
+        return np.floor(x @ _unit(np.random.default_rng(seed).standard_normal((tables, x.shape[1]))).T / width).astype(np.int64)
+
+    def search(held):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qid, q = held.value
+            buckets, group = np.unique(codes(q), axis=0, return_inverse=True)
+            group = group.ravel()
+            for ids, v in _vector_tiles(parts):
+                at = codes(v)
+                for g, b in enumerate(buckets):
+                    near, own = (at == b).any(axis=1), group == g
+                    if near.any():
+                        yield _best(qid[own], q[own], ids[near], v[near], k, digits)
+
+        return run
 
-    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("vec_id"), array_to_vector(S.l2_normalized(F.col(vector))).alias("features"))
-    q = np.array(query, float)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", numHashTables=tables, bucketLength=width, seed=42).fit(v)
-    got = model.approxNearestNeighbors(v, Vectors.dense(q / max(1e-12, float(np.linalg.norm(q)))), k, distCol="distance")
-    return got.select("vec_id", "distance")
+    return _tiled(vectors, queries, k, id_col, vector, search)
 
 
 def projected(df: DataFrame, column: str = "embedding", k: int = 2) -> DataFrame:

@@ -282,6 +282,23 @@ def test_registered_cell_search_recall(spark, tables):
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("tables", ["sf0.001", "sf0.1"])
+def test_registered_hash_search_recall(spark, tables):
+    d = f"/root/testdata/{tables}"
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id): r.score for r in E.flat_search(v, v.where("vec_id % 50 = 0")).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in registry.queries()["o16_hash_search"](spark, d).collect()}
+    assert {q for q, _ in got} == {q for q, _ in exact} and len(got) == len(exact)
+    assert len(got.keys() & exact.keys()) >= 0.9 * len(exact) and all(got[p] == exact[p] for p in got.keys() & exact.keys())
+
+
+def test_hash_search_edges(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in E.hash_search(v, v, 1).orderBy("query_id").collect()]
+    assert got[:2] == [(1, 1, 2, 1.0), (2, 1, 1, 1.0)] and all(r[0] != 4 for r in got)
+    assert E.hash_search(v, v.where("vec_id = 0")).count() == 0
+
+
 # ------------------------------------------------------------------ generated data
 
 
