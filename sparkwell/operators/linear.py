@@ -16,6 +16,7 @@ from .ranking import FEATURES, standardized
 
 # The grid of inverse regularisation strengths.
 GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+DIRECTIONS = 512
 
 
 @dataclass
@@ -151,15 +152,33 @@ def tfidf_vectors(weights: DataFrame) -> tuple[DataFrame, list[str]]:
     return v, terms
 
 
-def truncated_svd(vectors: DataFrame, k: int) -> tuple[DataFrame, float]:
-    """(doc_id, features array) of the first k singular directions, and the share of variance they explain."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def truncated_svd(vectors: DataFrame, k: int = DIRECTIONS, passes: int = 5, seed: int = 42) -> tuple[DataFrame, float]:
+    """(doc_id, features array) of the first k singular directions of sparse vectors (fewer where the rank is smaller), and the share of variance they explain.
 
-    m = RowMatrix(vectors.select("x").rdd.map(lambda r: OldVectors.fromML(r["x"])))
-    svd = m.computeSVD(min(k, m.numCols()))
-    v = np.array(svd.V.toArray())
+    Subspace iteration from a random start, as the reference's solver: each pass adds one matrix of terms x (k + 10)
+    for each partition, merged as a tree.
+    """
+    sc, rows = vectors.sparkSession.sparkContext, vectors.select("x").rdd
+    terms = vectors.first()["x"].size
+
+    def times(q: np.ndarray) -> np.ndarray:
+        held = sc.broadcast(q)
+
+        def add(part):
+            z = np.zeros(held.value.shape)
+            for r in part:
+                i, w = r["x"].indices, r["x"].values
+                z[i] += w[:, None] * (w @ held.value[i])
+            yield z
+
+        return rows.mapPartitions(add).treeReduce(np.add)
+
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(k + 10, terms))))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(times(q))[0]
+    size, turn = np.linalg.eigh(q.T @ times(q))
+    best = [j for j in np.argsort(-size)[:k] if size[j] > 1e-12 * size.max()]
+    v = q @ turn[:, best]
     held = vectors.sparkSession.sparkContext.broadcast(v)  # terms x k
 
     def project(parts):
@@ -172,7 +191,7 @@ def truncated_svd(vectors: DataFrame, k: int) -> tuple[DataFrame, float]:
     dense = vectors.select("doc_id", vector_to_array("x").alias("a"))
     sparse = dense.select("doc_id", F.filter(F.transform("a", lambda e, i: F.when(e != 0, i)), lambda i: i.isNotNull()).alias("i"), F.filter("a", lambda e: e != 0).alias("v"))
     out = sparse.mapInPandas(project, "doc_id long, features array<double>")
-    total = dense.select(F.explode(F.transform("a", lambda e, i: F.struct(i.alias("i"), e.alias("e")))).alias("s")).where("s.e <> 0").groupBy("s.i").agg(F.sum("s.e").alias("s"), F.sum(F.col("s.e") * F.col("s.e")).alias("q"))
+    total = sparse.select(F.explode(F.arrays_zip(F.col("i"), F.col("v").alias("e"))).alias("s")).groupBy("s.i").agg(F.sum("s.e").alias("s"), F.sum(F.col("s.e") * F.col("s.e")).alias("q"))
     n = dense.count()
     var = total.agg(F.sum(F.col("q") / n - F.pow(F.col("s") / n, 2))).first()[0] or 0.0
     kept = out.agg(*(F.var_pop(F.col("features")[j]).alias(f"v{j}") for j in range(v.shape[1]))).first()

@@ -432,7 +432,7 @@ def _(spark, d):
     from ..operators.linear import fit_logistic
 
     f = _features(spark, d)
-    return rounded(fit_logistic(f, grid=(0.1, 1.0), cv=2).rank(f))
+    return rounded(fit_logistic(f).rank(f))
 
 
 @query("f11_svm_ranking")
@@ -440,22 +440,22 @@ def _(spark, d):
     from ..operators.linear import fit_svm
 
     f = _features(spark, d)
-    return rounded(fit_svm(f, grid=(0.1, 1.0), cv=2).rank(f))
+    return rounded(fit_svm(f).rank(f))
 
 
 @query("f13_feature_ablation")
 def _(spark, d):
     from ..operators.linear import ablation
 
-    return ablation(_features(spark, d).cache(), _F[:4])
+    return ablation(_features(spark, d).cache())
 
 
 @query("b11_truncated_svd")
 def _(spark, d):
     from ..operators.linear import tfidf_vectors, truncated_svd
 
-    v, _ = tfidf_vectors(B.tfidf(bridge.documents(spark, d), 500))
-    out, share = truncated_svd(v.cache(), 16)
+    v, _ = tfidf_vectors(B.tfidf(bridge.documents(spark, d)))
+    out, share = truncated_svd(v.cache())
     return out.select("doc_id", F.size("features").alias("k"), F.lit(share > 0).alias("explains"))
 
 
@@ -464,8 +464,8 @@ def _(spark, d):
     from ..operators.lambdarank import Network, Trainer
 
     f = R.standardized(_features(spark, d)).select("query_id", "doc_id", "relevance_score", F.array(*_F).alias("features")).cache()
-    t = Trainer(Network.random(len(_F), (32, 16)), dropout=0.0)
-    t.train(f, epochs=3)
+    t = Trainer(Network.random(len(_F)))
+    t.train(f)
     return rounded(A.top(t.predict(f).select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10))
 
 
@@ -477,14 +477,14 @@ def _(spark, d):
     from ..operators.collaborative import fit_als
 
     m = _matrix(spark, d).cache()
-    return fit_als(m, 8, 3).reconstruction(m)
+    return fit_als(m).reconstruction(m)
 
 
 @query("c4_item_factors")
 def _(spark, d):
     from ..operators.collaborative import fit_als
 
-    f = fit_als(_matrix(spark, d).cache(), 8, 3)
+    f = fit_als(_matrix(spark, d).cache())
     return f.item_factors(bridge.documents(spark, d)).select("doc_id", F.size("factors").alias("rank"), F.forall("factors", lambda x: x == 0).alias("is_zero"))
 
 
@@ -493,7 +493,7 @@ def _(spark, d):
     from ..operators.collaborative import fit_als
 
     content = E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text", out="features").select("doc_id", "features")
-    return fit_als(_matrix(spark, d).cache(), 8, 3).augmented(content).select("doc_id", F.size("features").alias("width"))
+    return fit_als(_matrix(spark, d).cache()).augmented(content).select("doc_id", F.size("features").alias("width"))
 
 
 @query("t5_recommendations")
@@ -501,21 +501,21 @@ def _(spark, d):
     from ..operators.collaborative import fit_als
 
     i = bridge.interactions(spark, d)
-    return fit_als(_matrix(spark, d).cache(), 8, 3).recommend(bridge.physicians(spark, d), 10, i).drop("score")
+    return fit_als(_matrix(spark, d).cache()).recommend(bridge.physicians(spark, d), 10, i).drop("score")
 
 
 @query("c6_convergence")
 def _(spark, d):
     from ..operators.collaborative import convergence
 
-    return convergence(_matrix(spark, d).cache(), 5, 8, (1, 3, 5))
+    return convergence(_matrix(spark, d).cache())
 
 
 @query("c7_factor_sizes")
 def _(spark, d):
     from ..operators.collaborative import factor_sizes
 
-    return factor_sizes(_matrix(spark, d).cache(), (4, 8), 3)
+    return factor_sizes(_matrix(spark, d).cache())
 
 
 # ------------------------------------------------------------------ embeddings

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkwell.functions import scalar as S
 from sparkwell.operators import analytics as A
 from sparkwell.operators import embeddings as E
+from sparkwell.operators import linear
 from sparkwell.operators import ranking as R
 from sparkwell.operators import retrieval as B
 from sparkwell.operators.contrastive import ContrastiveTrainer, nce
@@ -200,6 +201,19 @@ def test_linear_rankers(spark):
         assert np.mean([(r.s > 0) == bool(r.label) for r in s]) > 0.95
 
 
+def test_truncated_svd(spark):
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(0).normal(size=(30, 20)) * (np.random.default_rng(1).random((30, 20)) < 0.4)
+    df = spark.createDataFrame([(i, Vectors.sparse(20, [(j, float(v)) for j, v in enumerate(row) if v])) for i, row in enumerate(x)], ["doc_id", "x"])
+    out, share = linear.truncated_svd(df, 6, passes=30)
+    got = np.array([r.features for r in out.orderBy("doc_id").collect()])
+    u, sizes, _ = np.linalg.svd(x)
+    assert np.allclose(np.linalg.norm(got, axis=0), sizes[:6]) and np.allclose(np.abs(got), np.abs(u[:, :6] * sizes[:6]), atol=1e-6)
+    assert share == pytest.approx(got.var(axis=0).sum() / x.var(axis=0).sum())
+    assert len(linear.truncated_svd(df.limit(3))[0].first().features) == 3
+
+
 # ------------------------------------------------------------------ embeddings
 
 

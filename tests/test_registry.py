@@ -1,5 +1,6 @@
 """Every registered query against DuckDB on the smallest tables."""
 
+import inspect
 import sys
 from pathlib import Path
 
@@ -9,6 +10,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
+from sparkwell.operators import collaborative, lambdarank, linear  # noqa: E402
+from sparkwell.operators import retrieval as B  # noqa: E402
 from sparkwell.plans import registry  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,3 +55,40 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", ["j11_query_split", "f14_stratified_split", "l6_lambdarank", "c4_item_factors", "c5_augmented_features", "t5_recommendations", "o4_structured_encoder", "o6_image_encoder", "o7_text_encoder", "o15_projection", "o11_contrastive_training", "g11_generated_dataset", "g8_structured_metadata", "b11_truncated_svd"])
 def test_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "owner", "function"),
+    [
+        ("f9_logistic_ranking", linear, "fit_logistic"),
+        ("f11_svm_ranking", linear, "fit_svm"),
+        ("f13_feature_ablation", linear, "ablation"),
+        ("b11_truncated_svd", B, "tfidf"),
+        ("b11_truncated_svd", linear, "truncated_svd"),
+        ("l6_lambdarank", lambdarank.Network, "random"),
+        ("l6_lambdarank", lambdarank.Trainer, "__init__"),
+        ("l6_lambdarank", lambdarank.Trainer, "train"),
+        ("c1_als_reconstruction", collaborative, "fit_als"),
+        ("c4_item_factors", collaborative, "fit_als"),
+        ("c5_augmented_features", collaborative, "fit_als"),
+        ("t5_recommendations", collaborative, "fit_als"),
+        ("c6_convergence", collaborative, "convergence"),
+        ("c7_factor_sizes", collaborative, "factor_sizes"),
+    ],
+)
+def test_registered_with_the_default_job(spark, sf, monkeypatch, name, owner, function):
+    expected = inspect.signature(getattr(owner, function))
+
+    def stop(*args, **named):
+        given = expected.bind(*args, **named)
+        default = {k: p.default for k, p in expected.parameters.items() if p.default is not p.empty}
+        assert {k: v for k, v in given.arguments.items() if k in default and v != default[k]} == {}
+        raise Called
+
+    monkeypatch.setattr(owner, function, stop)
+    with pytest.raises(Called):
+        registry.queries()[name](spark, sf)
