@@ -73,7 +73,7 @@ def fit_logistic(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tupl
     from pyspark.ml.classification import LogisticRegression
 
     mean, scale = _moments(df, features)
-    d = _vectors(folds(df.withColumn("label", F.col(label).cast("double"))), features).select("query_id", "doc_id", "label", "fold", "x").cache()
+    d = _vectors(folds(df.withColumn("label", F.col(label).cast("double")), n=max(1, cv)), features).select("query_id", "doc_id", "label", "fold", "x").cache()
     n = d.count()
 
     def model(rows: DataFrame, c: float, size: int):
@@ -94,7 +94,7 @@ def fit_logistic(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tupl
 def fit_svm(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tuple[float, ...] = GRID, cv: int = 5, label: str = "label") -> LinearRanker:
     """Squared-hinge linear SVM by Newton steps; each step is one distributed aggregation of a small Gram matrix."""
     mean, scale = _moments(df, features)
-    d = folds(df.withColumn("label", F.col(label).cast("double"))).select("query_id", "doc_id", "label", "fold", *features).cache()
+    d = folds(df.withColumn("label", F.col(label).cast("double")), n=max(1, cv)).select("query_id", "doc_id", "label", "fold", *features).cache()
 
     def fit(rows: DataFrame, c: float) -> tuple[np.ndarray, float]:
         w = np.zeros(len(features) + 1)
