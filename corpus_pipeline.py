@@ -46,7 +46,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, for each group of near copies (5-word shingles, Jaccard of 0.8 or more)."""
-    members, _ = ngram_jaccard_join(spark, docs, k=5, percent=80)
+    members, _ = ngram_jaccard_join(spark, docs, k=5, percent=80, complete=False)
     members = stored(members.select("doc_id", "component_id"), "members")
     copies = members.where("doc_id <> component_id").select("doc_id").distinct()
     if copies.count() <= MOST_BROADCAST:

@@ -14,6 +14,8 @@ Two sets link when ``100 * |x & y| >= percent * |x | y|``. The plan:
    similar takes the leader's answers: it is in the leader's family, and pairs inside a family are not compared
    again. Only pairs between families are then verified, deriving overlaps within a run of one left set.
 5. Verified links close to components in distributed star rounds.
+6. Pairs inside a family cannot change a component, but each may link or not. Where all links are asked for, they are
+   decided from each member's difference from the leader: whole texts are read once a member, not once a pair.
 
 Defined results: null or blank text is an empty set, linked with nothing; rows with one doc_id are one node; a null
 doc_id keeps a null component_id; extra columns are ignored; repeated rows return a row each; an empty table returns
@@ -314,13 +316,71 @@ def verified(pairs: DataFrame, rows: int, docs: DataFrame, id_col: str, text: st
     return out
 
 
+# ------------------------------------------------------------------ 6: links inside families
+
+
+def family_links(family: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """(a, b, overlap, n_a, n_b) of all links between two members of one family (rep, family), without the leader's own.
+
+    With d the shingles that a member lacks or adds, the overlap of x and y is ``|leader| - lacking x - lacking y + |dx & dy|``.
+    A family is a grid of cells, as hot lists are.
+    """
+    several = family.groupBy("family").count().where("count > 1").select("family", F.ceil(F.col("count") / HOT_LIST).cast("int").alias("parts"))
+    pairs = stored(family.join(several, "family").select(F.col("family").alias("a"), F.col("rep").alias("b"), "parts"), "members")
+    t = stored(texts_of(pairs, docs, id_col, text), "texts")
+    p = pairs.join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, held, print_ = None, np.zeros(0, np.uint64), 0
+        for batch in batches:
+            a, ta = batch.column(0).to_pylist(), batch.column(3)
+            out, d = [], []
+            for i, right in enumerate(_sets(batch.column(4), k)):
+                if (a[i], ta[i]) != left:  # the rows of one leader follow each other
+                    left, held = (a[i], ta[i]), next(_sets(ta.slice(i, 1), k))
+                    print_ = xxhash.xxh3_64_intdigest(held.tobytes()) >> 1
+                d.append(np.setxor1d(held, right, assume_unique=True).view(np.int64))
+                lacking = (len(d[-1]) + len(held) - len(right)) // 2
+                out.append((print_, len(held), len(right), lacking))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, d)]), pa.int32()), pa.array(np.concatenate(d) if d else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, lists], ["family", "rep", "parts", "print", "size", "n", "lacking", "d"])
+
+    m = stored(p.select("a", "b", "parts", "ta", "tb").mapInArrow(differ, "family long, rep long, parts int, print long, size long, n long, lacking long, d array<long>"), "differences")
+    m = m.withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("family", "print", F.least("p", "x").alias("i"), F.greatest("p", "x").alias("j"), (F.col("p") > F.col("x")).alias("side"), "rep", "size", "n", "lacking", "d")
+
+    def decide(table: pa.Table) -> pa.Table:
+        rep, n, lacking, side = (table[c].to_numpy() for c in ("rep", "n", "lacking", "side"))
+        lists = table["d"].combine_chunks()
+        token, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
+        both = np.zeros((len(rep), len(rep)), np.int64)
+        for s in range(0, len(token), 4096):
+            here = (which >= s) & (which < s + 4096)
+            x = np.zeros((len(rep), 4096), np.float32)
+            x[owner[here], which[here] - s] = 1
+            both += (x @ x.T).astype(np.int64)
+        both += table["size"][0].as_py() - lacking[:, None] - lacking[None]
+        ok = (100 * both >= percent * (n[:, None] + n[None] - both)) & (both > 0) & (rep[:, None] < rep[None])
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            ok &= side[:, None] != side[None]
+        u, v = np.nonzero(ok)
+        return pa.table({"a": rep[u], "b": rep[v], "overlap": both[u, v], "n_a": n[u], "n_b": n[v]})
+
+    drop_stored(pairs)
+    drop_stored(t)
+    return m.groupBy("family", "print", "i", "j").applyInArrow(decide, "a long, b long, overlap long, n_a long, n_b long").distinct()
+
+
 # ------------------------------------------------------------------ the operator
 
 
-def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", complete: bool = True) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, rep, component_id) of every row, and the verified links between classes.
 
-    links: (a, b, overlap, n_a, n_b) between class representatives, all but those implied by a common family.
+    links: (a, b, overlap, n_a, n_b), all between class representatives. Without complete, those between two members of
+    one family are left out, which keeps the components: for callers that only need the membership.
     """
     bounded_batches(spark)
     docs = docs.select(id_col, text)
@@ -345,4 +405,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     named = named.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     nodes = nodes.select(F.col("node").alias("rep"), "component")
     out = named.join(nodes, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
+    if complete:
+        inside = family_links(family, docs, id_col, text, k, percent)
+        links = links.union(inside.join(first.select("a", "b"), ["a", "b"], "left_anti").select(*links.columns))
     return out, links

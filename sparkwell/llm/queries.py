@@ -18,7 +18,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard of 0.9 or more: doc_id, n_shingles, component_id."""
     from .ngram_join import ngram_jaccard_join
 
-    members, _ = ngram_jaccard_join(spark, read(spark, sf_dir, "documents"), k=3, percent=90)
+    members, _ = ngram_jaccard_join(spark, read(spark, sf_dir, "documents"), k=3, percent=90, complete=False)
     return members.select("doc_id", "n_shingles", "component_id")
 
 

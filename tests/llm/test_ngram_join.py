@@ -80,6 +80,30 @@ def test_long_lists_are_dealt_over_cells(spark, monkeypatch):
     check(spark, corpus(3, 12) + [(1000 + i, " ".join(f"c{j if j != i else 999}" for j in range(60))) for i in range(40)])
 
 
+@pytest.mark.parametrize("hot", [1024, 7])
+def test_links_inside_families_are_complete(spark, monkeypatch, hot):
+    monkeypatch.setattr(m, "HOT_LIST", hot)
+    rng = random.Random(5)
+    base = [f"c{j}" for j in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, t) for i, t in corpus(7, 10)]
+    _, links = check(spark, rows)
+    first = {}
+    for i, t in rows:
+        s = frozenset(shingle_set(t, 3))
+        first.setdefault(s, i)
+    sets = sorted((i, s) for s, i in first.items() if s)
+    want = [(a, b, len(x & y), len(x), len(y)) for (a, x), (b, y) in combinations(sets, 2) if 100 * len(x & y) >= 90 * len(x | y)]
+    assert sorted(map(tuple, links.collect())) == want
+    _, spanning = ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, complete=False)
+    assert spanning.count() < len(want)
+
+
 def test_empty_table(spark):
     check(spark, [])
 
