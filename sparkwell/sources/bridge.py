@@ -1,7 +1,6 @@
 """The five logical tables derived from generic tables (documents, events, benchmark), in Spark and as SQL.
 
-Judgments are found by inverting their congruence: each query's 20 documents follow from arithmetic and meet the
-documents in an equi-join, where the SQL form compares all pairs.
+Judgments are found by residues: each query's 20 residues meet the documents' in an equi-join, where the SQL form compares all pairs.
 """
 
 from __future__ import annotations
@@ -61,12 +60,16 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = d.count()
-    inverse = pow(31, -1, n) if n > 1 else 0
+    size = d.agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).first()
+    n = max(1, size["n"])
     q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    # doc_id * 31 + query_id * 17 = r (mod n), for r = 0..19
-    pairs = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(JUDGED - 1)))).withColumn("doc_id", F.expr(f"pmod((r - query_id * 17) * {inverse}L, {n}L)"))
-    pairs = pairs.join(d.select("doc_id", "text", "source"), "doc_id")
+    d = d.select("doc_id", "text", "source")
+    # doc_id * 31 + query_id * 17 = r (mod n), for r = 0..19 below n
+    asked = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(min(JUDGED, n) - 1)))).withColumn("residue", F.expr(f"pmod(r - query_id * 17, {n}L)")).drop("r")
+    pairs = asked.join(d.withColumn("residue", F.expr(f"pmod(doc_id * 31, {n}L)")), "residue").where("doc_id * 31 + query_id * 17 >= 0").drop("residue")
+    least = q.agg(F.min("query_id")).first()[0]
+    if size["low"] is not None and least is not None and size["low"] * 31 + least * 17 < 0:  # a negative remainder is below 20 as well
+        pairs = pairs.unionByName(q.join(d, F.col("doc_id") * 31 + F.col("query_id") * 17 < 0))
     qt = F.array_distinct(tokens(F.col("query_text")))
     overlap = F.size(F.array_intersect(qt, F.array_distinct(tokens(F.col("text"))))) / F.greatest(F.size(qt), F.lit(1))
     base = 2 * overlap + F.when(F.col("source") == F.concat(F.lit("src"), F.col("query_id") % 20), 0.5).otherwise(0.0)

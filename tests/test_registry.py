@@ -13,6 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 from sparkwell.operators import collaborative, lambdarank, linear  # noqa: E402
 from sparkwell.operators import retrieval as B  # noqa: E402
 from sparkwell.plans import registry  # noqa: E402
+from sparkwell.sources import bridge  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -57,6 +58,18 @@ def test_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("ids", [[3, 70, 1000, -5, 1], list(range(31)), list(range(100, 162)), [-40, 7, 7], []])
+def test_judgments_of_any_ids(spark, tmp_path, ids):
+    spark.createDataFrame([(i, f"a b w{i % 3}", "en", f"src{i % 20}", 5) for i in ids], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "a b w1") for i in (0, 1, 5, 33)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type TEXT, value DOUBLE, ts TIMESTAMP, props TEXT)")
+    want = con.execute(bridge.SQL + " SELECT query_id, doc_id, relevance_score FROM l_judgments").fetchall()
+    assert sorted(map(tuple, bridge.judgments(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 class Called(Exception):
     pass
 
