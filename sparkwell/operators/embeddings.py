@@ -147,8 +147,8 @@ def hashed_text_features(text: Column, width: int = TEXT_WIDTH) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(summed, i), F.lit(0.0)))
 
 
-def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: int = TEXT_WIDTH, max_tokens: int = 512, out: str = "vec", batch: int = 32) -> DataFrame:
-    """Text to unit vectors by hashed token features and a projection, in Arrow batches. max_tokens is the model's window (its feature)."""
+def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: int = TEXT_WIDTH, max_tokens: int | None = None, out: str = "vec", batch: int = 32) -> DataFrame:
+    """Text to unit vectors by hashed token features and a projection, in Arrow batches. max_tokens: only so many first tokens, as a model with a window reads."""
     model = model or random_dense(width, WIDTH, seed=7)
     held = df.sparkSession.sparkContext.broadcast(model)
 

@@ -266,6 +266,14 @@ def test_encoders(spark):
     assert sum(map(abs, h[0].h)) in (0.0, 2.0) and h[1].h == [0.0] * 8
 
 
+def test_texts_are_encoded_whole(spark):
+    df = spark.createDataFrame([(i, "same " * 600 + end) for i, end in enumerate(("one", "two"))], "i int, t string")
+    one, two = (r.vec for r in E.encode_texts(df, "t").orderBy("i").collect())
+    assert one != two
+    one, two = (r.vec for r in E.encode_texts(df, "t", max_tokens=512).orderBy("i").collect())
+    assert one == two
+
+
 def test_contrastive_training_lowers_the_loss(spark, tmp_path):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 6))
