@@ -9,10 +9,11 @@ other word belongs to one of TAIL_CLASSES by its last two bytes. The recurrent s
 words, the word inside it; inside a tail class a word has (count + 1) / (sum of counts + words + 1), which leaves room
 for one unknown word. So all outcomes sum to one.
 
-The gated recurrent unit is trained in numpy by truncated backpropagation: segments of learned documents go through two
-windows each, the second with the state, but not the gradient, of the first. Each round every partition trains a copy on
-its own segments, and a tree of sums averages the copies, weighted by tokens. The rounds together train on every token of
-the learned documents. The first parameters already give the classes' unigram model.
+The gated recurrent unit is trained in numpy by truncated backpropagation: the learned documents of a partition lie end to
+end in parallel rows, which advance window after window. The state goes on through a document's windows, the gradient
+stops at a window. Each round every partition trains a copy on its own documents, and a tree of sums averages the copies,
+weighted by tokens. The rounds together train on every token of the learned documents. The first parameters already give
+the classes' unigram model.
 
 Scoring carries the state across windows from a document's first token to its end, so long texts are scored whole.
 
@@ -35,18 +36,21 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, text_chunks, words_of
 
 DICTIONARY = 1 << 18
-HEAD = 1024
-CLASS_WORDS = 32
+HEAD = 2048
+CLASS_WORDS = 64
 TAIL_CLASSES = 64
 HIDDEN = 16
 WINDOW = 32
-SEGMENT_TOKENS = 2 * WINDOW
 BATCH = 384
+LEAST_ROW = 128
+TRAIN_TOKENS = 1 << 20
+CHUNK = 1024
+WINDOW_TOKENS = 1 << 17
 ROUNDS = 2
 RATES = (0.02, 0.006)
 FAN_IN = 16
 END_HASH = 0
-SCORE_TOKENS = 2_000_000
+SCORE_TOKENS = 8_000_000
 HEAD_CLASSES = HEAD // CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 
@@ -110,6 +114,14 @@ class Vocabulary:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         tails = tails[order]
+        self.mask = (1 << max(8, (4 * len(words)).bit_length())) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)  # an open hash table of indices
+        left, slot = np.arange(len(words)), self.words & self.mask
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            more = self.slots[slot] != left
+            left, slot = left[more], (slot[more] + 1) & self.mask
         rank = np.lexsort((self.words, -self.counts, self.words != END_HASH))[:HEAD]  # the end first
         self.head = np.full(len(self.words), -1, np.int16)
         self.head[rank] = np.arange(len(rank))
@@ -128,8 +140,16 @@ class Vocabulary:
         """Index in the dictionary, and whether it is there."""
         if not len(self.words):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return at, self.words[at] == h
+        slot = h & self.mask
+        at = self.slots[slot]
+        known = (self.words[at] == h) & (at >= 0)
+        open_ = np.flatnonzero((at >= 0) & ~known)
+        while len(open_):  # another word's slot: look in the next one
+            slot[open_] = (slot[open_] + 1) & self.mask
+            here = at[open_] = self.slots[slot[open_]]
+            known[open_] = (here >= 0) & (self.words[here] == h[open_])
+            open_ = open_[(here >= 0) & ~known[open_]]
+        return np.maximum(at, 0), known
 
     def inputs(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input ids (head words, then tail classes), dictionary index and whether it is there."""
@@ -159,6 +179,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 # ------------------------------------------------------------------ the network
+#
+# Arrays of the three gates (z, r, n) have the gate as first axis, so that each gate's part is contiguous. States come
+# with a last column of ones, which carries the biases. The sigmoid gates are ``(1 + tanh(a)) / 2``.
 
 
 def initial(v: Vocabulary) -> Params:
@@ -167,27 +190,32 @@ def initial(v: Vocabulary) -> Params:
     h = HIDDEN
     c = v.head_counts.reshape(HEAD_CLASSES, CLASS_WORDS).astype(np.float64)
     mass = np.concatenate([c.sum(axis=1), v.tail_z])
-    p = {
-        "x": rng.normal(0, 0.3, (HEAD + TAIL_CLASSES, 3 * h)), "zr": rng.normal(0, 0.3, (h, 2 * h)), "n": rng.normal(0, 0.3, (h, h)), "nb": np.zeros(h),
-        "c": np.zeros((CLASSES, h)), "cb": np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -1e4), "w": np.zeros((HEAD, h)), "wb": np.where(v.head_counts > 0, np.log(np.maximum(v.head_counts, 1)), -1e4),
-    }
-    p["x"][:, :h] += 1  # remember at first
+    p = {"x": rng.normal(0, 0.3, (3, HEAD + TAIL_CLASSES, h)), "u": rng.normal(0, 0.3, (3, h + 1, h)), "c": np.zeros((CLASSES, h + 1)), "w": np.zeros((HEAD, h + 1))}
+    p["u"][:, -1] = 0
+    for gate in (p["x"][:2], p["u"][:2]):
+        gate /= 2
+    p["u"][0, -1] = 0.5  # remember at first
+    p["c"][:, -1] = np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -1e4)
+    p["w"][:, -1] = np.where(v.head_counts > 0, np.log(np.maximum(v.head_counts, 1)), -1e4)
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def step(p: Params, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, ...]:
-    """z, r, q, n and the next state."""
-    k = HIDDEN
-    g = p["x"][token]
-    zr = _sigmoid(g[:, : 2 * k] + h @ p["zr"])
-    z, r = zr[:, :k], zr[:, k:]
-    q = h @ p["n"] + p["nb"]
-    n = np.tanh(g[:, 2 * k :] + r * q)
-    return z, r, q, n, n + z * (h - n)
+def step(u: np.ndarray, s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """z, r, q, n and the next state; s: states with a column of ones, x: the tokens' rows of the three gates."""
+    a = np.matmul(s, u)
+    zr = a[:2]
+    zr += x[:2]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r, q = a
+    n = r * q
+    n += x[2]
+    np.tanh(n, out=n)
+    new = s[:, :-1] - n
+    new *= z
+    new += n
+    return z, r, q, n, new
 
 
 def targets(token: np.ndarray) -> np.ndarray:
@@ -195,126 +223,153 @@ def targets(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // CLASS_WORDS, HEAD_CLASSES + token - HEAD)
 
 
-def soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - m) and, by row, ln of sum(exp(x)). m is one number where no row underflows with it, else the rows' maxima."""
-    m = x.max()
-    e = np.exp(x - m)
-    total = e @ np.ones(e.shape[1], e.dtype)
-    if total.min() > 1e-25:
-        return e, np.log(total) + m
-    m = x.max(axis=1)
-    e = np.exp(x - m[:, None])
-    return e, np.log(e.sum(axis=1)) + m
+def shifted(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output weights whose biases are lowered by a bound of all logits (states lie in -1..1), transposed, and a column of ones."""
+    w = w.copy()
+    w[:, -1] -= (w[:, -1] + np.abs(w[:, :-1]).sum(axis=1)).max()
+    return np.ascontiguousarray(w.T), np.ones(len(w), w.dtype)
+
+
+def soft(s: np.ndarray, w: np.ndarray, one: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, their sums by row, and ln of the right ones' probability."""
+    e = s @ w
+    got = e[np.arange(len(e)), right]
+    np.exp(e, out=e)
+    total = e @ one
+    if total.min() < 1e-25:  # the bound was far above some row's logits
+        e = s @ w
+        m = e.max(axis=1)
+        got -= m
+        e = np.exp(e - m[:, None])
+        total = e @ one
+    return e, total, got - np.log(total)
 
 
-def by_class(cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Rows of each head class that occurs."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    bound = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-    return [(c, order[bound[c] : bound[c + 1]]) for c in range(HEAD_CLASSES) if bound[c] < bound[c + 1]]
+def spans(ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """Head classes that occur in sorted ids, with their rows in pieces."""
+    bound = np.searchsorted(ids, np.arange(HEAD_CLASSES + 1) * CLASS_WORDS)
+    return [(c, a, min(a + 4 * CHUNK, bound[c + 1])) for c in range(HEAD_CLASSES) for a in range(bound[c], bound[c + 1], 4 * CHUNK)]
 
 
 def log_probability(p: Params, s: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """ln of the class and, for head words, of the word inside it, from the states before each token."""
-    token = token.astype(np.int64)
-    cls = targets(token)
-    out = np.empty(len(token))
-    for a in range(0, len(token), 8192):
-        x = s[a : a + 8192] @ p["c"].T + p["cb"]
-        out[a : a + 8192] = x[np.arange(len(x)), cls[a : a + 8192]] - soft(x)[1]
-    for c, o in by_class(cls):
-        w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        for a in range(0, len(o), 16384):
-            r = o[a : a + 16384]
-            x = s[r] @ p["w"][w].T + p["wb"][w]
-            out[r] += x[np.arange(len(r)), token[r] - c * CLASS_WORDS] - soft(x)[1]
+    """ln of the class and, for head words, of the word inside it, from the states (with ones) before each token."""
+    order = np.argsort(token, kind="stable")
+    ids, s = token[order].astype(np.int64), s.take(order, axis=0)
+    cls, got = targets(ids), np.empty(len(ids))
+    w = shifted(p["c"])
+    for a in range(0, len(ids), CHUNK):
+        got[a : a + CHUNK] = soft(s[a : a + CHUNK], *w, cls[a : a + CHUNK])[2]
+    for c, a, b in spans(ids):
+        got[a:b] += soft(s[a:b], *shifted(p["w"][c * CLASS_WORDS : (c + 1) * CLASS_WORDS]), ids[a:b] - c * CLASS_WORDS)[2]
+    out = np.empty(len(ids))
+    out[order] = got
     return out
 
 
-def document_scores(p: Params, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
-    """ln probability of each whole document (input ids), the state carried across windows."""
-    length = np.array([len(d) for d in docs])
+def document_scores(p: Params, docs: list[np.ndarray], window: int = CHUNK) -> np.ndarray:
+    """ln probability of each whole document (input ids), the state carried across windows.
+
+    Documents go on together, the longest first; a window has as many steps as keep its tokens near WINDOW_TOKENS.
+    """
+    length = np.array([len(d) for d in docs], np.int64)
     order = np.argsort(-length, kind="stable")
     flat = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, np.int16)
     length = length[order]
     start = np.cumsum(length) - length
     out = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
-    for t0 in range(0, int(length[0]) if len(docs) else 0, window):
-        states, toks, who = [], [], []
-        for t in range(t0, min(t0 + window, int(length[0]))):
-            m = int(np.searchsorted(-length, -t, "left"))  # documents longer than t
-            tok = flat[start[:m] + t]
-            states.append(h[:m].copy())
-            toks.append(tok)
-            who.append(np.arange(m))
-            h[:m] = step(p, h[:m], tok)[-1]
-        got = log_probability(p, np.concatenate(states), np.concatenate(toks))
-        who = np.concatenate(who)
-        out[: who.max() + 1] += np.bincount(who, got)
+    t0, end = 0, int(length[0]) if len(docs) else 0
+    while t0 < end:
+        m = int(np.searchsorted(-length, -t0, "left"))  # documents longer than t0
+        steps = max(1, min(window, WINDOW_TOKENS // m, end - t0))
+        at = t0 + np.arange(steps)[:, None]
+        live = at < length[:m]
+        tok = flat[np.minimum(start[:m] + at, len(flat) - 1)]
+        s = np.ones((steps, m, HIDDEN + 1), np.float32)
+        now, few = h[:m], m < 64
+        x = p["x"].take(tok, axis=1) if few else None
+        for t in range(steps):
+            s[t, :, :-1] = now
+            now = step(p["u"], s[t], x[:, t] if few else p["x"].take(tok[t], axis=1))[-1]
+        h[:m] = now
+        got = np.zeros((steps, m))
+        got[live] = log_probability(p, s[live], tok[live])
+        out[:m] += got.sum(axis=0)
+        t0 += steps
     result = np.empty(len(docs))
     result[order] = out
     return result
 
 
-def gradients(p: Params, h: np.ndarray, token: np.ndarray) -> tuple[Params, float, int, np.ndarray]:
+def gradients(p: Params, h: np.ndarray, token: np.ndarray, fresh: np.ndarray) -> tuple[Params, float, int, np.ndarray]:
     """Gradients of the window's mean negative ln probability, its sum, its tokens, and the last state.
 
-    token: rows x steps, -1 after a row's end.
+    token: steps x rows, -1 where there is none; fresh: where a document begins, from a state of zeros.
     """
-    k, rows, steps = HIDDEN, len(token), token.shape[1]
-    saved, states = [], []
+    k, (steps, rows) = HIDDEN, token.shape
+    kind = p["u"].dtype
+    s, saved = np.ones((steps, rows, k + 1), kind), []
     for t in range(steps):
-        tok = np.maximum(token[:, t], 0)
-        states.append(h)
-        z, r, q, n, new = step(p, h, tok)
-        saved.append((z, r, q, n))
-        h = new
-    live = token.T.ravel() >= 0  # by step, then row
-    s = np.concatenate(states)[live]
-    tk = token.T.ravel()[live].astype(np.int64)
-    cls, total = targets(tk), len(tk)
+        h[fresh[t]] = 0
+        s[t, :, :k] = h
+        *gates, h = step(p["u"], s[t], p["x"].take(token[t], axis=1))
+        saved.append(gates)
     g = {name: np.zeros_like(x) for name, x in p.items()}
+    order = np.argsort(token.ravel(), kind="stable")
+    ids = token.ravel()[order].astype(np.int64)
+    dead = int(np.searchsorted(ids, 0))
+    order, ids = order[dead:], ids[dead:]
+    total, loss = len(ids), 0.0
     if not total:
-        return g, 0.0, 0, h
-    def cross_entropy(x: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
-        """The sum of -ln, and the gradient of the window's mean."""
-        at = np.arange(len(x))
-        e, lse = soft(x)
-        lost = float((lse - x[at, right]).sum())
-        e /= e.sum(axis=1, keepdims=True)
-        e[at, right] -= 1
-        return lost, e / total
-
-    loss, d = cross_entropy(s @ p["c"].T + p["cb"], cls)
-    ds = d @ p["c"]
-    g["c"], g["cb"] = d.T @ s, d.sum(axis=0)
-    for c, o in by_class(cls):
+        return g, loss, 0, h
+    cls, so, ds = targets(ids), s.reshape(-1, k + 1).take(order, axis=0), np.empty((total, k + 1), kind)
+    w = shifted(p["c"])
+    for a in range(0, total, CHUNK):
+        b = slice(a, a + CHUNK)
+        e, z, got = soft(so[b], *w, cls[b])
+        loss -= float(got.sum())
+        e[np.arange(len(e)), cls[b]] -= z
+        z = (1 / (z * total))[:, None]
+        np.multiply(e @ p["c"], z, out=ds[b])
+        g["c"] += e.T @ (so[b] * z)
+    pieces = spans(ids)
+    for c, a, b in pieces:
         w = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        lost, d = cross_entropy(s[o] @ p["w"][w].T + p["wb"][w], tk[o] - c * CLASS_WORDS)
-        loss += lost
-        ds[o] += d @ p["w"][w]
-        g["w"][w], g["wb"][w] = d.T @ s[o], d.sum(axis=0)
-    full = np.zeros((steps * rows, k), np.float32)
-    full[live] = ds
-    full = full.reshape(steps, rows, k)
-    dh = np.zeros((rows, k), np.float32)
-    dg = np.empty((steps, rows, 3 * k), np.float32)
+        right = ids[a:b] - c * CLASS_WORDS
+        e, z, got = soft(so[a:b], *shifted(p["w"][w]), right)
+        loss -= float(got.sum())
+        e[np.arange(len(e)), right] -= z
+        z = (1 / (z * total))[:, None]
+        ds[a:b] += (e @ p["w"][w]) * z
+        g["w"][w] += e.T @ (so[a:b] * z)
+    out = np.zeros((steps * rows, k), kind)
+    out[order] = ds[:, :k]
+    out = out.reshape(steps, rows, k)
+    dh, da, dx = np.zeros((rows, k), kind), np.empty((3, steps, rows, k), kind), np.empty((steps, rows, k), kind)
+    back = np.ascontiguousarray(p["u"][:, :k].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
         z, r, q, n = saved[t]
-        before = states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dq = dn * r
-        dzr = np.concatenate([dh * (before - n) * z * (1 - z), dn * q * r * (1 - r)], axis=1)
-        dg[t, :, : 2 * k], dg[t, :, 2 * k :] = dzr, dn
-        g["zr"] += before.T @ dzr
-        g["n"] += before.T @ dq
-        g["nb"] += dq.sum(axis=0)
-        dh = dh * z + dzr @ p["zr"].T + dq @ p["n"].T + full[t]
-    order = np.argsort(token.T.ravel()[live], kind="stable")
-    ids = tk[order]
+        dn = dx[t]
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= dh
+        dn *= 1 - z
+        dz, dr, dq = da[:, t]
+        np.subtract(s[t, :, :k], n, out=dz)
+        dz *= dh
+        dz *= z * (1 - z)
+        np.multiply(dn, q, out=dr)
+        dr *= r * (1 - r)
+        da[:2, t] *= 2
+        np.multiply(dn, r, out=dq)
+        dh *= z
+        dh += np.matmul(da[:, t], back).sum(axis=0)
+        dh += out[t]
+        dh[fresh[t]] = 0
+    np.matmul(s.reshape(-1, k + 1).T, da.reshape(3, -1, k), out=g["u"])
+    dx = np.concatenate([da[0], da[1], dx], axis=2).reshape(-1, 3 * k).take(order, axis=0)
     first = np.flatnonzero(np.diff(ids, prepend=-1))
-    g["x"][ids[first]] = np.add.reduceat(dg.reshape(-1, 3 * k)[live][order], first, axis=0)
+    g["x"][:, ids[first]] = np.add.reduceat(dx, first, axis=0).reshape(-1, 3, k).transpose(1, 0, 2)
     return g, loss, total, h
 
 
@@ -326,28 +381,47 @@ class Adam:
 
     def apply(self, g: Params) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-12))
         rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
-
-
-def train_batch(adam: Adam, segments: list[np.ndarray]) -> int:
-    """Two windows for each segment; the state goes on, the gradient does not."""
-    token = np.full((len(segments), SEGMENT_TOKENS), -1, np.int16)
-    for i, s in enumerate(segments):
-        token[i, : len(s)] = s
-    h, n = np.zeros((len(segments), HIDDEN), np.float32), 0
-    for w in range(0, SEGMENT_TOKENS, WINDOW):
-        g, _, total, h = gradients(adam.p, h, token[:, w : w + WINDOW])
+            x *= scale
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * x
+            v *= 0.999
+            x *= x
+            x *= 0.001
+            v += x
+            np.sqrt(v, out=x)
+            x += 1e-7
+            np.divide(m, x, out=x)
+            x *= rate
+            self.p[k] -= x
+
+
+def train_batch(adam: Adam, docs: list[np.ndarray]) -> int:
+    """Train on every token of the documents, which are dealt over at most BATCH parallel rows end to end.
+
+    Each row goes window after window; the state goes on through windows and documents' parts, the gradient stops at a
+    window. A document begins with a state of zeros, and so does the rest of one that the end of a row cuts.
+    """
+    flat = np.concatenate(docs)
+    n = len(flat)
+    rows = max(1, min(BATCH, n // LEAST_ROW))
+    length = -(-n // rows)
+    token = np.full(rows * length, -1, np.int16)
+    token[:n] = flat
+    fresh = np.zeros(rows * length, bool)
+    fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
+    token, fresh = (np.ascontiguousarray(x.reshape(rows, length).T) for x in (token, fresh))
+    h, done = np.zeros((rows, HIDDEN), np.float32), 0
+    for w in range(0, length, WINDOW):
+        g, _, total, h = gradients(adam.p, h, token[w : w + WINDOW], fresh[w : w + WINDOW])
         if total:
             adam.apply(g)
-        n += total
-    return n
+        done += total
+    return done
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -360,27 +434,24 @@ def _dump(p: Params) -> bytes:
 def train_round(encoded: DataFrame, params: Params, turn: int) -> Params:
     """Each partition trains a copy of params on its segments; the copies' average, weighted by tokens.
 
-    encoded: (ids) of the learned documents. Of each document's segments every ROUNDS-th is this round's, beginning at
-    another one for each document, so that the rounds together train on every token.
+    encoded: (ids) of the learned documents. Every ROUNDS-th document of a partition is this round's, so that the rounds
+    together train on every token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, done, waiting = TaskContext.get().partitionId(), 0, 0, []
+        part, number, done, waiting, size = TaskContext.get().partitionId(), turn, 0, [], 0
         adam = Adam({k: x.copy() for k, x in params.items()}, RATES[min(turn, len(RATES) - 1)])
         for b in batches:
-            for ids in b.column(0):
-                doc = np.frombuffer(ids.as_py(), np.int16)
-                number += 1
-                for s in range((number + turn) % ROUNDS * SEGMENT_TOKENS, len(doc), ROUNDS * SEGMENT_TOKENS):
-                    waiting.append(doc[s : s + SEGMENT_TOKENS])
-                if len(waiting) >= BATCH:
-                    cut = len(waiting) // BATCH * BATCH
-                    for w in range(0, cut, BATCH):
-                        done += train_batch(adam, waiting[w : w + BATCH])
-                    del waiting[:cut]
-        if waiting:
+            for ids in b.column(0).filter(pa.array(np.arange(number, number + b.num_rows) % ROUNDS == 0)):
+                waiting.append(np.frombuffer(ids.as_buffer(), np.int16))
+                size += len(waiting[-1])
+                if size >= TRAIN_TOKENS:
+                    done += train_batch(adam, waiting)
+                    waiting, size = [], 0
+            number += b.num_rows
+        if size:
             done += train_batch(adam, waiting)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(done)]), pa.array([_dump({k: x * done for k, x in adam.p.items()})], pa.binary())], ["part", "weight", "params"])
