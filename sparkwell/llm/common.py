@@ -197,6 +197,33 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(g + _U(m)))
 
 
+def row_shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles of several texts, in text order, repeats included, and where each text's begin.
+
+    first: each text's first word's index, and the end. A text with fewer words has its whole sequence as one.
+    """
+    n = np.diff(first)
+    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    at = np.append(0, np.cumsum(count))
+    out = np.empty(at[-1], np.uint64)
+    long = n >= k
+    if long.any():
+        full = len(words) - k + 1
+        g = words[:full] * _K[0]
+        for i in range(1, k):
+            g += words[i : i + full] * _K[i]
+        inside = np.repeat(long, count)
+        if inside.all() and at[-1] == full:
+            out = mix(g + _U(k))
+        else:
+            spot = np.arange(at[-1]) - np.repeat(at[:-1], count) + np.repeat(first[:-1], count)
+            out[inside] = mix(g[spot[inside]] + _U(k))
+    for r in np.flatnonzero((n > 0) & ~long):
+        m = int(n[r])
+        out[at[r]] = mix((words[first[r] : first[r] + m] * _K[:m]).sum(keepdims=True, dtype=np.uint64) + _U(m))[0]
+    return out, at
+
+
 # ---------------------------------------------------------------- runs of sorted rows
 
 

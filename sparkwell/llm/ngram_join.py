@@ -7,15 +7,20 @@ Two sets link when ``100 * |x & y| >= percent * |x | y|``. The plan:
    cost time and never links.
 2. Each document becomes (size, fingerprint, prefix). Documents with equal sets form one class, represented by the
    smallest doc_id; all later steps see classes only.
-3. Index lists: prefix shingles with their set's size and position. A list is sorted by size and position and cut
-   into blocks; a pair of blocks whose best possible overlap (from sizes and positions) is too small is skipped as a
-   whole. Lists longer than HOT_LIST are dealt over a grid of cells, so that no task holds a hot list.
-4. Set relations: first each list compares its members with its leader only (linear). A set whose leader is highly
-   similar takes the leader's answers: it is in the leader's family, and pairs inside a family are not compared
-   again. Only pairs between families are then verified, deriving overlaps within a run of one left set.
-5. Verified links close to components in distributed star rounds.
-6. Pairs inside a family cannot change a component, but each may link or not. Where all links are asked for, they are
-   decided from each member's difference from the leader: whole texts are read once a member, not once a pair.
+3. Index lists: prefix shingles with their set's size and position. Each list is first compared with its leader only
+   (its smallest set), which is linear: short lists lie whole in a task, the leaders of lists over HOT_LIST sets come by
+   an aggregation and a join.
+4. Set relations: a set that links with a leader joins its family and keeps its two differences from the leader (what
+   it lacks, what it adds). Members of a family are connected already, so a list with one family is done.
+5. What is left of a list is sorted by size and position and cut into blocks; a pair of blocks whose best possible overlap
+   (from sizes and positions) is too small is skipped as a whole. Of a long list the largest family is dealt over cells
+   once, and only the other sets are copied to the cells, so copies grow with the sets outside that family.
+6. Pairs of different families take their answers from their leaders': with l and m the leaders of x and y, the overlap
+   of x and y follows from that of l and m and the stored differences. The two leaders' texts are read once for all
+   their members' pairs, and pairs whose leaders' overlap is too small for their additions are dropped by it.
+7. Verified links close to components in distributed star rounds.
+8. Pairs inside a family cannot change a component, but each may link or not. Where all links are asked for, they are
+   decided from the stored differences; no text is read again.
 
 Defined results: null or blank text is an empty set, linked with nothing; rows with one doc_id are one node; a null
 doc_id keeps a null component_id; extra columns are ignored; repeated rows return a row each; an empty table returns
@@ -32,22 +37,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, drop_stored, runs, shingles, stored, text_chunks, words_of
+from .common import bounded_batches, components, drop_stored, row_shingles, runs, stored, text_chunks, words_of
 
 BUCKET_BITS = 24
 CHUNK_BITS = 16
 FAN_IN = 32
 HOT_LIST = 1024
+#: Pairs of one left set that a task verifies before the set is dealt over several.
+GROUP = 4096
 #: Bits of the map of documents that a verification needs (1 MB).
 MAP_BITS = 1 << 23
 BLOCK = 64
 
 
 def _sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each row."""
     for i, j, data, off in text_chunks(col):
         _, _, h, first = words_of(data, off)
+        g, at = row_shingles(h, first, k)
         for r in range(j - i):
-            yield shingles(h[first[r] : first[r + 1]], k)
+            yield np.unique(g[at[r] : at[r + 1]])
 
 
 # ------------------------------------------------------------------ 1: the order of shingles
@@ -85,7 +94,7 @@ def _level(n: np.ndarray | float) -> np.ndarray:
 
 
 def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
-    """Log-scaled counts of all shingles by bucket: 2**BUCKET_BITS bytes whatever the size of the corpus."""
+    """Log-scaled counts of all shingles by bucket, repeats in a document included: 2**BUCKET_BITS bytes whatever the size of the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,9 +110,10 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> bytes:
                 pending.clear()
 
         for b in batches:
-            for g in _sets(b.column(0), k):
-                pending.append(g)
-                n += len(g)
+            for _, _, data, off in text_chunks(b.column(0)):
+                _, _, h, first = words_of(data, off)
+                pending.append(row_shingles(h, first, k)[0])
+                n += len(pending[-1])
                 if n > 500_000:
                     flush()
                     n = 0
@@ -149,24 +159,27 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int,
         rank = np.frombuffer(held.value, np.uint8)
         mask = np.uint64((1 << BUCKET_BITS) - 1)
         for b in batches:
-            size, f1, f2, prefix, light = [], [], [], [], []
-            for g in _sets(b.column(1), k):
-                n = len(g)
-                f = xxhash.xxh3_128_digest(g.tobytes())
-                size.append(n)
-                f1.append(int.from_bytes(f[:8], "little", signed=True))
-                f2.append(int.from_bytes(f[8:], "little", signed=True))
-                most = n - -(-percent * n // 100) + 1 if n else 0
+            for i, j, data, off in text_chunks(b.column(1)):
+                _, _, h, first = words_of(data, off)
+                g, at = row_shingles(h, first, k)
+                for r in range(j - i):
+                    g[at[r] : at[r + 1]].sort()
+                new = np.ones(len(g), bool)
+                new[1:] = g[1:] != g[:-1]
+                new[at[:-1][at[:-1] < at[1:]]] = True
+                g, at = g[new], np.append(0, np.cumsum(new))[at]
+                n = np.diff(at)
+                most = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 level = rank[g & mask]
-                first = np.lexsort((g, level))[:most]
-                prefix.append(g[first].view(np.int64))
-                light.append(int(np.searchsorted(level[first], bound)))
-            ends = np.cumsum([0, *map(len, prefix)])
-            values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array(light, pa.int32())],
-                ["doc_id", "n_shingles", "f1", "f2", "prefix", "light"],
-            )
+                digests = [xxhash.xxh3_128_digest(g[at[r] : at[r + 1]]) for r in range(j - i)]
+                taken = [at[r] + np.argsort(level[at[r] : at[r + 1]], kind="stable")[: most[r]] for r in range(j - i)]  # rare first, ties by hash
+                low = np.append(0, np.cumsum(level < bound))[at]
+                f = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                values = g[np.concatenate(taken)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)), pa.int32()), pa.array(values)), pa.array(np.minimum(np.diff(low), most), pa.int32())],
+                    ["doc_id", "n_shingles", "f1", "f2", "prefix", "light"],
+                )
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, light int")
 
@@ -185,11 +198,21 @@ def _place(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n >> 32, (n >> 1) & 0x7FFFFFFF, n & 1
 
 
-def index_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of lists with two sets or more, with the list's leader and whether it can link with the leader."""
+def index_lists(reps: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, place, hot, leader, star) of the lists with two sets or more.
+
+    place: the set's size and the shingle's position; hot: the list holds more than HOT_LIST sets; star: whether the set
+    can link with the list's leader, its smallest rep.
+    """
+    place = F.shiftleft(F.col("n_shingles"), 32) + F.shiftleft(F.col("pos").cast("long"), 1)
+    p = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "light", F.posexplode("prefix").alias("pos", "token")).withColumn("place", place)
+    # only shingles in full buckets can have long lists; they are counted exactly
+    hot = p.where("pos >= light").groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("rep", "place")).alias("l")).where(F.col("sets") > HOT_LIST)
+    hot = stored(hot.select("token", F.col("l.rep").alias("leader"), F.col("l.place").alias("first")), "hot", 0)
+    p = p.select("token", "rep", "place")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, at in runs(batches, ["token", "cell"]):
+        for c, at in runs(batches, ["token"]):
             length = np.diff(at)
             ok = np.repeat(length > 1, length)
             if not ok.any():
@@ -199,31 +222,39 @@ def index_lists(postings: DataFrame, percent: int) -> DataFrame:
             lead = by[at[:-1]][which]  # the smallest rep of each run
             n, pos, _ = _place(c["place"])
             star = _enough(n, pos, n[lead], pos[lead], percent) & (c["rep"] != c["rep"][lead])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][ok]) for x in ("token", "cell", "rep", "place")), pa.array(c["rep"][lead][ok]), pa.array(star[ok])], ["token", "cell", "rep", "place", "leader", "star"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x][ok]) for x in ("token", "rep", "place")), pa.array(c["rep"][lead][ok]), pa.array(star[ok])], ["token", "rep", "place", "leader", "star"])
 
-    cells = postings.repartition("token", "cell").sortWithinPartitions("token", "cell")
-    return cells.mapInArrow(keep, "token long, cell long, rep long, place long, leader long, star boolean")
+    short = p.join(hot.select("token"), "token", "left_anti").repartition("token").sortWithinPartitions("token")
+    short = short.mapInArrow(keep, "token long, rep long, place long, leader long, star boolean")
+    n, q = F.shiftright("place", 32), F.expr("shiftright(place, 1) & 2147483647L")
+    m, r = F.shiftright("first", 32), F.expr("shiftright(first, 1) & 2147483647L")
+    can = ((100 + percent) * F.least(n - q, m - r) >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col("rep") != F.col("leader"))
+    long = p.join(hot, "token").select("token", "rep", "place", "leader", can.alias("star"))
+    return short.withColumn("hot", F.lit(False)).union(long.withColumn("hot", F.lit(True)))
 
 
-def _postings(reps: DataFrame) -> DataFrame:
-    """(token, cell, rep, place) of all prefix shingles.
+def deal(lists: DataFrame) -> DataFrame:
+    """(token, cell, rep, place, leader, family): lists as cells in which every two sets of different families meet.
 
-    A list is a grid of cells i <= j, 1 x 1 but for long lists, where every two parts of the list meet in one cell.
-    place: the set's size and the shingle's position, and whether the posting is of part j (not i) of its cell.
+    A short list is one cell. Of a long list the largest family is dealt over ``parts`` columns, once for each of the
+    ``rows`` parts of the other sets; those lie in all columns of their part, and meet each other in a triangle of cells.
+    Long lists of one family are left out.
     """
-    p = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "light", F.posexplode("prefix").alias("pos", "token"))
-    # only shingles in full buckets can have long lists; they are counted exactly
-    hot = p.where("pos >= light").groupBy("token").count().where(F.col("count") > HOT_LIST).select("token", F.ceil(F.col("count") / HOT_LIST).cast("int").alias("parts"))
-    p = p.join(hot, "token", "left")
-    b = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
-    p = p.withColumn("b", b).withColumn("x", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    columns = ("token", "cell", "rep", "place", "leader", "family")
+    short = lists.where("not hot").withColumn("cell", F.lit(0).cast("long")).select(*columns)
+    sizes = lists.where("hot").groupBy("token", "family").agg(F.count("*").alias("sets")).groupBy("token").agg(F.max(F.struct("sets", "family")).alias("top"), F.sum("sets").alias("all"))
+    sizes = sizes.where("all > top.sets").select("token", F.col("top.family").alias("largest"), F.ceil(F.col("top.sets") / HOT_LIST).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("top.sets")) / HOT_LIST).cast("int").alias("rows"))
+    long = lists.where("hot").join(stored(sizes, "sizes", 0), "token")
+    inside = F.col("family") == F.col("largest")
+    long = long.withColumn("b", F.when(inside, F.col("rows") + F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rows"))).cast("int"))
+    long = long.withColumn("x", F.explode(F.when(inside, F.sequence(F.lit(0), F.col("rows") - 1)).otherwise(F.sequence(F.lit(0), F.col("rows") + F.col("parts") - 1))))
     i, j = F.least("b", "x").cast("long"), F.greatest("b", "x").cast("long")
-    place = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 1) + (F.col("b") > F.col("x")).cast("long")
-    return p.select("token", (F.shiftleft(i, 31) + j).alias("cell"), "rep", place.alias("place"))
+    long = long.withColumn("cell", F.shiftleft(i, 31) + j).withColumn("place", F.col("place") + (F.col("b") > F.col("x")).cast("long"))
+    return short.union(long.select(*columns))
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of sets of different families that a list holds and that can link, block by block."""
+def cross_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b, fa, fb), fa < fb: pairs of sets of different families that a list holds and that can link, block by block."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, at in runs(batches, ["token", "cell"]):
@@ -232,7 +263,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             two = at[:-1][np.diff(at) == 2]
             got.append((two, two + 1))
             for s, e in zip(at[:-1], at[1:], strict=True):
-                if e - s < 3:
+                if e - s < 3 or (c["family"][s:e] == c["family"][s]).all():
                     continue
                 order = s + np.lexsort((where[s:e], size[s:e]))
                 n, p = size[order], where[order]
@@ -251,16 +282,17 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         u, v = np.nonzero(ok)
                         got.append((order[x + u], order[y + v]))
             u, v = (np.concatenate(z) for z in zip(*got, strict=True))
-            ru, rv = c["rep"][u], c["rep"][v]
-            ok = _enough(size[u], where[u], size[v], where[v], percent) & (c["family"][u] != c["family"][v]) & (ru != rv)
+            ru, rv, fu, fv = c["rep"][u], c["rep"][v], c["family"][u], c["family"][v]
+            ok = _enough(size[u], where[u], size[v], where[v], percent) & (fu != fv) & (ru != rv)
             ok &= (ru != c["leader"][u]) & (rv != c["leader"][v])  # compared before
             ok &= (c["cell"][u] >> 31 == c["cell"][u] & 0x7FFFFFFF) | (side[u] != side[v])
             if ok.any():
-                ab = np.unique(np.stack([np.minimum(ru, rv)[ok], np.maximum(ru, rv)[ok]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+                first = fu < fv
+                rows = np.unique(np.stack([np.where(first, ru, rv)[ok], np.where(first, rv, ru)[ok], np.minimum(fu, fv)[ok], np.maximum(fu, fv)[ok]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "fa", "fb"])
 
-    cells = lists.repartition("token", "cell").sortWithinPartitions("token", "cell")
-    return cells.mapInArrow(pairs, "a long, b long").distinct()
+    dealt = cells.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return dealt.mapInArrow(pairs, "a long, b long, fa long, fb long").distinct()
 
 
 # ------------------------------------------------------------------ 4: verification
@@ -290,70 +322,124 @@ def texts_of(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(keep, "id long, t string")
 
 
-def verified(pairs: DataFrame, rows: int, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, overlap, n_a, n_b) of the pairs that link, from the whole texts. rows: about how many pairs there can be."""
+LINK = "a long, b long, overlap long, n_a long, n_b long, lacks array<long>, adds array<long>"
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of values of y in x; both sorted and distinct."""
+    if not len(x) or not len(y):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+
+def derived(base: int, left: np.ndarray, right: np.ndarray, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """The overlap of two sets from that of their leaders (base): x and y are (lacking, added) of left's and right's member."""
+    (lx, ax), (ly, ay) = x, y
+    both = base - _overlap(right, lx) - _overlap(left, ly) + _overlap(lx, ly)  # what remains of the leaders' overlap
+    both += _overlap(right, ax) - _overlap(ax, ly)  # x's additions that y kept
+    both += _overlap(left, ay) - _overlap(lx, ay)
+    return both + _overlap(ax, ay)
+
+
+def verified(pairs: DataFrame, rows: int, docs: DataFrame, id_col: str, text: str, k: int, percent: int, family: DataFrame | None = None) -> DataFrame:
+    """LINK rows of the pairs (a, b, fa, fb) that link; fa and fb are the leaders of a and b, or a and b themselves.
+
+    A task reads the text of fa once, then for each fb its text and the members' differences from ``family``
+    (rep, lacks, adds). An fa with more than GROUP pairs is dealt over parts. rows: about how many pairs there can be.
+    Differences are given where both ids have one set (rows of one doc_id may have several: any two of them may link).
+    """
     pairs = stored(pairs, "pairs", rows)
-    t = stored(texts_of(pairs, docs, id_col, text), "texts")
-    p = pairs.join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    t = stored(texts_of(pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")), docs, id_col, text), "texts")
+    big = pairs.groupBy("fa").count().where(F.col("count") > GROUP).select("fa", F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
+    p = pairs.join(big, "fa", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int")).drop("parts")
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("lx", "ax", "ly", "ay")]
+    lefts = p.select("fa", "part").distinct().select(F.col("fa").alias("id"), "fa", "part", F.lit(None).cast("long").alias("fb"))
+    rights = p.select("fa", "part", "fb").distinct().select(F.col("fb").alias("id"), "fa", "part", "fb")
+    texts = lefts.union(rights).join(t, "id").select("fa", "part", "fb", "t", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), *none)
+    if family is not None:
+        more = p.where("a <> fa or b <> fb")
+        more = more.join(family.select(F.col("rep").alias("a"), F.col("lacks").alias("lx"), F.col("adds").alias("ax")), "a", "left")
+        more = more.join(family.select(F.col("rep").alias("b"), F.col("lacks").alias("ly"), F.col("adds").alias("ay")), "b", "left")
+        texts = texts.union(more.select("fa", "part", "fb", F.lit(None).cast("string").alias("t"), "a", "b", "lx", "ax", "ly", "ay"))
+    dealt = texts.repartition("fa", "part").sortWithinPartitions("fa", "part", F.col("fb").asc_nulls_first(), F.col("a").asc_nulls_first(), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, held = None, np.zeros(0, np.uint64)
+        key, lefts, rights, base, decided = (None, None, None), [], [], [], True
+        out: list[tuple] = []
+
+        def links(both: int, n: int, m: int) -> bool:
+            return both > 0 and 100 * both >= percent * (n + m - both)
+
+        def leaders() -> None:
+            """Decide the pair of leaders, once all their texts are known."""
+            base[:] = [(x, y, _overlap(x, y)) for x in lefts for y in rights]
+            for x, y, both in base:
+                if links(both, len(x), len(y)):
+                    lacks, adds = (np.setdiff1d(*z, assume_unique=True).view(np.int64) if len(base) == 1 else None for z in ((x, y), (y, x)))
+                    out.append((key[0], key[2], both, len(x), len(y), lacks, adds))
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            out.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:5]), *(pa.array(x, pa.list_(pa.int64())) for x in columns[5:])], ["a", "b", "overlap", "n_a", "n_b", "lacks", "adds"])
+
         for batch in batches:
-            a, b, ta = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            out = []
-            for i, right in enumerate(_sets(batch.column(3), k)):
-                if (a[i], ta[i]) != left:  # the rows of one left set follow each other
-                    left, held = (a[i], ta[i]), next(_sets(ta.slice(i, 1), k))
-                at = np.searchsorted(held, right)
-                both = int((held[np.minimum(at, len(held) - 1)] == right).sum()) if len(held) else 0
-                if 100 * both >= percent * (len(held) + len(right) - both) and both:
-                    out.append((a[i], b[i], both, len(held), len(right)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], ["a", "b", "overlap", "n_a", "n_b"])
-
-    out = stored(p.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, overlap long, n_a long, n_b long"), "links")
+            fa, part, fb, a, b = (batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5))
+            lists = [(c.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), c.offsets.to_numpy()) for c in batch.columns[6:]]
+            for i, held in enumerate(_sets(batch.column(3), k)):
+                if (fa[i], part[i], fb[i]) != key:
+                    if not decided:
+                        leaders()
+                    if (fa[i], part[i]) != key[:2]:
+                        lefts.clear()
+                    key, decided = (fa[i], part[i], fb[i]), False
+                    rights.clear()
+                if a[i] is None:
+                    into = lefts if fb[i] is None else rights
+                    if not any(np.array_equal(held, x) for x in into):
+                        into.append(held)
+                    continue
+                if not decided:
+                    leaders()
+                    decided = True
+                lx, ax, ly, ay = (v[at[i] : at[i + 1]] for v, at in lists)
+                for left, right, known in base:
+                    n, m = len(left) - len(lx) + len(ax), len(right) - len(ly) + len(ay)
+                    if not links(min(known + len(ax) + len(ay), n, m), n, m):
+                        continue
+                    both = derived(known, left, right, (lx, ax), (ly, ay))
+                    if links(both, n, m):
+                        out.append((a[i], b[i], both, n, m, None, None) if a[i] < b[i] else (b[i], a[i], both, m, n, None, None))
+            if out:
+                yield taken()
+        if not decided:
+            leaders()
+        if out:
+            yield taken()
+
+    found = stored(dealt.select("fa", "part", "fb", "t", "a", "b", "lx", "ax", "ly", "ay").mapInArrow(check, LINK), "links")
     drop_stored(pairs)
     drop_stored(t)
-    return out
+    return found
 
 
-# ------------------------------------------------------------------ 6: links inside families
+# ------------------------------------------------------------------ 8: links inside families
 
 
-def family_links(family: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, overlap, n_a, n_b) of all links between two members of one family (rep, family), without the leader's own.
+def family_links(family: DataFrame, percent: int) -> DataFrame:
+    """(a, b, overlap, n_a, n_b) of all links between two members of one family, without the leader's own.
 
     With d the shingles that a member lacks or adds, the overlap of x and y is ``|leader| - lacking x - lacking y + |dx & dy|``.
-    A family is a grid of cells, as hot lists are.
+    A family is a grid of cells of at most about HOT_LIST members by HOT_LIST.
     """
     several = family.groupBy("family").count().where("count > 1").select("family", F.ceil(F.col("count") / HOT_LIST).cast("int").alias("parts"))
-    pairs = stored(family.join(several, "family").select(F.col("family").alias("a"), F.col("rep").alias("b"), "parts"), "members")
-    t = stored(texts_of(pairs, docs, id_col, text), "texts")
-    p = pairs.join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, held, print_ = None, np.zeros(0, np.uint64), 0
-        for batch in batches:
-            a, ta = batch.column(0).to_pylist(), batch.column(3)
-            out, d = [], []
-            for i, right in enumerate(_sets(batch.column(4), k)):
-                if (a[i], ta[i]) != left:  # the rows of one leader follow each other
-                    left, held = (a[i], ta[i]), next(_sets(ta.slice(i, 1), k))
-                    print_ = xxhash.xxh3_64_intdigest(held.tobytes()) >> 1
-                d.append(np.setxor1d(held, right, assume_unique=True).view(np.int64))
-                lacking = (len(d[-1]) + len(held) - len(right)) // 2
-                out.append((print_, len(held), len(right), lacking))
-            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, d)]), pa.int32()), pa.array(np.concatenate(d) if d else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, lists], ["family", "rep", "parts", "print", "size", "n", "lacking", "d"])
-
-    m = stored(p.select("a", "b", "parts", "ta", "tb").mapInArrow(differ, "family long, rep long, parts int, print long, size long, n long, lacking long, d array<long>"), "differences")
-    m = m.withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("family", "print", F.least("p", "x").alias("i"), F.greatest("p", "x").alias("j"), (F.col("p") > F.col("x")).alias("side"), "rep", "size", "n", "lacking", "d")
+    m = family.join(several, "family").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("family", F.least("p", "x").alias("i"), F.greatest("p", "x").alias("j"), (F.col("p") > F.col("x")).alias("side"), "rep", "size", "n", F.size("lacks").cast("long").alias("lacking"), F.concat("lacks", "adds").alias("d"))
 
     def decide(table: pa.Table) -> pa.Table:
         rep, n, lacking, side = (table[c].to_numpy() for c in ("rep", "n", "lacking", "side"))
         lists = table["d"].combine_chunks()
-        token, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        token, which = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
         owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
         both = np.zeros((len(rep), len(rep)), np.int64)
         for s in range(0, len(token), 4096):
@@ -368,9 +454,7 @@ def family_links(family: DataFrame, docs: DataFrame, id_col: str, text: str, k:
         u, v = np.nonzero(ok)
         return pa.table({"a": rep[u], "b": rep[v], "overlap": both[u, v], "n_a": n[u], "n_b": n[v]})
 
-    drop_stored(pairs)
-    drop_stored(t)
-    return m.groupBy("family", "print", "i", "j").applyInArrow(decide, "a long, b long, overlap long, n_a long, n_b long").distinct()
+    return m.groupBy("family", "i", "j").applyInArrow(decide, "a long, b long, overlap long, n_a long, n_b long")
 
 
 # ------------------------------------------------------------------ the operator
@@ -388,24 +472,26 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes", sets.count())
     reps = sets.join(classes, (sets.doc_id == classes.rep) & (sets.f1 == classes.f1) & (sets.f2 == classes.f2), "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    lists = stored(index_lists(_postings(reps), percent), "lists")
+    reps = stored(reps.select("doc_id", "n_shingles", "prefix", "light"), "reps")
     heads = stored(sets.drop("prefix", "light"), "heads")
     drop_stored(sets)
-    star = lists.where("star").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    lists = stored(index_lists(reps, percent), "lists")
+    drop_stored(reps)
     size = lists.count()
+    star = lists.where("star").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader").alias("fa"), F.col("rep").alias("fb")).distinct()
     first = verified(star, size, docs, id_col, text, k, percent)
-    family = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("family"))
-    family = stored(family.withColumn("family", F.least("rep", "family")), "family", first.count())
-    rest = lists.drop("star").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    second = verified(cross_pairs(rest.select("token", "cell", "rep", "place", "leader", "family"), percent), size, docs, id_col, text, k, percent)
+    nearest = first.where("lacks is not null").groupBy("b").agg(F.min("a").alias("a"))
+    family = first.where("lacks is not null").join(nearest, ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("family"), F.col("n_a").alias("size"), F.col("n_b").alias("n"), "lacks", "adds")
+    family = stored(family, "family")
+    rest = lists.drop("star").join(family.select("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    second = verified(cross_pairs(deal(stored(rest, "rest", size)), percent), size, docs, id_col, text, k, percent, family)
     drop_stored(lists)
-    links = first.union(second)
+    links = first.union(second).drop("lacks", "adds")
     nodes = components(links.select("a", "b"))
     named = heads.join(classes, ["f1", "f2"], "left")
     named = named.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     nodes = nodes.select(F.col("node").alias("rep"), "component")
     out = named.join(nodes, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
     if complete:
-        inside = family_links(family, docs, id_col, text, k, percent)
-        links = links.union(inside.join(first.select("a", "b"), ["a", "b"], "left_anti").select(*links.columns))
-    return out, links
+        links = links.union(family_links(family, percent))
+    return out, links.dropDuplicates(["a", "b"])

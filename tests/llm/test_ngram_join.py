@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkwell.llm.ngram_join as m
-from sparkwell.llm.common import components, runs, shingles, text_chunks, words_of
+from sparkwell.llm.common import components, row_shingles, runs, shingles, text_chunks, words_of
 from sparkwell.llm.ngram_join import _packed, _unpacked, ngram_jaccard_join, texts_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,3 +162,69 @@ def test_components(spark):
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert components(e.where(F.lit(False))).count() == 0
+
+
+def test_shingles_of_several_texts():
+    rng = np.random.default_rng(0)
+    lengths = [0, 1, 2, 3, 4, 9, 0, 2, 30]
+    words = rng.integers(0, 2**63, sum(lengths)).astype(np.uint64)
+    first = np.cumsum([0, *lengths])
+    for k in (1, 3, 5):
+        g, at = row_shingles(words, first, k)
+        for r in range(len(lengths)):
+            assert np.array_equal(np.unique(g[at[r] : at[r + 1]]), shingles(words[first[r] : first[r + 1]], k))
+
+
+def test_derived_overlaps():
+    """The overlap of two members from their leaders' overlap and their differences, against the sets themselves."""
+    rng = np.random.default_rng(1)
+    pick = lambda x, n: np.unique(rng.choice(x, n)).astype(np.uint64)
+    for _ in range(200):
+        left, right, x, y = (pick(60, rng.integers(0, 60)) for _ in range(4))
+        diff = lambda s, lead: (np.setdiff1d(lead, s), np.setdiff1d(s, lead))
+        assert m.derived(m._overlap(left, right), left, right, diff(x, left), diff(y, right)) == len(np.intersect1d(x, y))
+
+
+def test_members_answers_come_from_their_leaders(spark, monkeypatch):
+    """Two families whose members link across, and long lists of several families: links and components as by brute force."""
+    for hot, group in ((1024, 4096), (5, 3)):
+        monkeypatch.setattr(m, "HOT_LIST", hot)
+        monkeypatch.setattr(m, "GROUP", group)
+        rng = random.Random(9)
+        base = [f"c{j}" for j in range(150)]
+        rows = []
+        for start in (0, 4, 8, 12):  # further and further from the first text
+            near = [f"d{j}" if j < start else base[j] for j in range(150)]
+            for _ in range(8):
+                w = list(near)
+                w[rng.randrange(20, 150)] = f"z{rng.randrange(4)}"
+                rows.append((len(rows), " ".join(w)))
+        rng.shuffle(rows)
+        rows += [(5, "another text of the id five " + " ".join(base)), (40, "short"), (41, "SHORT")]
+        _, links = check(spark, rows)
+        first = {}
+        for i, t in rows:
+            s = frozenset(shingle_set(t, 3))
+            first[s] = min(first.get(s, i), i)
+        sets = [(i, s) for s, i in first.items()]
+        want = {(min(a, b), max(a, b)) for (a, x), (b, y) in combinations(sets, 2) if a != b and 100 * len(x & y) >= 90 * len(x | y)}
+        assert {(r.a, r.b) for r in links.collect()} == want
+
+
+def test_a_large_cluster_is_linear(spark):
+    """5,000 near copies of one text: every list row is dealt once, and no pair of two members is made."""
+    base = [f"c{j}" for j in range(200)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[: i % 190], f"x{i}", *base[i % 190 :]])) for i in range(1, 5000)] + [(9000 + i, f"q{i} r{i} s{i} t{i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    order = m.shingle_order(docs, "text", 3)
+    sets = m.shingle_sets(docs, "doc_id", "text", 3, 90, order).cache()
+    postings = sets.select(F.sum(F.size("prefix"))).first()[0]
+    lists = m.index_lists(sets, 90).cache()
+    assert lists.where("hot").count() > 4 * m.HOT_LIST and lists.count() <= postings
+    one = lists.withColumn("family", F.when(F.col("rep") < 9000, 0).otherwise(F.col("rep")))
+    assert m.deal(one).where("cell > 0").count() == 0
+    few = lists.withColumn("family", F.when((F.col("rep") < 9000) & (F.col("rep") % 100 > 0), 1).otherwise(F.col("rep")))
+    assert m.deal(few).count() <= 2 * postings
+    members, links = ngram_jaccard_join(spark, docs, 3, 90, complete=False)
+    assert members.where("component_id = 0").count() == 5000 and members.where("component_id <> doc_id").count() == 4999
+    assert links.count() < 2 * 5000
