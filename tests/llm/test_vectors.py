@@ -106,3 +106,38 @@ def test_hot_bucket_is_dealt_over_cells(spark, n, monkeypatch):
     rows = [(i, [float(x) for x in base + 0.001 * rng.standard_normal(16)], 1) for i in range(600)]
     got = near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert all(r.n_links == 599 and r.component_id == 0 for r in got)
+
+
+@pytest.mark.parametrize("d", [10, 16, 64])
+def test_recall_at_the_threshold(spark, d):
+    """Pairs planted at cosines of 0.93 to 0.94, the hardest to find, beside unrelated vectors: recall of at least 0.99."""
+    rng = np.random.default_rng(d)
+    rows, want = [], 0
+    for i in range(1500):
+        x, y = rng.standard_normal((2, d))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = rng.uniform(0.9301, 0.94)
+        rows += [(2 * i, x.tolist(), "l"), (2 * i + 1, (3 * (c * x + math.sqrt(1 - c * c) * y)).tolist(), "l")]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    got = {r.vec_id: r.n_links for r in near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)).collect()}
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() >= 2900
+
+
+def test_large_buckets_match_brute_force(spark):
+    """Buckets over SMALL go in tiles: clusters of 150 at many distances, with copies and one id of two vectors."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(3):
+        base = rng.standard_normal(24)
+        rows += [(len(rows) + j, (base + rng.uniform(0, 0.45) * rng.standard_normal(24)).tolist(), "a") for j in range(150)]
+    rows += [(900 + j, rows[j % 5][1], "a") for j in range(20)] + [(3, rows[200][1], "a")]
+    got = {r.vec_id: r.n_links for r in near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)).collect() if r.vec_id != 3}
+    want = {i: n for i, (n, _) in brute_links(rows, 0.93).items() if i != 3}
+    assert sum(abs(got[i] - want[i]) for i in want) <= 0.01 * sum(want.values())
