@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..sources.tables import DOC_TYPES
-from .retrieval import B, K1, idf, term_score
+from .retrieval import B, K1, fit, pair_scores
 
 FEATURES = ("set_cosine", "bm25", "overlap", "doc_words", *(f"type_{i}" for i in range(5)), "same_specialty")
 
@@ -23,15 +23,8 @@ def one_hot(column: Column, values: tuple[str, ...], prefix: str = "type_") -> l
 
 def bm25_feature(pairs: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25): distinct query terms against the pair's own text, with the corpus' statistics."""
-    d = corpus.select("doc_id", S.tokens(F.col("body_text")).alias("t"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("avgdl"))
-    p = pairs.select("query_id", "doc_id", F.array_distinct(S.tokens(F.col("query_text"))).alias("q"), S.tokens(F.col("body_text")).alias("t"))
-    p = p.select("query_id", "doc_id", F.size("t").cast("double").alias("dl"), F.explode(F.array_intersect("q", "t")).alias("term"), "t")
-    p = p.withColumn("tf", F.size(F.filter("t", lambda x: x == F.col("term")))).drop("t")
-    wanted = p.select("term").distinct()
-    df = d.select("doc_id", F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    w = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
-    return p.join(w, "term").groupBy("query_id", "doc_id").agg(F.sum(term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("bm25"))
+    queries = pairs.select("query_id", "query_text").dropDuplicates(["query_id"])
+    return pair_scores(fit(corpus), pairs, queries, k1, b, distinct=True, least_avgdl=1.0).withColumnRenamed("score", "bm25")
 
 
 def pair_features(pairs: DataFrame, corpus: DataFrame, types: tuple[str, ...] = DOC_TYPES) -> DataFrame:

@@ -1,17 +1,31 @@
-"""BM25 over a distributed postings table, TF-IDF, and retrieval reports."""
+"""BM25 over a stored index with a row a document, TF-IDF, and retrieval reports.
+
+``fit`` tokenizes the corpus once and writes (doc_id, dl, terms, tfs). Retrieval scores each document inside its own row
+against the terms of all queries, which are broadcast up to MOST_TERMS, and keeps the best k of each task: pairs of query and
+document are never shuffled. More query terms than that are joined instead.
+"""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..sources.shared import written
 from .analytics import top
 
+#: Terms of queries (a row for each query and term) that are broadcast: 100 MB at most.
+MOST_TERMS = 4_000_000
+#: Cells of a block of documents by queries in a task, and bytes of text tokenized at once.
+CELLS, SLICE = 1 << 21, 4 << 20
 K1, B = 1.5, 0.75
 
 # The report's queries, each with terms for the same concept that share no token with it.
@@ -26,22 +40,72 @@ MISMATCH_CASES = (
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), lengths (doc_id, dl), terms (term, df, idf), stats (one row: n_docs, avgdl)."""
-
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "body_text") -> Index:
-    d = docs.select(F.col(id_col).alias("doc_id"), S.tokens(F.col(text)).alias("t"))
-    lengths = d.select("doc_id", F.size("t").cast("long").alias("dl"))
-    postings = d.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return Index(postings, lengths, terms, stats)
+    """docs (doc_id, dl, terms, tfs), a row a document, and where they are stored."""
+
+    docs: DataFrame
+    path: str | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, tf)."""
+        return self.docs.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("x.terms", "doc_id", F.col("x.tfs").alias("tf")).toDF("term", "doc_id", "tf")
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: n_docs, avgdl."""
+        return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf)."""
+        return self.weights().select("term", "df", "idf")
+
+    def weights(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """(term, df, idf, avgdl) of the terms in the vocabulary, or of all."""
+        if self.path:
+            df = self.docs.sparkSession.read.parquet(f"{self.path}/terms")
+            df = df if vocabulary is None else df.join(vocabulary, "term", "left_semi")
+        else:
+            t = self.docs.select(F.explode("terms").alias("term"))
+            df = (t if vocabulary is None else t.join(vocabulary, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
+        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document length, distinct terms and their counts of lower-cased texts."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
+            n = stop - start
+            lists = pc.split_pattern_regex(pc.fill_null(b.column(1).slice(start, n), ""), "[^a-z0-9]+")
+            word, row = lists.flatten(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+            real = pc.not_equal(word, "")
+            word, row = word.filter(real), row[real.to_numpy(zero_copy_only=False)]
+            coded = word.dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            key, tf = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(n + 1) * width), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % width)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), pa.array(np.bincount(row, minlength=n)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["doc_id", "dl", "terms", "tfs"])
+            start = stop
+
+
+def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "body_text") -> Index:
+    """Tokenize docs once and store the index, under path to be loaded again, else for this session."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.lower(text).alias("t"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    rows = d.mapInArrow(_counted, f"doc_id {kind}, dl long, terms array<string>, tfs array<long>")
+    if path is None:
+        return Index(written(rows, "index"))
+    stored = Index(written(rows, "index", f"{path}/docs"))
+    stored.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    return load(docs.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/docs"), path)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -60,46 +124,128 @@ def query_terms(queries: DataFrame, distinct: bool = False, id_col: str = "query
     return q.withColumn("qtf", F.lit(1).cast("long")) if distinct else q
 
 
-def matched_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, grid: DataFrame | None = None, id_col: str = "doc_id", text: str = "body_text") -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term, in one pass over the texts.
-
-    The corpus is exploded for the queries' vocabulary only: each document keeps its terms that occur in a query before
-    anything is shuffled (a semi-join, broadcast where the optimizer finds the vocabulary small enough).
-    With grid (columns k1, b) every pair of parameters is scored.
-    """
+def _weighted(index: Index, queries: DataFrame, distinct: bool) -> DataFrame:
+    """(query_id, term, qtf, idf, avgdl) of the query terms that the corpus has."""
     q = query_terms(queries, distinct)
-    vocabulary = q.select("term").distinct()
-    d = docs.select(F.col(id_col).alias("doc_id"), S.tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = d.select("doc_id", "dl", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
-    p = hits.join(q.join(weights, "term"), "term")
-    part = lambda x, y: F.sum(F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), x, y))
-    if grid is not None:
-        pairs = [(r["k1"], r["b"]) for r in grid.collect()]  # a small parameter table; its pairs become columns of one aggregation
-        sums = p.groupBy("query_id", "doc_id").agg(*(part(x, y).alias(f"s{i}") for i, (x, y) in enumerate(pairs)))
-        each = F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"s{i}").alias("score")) for i, (x, y) in enumerate(pairs)))
-        return sums.select("query_id", "doc_id", F.explode(each).alias("e")).select("e.k1", "e.b", "query_id", "doc_id", "e.score")
-    return p.groupBy("query_id", "doc_id").agg(part(k1, b).alias("score"))
-
-
-def retrieve(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, padded: bool = False, digits: int = 6) -> DataFrame:
+    return q.join(index.weights(q.select("term").distinct()), "term").select("query_id", "term", "qtf", "idf", "avgdl")
+
+
+def _scorer(held, pairs: list[tuple[float, float]], k: int | None, margin: float):
+    """Scores of a task's documents; of each query the best k (and all within the margin of the k-th) where k is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, vocabulary, first, who, weight, idf_, avgdl = held.value
+        if not len(query):
+            return
+        words, least, kept = pa.array(vocabulary, pa.string()), np.full(len(query), -np.inf), []
+
+        def best() -> None:
+            """Drop what cannot be among the k best: by score, then id."""
+            ids, q, s = pa.chunked_array([i for i, _, _ in kept]).combine_chunks(), np.concatenate([x for _, x, _ in kept]), np.concatenate([x for _, _, x in kept])
+            order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -s, q))
+            q, s = q[order], s[order]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1])
+            at = np.flatnonzero(new)
+            among = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q))))  # place among equal scores
+            start = np.searchsorted(q, np.arange(len(query)))
+            last = np.minimum(start + k - 1, len(q) - 1)
+            full = np.append(start[1:], len(q)) - start >= k
+            least[full] = s[last[full]] - margin
+            stay = (among < k) & (s >= least[q])
+            kept[:] = [(ids.take(pa.array(order[stay])), q[stay], s[stay])]
+
+        for b in batches:
+            at = b.column(2).offsets.to_numpy()
+            found = pc.index_in(b.column(2).values, words)
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            term, tf = found.take(pa.array(hit)).to_numpy(), b.column(3).values.to_numpy()[hit].astype(float)
+            row = np.searchsorted(at, hit, "right") - 1
+            dl = b.column(1).to_numpy().astype(float)
+            block = max(1, CELLS // len(query))
+            for s in range(0, b.num_rows, block):
+                lo, hi = np.searchsorted(row, (s, min(s + block, b.num_rows)))
+                t, r, n = term[lo:hi], row[lo:hi] - s, min(block, b.num_rows - s)
+                many = first[t + 1] - first[t]
+                entry = np.repeat(first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())  # the queries of each hit's term
+                cell = np.repeat(r, many) * len(query) + who[entry]
+                totals = []
+                for k1, b_ in pairs:
+                    x = idf_[t] * tf[lo:hi] * (k1 + 1) / (tf[lo:hi] + k1 * (1 - b_ + b_ * dl[row[lo:hi]] / avgdl))
+                    totals.append(np.bincount(cell, np.repeat(x, many) * weight[entry], n * len(query)).astype(float))  # of no cell: integers
+                if k is None:
+                    out = np.flatnonzero(totals[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(out % len(query))), b.column(0).take(pa.array(s + out // len(query))), *(pa.array(x[out]) for x in totals)], ["query_id", "doc_id", *(f"s{i}" for i in range(len(pairs)))])
+                    continue
+                x = totals[0].reshape(n, -1)
+                r, q = np.nonzero((x > 0) & (x >= least))
+                kept.append((b.column(0).take(pa.array(s + r)), q, x[r, q]))
+                if sum(len(x) for _, x, _ in kept) > CELLS:
+                    best()
+        if kept:
+            best()
+            ids, q, s = kept[0]
+            yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(q)), ids, pa.array(s)], ["query_id", "doc_id", "s0"])
+
+    return run
+
+
+def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, grid: DataFrame | None = None, best: int | None = None, margin: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score) of all pairs that share a term.
+
+    With grid (columns k1, b) every pair of parameters is scored. best: only pairs that may be among a query's best are
+    needed, by score and then id; those within the margin of them are given too.
+    """
+    pairs = [(k1, b)] if grid is None else [(r["k1"], r["b"]) for r in grid.collect()]  # a small parameter table
+    names = [f"s{i}" for i in range(len(pairs))]
+    w = _weighted(index, queries, distinct)
+    types = {"query_id": w.schema["query_id"].dataType.simpleString(), "doc_id": index.docs.schema["doc_id"].dataType.simpleString()}
+    rows = w.limit(MOST_TERMS + 1).toArrow()
+    if rows.num_rows <= MOST_TERMS:
+        rows = rows.sort_by([("term", "ascending")]).combine_chunks()
+        query, vocabulary = rows["query_id"].combine_chunks().dictionary_encode(), rows["term"].combine_chunks().dictionary_encode()
+        code = vocabulary.indices.to_numpy()
+        first = np.searchsorted(code, np.arange(len(vocabulary.dictionary) + 1))
+        idf_ = rows["idf"].to_numpy()[first[:-1]] if rows.num_rows else np.zeros(0)
+        data = (query.dictionary, vocabulary.dictionary.to_pylist(), first, query.indices.to_numpy(), rows["qtf"].to_numpy().astype(float), idf_, float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0)
+        run = _scorer(index.docs.sparkSession.sparkContext.broadcast(data), pairs, best if grid is None else None, margin)
+        sums = index.docs.select("doc_id", "dl", "terms", "tfs").mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in types.items()), *(f"{n} double" for n in names)]))
+    else:
+        hits = index.docs.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        part = lambda x, y: F.sum(F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), x, y))
+        sums = hits.join(w, "term").groupBy("query_id", "doc_id").agg(*(part(x, y).alias(n) for n, (x, y) in zip(names, pairs, strict=True)))
+    if grid is None:
+        return sums.select("query_id", "doc_id", F.col("s0").alias("score"))
+    each = F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(n).alias("score")) for n, (x, y) in zip(names, pairs, strict=True)))
+    return sums.select("query_id", "doc_id", F.explode(each).alias("e")).select("e.k1", "e.b", "query_id", "doc_id", "e.score")
+
+
+def pair_scores(index: Index, pairs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, least_avgdl: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score) of the given pairs alone, 0 where no term is shared; other documents' texts aren't scored."""
+    w = _weighted(index, queries, distinct).groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "idf")).alias("w"), F.first("avgdl").alias("avgdl"))
+    p = pairs.select("query_id", "doc_id").distinct().join(index.docs, "doc_id").join(w, "query_id", "left")
+    avgdl = F.greatest("avgdl", F.lit(float(least_avgdl)))
+    tf = lambda t: F.element_at("tfs", F.array_position("terms", t).cast("int"))
+    one = lambda x: F.when(F.array_contains("terms", x["term"]), x["qtf"] * term_score(tf(x["term"]), x["idf"], F.col("dl"), avgdl, k1, b)).otherwise(0.0)
+    return p.select("query_id", "doc_id", F.coalesce(F.aggregate("w", F.lit(0.0), lambda a, x: a + one(x)), F.lit(0.0)).alias("score"))
+
+
+def retrieve(index: Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, padded: bool = False, digits: int = 6) -> DataFrame:
     """(query_id, rank, doc_id, score): the best documents by the rounded score, ties by doc_id.
 
     padded: a query with fewer matches is filled up with unmatched documents of score 0 in the order of doc_id. Only the
     top_k smallest ids and the matches can ever be needed for that, so no query meets the whole corpus.
     """
-    s = matched_scores(docs, queries, k1, b).withColumn("score", F.round("score", digits))
+    s = matched_scores(index, queries, k1, b, best=top_k, margin=2 * 10.0**-digits).withColumn("score", F.round("score", digits))
     if padded:
         # among the first top_k + m ids at least top_k are unmatched, where m < top_k matches are all a short list has
-        first = docs.select("doc_id").orderBy("doc_id").limit(2 * top_k)
+        first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * top_k)
         blank = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
         s = s.union(blank.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return top(s, ["query_id"], [F.col("score").desc(), F.col("doc_id")], top_k).select("query_id", "rank", "doc_id", "score")
 
 
-def mismatch_report(docs: DataFrame, cases=MISMATCH_CASES, examples: int = 5) -> DataFrame:
+def mismatch_report(index: Index, docs: DataFrame, cases=MISMATCH_CASES, examples: int = 5) -> DataFrame:
     """Documents that hold an expected term, with the query's score: (case_id, query, found, n, doc_id, matched_term, bm25_score, text_preview).
 
     A document appears once for each matched term; found counts all, and the first examples by (term, doc_id) are listed.
@@ -107,26 +253,25 @@ def mismatch_report(docs: DataFrame, cases=MISMATCH_CASES, examples: int = 5) ->
     spark = docs.sparkSession
     terms = spark.createDataFrame([(i, q, j, t) for i, (q, ts) in enumerate(cases) for j, t in enumerate(ts)], "case_id int, query string, term_no int, matched_term string")
     queries = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "query_id int, query_text string")
-    scores = matched_scores(docs, queries).select(F.col("query_id").alias("case_id"), "doc_id", "score")
     hit = docs.join(F.broadcast(terms), S.contains_ignoring_case(F.col("body_text"), F.col("matched_term")))  # a fixed list of terms
     hit = hit.select("case_id", "query", "term_no", "matched_term", "doc_id", F.substring("body_text", 1, 200).alias("text_preview"))
     found = hit.groupBy("case_id").agg(F.count("*").alias("found"))
-    hit = top(hit, ["case_id"], [F.col("term_no"), F.col("doc_id")], examples, "n").join(scores, ["case_id", "doc_id"], "left").join(found, "case_id")
-    return hit.select("case_id", "query", "found", "n", "doc_id", "matched_term", F.coalesce("score", F.lit(0.0)).alias("bm25_score"), "text_preview")
+    hit = top(hit, ["case_id"], [F.col("term_no"), F.col("doc_id")], examples, "n").join(found, "case_id")
+    scores = pair_scores(index, hit.select(F.col("case_id").alias("query_id"), "doc_id"), queries).withColumnRenamed("query_id", "case_id").withColumnRenamed("score", "bm25_score")
+    hit = hit.join(scores, ["case_id", "doc_id"])
+    return hit.select("case_id", "query", "found", "n", "doc_id", "matched_term", "bm25_score", "text_preview")
 
 
 def parameter_grid(spark: SparkSession, k1s: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5), bs: tuple[float, ...] = (0.5, 0.75, 1.0)) -> DataFrame:
     return spark.createDataFrame([(float(k), float(b)) for k in k1s for b in bs], "k1 double, b double")
 
 
-def measure_latency(docs: DataFrame, queries: list[str], top_k: int = 10) -> dict[str, float]:
-    """Wall-clock percentiles (linearly interpolated) of single-query retrieval, in milliseconds."""
-    import numpy as np
-
-    spark, ms = docs.sparkSession, []
+def measure_latency(index: Index, queries: list[str], top_k: int = 10) -> dict[str, float]:
+    """Wall-clock percentiles (linearly interpolated) of single-query retrieval from a stored index, in milliseconds."""
+    spark, ms = index.docs.sparkSession, []
     for q in queries:
         t = time.perf_counter()
-        retrieve(docs, spark.createDataFrame([(0, q)], "query_id int, query_text string"), top_k).collect()
+        retrieve(index, spark.createDataFrame([(0, q)], "query_id int, query_text string"), top_k).collect()
         ms.append((time.perf_counter() - t) * 1000)
     a = np.array(ms)
     return {"p50_ms": float(np.percentile(a, 50)), "p95_ms": float(np.percentile(a, 95)), "p99_ms": float(np.percentile(a, 99)), "mean_ms": float(a.mean()), "num_queries": len(ms)}

@@ -284,22 +284,22 @@ sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.
 
 @query("b2_corpus_stats", _BM + " SELECT n AS n_docs, round(a, 6) AS avgdl FROM st")
 def _(spark, d):
-    return rounded(B.build_index(bridge.documents(spark, d)).stats)
+    return rounded(B.fit(bridge.documents(spark, d)).stats)
 
 
 @query("b2_postings", _BM + " SELECT term, doc_id, tf FROM tf")
 def _(spark, d):
-    return B.build_index(bridge.documents(spark, d)).postings
+    return B.fit(bridge.documents(spark, d)).postings
 
 
 @query("b3_term_stats", _BM + " SELECT term, df, round(idf, 6) AS idf FROM w")
 def _(spark, d):
-    return rounded(B.build_index(bridge.documents(spark, d)).terms)
+    return rounded(B.fit(bridge.documents(spark, d)).terms)
 
 
 @query("b5_bm25_scores", _BM + " SELECT * FROM sc")
 def _(spark, d):
-    return rounded(B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d)))
+    return rounded(B.matched_scores(B.fit(bridge.documents(spark, d)), bridge.search_queries(spark, d)))
 
 
 _TOP = " SELECT query_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM {}) WHERE n <= 10"
@@ -307,12 +307,12 @@ _TOP = " SELECT query_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM (SELECT
 
 @query("t2_bm25_top10", _BM + _TOP.format("sc"))
 def _(spark, d):
-    return B.retrieve(bridge.documents(spark, d), bridge.search_queries(spark, d))
+    return B.retrieve(B.fit(bridge.documents(spark, d)), bridge.search_queries(spark, d))
 
 
 @query("t2_bm25_top10_padded", _BM + ", p AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT query_id, doc_id FROM l_queries, l_documents) LEFT JOIN sc USING (query_id, doc_id))" + _TOP.format("p"))
 def _(spark, d):
-    return B.retrieve(bridge.documents(spark, d), bridge.search_queries(spark, d), padded=True)
+    return B.retrieve(B.fit(bridge.documents(spark, d)), bridge.search_queries(spark, d), padded=True)
 
 
 _CASES = ", ".join(f"({i}, '{q}', {j}, '{t}')" for i, (q, ts) in enumerate(B.MISMATCH_CASES) for j, t in enumerate(ts))
@@ -328,7 +328,7 @@ f AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS found, row_number() OVER
 SELECT case_id, query, found, CAST(n AS INTEGER) AS n, doc_id, term AS matched_term, round(coalesce(s, 0), 6) AS bm25_score, text_preview FROM f LEFT JOIN cs USING (case_id, doc_id) WHERE n <= 5""",
 )
 def _(spark, d):
-    return rounded(B.mismatch_report(bridge.documents(spark, d), (*B.MISMATCH_CASES, ("the thon", ("tion", "erst")))))
+    return rounded(B.mismatch_report(B.fit(bridge.documents(spark, d)), bridge.documents(spark, d), (*B.MISMATCH_CASES, ("the thon", ("tion", "erst")))))
 
 
 _K1, _BS = (1.0, 1.5, 2.0, 2.5), (0.5, 0.75, 1.0)
@@ -340,7 +340,7 @@ _K1, _BS = (1.0, 1.5, 2.0, 2.5), (0.5, 0.75, 1.0)
 SELECT k1, b, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM s GROUP BY 1, 2""",
 )
 def _(spark, d):
-    s = B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d), grid=B.parameter_grid(spark, _K1, _BS))
+    s = B.matched_scores(B.fit(bridge.documents(spark, d)), bridge.search_queries(spark, d), grid=B.parameter_grid(spark, _K1, _BS))
     return rounded(s.groupBy("k1", "b").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score")))
 
 
@@ -348,8 +348,8 @@ _JUDGED = _BM + ", js AS (SELECT query_id, doc_id, relevance_score, coalesce(sco
 
 
 def _judged_scores(spark, d):
-    s = rounded(B.matched_scores(bridge.documents(spark, d), bridge.search_queries(spark, d)))
-    return bridge.judgments(spark, d).join(s, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    judged = bridge.judgments(spark, d)
+    return judged.join(rounded(B.pair_scores(B.fit(bridge.documents(spark, d)), judged, bridge.search_queries(spark, d))), ["query_id", "doc_id"])
 
 
 _NDCG = """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS i FROM js),

@@ -114,17 +114,50 @@ def bm25(query, text, k1=1.5, b=0.75):
     return out
 
 
+def test_bm25_more_terms_than_are_broadcast(spark, monkeypatch):
+    docs, queries = spark.createDataFrame(CORPUS, "doc_id string, body_text string"), spark.createDataFrame(ASKED, "query_id string, query_text string")
+    index, rounded = B.fit(docs), lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in df.collect())
+    want = rounded(B.matched_scores(index, queries))
+    monkeypatch.setattr(B, "MOST_TERMS", 0)
+    assert rounded(B.matched_scores(index, queries)) == want
+
+
+def test_bm25_best_of_each_task(spark, monkeypatch):
+    """Lists are cut often here; ties stay in the order of ids, and a stored index gives the same."""
+    import random
+
+    monkeypatch.setattr(B, "CELLS", 64)
+    rng = random.Random(1)
+    words = ["ash", "Birch", "cedar", "oak", "elm", "fir", "É", "a1"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6)))) for i in range(300)] + [(300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, body_text string").repartition(3)
+    queries = spark.createDataFrame([(j, " ".join(rng.sample(words, 3))) for j in range(12)] + [(99, ""), (98, None)], "query_id int, query_text string")
+    index = B.fit(docs)
+    every = B.matched_scores(index, queries).withColumn("score", F.round("score", 6))
+    want = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in A.top(every, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 5).collect())
+    assert sorted(map(tuple, B.retrieve(index, queries, 5).collect())) == want
+    from sparkwell.sources.shared import new_path
+
+    path = new_path(spark, "kept")
+    assert sorted(map(tuple, B.retrieve(B.fit(docs, path), queries, 5).collect())) == want
+    assert sorted(map(tuple, B.retrieve(B.load(spark, path), queries, 5).collect())) == want
+    some = every.where("doc_id % 7 = 0")
+    pairs = some.select("query_id", "doc_id").union(spark.createDataFrame([(99, 1), (0, 300)], "query_id int, doc_id long"))
+    got = {(r.query_id, r.doc_id): round(r.score, 6) for r in B.pair_scores(index, pairs, queries).collect()}
+    assert got == {(r.query_id, r.doc_id): r.score for r in some.collect()} | {(99, 1): 0.0, (0, 300): 0.0}
+
+
 def test_bm25(spark):
     docs, queries = spark.createDataFrame(CORPUS, "doc_id string, body_text string"), spark.createDataFrame(ASKED, "query_id string, query_text string")
-    got = {(r.query_id, r.doc_id): r.score for r in B.matched_scores(docs, queries).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in B.matched_scores(B.fit(docs), queries).collect()}
     want = {(q, d): bm25(t, x) for q, t in ASKED for d, x in CORPUS if bm25(t, x)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    padded = B.retrieve(docs, queries, 4, padded=True).collect()
+    padded = B.retrieve(B.fit(docs), queries, 4, padded=True).collect()
     assert all(len([r for r in padded if r.query_id == q]) == 4 for q, _ in ASKED)
     assert [r.doc_id for r in sorted(padded, key=lambda r: r.rank) if r.query_id == "q2"] == list("abcd")
-    index = B.build_index(docs)
-    assert index.postings.agg(F.sum("tf")).first()[0] == index.lengths.agg(F.sum("dl")).first()[0] == 10
-    assert set(B.measure_latency(docs, ["heart"])) == {"p50_ms", "p95_ms", "p99_ms", "mean_ms", "num_queries"}
+    index = B.fit(docs)
+    assert index.postings.agg(F.sum("tf")).first()[0] == index.docs.agg(F.sum("dl")).first()[0] == 10
+    assert set(B.measure_latency(B.fit(docs), ["heart"])) == {"p50_ms", "p95_ms", "p99_ms", "mean_ms", "num_queries"}
 
 
 # ------------------------------------------------------------------ ranking
