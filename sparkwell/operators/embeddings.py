@@ -199,42 +199,130 @@ def info_nce(pairs: DataFrame, temperature: float = TEMPERATURE, batch: int = 64
 def alignment(pairs: DataFrame, batch: int | None = None) -> DataFrame:
     """One row: mean similarity of matching and of other pairs, and how often the own positive is the best (ties to the smaller j).
 
-    Without a batch this is all against all, the operator's definition; give a batch for large inputs.
+    The means need only the sums of all anchors and of all positives, by component; the best positives are a search for
+    one neighbour, in tiles. With a batch, each batch is compared within itself.
     """
-    s = similarities(pairs, batch)
-    per = s.groupBy("batch", "i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("sim"))).alias("own"), F.sum(F.when(F.col("i") != F.col("j"), F.col("sim"))).alias("rest"), (F.count("*") - 1).alias("others"), F.max_by("j", F.struct("sim", -F.col("j"))).alias("best"))
-    return per.agg(F.count("*").alias("n"), F.avg("own").alias("positive_sim"), (F.sum("rest") / F.when(F.sum("others") > 0, F.sum("others"))).alias("negative_sim"), F.avg((F.col("best") == F.col("i")).cast("double")).alias("top1_accuracy"))
+    if batch is not None:
+        s = similarities(pairs, batch)
+        per = s.groupBy("batch", "i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("sim"))).alias("own"), F.sum(F.when(F.col("i") != F.col("j"), F.col("sim"))).alias("rest"), (F.count("*") - 1).alias("others"), F.max_by("j", F.struct("sim", -F.col("j"))).alias("best"))
+        return per.agg(F.count("*").alias("n"), F.avg("own").alias("positive_sim"), (F.sum("rest") / F.when(F.sum("others") > 0, F.sum("others"))).alias("negative_sim"), F.avg((F.col("best") == F.col("i")).cast("double")).alias("top1_accuracy"))
+    p = _batches(pairs, None)
+    own = p.agg(F.count("*").alias("n"), F.sum(S.dot(F.col("a"), F.col("p"))).alias("own"))
+    sums = p.select(F.posexplode(F.arrays_zip("a", "p")).alias("at", "x")).groupBy("at").agg(F.sum("x.a").alias("a"), F.sum("x.p").alias("p"))
+    every = sums.agg(F.sum(F.col("a") * F.col("p")).alias("every"))
+    best = _tiled(p.select("i", "p"), p.select("i", "a"), 1, "i", "p", None, True, asked="a")
+    right = best.agg(F.count("*").alias("found"), F.avg((F.col("vec_id") == F.col("query_id")).cast("double")).alias("top1_accuracy"))
+    one = own.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(right))  # a row each
+    others = F.col("n") * (F.col("n") - 1)
+    return one.select("n", (F.col("own") / F.col("n")).alias("positive_sim"), ((F.col("every") - F.col("own")) / F.when(others > 0, others)).alias("negative_sim"), "top1_accuracy")
 
 
 # ------------------------------------------------------------------ search
 
 
-TILE_ROWS = 4096
+#: Queries and vectors of one matrix product, queries that are broadcast or held by a task, and vectors of a grid's column.
+TILE_ROWS, VECTOR_ROWS, HELD_QUERIES, SHARD_ROWS = 4096, 1024, 32_768, 1 << 20
 
 
 def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, score): exact cosine search; ties of the rounded score go to the smaller id.
 
-    Queries are grouped in tiles of TILE_ROWS that are replicated to the vectors' partitions, where each tile is one
-    matrix product with a partial top k; only k rows for each query and partition are shuffled.
+    Up to HELD_QUERIES queries are broadcast and the vectors stay where they are. More are dealt over a grid of tiles of
+    queries by shards of vectors, both shuffled. A task runs matrix products with partial selection and keeps the k best
+    of each of its queries.
+    """
+    return _tiled(vectors, queries, k, id_col, vector, digits)
+
+
+class _Lists:
+    """The k best vectors so far for each of the unit queries q."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, digits: int | None, own: bool, blocks) -> None:
+        self.qid, self.q, self.k, self.digits, self.own = qid, q, k, digits, own
+        self.blocks = blocks(q) if blocks else lambda v: [(np.arange(len(q)), np.arange(len(v)))]
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        got = [(self.row, self.id, self.score)]
+        for rows, cols in self.blocks(v):
+            for a in range(0, len(rows), TILE_ROWS):
+                r = rows[a : a + TILE_ROWS]
+                s = self.q[r] @ v[cols].T
+                s = s if self.digits is None else np.round(s, self.digits) + 0.0
+                if not self.own:
+                    s[self.qid[r][:, None] == ids[cols][None]] = -np.inf
+                ok = np.isfinite(s)
+                if s.shape[1] > self.k:
+                    ok &= s >= np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None]
+                i, j = np.nonzero(ok)
+                got.append((r[i], ids[cols[j]], s[i, j]))
+        row, ids, s = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((ids, -s, row))
+        row, ids, s = row[order], ids[order], s[order]
+        stay = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.row, self.id, self.score = row[stay], ids[stay], s[stay]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.qid[self.row], "vec_id": self.id, "score": self.score})
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None) -> DataFrame:
+    """The k best unit vectors of each unit query; own: also of the query's own id.
+
+    blocks, made for a task's queries, gives for a tile of vectors the rows of queries and vectors that are compared.
     """
-    return _tiled(vectors, queries, k, id_col, vector, lambda held: _search(held, k, digits))
-
-
-def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, search) -> DataFrame:
-    """The k best of what search, made for each broadcast tile of queries, finds in the vectors' partitions."""
     spark = vectors.sparkSession
-    tiles = max(1, -(-queries.count() // TILE_ROWS))
-    found = None
-    for t in range(tiles):
-        part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(tiles)) == t).select(id_col, vector).where(F.col(vector).isNotNull()).collect()  # about TILE_ROWS rows
-        if not part:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), _unit(np.array([r[1] for r in part], float))))
-        one = vectors.select(F.col(id_col).cast("long"), vector).mapInPandas(search(held), "query_id long, vec_id long, score double")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(asked or vector).alias("v")).where("v is not null")
+    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    n, shape = queries.count(), "query_id long, vec_id long, score double"
+    matrix = lambda col: _unit(np.stack(col.to_numpy()).astype(float))
+
+    def scan(lists: _Lists, df: pd.DataFrame) -> None:
+        for a in range(0, len(df), VECTOR_ROWS):
+            lists.add(df["id"].to_numpy()[a : a + VECTOR_ROWS], matrix(df["v"].iloc[a : a + VECTOR_ROWS]))
+
+    if n <= HELD_QUERIES:
+        rows = queries.toPandas()
+        if rows.empty:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        held = spark.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["v"])))
+
+        def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lists = _Lists(*held.value, k, digits, own, blocks)
+            for df in parts:
+                scan(lists, df)
+            yield lists.frame()
+
+        found = vectors.mapInPandas(whole, shape)
+    else:
+        tiles, shards = -(-n // HELD_QUERIES), max(1, -(-vectors.count() // SHARD_ROWS))
+        place = F.monotonically_increasing_id()
+        q = queries.withColumn("tile", F.pmod(place, F.lit(tiles))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        v = vectors.withColumn("shard", F.pmod(place, F.lit(shards))).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+        both = q.withColumn("asked", F.lit(0)).unionByName(v.withColumn("asked", F.lit(1)))
+        dealt = both.repartition("tile", "shard").sortWithinPartitions("tile", "shard", "asked")
+
+        def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, waiting, lists = None, [], None
+            for df in parts:
+                for key, rows in df.groupby(["tile", "shard"], sort=True):
+                    if key != at:
+                        if lists is not None:
+                            yield lists.frame()
+                        at, waiting, lists = key, [], None
+                    new = rows[rows["asked"] == 0]
+                    if len(new):
+                        waiting.append(new)
+                    rows = rows[rows["asked"] == 1]
+                    if len(rows) and (waiting or lists is not None):
+                        if lists is None:
+                            every = pd.concat(waiting)
+                            lists, waiting = _Lists(every["id"].to_numpy(), matrix(every["v"]), k, digits, own, blocks), []
+                        scan(lists, rows)
+            if lists is not None:
+                yield lists.frame()
+
+        found = dealt.select("tile", "shard", "asked", "id", "v").mapInPandas(cells, shape)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -243,36 +331,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, digits: int) -> pd.DataFrame:
-    """The k best of the unit vectors v for each of the unit queries q."""
-    s = np.round(q @ v.T, digits) + 0.0
-    s[qid[:, None] == ids[None]] = -np.inf  # not the query itself
-    row = np.repeat(np.arange(len(qid)), s.shape[1])
-    order = np.lexsort((np.tile(ids, len(qid)), -s.ravel(), row))
-    order = order.reshape(len(qid), -1)[:, :k].ravel()
-    ok = np.isfinite(s.ravel()[order])
-    order = order[ok]
-    return pd.DataFrame({"query_id": qid[row[order]], "vec_id": ids[order % s.shape[1]], "score": s.ravel()[order]})
-
-
-def _vector_tiles(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of at most TILE_ROWS rows."""
-    for df in parts:
-        df = df[df.iloc[:, 1].notna()]
-        for a in range(0, len(df), TILE_ROWS):
-            part = df.iloc[a : a + TILE_ROWS]
-            yield part.iloc[:, 0].to_numpy(), _unit(np.stack(part.iloc[:, 1].to_numpy()).astype(float))
-
-
-def _search(held, k: int, digits: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, q = held.value
-        for ids, v in _vector_tiles(parts):
-            yield _best(qid, q, ids, v, k, digits)
-
-    return run
-
-
 @dataclass
 class Cells:
     """An inverted-file index: centroids and the vectors with their cells."""
@@ -317,21 +375,20 @@ def hash_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     def codes(x: np.ndarray) -> np.ndarray:
         return np.floor(x @ _unit(np.random.default_rng(seed).standard_normal((tables, x.shape[1]))).T / width).astype(np.int64)
 
-    def search(held):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, q = held.value
-            buckets, group = np.unique(codes(q), axis=0, return_inverse=True)
-            group = group.ravel()
-            for ids, v in _vector_tiles(parts):
-                at = codes(v)
-                for g, b in enumerate(buckets):
-                    near, own = (at == b).any(axis=1), group == g
-                    if near.any():
-                        yield _best(qid[own], q[own], ids[near], v[near], k, digits)
-
-        return run
-
-    return _tiled(vectors, queries, k, id_col, vector, search)
+    def blocks(q: np.ndarray):
+        buckets, group = np.unique(codes(q), axis=0, return_inverse=True)
+        members = [np.flatnonzero(group.ravel() == g) for g in range(len(buckets))]
+
+        def near(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at = codes(v)
+            for b, rows in zip(buckets, members, strict=True):
+                cols = np.flatnonzero((at == b).any(axis=1))
+                if len(cols):
+                    yield rows, cols
+
+        return near
+
+    return _tiled(vectors, queries, k, id_col, vector, digits, blocks=blocks)
 
 
 def projected(df: DataFrame, column: str = "embedding", k: int = 2) -> DataFrame:

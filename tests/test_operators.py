@@ -434,3 +434,18 @@ def test_als_prefers_the_own_block(spark):
     got = f.recommend(spark.createDataFrame([("p0",)], "physician_id string"), 5).collect()
     assert {r.doc_id for r in got} == {f"d{j}" for j in range(5)}
     assert f.reconstruction(m).first().reconstruction_loss > 0
+
+
+def test_flat_search_over_a_grid(spark, monkeypatch):
+    """More queries than are broadcast: dealt with the vectors over a grid, with the same rows; the alignment's search too."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(80)] + [(80, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    pairs = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), rng.standard_normal(4).tolist()) for i in range(40)], "i long, anchor array<double>, positive array<double>")
+    want, aligned = sorted(map(tuple, E.flat_search(v, v.where("vec_id % 3 = 0"), 4).collect())), E.alignment(pairs).first()
+    inside = E.alignment(pairs, 40).first()  # one batch of all, pair by pair
+    assert all(abs(aligned[c] - inside[c]) < 1e-9 for c in ("n", "positive_sim", "negative_sim", "top1_accuracy"))
+    for name, n in (("TILE_ROWS", 3), ("VECTOR_ROWS", 5), ("HELD_QUERIES", 7), ("SHARD_ROWS", 20)):
+        monkeypatch.setattr(E, name, n)
+    assert sorted(map(tuple, E.flat_search(v, v.where("vec_id % 3 = 0"), 4).collect())) == want
+    assert all(abs(a - b) < 1e-9 for a, b in zip(E.alignment(pairs).first(), aligned, strict=True))
