@@ -25,13 +25,20 @@ def brute_top(rows, k, asked):
 EDGE = [(50, [1.0, None]), (51, None), (52, [float("nan"), 1.0]), (53, [float("inf"), 0.0]), (54, []), (None, [1.0, 1.0]), (55, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0])]
 
 
-def test_top_k_small(spark):
+def test_top_k_small(spark, monkeypatch):
+    import sparkwell.llm.topk_search as m
+
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 2) / 4]) for i in range(40)] + [(50 * i, [0.5, 0.25]) for i in range(2, 5)] + EDGE
     df = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, score string").repartition(5)
     got = top_k(spark, df, F.col("vec_id") % 5 == 0, 3)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 3, lambda i: i % 5 == 0)
     assert top_k(spark, df.limit(0), F.col("vec_id") % 5 == 0, 3).count() == 0
+    for name, n in (("BLOCK_BYTES", 0), ("TILE_BYTES", 64), ("SHARD_BYTES", 200)):  # the grid
+        monkeypatch.setattr(m, name, n)
+    got = top_k(spark, df, F.col("vec_id") % 5 == 0, 3)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 3, lambda i: i % 5 == 0)
+    assert top_k(spark, df.limit(0), F.col("vec_id") % 5 == 0, 3).count() == 0
 
 
 def test_top_k_table(spark, sf):
