@@ -42,7 +42,7 @@ from .common import bounded_batches, components, drop_stored, row_shingles, runs
 BUCKET_BITS = 24
 CHUNK_BITS = 16
 FAN_IN = 32
-HOT_LIST = 1024
+HOT_LIST = 256
 #: Pairs of one left set that a task verifies before the set is dealt over several.
 GROUP = 4096
 #: Bits of the map of documents that a verification needs (1 MB).

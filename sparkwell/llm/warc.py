@@ -1,12 +1,15 @@
 """WARC archives with revisit resolution.
 
 Only headers are shuffled: (payload digest, page_id) is aggregated to the smallest page_id of each digest that occurs
-more than once. That table is joined back on the digest, so payloads without a copy never meet a hot key; where it
-is small, the optimizer broadcasts it and no payload moves. Each task then writes its records: a response with its
-payload, or an identical-payload-digest revisit that refers to the original response, all with fresh headers.
+more than once. Up to MOST_BROADCAST such digests are broadcast and no payload moves. More are laid in a bitmap of at most
+2**MOST_BITS bits, which is broadcast instead: payloads outside it have no copy and stay where they are, and of those inside
+it only headers are joined. Revisits are written from their headers; only the originals' payloads are then fetched, by a
+second bitmap and a join. Each task writes its records: a response with its payload, or an identical-payload-digest
+revisit that refers to the original response, all with fresh headers.
 
 Archives are written by Spark's text sink whose line separator is the two line ends that close a WARC record, so the
-files are byte-exact WARC 1.1 (gzip by default) on any file system that Spark can write.
+files are byte-exact WARC 1.1 (gzip by default, one member a file) on any file system that Spark can write. A row of the sink
+holds records of about ROW_BYTES, and a file FILE_ROWS rows, so files are bounded (one larger record makes a larger row).
 
 Defined results: null html is an empty payload; a null url becomes ``urn:page:ID``, and line ends in a url are
 percent-encoded; payloads smaller than min_payload are always responses; a null page_id is the last of its group and
@@ -17,18 +20,22 @@ are ignored; an empty table writes no record.
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, stored
 
-DATE = "2024-01-01T00:00:00Z"
+ROW_BYTES = 1 << 20
+FILE_ROWS = 128
+MOST_BROADCAST = 250_000
+MOST_BITS = 28
 END = "\r\n\r\n"
 # Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,53 +64,84 @@ def record(kind: str, headers: dict[str, str], block: str) -> str:
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in head.items())]) + END + block
 
 
+def _bitmap(keys: DataFrame, column: str, n: int) -> tuple[DataFrame, Column, Column]:
+    """A broadcast bitmap of the hashes of about n keys, with a row's bucket and the test of its bit (of column ``m``)."""
+    bits = 1 << min(MOST_BITS, max(15, (16 * n).bit_length()))
+    at = F.expr(f"pmod(xxhash64({column}), {bits}L) + 1")  # bitmap buckets of positive numbers begin at 1
+    rows = keys.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
+    position = f"bitmap_bit_position(pmod(xxhash64({column}), {bits}L) + 1)"
+    byte = f"cast(conv(hex(substring(m, cast({position} div 8 as int) + 1, 1)), 16, 10) as int)"
+    inside = F.expr(f"m is not null and (shiftright({byte}, cast({position} % 8 as int)) & 1) = 1")
+    return F.broadcast(rows), F.bitmap_bucket_number(at), inside  # 4 KB for each 32,768 bits
+
+
 def resolved(pages: DataFrame, min_payload: int = 0, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, original, original_url): original is null for responses."""
+    """(page_id, url, html, digest, size, original, original_url): original is null for responses; html may be null for revisits."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    size = F.octet_length("html")
-    heads = p.where(size >= min_payload).select("digest", "page_id", "url")
+    p = p.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
+    heads = p.where(F.col("size") >= min_payload).select("digest", "page_id", "url")
     # nulls count as the largest id
     first = heads.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("f"))
     first = stored(first.where("n > 1").select("digest", F.col("f.none").alias("none"), F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")), "digests")
-    j = p.join(first, "digest", "left")
-    revisit = (size >= min_payload) & F.col("none").isNotNull() & ~F.col("none") & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return j.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("original"), F.when(revisit, F.col("first_url")).alias("original_url"))
-
-
-def write_warc(pages: DataFrame, path: str, min_payload: int = 0, compression: str = "gzip", date: str = DATE, **columns: str) -> None:
-    """Write one record for each row of pages, in files under path that each start with a warcinfo record."""
+    columns = ("page_id", "url", "html", "digest", "size")
+    revisit = (F.col("size") >= min_payload) & F.col("none").isNotNull() & ~F.col("none") & ~F.col("page_id").eqNullSafe(F.col("first"))
+    originals = (F.when(revisit, F.col("first")).alias("original"), F.when(revisit, F.col("first_url")).alias("original_url"))
+    n = first.count()
+    if n <= MOST_BROADCAST:
+        return p.join(F.broadcast(first), "digest", "left").select(*columns, *originals)
+    held, bucket, inside = _bitmap(first, "digest", n)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("original", "long"), ("original_url", "string"))]
+    marked = p.join(held, bucket == F.col("k"), "left").withColumn("inside", inside)
+    single = marked.where("not inside").select(*columns, *none)
+    known = marked.where("inside").drop("html").join(first, "digest", "left")
+    copies = known.where(revisit).select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size", *originals)
+    # responses among them: the originals, and payloads that only look repeated
+    wanted = stored(known.where(~F.coalesce(revisit, F.lit(False))).select("digest", F.struct("page_id").alias("id")).distinct(), "wanted")
+    held, bucket, inside = _bitmap(wanted, "digest, id.page_id", wanted.count())
+    rest = marked.where("inside").drop("k", "m", "inside").withColumn("id", F.struct("page_id"))
+    rest = rest.join(held, bucket == F.col("k"), "left").where(inside).join(wanted, ["digest", "id"], "left_semi").select(*columns, *none)
+    return single.union(copies).union(rest)
+
+
+def write_warc(pages: DataFrame, path: str, min_payload: int = 0, compression: str = "gzip", date: str | None = None, **columns: str) -> None:
+    """Write one record for each row of pages, in files under path; a task's first file starts with a warcinfo record.
+
+    date: the records' WARC-Date, by default the time of this call.
+    """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        begun = False
+        part = TaskContext.get().partitionId()
+        out, size, begun = [], 0, False
         for b in batches:
-            for start in range(0, b.num_rows, 64):
-                out = []
+            for page, url, html, digest, n, original, original_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not begun:
-                    part = TaskContext.get().partitionId()
                     out.append(record("warcinfo", {"WARC-Record-ID": record_id("warcinfo", part, path), "WARC-Date": date, "Content-Type": "application/warc-fields"}, "software: sparkwell\r\nformat: WARC File Format 1.1\r\n"))
                     begun = True
-                for page, url, html, digest, original, original_url in zip(*(c.slice(start, 64).to_pylist() for c in b.columns), strict=True):
-                    base32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                    n = len(html.encode())
-                    headers = {
-                        "WARC-Record-ID": record_id("revisit" if original is not None else "response", page, digest),
-                        "WARC-Date": date, "WARC-Target-URI": target_uri(url, page), "WARC-Payload-Digest": f"sha1:{base32}",
-                        "Content-Type": "application/http;msgtype=response", "X-Page-Id": "" if page is None else str(page),
-                    }
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}{END}"
-                    if original is None:
-                        out.append(record("response", headers, http + html))
-                    else:
-                        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", original, digest), "WARC-Refers-To-Target-URI": target_uri(original_url, original), "WARC-Refers-To-Date": date}
-                        out.append(record("revisit", headers, http))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                base32 = base64.b32encode(bytes.fromhex(digest)).decode()
+                headers = {
+                    "WARC-Record-ID": record_id("revisit" if original is not None else "response", page, digest),
+                    "WARC-Date": date, "WARC-Target-URI": target_uri(url, page), "WARC-Payload-Digest": f"sha1:{base32}",
+                    "Content-Type": "application/http;msgtype=response", "X-Page-Id": "" if page is None else str(page),
+                }
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}{END}"
+                if original is None:
+                    out.append(record("response", headers, http + html))
+                else:
+                    headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", original, digest), "WARC-Refers-To-Target-URI": target_uri(original_url, original), "WARC-Refers-To-Date": date}
+                    out.append(record("revisit", headers, http))
+                size += len(out[-1])
+                if size >= ROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(out)], pa.string())], ["value"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(out)], pa.string())], ["value"])
 
     bounded_batches(pages.sparkSession)
     rows = resolved(pages, min_payload, **columns)
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", compression).text(path)
+    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_ROWS).option("lineSep", END).option("compression", compression).text(path)
 
 
 _LINE = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)")
@@ -170,10 +208,10 @@ def with_originals(records: DataFrame) -> DataFrame:
     return r.join(stored(originals, "originals", records.count()), "refers_to_id", "left")
 
 
-def write_and_read(spark: SparkSession, pages: DataFrame, min_payload: int = 0) -> DataFrame:
+def write_and_read(spark: SparkSession, pages: DataFrame, min_payload: int = 0, date: str | None = None) -> DataFrame:
     """Write the archives to the shared folder and read every record back."""
     path = new_path(spark, "warc")
-    write_warc(pages, path, min_payload)
+    write_warc(pages, path, min_payload, date=date)
     records = read_warc(spark, path)
     heads = stored(records.drop("html", "url", "file"), "heads")
     return with_originals(heads.withColumn("html", F.lit(None).cast("string")))

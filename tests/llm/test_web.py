@@ -9,6 +9,8 @@ from pathlib import Path
 
 import pytest
 
+import sparkwell.llm.warc as m
+
 from sparkwell.llm.url_filter import PATTERNS, Rule, host_and_path, token_counts, url_filter
 from sparkwell.llm.warc import parse, read_warc, write_and_read, write_warc
 
@@ -22,7 +24,12 @@ def pages(spark, rows=PAGES):
     return spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_round_trip(spark, tmp_path, monkeypatch, broadcast):
+    if not broadcast:  # many repeated digests: bitmaps and a join of headers
+        monkeypatch.setattr(m, "MOST_BROADCAST", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(m, "ROW_BYTES", 300)
     got = write_and_read(spark, pages(spark).repartition(3)).collect()
     want = []
     for i, _, h in PAGES:
@@ -32,9 +39,31 @@ def test_round_trip(spark, tmp_path):
         revisit = first is not None and i != first
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     key = lambda r: tuple(str(x) for x in r)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_unique_payloads_are_not_shuffled(spark, monkeypatch):
+    """Beyond the broadcast, 400 unique payloads stay; the one original of 300 copies and of each pair is fetched."""
+    monkeypatch.setattr(m, "MOST_BROADCAST", 0)
+    rows = [(i, f"u{i}", f"unique {i}") for i in range(400)] + [(1000 + i, "c", "hot") for i in range(300)] + [(2000 + i, "d", f"pair {i // 2}") for i in range(40)]
+    got = m.resolved(pages(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r.original is None for r in got) == 400 + 1 + 20
+    assert all((r.html is None) == (r.original is not None) for r in got)
+    assert {r.original for r in got if r.html is None} == {1000, *range(2000, 2040, 2)}
+
+
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "ROW_BYTES", 2000)
+    monkeypatch.setattr(m, "FILE_ROWS", 3)
+    path = str(tmp_path / "w")
+    write_warc(pages(spark, [(i, "u", f"{i:04}" * 200) for i in range(60)]).coalesce(1), path, date="2030-01-02T03:04:05Z")
+    files = list(Path(path).glob("part-*.gz"))
+    assert len(files) > 5 and max(len(gzip.decompress(f.read_bytes())) for f in files) < 3 * (2000 + 1500)
+    assert {h["warc-date"] for f in files for h, _ in parse(gzip.decompress(f.read_bytes()))} == {"2030-01-02T03:04:05Z"}
+    assert read_warc(spark, path).count() == 60
+
+
 def test_files_are_warc(spark, tmp_path):
     path = str(tmp_path / "w")
     write_warc(pages(spark).coalesce(1), path)
