@@ -96,7 +96,7 @@ def test_empty_and_damaged(spark, tmp_path):
 
 
 URLS = [None, "", "no scheme", "http://", "HTTP://EN.Example.COM/en/7x?y=/en/#z", "http://example.com/en/8", "http://badexample.com/en/7", "http://a.net/de/8", "http://x.example.net/de/80", "http://example.org/es/", "http://org/es", "http://example.com?/en/7", "http://example.com#/en/7",
-        "http://www.cheap-pills.example.com/x", "http://ads.x.com/", "http://badads.x.com/", "http://a/casino-1", "http://a/track/b/c.gif", "http://a/track/b.gifx", "http://click.a/redirect?x", "https://u:p@example.com:80/en/7", "http://a.com/en/\n7", "://example.com/en/7"]
+        "http://www.cheap-pills.example.com/x", "http://ads.x.com/", "http://badads.x.com/", "http://a/casino-1", "http://a/track/b/c.gif", "http://a/track/b.gifx", "http://click.a/redirect?x", "https://u:p@example.com:80/en/7", "http://a.com/en/\n7", "://example.com/en/7", "http://a\nb.example.com/en/7", "http://x\nexample.com/en/7", "http://a/b.example.com\n/en/7", "http://long.example.net/de/8" + "z" * 300_000]
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 
 
