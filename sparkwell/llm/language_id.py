@@ -1,13 +1,18 @@
 """Language identification by language-bitmask n-gram filters.
 
 Learning counts the 4-byte windows of lower-cased letters of every learned document by language, in whole texts. A window
-belongs to the languages in which its rate is at least 1 / RATIO of its rate in the language that uses it most. One
+belongs to the languages in which its rate is at least 1 / RATIO of its rate in the language that uses it most and at
+least LEAST_RATE of the language's windows: rates, not counts, so a larger corpus gives the same filter, and a language has
+at most 1 / LEAST_RATE windows in it. One
 bit-sliced Bloom filter holds all of them: each cell is a mask with a bit for each language, and the AND of a window's
 HASHES cells is the set of languages that contain it, found by one lookup whatever the number of languages. The filter has
 2**CELL_BITS cells however large the corpus is; what it gets wrong follows from its fill, language by language.
 
 Prediction counts each language's bits over a document's windows. With n windows, h hits and a false-positive rate f, the
-corrected share is (h / n - f) / (1 - f). The largest share decides; the score is its part of all shares.
+corrected share is (h / n - f) / (1 - f). The largest share decides; the score is its part of all shares. The largest
+share itself and the number of windows are given as ``known`` and ``windows``.
+
+At most MOST_LANGUAGES languages are learned (their masks take 8 MB for each 64); more raise an error.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a text with letters but no known window
 gets the most frequent learned language with its share of learned documents; without any learned document every text is
@@ -17,7 +22,6 @@ come; clashing extra columns are ignored; empty tables give no row; ties go to t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +35,15 @@ from .common import bounded_batches, kept, mix
 CELL_BITS = 20
 HASHES = 2
 RATIO = 4
-LEAST = 3
+LEAST_RATE = 1e-5
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
+OWN = ("lang_pred", "score", "known", "windows")
 CHUNK = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,10 +88,12 @@ class LanguageModel:
         fill = [((self.filters[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))]
         self.wrong = np.array(fill) ** HASHES
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """Languages, scores, the largest corrected shares and the numbers of windows."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        largest, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if not self.languages:
-            return names, scores
+            return names, scores, largest, size
         common = max(range(len(self.languages)), key=lambda i: (self.share[i], -i))
         for i, j, w, first in windows([t or "" for t in texts]):
             at = cells(w)
@@ -103,15 +109,16 @@ class LanguageModel:
             n = np.diff(bound)
             share = np.maximum(0, (hits / np.maximum(1, n) - self.wrong[:, None]) / np.maximum(1e-9, 1 - self.wrong[:, None]))
             best, total = share.argmax(axis=0), share.sum(axis=0)
+            largest[i:j], size[i:j] = share.max(axis=0), n
             for r in range(i, j):
                 t = texts[r]
-                if not t or not _HAS_LETTER.search(t):
+                if not t or not any(map(str.isalpha, t)):  # Unicode's letters alone, no digits of any kind
                     continue
                 k = r - i
                 known = total[k] > 0
                 names[r] = self.languages[best[k] if known else common]
                 scores[r] = float(share[best[k], k] / total[k]) if known else float(self.share[common])
-        return names, scores
+        return names, scores, largest, size
 
 
 def learn(spark: SparkSession, docs: DataFrame, learned: Column, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -161,9 +168,9 @@ def learn(spark: SparkSession, docs: DataFrame, learned: Column, text: str = "te
     if languages:
         number = spark.createDataFrame([(r["lang"], i, float(r["windows"] or 0)) for i, r in enumerate(rows)], "lang string, i int, windows double")
         rate = counts.where("w >= 0").join(F.broadcast(number), "lang")  # at most MOST_LANGUAGES rows
-        rate = rate.select("w", "i", "n", (F.col("n") / F.col("windows")).alias("rate"))
-        by = rate.groupBy("w").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "n", "rate")).alias("in"))
-        member = by.select("w", "top", F.explode("in").alias("x")).where(f"x.rate * {RATIO} >= top and x.n >= {LEAST}").select("w", "x.i")
+        rate = rate.select("w", "i", (F.col("n") / F.col("windows")).alias("rate"))
+        by = rate.groupBy("w").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("in"))
+        member = by.select("w", "top", F.explode("in").alias("x")).where(f"x.rate * {RATIO} >= top and x.rate >= {LEAST_RATE}").select("w", "x.i")
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -178,15 +185,15 @@ def learn(spark: SparkSession, docs: DataFrame, learned: Column, text: str = "te
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' columns named in keep, with lang_pred and score."""
+    """docs' columns named in keep, with OWN: lang_pred, score, known and windows."""
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    own = [c for c in keep if c not in ("lang_pred", "score")]
-    shape = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
+    own = [c for c in keep if c not in OWN]
+    shape = docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("known", "double").add("windows", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = held.value.predict(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+            names, *numbers = held.value.predict(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(numbers[0], pa.float64()), *map(pa.array, numbers[1:])], [*own, *OWN])
 
     return docs.select(F.col(text).alias("__text"), *own).mapInArrow(run, shape)

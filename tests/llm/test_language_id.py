@@ -33,7 +33,7 @@ def test_filter_returns_every_language_of_a_window(spark):
 def test_false_positives_are_corrected():
     model = m.LanguageModel(["a", "b"], [0.5, 0.5], np.full((1, 1 << m.CELL_BITS), 1, np.uint64))
     assert model.wrong.tolist() == [1.0, 0.0]
-    names, scores = model.predict(["hello there"])
+    names, scores, *_ = model.predict(["hello there"])
     assert scores == [0.5] and names == ["a"]  # a full filter proves nothing
 
 
@@ -60,3 +60,70 @@ def test_empty(spark):
     assert model.languages == [] and identify(spark, docs, model, ["doc_id"]).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert identify(spark, one, model, ["doc_id"]).collect()[0].lang_pred == "und"
+
+
+def test_letters_are_unicodes_letters():
+    model = m.LanguageModel(["a"], [1.0], np.zeros((1, 1 << m.CELL_BITS), np.uint64))
+    texts = ["²", "½ ①", "Ⅷ", "_1", "٣", "ª", "ǅ", "ʰ", "中", "x²"]
+    assert model.predict(texts)[0] == ["und"] * 5 + ["a"] * 5
+
+
+def test_a_larger_corpus_gives_the_same_filter(spark):
+    rows = [(i, t, "p" if i % 2 else "q") for i, t in enumerate(["some words go here", "andere Worte stehen dort", "words again", "noch mehr Worte"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = docs.crossJoin(spark.range(50)).select(*docs.columns)
+    one, more = learn(spark, docs, F.lit(True)), learn(spark, many, F.lit(True))
+    assert (one.filters == more.filters).all() and one.share == more.share
+
+
+def brute(rows, texts):
+    """Shares by plain sets, window by window, for the languages in order."""
+    def count(text):
+        out = {}
+        raw = b" " + text.lower().encode() + b" "
+        letter = [97 <= c < 123 or c >= 128 for c in raw]
+        raw = bytes(c if ok else 32 for c, ok in zip(raw, letter))
+        for i in range(len(raw) - 3):
+            if letter[i + 1] and letter[i + 2]:
+                out[raw[i : i + 4]] = out.get(raw[i : i + 4], 0) + 1
+        return out
+
+    names = sorted({g for _, t, g in rows if t is not None and g is not None})
+    n = {g: {} for g in names}
+    for _, t, g in rows:
+        if t is not None and g is not None:
+            for w, k in count(t).items():
+                n[g][w] = n[g].get(w, 0) + k
+    rate = {g: {w: k / sum(n[g].values()) for w, k in n[g].items()} for g in names}
+    top = {}
+    for g in names:
+        for w, r in rate[g].items():
+            top[w] = max(top.get(w, 0), r)
+    sets = {g: {w for w, r in rate[g].items() if r * m.RATIO >= top[w] and r >= m.LEAST_RATE} for g in names}
+    out = []
+    for t in texts:
+        c = count(t or "")
+        total = max(1, sum(c.values()))
+        out.append([sum(k for w, k in c.items() if w in sets[g]) / total for g in names])
+    return names, np.array(out)
+
+
+def test_predictions_match_brute_force(spark):
+    """Every document of the table, with null ids, repeated rows, a very long text and ties: the share of each language by plain sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    rows += [(None, rows[0][1], rows[0][2]), rows[1], rows[1], (9001, rows[2][1] * 400, rows[2][2]), (9002, None, "de"), (9003, "no language", None), (9004, "zzzz", "aa"), (9005, "zzzz", "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = learn(spark, df, F.lit(True))
+    texts = [t for _, t, _ in rows] + ["zzzz zzzz"]
+    names, shares = brute(rows, texts)
+    got, score, largest, size = model.predict(texts)
+    assert model.languages == names and model.wrong.max() < 0.01
+    for t, g, s, k, share in zip(texts, got, score, largest, shares):
+        if not t or not any(map(str.isalpha, t)):
+            assert (g, s) == ("und", 0.0)
+        elif share.max() > 0.05:
+            assert share[names.index(g)] >= share.max() - 0.02 and abs(k - share.max()) < 0.02 and abs(s - share.max() / share.sum()) < 0.05
+    assert got[-1] == "aa"  # a tie
+    out = identify(spark, df, model, ["doc_id", "text"]).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in out) == sorted((str(i), g) for (i, _, _), g in zip(rows, got))
