@@ -75,3 +75,20 @@ def test_clashing_columns(spark):
 
 def test_empty(spark):
     assert mixture(spark, spark.createDataFrame([], SCHEMA))[0].count() == 0
+
+
+def test_many_null_ids_and_fine_blocks(spark, monkeypatch):
+    """Rows without an id are cut one by one by their text, in blocks that follow the source's size; one very long text is drawn whole."""
+    import sparkwell.llm.mixing as m
+
+    monkeypatch.setattr(m, "BLOCKS", 2)
+    monkeypatch.setattr(m, "BLOCK_ROWS", 20)
+    data = [(None, f"text {i}", "a", None) for i in range(400)] + [(i, "some text here", "b", None) for i in range(30)] + [(99, "long " * 200_000, "c", None)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    total = sum(map(tokens, data))
+    out, _ = mixture(spark, df, budget=total // 2, most_repeats=None, entropy=10.0)
+    got = out.groupBy("source").agg({"n_tokens": "sum", "doc_id": "count", "*": "count"}).collect()
+    w = {r.source: r.weight for r in out.select("source", "weight").distinct().collect()}
+    drawn = {r.source: r["sum(n_tokens)"] for r in got}
+    assert abs(drawn["a"] - total // 2 * w["a"]) <= 4 and out.select("block").distinct().count() > 5
+    assert sorted(r.n_tokens for r in out.where("source = 'c'").select("n_tokens").distinct().collect()) in ([], [200_001])
