@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, stored, text_chunks, words_of
+from .common import bounded_batches, drop_stored, stored, text_chunks, words_of
 
 MOST_LABELLED = 20_000
+MOST_SITES, HOT_SITES = 200_000, 10_000
 THRESHOLD = 0.5
 RIDGE = 1.0
 STRONGEST = 1e6
@@ -132,61 +133,100 @@ class QualityModel:
     mean: float
     host_strength: float
     path_strength: float
-    sites: DataFrame  # (host, path, host_posterior, path_posterior)
+    sites: DataFrame  # (host, path, n, host_posterior, path_posterior)
+    n_sites: int
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column | str, path: Column | str, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    bounded_batches(spark)
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of at most MOST_LABELLED documents, those of the smallest hashes among labelled ids that occur.
+
+    Of several rows of one id the one with the smallest features counts.
+    """
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    ids = known.join(d.select("id").distinct(), "id").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(MOST_LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, x in features(b.column(3)):
-                flat = pa.array(x.ravel())
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(x[:, 11] > 0), pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64()))], ["id", "host", "path", "worded", "x"])
+            for i, j, x in features(b.column(1)):
+                worded = np.flatnonzero(x[:, 11] > 0)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(worded) + 1) * len(FEATURES), pa.int32()), pa.array(x[worded].ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(pa.array(worded)) for c in (0, 2)), rows], ["id", "y", "x"])
 
-    slim = docs.select(F.col(id_col).cast("long"), _site(host), _site(path), text).mapInArrow(run, "id long, host string, path string, worded boolean, x array<double>")
-    slim = kept(slim)
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    labelled = slim.where("worded").join(known, "id").select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", "x", "y")
-    # by a hash threshold, so that tasks send about MOST_LABELLED rows in all and not each
-    part = min(1.0, MOST_LABELLED / max(1, known.count()))
-    sample = sorted(labelled.where(F.col("h") < int(part * (1 << 30))).collect(), key=lambda r: (r["h"], str(r["id"])))[:MOST_LABELLED]
-    x, y = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], float)
-    c = fit(x, y)
-    parts = [(F.col("x")[k] - float(c.mean[k])) / float(c.scale[k]) * float(c.weight[k]) for k in range(len(FEATURES))]
-    p = 1 / (1 + F.exp(-sum(parts, F.lit(c.bias))))
-    paths = kept(slim.where("worded").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    g = paths.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = 0.5 if g is None else float(g)
-    host_strength = _strength(hosts, F.lit(mean))
-    hosts = hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior"))
-    both = paths.join(hosts, "host")
-    path_strength = _strength(both, F.col("host_posterior"))
-    sites = both.select("host", "path", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
-    sites = stored(sites, "sites", paths.count())
-    slim.unpersist()
-    paths.unpersist()
-    return QualityModel(c, mean, host_strength, path_strength, sites)
+    ids = stored(ids, "labelled", MOST_LABELLED)
+    rows = d.join(F.broadcast(ids), "id").select("id", "text", "y").mapInArrow(run, "id long, y int, x array<double>")  # MOST_LABELLED ids
+    sample = sorted(rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").collect())  # MOST_LABELLED rows at most
+    drop_stored(ids)
+    return np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], float)
 
 
-def classify(spark: SparkSession, docs: DataFrame, model: QualityModel, host: Column | str, path: Column | str, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' columns named in keep, with evidence, host_posterior, path_posterior, quality and kept."""
+def evidence(spark: SparkSession, docs: DataFrame, classifier: Classifier, host: Column | str, path: Column | str, keep: list[str], text: str = "text") -> DataFrame:
+    """docs' columns named in keep, with __host, __path and evidence (0 for texts without a word)."""
     bounded_batches(spark)
     own = [c for c in keep if c not in OWN]
     d = docs.select(F.col(text).alias("__text"), _site(host).alias("__host"), _site(path).alias("__path"), *own)
-    shape = d.drop("__text").schema.add("evidence", "double")
-    c = model.classifier
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [np.where(x[:, 11] > 0, c.probability(x), 0.0) for _, _, x in features(b.column(0))]
+            p = [np.where(x[:, 11] > 0, classifier.probability(x), 0.0) for _, _, x in features(b.column(0))]
             if p:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(p))], ["__host", "__path", *own, "evidence"])
 
-    sites = model.sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior")
-    d = d.mapInArrow(run, shape).join(sites, ["__host", "__path"], "left")
+    return d.mapInArrow(run, d.drop("__text").schema.add("evidence", "double"))
+
+
+def site_model(scored: DataFrame, classifier: Classifier) -> QualityModel:
+    """Posteriors of all sites from the documents' evidence."""
+    paths = scored.where("evidence > 0").groupBy(F.col("__host").alias("host"), F.col("__path").alias("path")).agg(F.count("*").alias("n"), F.sum("evidence").alias("s"))
+    paths = stored(paths, "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    g = paths.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("sites")).first()
+    mean = 0.5 if g["mean"] is None else float(g["mean"])
+    host_strength = _strength(hosts, F.lit(mean))
+    hosts = hosts.select("host", ((F.col("s") + host_strength * mean) / (F.col("n") + host_strength)).alias("host_posterior"))
+    both = paths.join(hosts, "host")
+    path_strength = _strength(both, F.col("host_posterior"))
+    sites = both.select("host", "path", "n", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
+    sites = stored(sites, "sites", g["sites"])
+    drop_stored(paths)
+    return QualityModel(classifier, mean, host_strength, path_strength, sites, g["sites"])
+
+
+def posterior(scored: DataFrame, model: QualityModel) -> DataFrame:
+    """Adds the sites' posteriors, quality and kept to rows of evidence().
+
+    Up to MOST_SITES sites are broadcast. Of more, the HOT_SITES with the most documents are, and the rest are joined by
+    shuffle, where each has few rows: those of broadcast sites are dealt by number.
+    """
+    own = [c for c in scored.columns if c not in ("__host", "__path", "evidence")]
+    sites = model.sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior", "n")
+    if model.n_sites <= MOST_SITES:
+        d = scored.join(F.broadcast(sites.drop("n")), ["__host", "__path"], "left")
+    else:
+        largest = sites.orderBy(F.col("n").desc(), "__host", "__path").limit(HOT_SITES).drop("n")
+        d = scored.join(F.broadcast(largest.withColumnsRenamed({"host_posterior": "__h", "path_posterior": "__p"})), ["__host", "__path"], "left")
+        d = d.withColumn("__host", F.when(F.col("__h").isNull(), F.col("__host")).otherwise(F.concat(F.lit("="), (F.monotonically_increasing_id() % 65536).cast("string"))))
+        d = d.join(sites.drop("n"), ["__host", "__path"], "left")
+        d = d.withColumn("host_posterior", F.coalesce("__h", "host_posterior")).withColumn("path_posterior", F.coalesce("__p", "path_posterior"))
     d = d.withColumn("host_posterior", F.coalesce("host_posterior", F.lit(model.mean))).withColumn("path_posterior", F.coalesce("path_posterior", F.lit(model.mean)))
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(model.mean)))))
     d = d.withColumn("quality", F.when(F.col("evidence") > 0, score).otherwise(0.0))
     return d.select(*own, "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= THRESHOLD).alias("kept"))
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column | str, path: Column | str, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+    """The classifier of the labels and the posteriors of docs' sites."""
+    c = fit(*_sample(docs, labels, id_col, text, label))
+    return site_model(evidence(spark, docs, c, host, path, [], text), c)
+
+
+def classify(spark: SparkSession, docs: DataFrame, model: QualityModel, host: Column | str, path: Column | str, keep: list[str], text: str = "text") -> DataFrame:
+    """docs' columns named in keep, with evidence, host_posterior, path_posterior, quality and kept."""
+    return posterior(evidence(spark, docs, model.classifier, host, path, keep, text), model)
+
+
+def assess(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Column | str, path: Column | str, keep: list[str], id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """learn and classify in one: each text is read once for its evidence, which is stored with the columns to keep."""
+    c = fit(*_sample(docs, labels, id_col, text, label))
+    scored = stored(evidence(spark, docs, c, host, path, keep, text), "evidence")
+    return posterior(scored, site_model(scored, c))

@@ -81,11 +81,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by text, source and language within the source: evidence, posteriors, kept."""
-    from .quality import classify, learn
+    from .quality import assess
 
-    docs = read(spark, sf_dir, "documents")
-    model = learn(spark, docs, read(spark, sf_dir, "labels"), "source", "lang")
-    return classify(spark, docs, model, "source", "lang", ["doc_id", "source", "lang"])
+    return assess(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "source", "lang", ["doc_id", "source", "lang"])
 
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

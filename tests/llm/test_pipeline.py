@@ -101,3 +101,21 @@ def test_empty(spark, sf, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert Path(tmp_path / "documents.parquet").exists() and cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, sf):
+    text = lambda c, n=40: " ".join(f"{c}{j}" for j in range(n))
+    near = text("a", 60) + " end"
+    rows = [(1, text("a", 60)), (1, text("b")), (1, text("b")), (2, near), (3, text("b") + " x"), (4, text("c")), (None, text("c") + " y"), (None, text("d")), (None, text("d")), (5, None), (5, None), (None, None), (6, "")]
+    docs = stored(spark.createDataFrame([(i, t, "en", f"s{k % 2}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long"), "rows")
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, sf).collect()), key=str)
+    want = [(1, text("a", 60)), (1, text("b")), (4, text("c")), (None, text("d")), (5, None), (None, None), (6, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_unknown_scripts_go_and_short_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(90_000, "\u0531\u0562\u0563 \u0564\u0565\u0566\u0567 " * 60, None, "x", 0), (90_001, "qzx", "en", "x", 3), (90_002, "\u00b2 \u2460", None, "x", 3)], docs.schema)
+    got = {r.doc_id for r in cp.identify_languages(spark, stored(docs.union(odd), "docs"), sf).collect()}
+    assert {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").collect()} <= got
+    assert 90_000 not in got and 90_001 in got and 90_002 not in got

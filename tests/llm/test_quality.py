@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkwell.llm.quality import FEATURES, classify, fit, learn
+import sparkwell.llm.quality as q
+from sparkwell.llm.quality import FEATURES, assess, classify, fit, learn
 
 SITE = ("source", "lang")
 
@@ -60,3 +61,22 @@ def test_edges(spark):
     empty = docs.limit(0)
     m = learn(spark, empty, none, *SITE)
     assert classify(spark, empty, m, *SITE, ["doc_id"]).count() == 0
+
+
+def test_repeated_labelled_rows_and_many_sites(spark, monkeypatch):
+    """One labelled id with many rows is one row of the sample; sites beyond the broadcast are joined, the hot ones aside; one pass gives the same."""
+    rows = [(1, f"## $$ {i} %%" if i % 2 else "plain good words", "hot", "x") for i in range(300)]
+    rows += [(10 + i, "plain good words " * (1 + i % 3) if i % 4 else "$$ ## |", f"h{i % 40}", ["x", None][i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (1, 1)] + [(10 + i, int(i % 4 > 0)) for i in range(100)], "doc_id long, quality int")
+    x, y = q._sample(docs, labels, "doc_id", "text", "quality")
+    assert len(x) == len(y) == 101
+    model = learn(spark, docs, labels, *SITE)
+    rounded = lambda df: sorted((r.doc_id, r.source, r.lang or "", round(r.quality, 9), round(r.host_posterior, 9), r.kept) for r in df.collect())
+    want = rounded(classify(spark, docs, model, *SITE, ["doc_id", "source", "lang"]))
+    assert rounded(assess(spark, docs, labels, *SITE, ["doc_id", "source", "lang"])) == want
+    monkeypatch.setattr(q, "MOST_SITES", 0)
+    monkeypatch.setattr(q, "HOT_SITES", 2)
+    assert rounded(classify(spark, docs, model, *SITE, ["doc_id", "source", "lang"])) == want
+    monkeypatch.setattr(q, "MOST_LABELLED", 7)
+    assert len(q._sample(docs, labels, "doc_id", "text", "quality")[0]) <= 7
