@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.llm import language_id, quality
-from sparkwell.llm.common import stored
+from sparkwell.llm.common import drop_stored, stored
 from sparkwell.llm.mixing import OWN, mixture
 from sparkwell.llm.ngram_join import ngram_jaccard_join
 from sparkwell.llm.packing import pack
@@ -19,6 +19,8 @@ from sparkwell.llm.packing import pack
 
 #: Ids of dropped documents are broadcast up to this number (32 MB); more are joined by shuffle.
 MOST_BROADCAST = 4_000_000
+#: Of a kept text's windows at least this share is known in its language.
+LEAST_KNOWN = 0.3
 
 
 def _beside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list]:
@@ -28,36 +30,71 @@ def _beside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list]
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those that are ``und`` (no text, no letter) go."""
-    docs, old = _beside(docs, ("lang_pred", "score"))
+    """Documents whose language can be told.
+
+    Those that are ``und`` (no text, no letter) go, and those of which too few windows are known in any language: their
+    share, plus one over the root of the number of windows, is below LEAST_KNOWN, so short texts are never judged by it.
+    """
+    docs, old = _beside(docs, language_id.OWN)
     model = language_id.learn(spark, docs, F.lit(True))
     found = language_id.identify(spark, docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*old)
+    known = F.col("known") + 1 / F.sqrt(F.greatest("windows", F.lit(1)))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (known >= LEAST_KNOWN)).select(*old)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, by text, source and language within the source."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs, old = _beside(docs, quality.OWN)
-    site = ("source", "lang")
-    model = quality.learn(spark, docs, labels, *site)
-    return quality.classify(spark, docs, model, *site, docs.columns).where("kept").select(*old)
+    return quality.assess(spark, docs, labels, "source", "lang", docs.columns).where("kept").select(*old)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with __key, and the ids that several rows have or that are null, if there are any.
+
+    __key is the doc_id where one row has it. Rows of the other ids are told apart by their text: their key is a hash of
+    id and text that no other text of these ids and no other id has (checked; the next seed is taken otherwise).
+    """
+    ids = docs.groupBy("doc_id").count()
+    repeated = stored(ids.where("count > 1 or doc_id is null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id")), None
+    held = repeated.withColumnRenamed("doc_id", "__id").withColumn("__again", F.lit(True))
+    marked = docs.join(held, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    texts = stored(marked.where("__again").select("doc_id", "text").distinct(), "texts")
+    for seed in range(100):
+        key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+        keys = texts.select(key.alias("__key")).groupBy("__key").count()
+        if keys.where("count > 1").isEmpty() and keys.join(ids.select(F.col("doc_id").alias("__key")), "__key", "left_semi").isEmpty():
+            break
+    drop_stored(texts)
+    return marked.withColumn("__key", F.when(F.col("__again"), key).otherwise(F.col("doc_id"))), repeated
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, for each group of near copies (5-word shingles, Jaccard of 0.8 or more)."""
-    members, _ = ngram_jaccard_join(spark, docs, k=5, percent=80, complete=False)
-    members = stored(members.select("doc_id", "component_id"), "members")
-    copies = members.where("doc_id <> component_id").select("doc_id").distinct()
+    """One document for each group of near copies (5-word shingles, Jaccard of 0.8 or more): that of the smallest doc_id.
+
+    Rows of one doc_id with different texts are documents of their own, as are rows without an id. Of rows equal in id and
+    text the smallest stays, by all columns.
+    """
+    columns = docs.columns
+    keyed, repeated = _keyed(docs)
+    members, _ = ngram_jaccard_join(spark, keyed, k=5, percent=80, id_col="__key", complete=False)
+    members = members.withColumnRenamed("doc_id", "__key")
+    if repeated is None:
+        dropped = members.where("__key <> component_id")
+    else:  # a hashed key says nothing of the order of ids
+        members = members.join(keyed.select("__key", "doc_id").distinct(), "__key")
+        best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("best"))
+        dropped = members.join(best, "component_id").where("__key <> best.__key")
+    copies = stored(dropped.select("__key").distinct(), "copies")
     if copies.count() <= MOST_BROADCAST:
         copies = F.broadcast(copies)
-    repeated = members.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = stored(repeated, "repeated")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    if not repeated.isEmpty():  # rows of one doc_id
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
-    return kept.select(*docs.columns)
+    kept = keyed.join(copies, "__key", "left_anti")
+    if repeated is None:
+        return kept.select(*columns)
+    again = kept.where("__again").groupBy("__key").agg(F.min(F.struct(*columns)).alias("row")).select(*(F.col("row")[c].alias(c) for c in columns))
+    return kept.where("__again is null").select(*columns).union(again)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,5 +125,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        drop_stored(before)
     return docs
