@@ -44,7 +44,7 @@ CHUNK_BITS = 16
 FAN_IN = 32
 HOT_LIST = 256
 #: Pairs of one left set that a task verifies before the set is dealt over several.
-GROUP = 4096
+GROUP = 256
 #: Bits of the map of documents that a verification needs (1 MB).
 MAP_BITS = 1 << 23
 BLOCK = 64
