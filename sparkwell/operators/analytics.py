@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..sources.shared import written
 from ..sources.tables import Tables
 
 # ------------------------------------------------------------------ interactions
@@ -99,10 +100,11 @@ def equal_width_bins(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def index_of(df: DataFrame, column: str) -> DataFrame:
     """(column, idx): dense positions of the distinct ids in their order, from 0.
 
-    Ids are dealt in ranges; each range's size gives the next one's start, so no task sees them all.
+    Ids are dealt in ranges; each range's size gives the next one's start, so no task sees them all. The ranges are stored,
+    as sizes and positions must come from the same ones.
     """
     ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranged = ids.repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    ranged = written(ids.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
     ranged = ranged.withColumn("inside", inside)
     starts = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -6,9 +6,13 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .embeddings import TEMPERATURE, Dense
+from .gradients import flat, summed, unflat
 
 
 def forward(model: Dense, x: np.ndarray) -> tuple[np.ndarray, list]:
@@ -101,11 +105,39 @@ class ContrastiveTrainer:
             losses.append(loss)
         return {"loss": float(np.mean(losses)) if losses else 0.0, "n_batches": len(losses)}
 
-    def train(self, data: DataFrame, epochs: int = 10, size: int = 64) -> list[dict]:
-        """data: (i, text, image, structured) arrays of a training set that fits the driver. Returns losses by epoch."""
-        d = data.orderBy("i").toPandas()
-        xs = [np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")]
-        return [{"epoch": e, **self.train_epoch(xs, e, size)} for e in range(epochs)]
+    def train(self, data: DataFrame, epochs: int = 10, size: int = 64, mode: str = "sync", parts: int = 4) -> list[dict]:
+        """data: (i, text, image, structured) arrays. Returns losses by epoch.
+
+        mode "sync": the rows are stored once; each epoch deals them by hash into batches of about size, and takes a step on
+        each of parts shares of the batches, from the sum of their gradients. mode "local": a step a batch on the driver, for
+        sets that fit it.
+        """
+        if mode == "local":
+            d = data.orderBy("i").toPandas()
+            xs = [np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")]
+            return [{"epoch": e, **self.train_epoch(xs, e, size)} for e in range(epochs)]
+        rows = written(data.select("i", "text", "image", "structured"), "pairs")
+        batches, history = max(1, -(-rows.count() // size)), []
+        for epoch in range(epochs):
+            loss, n = 0.0, 0
+            dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(self.seed), F.lit(epoch), "i"), F.lit(batches)))
+            for part in range(min(parts, batches)):
+                total = summed(dealt.where(F.col("batch") % min(parts, batches) == part).groupBy("batch").applyInPandas(lambda d: self._one(d), "g array<double>"))
+                if total is not None and total[-1]:
+                    like = [x for m in self.models() for layer in m.layers for x in layer]
+                    g = iter(unflat(total / total[-1], like))
+                    self.step([[(next(g), next(g)) for _ in m.layers] for m in self.models()])
+                    loss, n = loss + float(total[-2]), n + int(total[-1])
+            history.append({"epoch": epoch, "loss": loss / max(1, n), "n_batches": n})
+        return history
+
+    def _one(self, d: pd.DataFrame) -> pd.DataFrame:
+        """The flat gradients, loss and number (one, or none of a batch below two rows) of a batch."""
+        d = d.sort_values("i")
+        if len(d) < 2:
+            return pd.DataFrame({"g": []})
+        loss, grads = self.batch([np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")])
+        return pd.DataFrame({"g": [flat([x for model in grads for layer in model for x in layer], loss, 1.0)]})
 
     def save_all(self, spark: SparkSession, path: str) -> None:
         rows = [(n, json.dumps([[w.tolist(), b.tolist()] for w, b in m.layers])) for n, m in zip(("text", "image", "structured"), self.models())]

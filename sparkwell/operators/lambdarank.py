@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .gradients import flat, summed, unflat
 from .ranking import ndcg, trainable_groups
 
 HIDDEN = (256, 128)
@@ -122,14 +125,21 @@ class Trainer:
         push = group_lambdas(labels, scores, self.k)
         return self.network.backward(saved, -push), -float((scores * push).sum())
 
-    def train(self, groups: DataFrame, validation: DataFrame | None = None, epochs: int = 20, mode: str = "local", parts: int = 4, label: str = "relevance_score") -> list[dict]:
-        """groups: (query_id, doc_id, label, features array). Returns loss and validation NDCG by epoch."""
-        rows = trainable_groups(groups, label).select("query_id", "doc_id", F.col(label).alias("l"), "features")
+    def train(self, groups: DataFrame, validation: DataFrame | None = None, epochs: int = 20, mode: str = "sync", parts: int = 4, label: str = "relevance_score") -> list[dict]:
+        """groups: (query_id, doc_id, label, features array). Returns loss and validation NDCG by epoch.
+
+        mode "sync": the groups are stored once, a row a query, and each epoch takes a step on each of parts random shares of
+        them, from the sum of their gradients. mode "local": a step a query on the driver, for sets that fit it.
+        """
+        rows = trainable_groups(groups, label).select("query_id", "doc_id", F.col(label).cast("double").alias("l"), "features")
         history, rng = [], np.random.default_rng(self.seed)
         local = None
         if mode == "local":
             d = rows.orderBy("query_id", "doc_id").toPandas()
             local = [(np.stack(g["features"].to_numpy()).astype(float), g["l"].to_numpy(float)) for _, g in d.groupby("query_id", sort=True)]
+        else:
+            whole = F.array_sort(F.collect_list(F.struct("doc_id", "l", "features")))  # a query's judgments
+            rows = written(rows.groupBy(F.col("query_id").cast("string").alias("query_id")).agg(whole.alias("r")).select("query_id", F.col("r.l").alias("l"), F.col("r.features").alias("x")), "groups")
         for epoch in range(epochs):
             rate, loss, n = self.rate_at(epoch, epochs), 0.0, 0
             if local is not None:
@@ -151,34 +161,23 @@ class Trainer:
         return history
 
     def _summed(self, rows: DataFrame, epoch: int) -> tuple[list[np.ndarray], float, int]:
-        sizes = [x.shape for x in self.network.parameters()]
+        """Gradients, losses and number of the groups (query_id, l, x), summed."""
+        like = self.network.parameters()
         trainer = Trainer(self.network, dropout=self.dropout, k=self.k, seed=self.seed)
 
-        def one(d: pd.DataFrame) -> pd.DataFrame:
-            d = d.sort_values("doc_id")
-            rng = np.random.default_rng([trainer.seed, epoch, abs(hash(str(d["query_id"].iloc[0]))) % 2**32]) if trainer.dropout else None
-            g, lost = trainer._gradient(np.stack(d["features"].to_numpy()).astype(float), d["l"].to_numpy(float), rng)
-            return pd.DataFrame({"g": [np.concatenate([x.ravel() for x in g] + [[lost, 1.0]])]})
-
-        def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for d in parts:
-                for g in d["g"]:
-                    total = np.asarray(g) if total is None else total + np.asarray(g)
-            if total is not None:
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in frames:
+                total = np.zeros(sum(x.size for x in like) + 2)
+                for query, labels, x in zip(d["query_id"], d["l"], d["x"], strict=True):
+                    rng = np.random.default_rng([trainer.seed, epoch, zlib.crc32(str(query).encode())]) if trainer.dropout else None
+                    g, lost = trainer._gradient(np.stack(x).astype(float), np.asarray(labels, float), rng)
+                    total += flat(g, lost, 1.0)
                 yield pd.DataFrame({"g": [total]})
 
-        got = rows.groupBy("query_id").applyInPandas(one, "g array<double>").mapInPandas(add, "g array<double>")
-        total = None
-        for r in got.toLocalIterator():  # one vector of fixed length for each partition
-            total = np.asarray(r["g"]) if total is None else total + np.asarray(r["g"])
+        total = summed(rows.mapInPandas(each, "g array<double>"))
         if total is None:
-            return [np.zeros(s) for s in sizes], 0.0, 0
-        out, at = [], 0
-        for s in sizes:
-            out.append(total[at : at + math.prod(s)].reshape(s))
-            at += math.prod(s)
-        return out, float(total[-2]), int(total[-1])
+            return [np.zeros_like(x) for x in like], 0.0, 0
+        return unflat(total, like), float(total[-2]), int(total[-1])
 
     def predict(self, df: DataFrame, column: str = "features", out: str = "score") -> DataFrame:
         """Adds the network's score, in Arrow batches."""

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .analytics import index_of
 from .ranking import FEATURES, standardized
 
 # The grid of inverse regularisation strengths.
 GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 DIRECTIONS = 512
+BLOCK_TERMS = 1024
 
 
 @dataclass
@@ -48,9 +51,12 @@ class LinearRanker:
 
 
 def folds(df: DataFrame, label: str = "label", n: int = 5, seed: int = 42) -> DataFrame:
-    """Adds fold, dealt evenly inside each label."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "query_id", "doc_id"), "query_id", "doc_id")
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(n)).cast("int"))
+    """Adds fold, dealt evenly inside each label in the order of a hash, by positions over all tasks (index_of)."""
+    keys = F.struct(F.col(label).alias("s"), F.xxhash64(F.lit(seed), "query_id", "doc_id").alias("h"), "query_id", "doc_id")
+    ordered = index_of(df.select(keys.alias("k")), "k").select("k.s", "k.query_id", "k.doc_id", "idx")
+    first = ordered.groupBy("s").agg(F.min("idx").alias("first"))
+    dealt = ordered.join(F.broadcast(first), "s").select(F.col("s").alias(label), "query_id", "doc_id", F.pmod(F.col("idx") - F.col("first"), F.lit(n)).cast("int").alias("fold"))  # a row a label
+    return df.join(dealt, [label, "query_id", "doc_id"])
 
 
 def _moments(df: DataFrame, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,37 +147,50 @@ def ablation(df: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.0
 
 
 def tfidf_vectors(weights: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(doc_id, x sparse vector) of retrieval.tfidf rows, and the terms in the vector's order (at most max_features)."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
+    """(doc_id, i, w) of retrieval.tfidf rows, positions of terms and their weights, and the terms in that order (at most max_features)."""
     terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
     at = F.broadcast(weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string"))
-    size = max(1, len(terms))
-    make = F.udf(lambda rows: Vectors.sparse(size, [(r["i"], r["weight"]) for r in rows]), VectorUDT())
-    v = weights.join(at, "term").groupBy("doc_id").agg(make(F.array_sort(F.collect_list(F.struct("i", "weight")))).alias("x"))
-    return v, terms
+    v = weights.join(at, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("weight").alias("w")))).alias("x"))
+    return v.select("doc_id", "x.i", "x.w"), terms
+
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and weights of each row of a batch (.., i, w)."""
+    i, w = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    at, i, w = i.offsets.to_numpy(), i.values.to_numpy(), w.values.to_numpy()
+    return ((i[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
 
-def truncated_svd(vectors: DataFrame, k: int = DIRECTIONS, passes: int = 5, seed: int = 42) -> tuple[DataFrame, float]:
-    """(doc_id, features array) of the first k singular directions of sparse vectors (fewer where the rank is smaller), and the share of variance they explain.
 
-    Subspace iteration from a random start, as the reference's solver: each pass adds one matrix of terms x (k + 10)
-    for each partition, merged as a tree.
+def truncated_svd(vectors: DataFrame, terms: int, k: int = DIRECTIONS, passes: int = 5, seed: int = 42) -> tuple[DataFrame, float]:
+    """(doc_id, features array) of the first k singular directions of sparse vectors (doc_id, i, w) over terms positions (fewer
+    directions where the rank is smaller), and the share of variance they explain.
+
+    Subspace iteration from a random start, as the reference's solver: each pass is one scan in Arrow batches; each partition
+    gives its part of the matrix of terms x (k + 10) in blocks of BLOCK_TERMS terms, which are summed by block.
     """
-    sc, rows = vectors.sparkSession.sparkContext, vectors.select("x").rdd
-    terms = vectors.first()["x"].size
+    sc = vectors.sparkSession.sparkContext
 
     def times(q: np.ndarray) -> np.ndarray:
         held = sc.broadcast(q)
 
-        def add(part):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z = np.zeros(held.value.shape)
-            for r in part:
-                i, w = r["x"].indices, r["x"].values
-                z[i] += w[:, None] * (w @ held.value[i])
-            yield z
-
-        return rows.mapPartitions(add).treeReduce(np.add)
+            for batch in batches:
+                for i, w in _rows(batch):
+                    z[i] += w[:, None] * (w @ held.value[i])
+            for b in range(0, len(z), BLOCK_TERMS):
+                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK_TERMS], pa.int32()), pa.array([z[b : b + BLOCK_TERMS].tobytes()], pa.binary())], ["block", "z"])
+
+        def total(t: pa.Table) -> pa.Table:
+            z = sum(np.frombuffer(x.as_py()) for x in t["z"])
+            return pa.table({"block": t["block"][:1], "z": pa.array([z.tobytes()], pa.binary())})
+
+        parts = vectors.select("i", "w").mapInArrow(add, "block int, z binary").groupBy("block").applyInArrow(total, "block int, z binary")
+        out = np.zeros_like(q)
+        for r in parts.collect():  # the matrix itself, once
+            z = np.frombuffer(r["z"]).reshape(-1, q.shape[1])
+            out[r["block"] * BLOCK_TERMS : r["block"] * BLOCK_TERMS + len(z)] = z
+        return out
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(k + 10, terms))))[0]
     for _ in range(passes):
@@ -179,20 +198,18 @@ def truncated_svd(vectors: DataFrame, k: int = DIRECTIONS, passes: int = 5, seed
     size, turn = np.linalg.eigh(q.T @ times(q))
     best = [j for j in np.argsort(-size)[:k] if size[j] > 1e-12 * size.max()]
     v = q @ turn[:, best]
-    held = vectors.sparkSession.sparkContext.broadcast(v)  # terms x k
-
-    def project(parts):
-        import pandas as pd
-
-        for df in parts:
-            x = [np.asarray(r["v"]) @ held.value[np.asarray(r["i"], int)] if len(r["i"]) else np.zeros(held.value.shape[1]) for _, r in df.iterrows()]
-            yield pd.DataFrame({"doc_id": df["doc_id"], "features": x})
-
-    dense = vectors.select("doc_id", vector_to_array("x").alias("a"))
-    sparse = dense.select("doc_id", F.filter(F.transform("a", lambda e, i: F.when(e != 0, i)), lambda i: i.isNotNull()).alias("i"), F.filter("a", lambda e: e != 0).alias("v"))
-    out = sparse.mapInPandas(project, "doc_id long, features array<double>")
-    total = sparse.select(F.explode(F.arrays_zip(F.col("i"), F.col("v").alias("e"))).alias("s")).groupBy("s.i").agg(F.sum("s.e").alias("s"), F.sum(F.col("s.e") * F.col("s.e")).alias("q"))
-    n = dense.count()
+    held = sc.broadcast(v)  # terms x k
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [w @ held.value[i] for i, w in _rows(batch)]
+            flat = np.concatenate(x) if x else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * v.shape[1], pa.int32()), pa.array(flat))], ["doc_id", "features"])
+
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    out = vectors.select("doc_id", "i", "w").mapInArrow(project, f"doc_id {kind}, features array<double>")
+    total = vectors.select(F.explode(F.arrays_zip("i", "w")).alias("s")).groupBy("s.i").agg(F.sum("s.w").alias("s"), F.sum(F.col("s.w") * F.col("s.w")).alias("q"))
+    n = vectors.count()
     var = total.agg(F.sum(F.col("q") / n - F.pow(F.col("s") / n, 2))).first()[0] or 0.0
-    kept = out.agg(*(F.var_pop(F.col("features")[j]).alias(f"v{j}") for j in range(v.shape[1]))).first()
-    return out, float(sum(x or 0.0 for x in kept) / var) if var else 0.0
+    kept = out.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0] or 0.0
+    return out, float(kept / var) if var else 0.0

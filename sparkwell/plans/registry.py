@@ -17,6 +17,7 @@ from ..operators import embeddings as E
 from ..operators import ranking as R
 from ..operators import retrieval as B
 from ..sources import bridge, tables
+from ..sources.shared import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -273,6 +274,19 @@ def _(spark, d):
     return A.hash_split(p, "pair", stratum="label").select("query_id", "doc_id", "label", "is_train")
 
 
+@query("j11_split_sizes", L + " SELECT count(DISTINCT query_id) AS queries, CAST(ceil(count(DISTINCT query_id) * 0.7) AS BIGINT) AS train_queries, CAST(0 AS BIGINT) AS in_both, count(*) AS n FROM l_judgments")
+def _(spark, d):
+    """Sizes of the split of j11: its share of whole queries, none of them in both parts."""
+    per = queries()["j11_query_split"](spark, d).groupBy("query_id").agg(F.count_distinct("is_train").alias("parts"), F.first("is_train").alias("train"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("queries"), F.count(F.when(F.col("train"), 1)).alias("train_queries"), F.count(F.when(F.col("parts") > 1, 1)).alias("in_both"), F.sum("n").alias("n"))
+
+
+@query("f14_split_sizes", L + _PAIRS + " SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.7) AS BIGINT) AS train FROM pairs GROUP BY 1")
+def _(spark, d):
+    """Sizes of the split of f14: its share within each label."""
+    return queries()["f14_stratified_split"](spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_train"), 1)).alias("train"))
+
+
 # ------------------------------------------------------------------ retrieval
 
 _BM = f"""{L}, dt AS (SELECT doc_id, {TOKENS.format('body_text')} AS t FROM l_documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
@@ -367,9 +381,12 @@ def _(spark, d):
     return rounded(R.ndcg_summary(R.ndcg(_judged_scores(spark, d))))
 
 
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in B.english_stop_words())
+
+
 @query(
     "b10_tfidf",
-    f"""{L}, t AS (SELECT doc_id, unnest(list_filter({TOKENS.format('body_text')}, lambda x: length(x) > 1)) AS term FROM l_documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    f"""{L}, t AS (SELECT doc_id, unnest(list_filter({TOKENS.format('body_text')}, lambda x: length(x) > 1 AND NOT list_contains([{_STOP}], x))) AS term FROM l_documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
 k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 10000), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN k USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM l_documents))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
@@ -447,23 +464,23 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.linear import ablation
 
-    return ablation(_features(spark, d).cache())
+    return ablation(written(_features(spark, d), "features"))
 
 
 @query("b11_truncated_svd")
 def _(spark, d):
     from ..operators.linear import tfidf_vectors, truncated_svd
 
-    v, _ = tfidf_vectors(B.tfidf(bridge.documents(spark, d)))
-    out, share = truncated_svd(v.cache())
-    return out.select("doc_id", F.size("features").alias("k"), F.lit(share > 0).alias("explains"))
+    v, terms = tfidf_vectors(written(B.tfidf(bridge.documents(spark, d)), "weights"))
+    out, share = truncated_svd(written(v, "vectors"), len(terms))
+    return out.select("doc_id", "features", F.lit(share).alias("explained"))
 
 
 @query("l6_lambdarank")
 def _(spark, d):
     from ..operators.lambdarank import Network, Trainer
 
-    f = R.standardized(_features(spark, d)).select("query_id", "doc_id", "relevance_score", F.array(*_F).alias("features")).cache()
+    f = R.standardized(_features(spark, d)).select("query_id", "doc_id", "relevance_score", F.array(*_F).alias("features"))
     t = Trainer(Network.random(len(_F)))
     t.train(f)
     return rounded(A.top(t.predict(f).select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10))
@@ -476,7 +493,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.collaborative import fit_als
 
-    m = _matrix(spark, d).cache()
+    m = written(_matrix(spark, d), "matrix")
     return fit_als(m).reconstruction(m)
 
 
@@ -484,8 +501,8 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.collaborative import fit_als
 
-    f = fit_als(_matrix(spark, d).cache())
-    return f.item_factors(bridge.documents(spark, d)).select("doc_id", F.size("factors").alias("rank"), F.forall("factors", lambda x: x == 0).alias("is_zero"))
+    f = fit_als(written(_matrix(spark, d), "matrix"))
+    return f.item_factors(bridge.documents(spark, d)).select("doc_id", "factors", F.forall("factors", lambda x: x == 0).alias("is_zero"))
 
 
 @query("c5_augmented_features")
@@ -493,7 +510,7 @@ def _(spark, d):
     from ..operators.collaborative import fit_als
 
     content = E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text", out="features").select("doc_id", "features")
-    return fit_als(_matrix(spark, d).cache()).augmented(content).select("doc_id", F.size("features").alias("width"))
+    return fit_als(written(_matrix(spark, d), "matrix")).augmented(content).select("doc_id", "features")
 
 
 @query("t5_recommendations")
@@ -501,21 +518,21 @@ def _(spark, d):
     from ..operators.collaborative import fit_als
 
     i = bridge.interactions(spark, d)
-    return fit_als(_matrix(spark, d).cache()).recommend(bridge.physicians(spark, d), 10, i).drop("score")
+    return fit_als(written(_matrix(spark, d), "matrix")).recommend(bridge.physicians(spark, d), 10, i)
 
 
 @query("c6_convergence")
 def _(spark, d):
     from ..operators.collaborative import convergence
 
-    return convergence(_matrix(spark, d).cache())
+    return convergence(written(_matrix(spark, d), "matrix"))
 
 
 @query("c7_factor_sizes")
 def _(spark, d):
     from ..operators.collaborative import factor_sizes
 
-    return factor_sizes(_matrix(spark, d).cache())
+    return factor_sizes(written(_matrix(spark, d), "matrix"))
 
 
 # ------------------------------------------------------------------ embeddings
@@ -560,19 +577,19 @@ def _(spark, d):
 @query("o4_structured_encoder")
 def _(spark, d):
     x = _metadata(spark, d).select("doc_id", E.structured_input(F.split("icd_codes", ","), F.col("labs"), F.col("markers")).alias("x"))
-    return E.encode(x, "x", E.structured_encoder()).select("doc_id", F.size("vec").alias("width"), F.round(S.norm(F.col("vec")), 6).alias("norm"))
+    return E.encode(x, "x", E.structured_encoder()).select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
 
 
 @query("o6_image_encoder")
 def _(spark, d):
     from ..sources.datagen import image_features
 
-    return E.encode(image_features(bridge.documents(spark, d)), "vec", E.image_encoder(), "out").select("doc_id", F.size("out").alias("width"), F.round(S.norm(F.col("out")), 6).alias("norm"))
+    return E.encode(image_features(bridge.documents(spark, d)), "vec", E.image_encoder(), "out").select("doc_id", F.col("out").alias("vec"), F.round(S.norm(F.col("out")), 6).alias("norm"))
 
 
 @query("o7_text_encoder")
 def _(spark, d):
-    return E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text").select("doc_id", F.size("vec").alias("width"), F.round(S.norm(F.col("vec")), 6).alias("norm"))
+    return E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text").select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
 
 
 @query("o9_l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) + 0.0 AS component_sum FROM embeddings")
@@ -615,9 +632,31 @@ def _(spark, d):
     return E.hash_search(v, v.where("vec_id % 50 = 0"))
 
 
+def _recall(spark, d, name: str, every: int):
+    """One row: queries, neighbours asked for, and whether at least nine tenths of the exact ones were found."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = E.flat_search(v, v.where(f"vec_id % {every} = 0")).select("query_id", "vec_id")
+    found = queries()[name](spark, d).select("query_id", "vec_id").withColumn("found", F.lit(1))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n"), (F.count("found") >= 0.9 * F.count("*")).alias("recalled"))
+
+
+_RECALL = "SELECT count(*) AS n_queries, count(*) * least(10, (SELECT count(*) FROM embeddings) - 1) AS n, true AS recalled FROM embeddings WHERE vec_id % {} = 0"
+
+
+@query("o16_cell_recall", _RECALL.format(25))
+def _(spark, d):
+    return _recall(spark, d, "o16_cell_search", 25)
+
+
+@query("o16_hash_recall", _RECALL.format(50))
+def _(spark, d):
+    return _recall(spark, d, "o16_hash_search", 50)
+
+
 @query("o15_projection")
 def _(spark, d):
-    return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", F.size("pca").alias("k"))
+    return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", "pca")
 
 
 @query("o11_contrastive_training")
@@ -632,7 +671,7 @@ def _(spark, d):
 # ------------------------------------------------------------------ generated data and streams
 
 
-@query("g11_generated_dataset")
+@query("g11_generated_dataset", "SELECT * FROM (VALUES ('documents', 200), ('physicians', 50), ('interactions', 2000), ('search_queries', 40), ('query_document_relevance', 800)) t(table_name, n)")
 def _(spark, d):
     from ..sources.datagen import Config, dataset
 
@@ -650,15 +689,21 @@ def _(spark, d):
 @query("streaming_ctr")
 def _(spark, d):
     """Closed windows of a finished stream over the interactions, read back from the sink."""
-    import tempfile
-    import uuid
-
     from ..streaming.ctr import read_interactions, start_sink, windowed_ctr
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     rows = bridge.interactions(spark, d)
     rows.write.parquet(f"{path}/in")
     q = start_sink(windowed_ctr(read_interactions(spark, f"{path}/in", rows.schema), "1 day", start=None), f"{path}/out", f"{path}/check")
     q.awaitTermination(600)
     return rounded(spark.read.parquet(f"{path}/out"))
+
+
+@query(
+    "streaming_ctr_counts",
+    L + """, e AS (SELECT * FROM l_interactions WHERE interaction_type IN ('click', 'view')), w AS (SELECT date_trunc('day', timestamp) AS d, count(*) FILTER (interaction_type = 'click') AS click_count, count(*) FILTER (interaction_type = 'view') AS view_count FROM e GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d') AS day, click_count, view_count, round(click_count / greatest(view_count, 1), 6) AS ctr FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(timestamp) FROM e) - INTERVAL 1 DAY""",
+)
+def _(spark, d):
+    """The exact columns of streaming_ctr: the days that the watermark has closed."""
+    return queries()["streaming_ctr"](spark, d).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "click_count", "view_count", "ctr")
