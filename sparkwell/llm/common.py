@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,21 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- shared storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_sparkwell_dir", None)
-        if base is None:
-            base = spark._sparkwell_dir = tempfile.mkdtemp(prefix="sparkwell-")
-    return base.rstrip("/")
+from ..sources.shared import new_path
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+# ---------------------------------------------------------------- shared storage
 
 
 #: Small tables are written with this many rows a file (and LEAST_FILES at least), not one file a shuffle partition.
