@@ -486,6 +486,32 @@ def _(spark, d):
     return rounded(A.top(t.predict(f).select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10))
 
 
+@query("e2_method_ordering")
+def _(spark, d):
+    """(method, n_queries, ndcg): mean NDCG@10 of BM25, both linear rankers, LambdaRank and LambdaRank with item factors on the test queries of one split."""
+    from ..operators.collaborative import fit_als
+    from ..operators.lambdarank import Network, Trainer
+    from ..operators.linear import fit_logistic, fit_svm
+
+    f = R.standardized(_features(spark, d))
+    factors = fit_als(written(_matrix(spark, d), "matrix"), rank=16).item_factors(bridge.documents(spark, d))
+    f = written(A.hash_split(f.join(factors, "doc_id"), "query_id"), "split")
+    train, test = f.where("is_train"), f.where("not is_train")
+    plain = F.array(*_F)
+    scored = {"bm25": test.withColumn("score", F.col("bm25"))}
+    for name, fit in (("logistic", fit_logistic), ("svm", fit_svm)):
+        scored[name] = test.withColumn("score", fit(train, grid=(1.0,), cv=1).score())
+    for name, x, width in (("lambdarank", plain, len(_F)), ("lambdarank_als", F.concat(plain, F.transform("factors", lambda v: v.cast("double"))), len(_F) + 16)):
+        t = Trainer(Network.random(width))
+        t.train(train.select("query_id", "doc_id", "relevance_score", x.alias("features")))
+        scored[name] = t.predict(test.withColumn("features", x))
+    out = None
+    for name, s in scored.items():
+        r = R.ndcg(s.select("query_id", "doc_id", "relevance_score", "score")).agg(F.lit(name).alias("method"), F.count("*").alias("n_queries"), F.avg("ndcg").alias("ndcg"))
+        out = r if out is None else out.union(r)
+    return rounded(out.select("method", "n_queries", "ndcg"))
+
+
 # ------------------------------------------------------------------ collaborative filtering
 
 
