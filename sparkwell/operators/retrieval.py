@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..sources.shared import written
+from ..sources.shared import spread, written
 from .analytics import top
 
 #: Terms of queries (a row for each query and term) that are broadcast: 100 MB at most.
@@ -94,7 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "body_text") -> Index:
     """Tokenize docs once and store the index, under path to be loaded again, else for this session."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.lower(text).alias("t"))
+    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))).withColumn("t", F.lower("t"))
     kind = d.schema["doc_id"].dataType.simpleString()
     rows = d.mapInArrow(_counted, f"doc_id {kind}, dl long, terms array<string>, tfs array<long>")
     if path is None:
@@ -305,7 +305,7 @@ def tfidf(docs: DataFrame, max_features: int = 10_000, stop_words: tuple[str, ..
     max_features terms of the largest total count are kept (ties by term).
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
-    d = docs.select("doc_id", F.explode(F.filter(S.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words) if stop_words else F.length(t) > 1)).alias("term"))
+    d = spread(docs.select("doc_id", text)).select("doc_id", F.explode(F.filter(S.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words) if stop_words else F.length(t) > 1)).alias("term"))
     tf = d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(max_features)
     n = docs.agg(F.count("*").alias("n"))
