@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.words import ENGLISH_STOP_WORDS
 from ..sources.shared import spread, written
 from .analytics import top
 
@@ -282,29 +283,12 @@ def latency_summary(latencies: DataFrame, column: str = "ms") -> DataFrame:
     return latencies.agg(*(F.percentile(column, p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)), F.avg(column).alias("mean_ms"), F.count(column).alias("num_queries"))
 
 
-def english_stop_words() -> tuple[str, ...]:
-    """The English list that comes with Spark's feature transformers."""
-    import zipfile
-    from pathlib import Path
-
-    import pyspark
-
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"), None)
-    if jar is None:  # Spark is installed apart from this package
-        from pyspark.ml.feature import StopWordsRemover
-
-        return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
-
-
-def tfidf(docs: DataFrame, max_features: int = 10_000, stop_words: tuple[str, ...] | None = None, text: str = "body_text") -> DataFrame:
+def tfidf(docs: DataFrame, max_features: int = 10_000, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS, text: str = "body_text") -> DataFrame:
     """(doc_id, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), of unit length per document.
 
     Terms have two characters or more and are no stop words (by default the English ones; others can be given); the
     max_features terms of the largest total count are kept (ties by term).
     """
-    stop_words = english_stop_words() if stop_words is None else stop_words
     d = spread(docs.select("doc_id", text)).select("doc_id", F.explode(F.filter(S.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words) if stop_words else F.length(t) > 1)).alias("term"))
     tf = d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(max_features)

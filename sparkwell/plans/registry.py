@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from ..functions.words import ENGLISH_STOP_WORDS
 from ..operators import analytics as A
 from ..operators import embeddings as E
 from ..operators import ranking as R
@@ -381,7 +382,7 @@ def _(spark, d):
     return rounded(R.ndcg_summary(R.ndcg(_judged_scores(spark, d))))
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in B.english_stop_words())
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
 
 @query(

@@ -452,7 +452,7 @@ def test_flat_search_over_a_grid(spark, monkeypatch):
 
 def test_tfidf_leaves_stop_words_out(spark):
     docs = spark.createDataFrame([(1, "the heart and the lung"), (2, "The a I heart")], "doc_id long, body_text string")
-    assert {"the", "and", "of"} < set(B.english_stop_words())
+    assert {"the", "and", "of"} < set(B.ENGLISH_STOP_WORDS)
     assert {r.term for r in B.tfidf(docs).collect()} == {"heart", "lung"}
     assert {r.term for r in B.tfidf(docs, stop_words=("heart",)).collect()} == {"the", "and", "lung"}
 
