@@ -94,6 +94,21 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", "n_tokens", "epoch", "weight", "block", "block_key")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 10 code points or more stay in the first of the documents that share them: doc_id, n_lines, n_dropped, kept_sha256."""
+    from .line_dedup import line_dedup
+
+    d = line_dedup(spark, read(spark, sf_dir, "documents"), least_length=10, least_documents=2)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 centroids, 5 rounds: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    from .centroid_clustering import centroid_clustering
+
+    return centroid_clustering(spark, read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_warc_revisits": op2_warc_revisits,
@@ -105,6 +120,8 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 #: Least node reachable over the links l(a, b) from every node of n(x).
@@ -113,6 +130,28 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(x, y) AS (SELECT x, x FROM n UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 comp AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5, d: int = 64) -> str:
+    """The rounds written out one after another; a distance and its centroid are compared as one number."""
+    out = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS INTEGER) AS j, e AS c FROM v WHERE vec_id IS NOT NULL ORDER BY j LIMIT {k})",
+    ]
+    nearest = "(SELECT min(list_sum(list_transform(list_zip(v.e, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * 1000 + c.j) FROM c{0} c)"
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, e, {nearest.format(r)} AS m FROM v)")
+        if r < rounds:
+            sums = f"SELECT CAST(m % 1000 AS INTEGER) AS j, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM a{r}"
+            means = f"SELECT j, i, sum(x) AS s, count(*) AS n FROM ({sums}) GROUP BY 1, 2"
+            lists = f"SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM ({means}) GROUP BY 1"
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT o.j, coalesce(x.c, o.c) AS c FROM c{r} o LEFT JOIN ({lists}) x ON x.j = o.j)")
+    out.append(f"f AS (SELECT vec_id, CAST(m % 1000 AS INTEGER) AS cluster, CAST(m // 1000 AS BIGINT) AS distance FROM a{rounds})")
+    last = f"SELECT j, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c{rounds}"
+    return f"WITH {', '.join(out)} SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN ({last}) ON j = cluster"
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
@@ -162,4 +201,11 @@ w AS (SELECT *, CASE
   WHEN regexp_matches(low, '://click\..*/redirect([^a-z0-9_.%-]|$)', 's') THEN '://click.*/redirect^'
   WHEN regexp_matches(low, '/wp-login\.php([^a-z0-9_.%-]|$)', 's') THEN '/wp-login.php^' END AS pattern FROM h)
 SELECT page_id, host, path, rule, pattern, CASE WHEN rule IN ('example.com/en/7', 'example.net/de/8') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM w""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id <> first, false) AS gone FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op12_centroid_clustering": _clustering_sql(),
 }
