@@ -52,6 +52,27 @@ def weekly_ctr(interactions: DataFrame, approximate: bool = False) -> DataFrame:
     return g.select("year", "week_num", "click_count", "view_count", S.guarded_ratio(F.col("click_count"), F.col("view_count")).alias("ctr"), "active_physicians", "docs_interacted")
 
 
+def weekly_engagement(interactions: DataFrame, documents: DataFrame, threshold: int = S.COLD_START, where: Column | None = None) -> DataFrame:
+    """Engagement by week and the documents' specialty: clicks, views, CTR, weighted score, dwell time, physicians, documents, cold documents.
+
+    Interactions are summed by week, document and physician before they meet the documents. where: which interactions
+    count for the weeks; documents are cold or not by all of them.
+    """
+    t = F.col("timestamp")
+    counted = interactions.where("doc_id is not null") if where is None else interactions.where("doc_id is not null").where(where)
+    pairs = counted.groupBy(S.year_text(t).alias("year"), S.week_text(t).alias("week_num"), "doc_id", "physician_id").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("interaction_type") == "click", 1)).alias("clicks"), F.count(F.when(F.col("interaction_type") == "view", 1)).alias("views"),
+        F.sum(S.interaction_weight(F.col("interaction_type"))).alias("weight"), F.sum("dwell_time_seconds").alias("dwell"), F.count("dwell_time_seconds").alias("dwells"),
+    )
+    docs = cold_start_documents(documents, interactions, threshold).select("doc_id", "specialty", "is_cold_start")
+    g = pairs.join(docs, "doc_id").groupBy("year", "week_num", "specialty").agg(
+        F.sum("n").alias("interactions"), F.sum("clicks").alias("click_count"), F.sum("views").alias("view_count"), S.guarded_ratio(F.sum("clicks"), F.sum("views")).alias("ctr"), F.sum("weight").alias("weighted_score"),
+        (F.sum("dwell") / F.nullif(F.sum("dwells"), F.lit(0))).alias("mean_dwell"), F.count_distinct("physician_id").alias("active_physicians"), F.count_distinct("doc_id").alias("docs_interacted"),
+        F.count_distinct(F.when(F.col("is_cold_start") == 1, F.col("doc_id"))).alias("cold_docs"),
+    )
+    return g
+
+
 def sparsity(documents: DataFrame, physicians: DataFrame, interactions: DataFrame) -> DataFrame:
     """One row: sizes, possible and observed pairs, sparsity and its percent text."""
     one = documents.agg(F.count("*").alias("n_documents")).crossJoin(physicians.agg(F.count("*").alias("n_physicians"))).crossJoin(interactions.agg(F.count_distinct("physician_id", "doc_id").alias("observed_pairs")))

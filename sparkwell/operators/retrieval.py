@@ -41,10 +41,11 @@ MISMATCH_CASES = (
 
 @dataclass
 class Index:
-    """docs (doc_id, dl, terms, tfs), a row a document, and where they are stored."""
+    """docs (doc_id, dl, terms, tfs), a row a document, where they are stored, and (term, df) where it is known already."""
 
     docs: DataFrame
     path: str | None = None
+    df: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -63,8 +64,8 @@ class Index:
 
     def weights(self, vocabulary: DataFrame | None = None) -> DataFrame:
         """(term, df, idf, avgdl) of the terms in the vocabulary, or of all."""
-        if self.path:
-            df = self.docs.sparkSession.read.parquet(f"{self.path}/terms")
+        if self.df is not None:
+            df = self.df
             df = df if vocabulary is None else df.join(vocabulary, "term", "left_semi")
         else:
             t = self.docs.select(F.explode("terms").alias("term"))
@@ -73,14 +74,15 @@ class Index:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document length, distinct terms and their counts of lower-cased texts."""
+    """Document length, distinct terms and their counts of lower-cased texts (the last column); the others are passed on."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        text = b.column(b.num_columns - 1)
+        size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < b.num_rows:
             stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
             n = stop - start
-            lists = pc.split_pattern_regex(pc.fill_null(b.column(1).slice(start, n), ""), "[^a-z0-9]+")
+            lists = pc.split_pattern_regex(pc.fill_null(text.slice(start, n), ""), "[^a-z0-9]+")
             word, row = lists.flatten(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
             real = pc.not_equal(word, "")
             word, row = word.filter(real), row[real.to_numpy(zero_copy_only=False)]
@@ -89,24 +91,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, tf = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
             ends = pa.array(np.searchsorted(key, np.arange(n + 1) * width), pa.int32())
             terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % width)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), pa.array(np.bincount(row, minlength=n)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["doc_id", "dl", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(start, n) for c in b.columns[:-1]), pa.array(np.bincount(row, minlength=n)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], [*b.schema.names[:-1], "dl", "terms", "tfs"])
             start = stop
 
 
+def counted(docs: DataFrame, id_col: str = "doc_id", text: str = "body_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The index's rows of docs: (doc_id, kept columns, dl, terms, tfs)."""
+    d = docs.select(F.col(id_col).alias("doc_id"), *keep, F.lower(text).alias("__text"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-1])
+    return d.mapInArrow(_counted, f"{types}, dl long, terms array<string>, tfs array<long>")
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df) of index rows."""
+    return docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "body_text") -> Index:
     """Tokenize docs once and store the index, under path to be loaded again, else for this session."""
-    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))).withColumn("t", F.lower("t"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    rows = d.mapInArrow(_counted, f"doc_id {kind}, dl long, terms array<string>, tfs array<long>")
+    rows = counted(spread(docs.select(id_col, text)), id_col, text)
     if path is None:
         return Index(written(rows, "index"))
     stored = Index(written(rows, "index", f"{path}/docs"))
-    stored.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    document_frequencies(stored.docs).write.parquet(f"{path}/terms")
     return load(docs.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/docs"), path)
+    return Index(spark.read.parquet(f"{path}/docs"), path, spark.read.parquet(f"{path}/terms"))
 
 
 def idf(n: Column, df: Column) -> Column:

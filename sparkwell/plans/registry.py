@@ -734,3 +734,34 @@ SELECT strftime(d, '%Y-%m-%d') AS day, click_count, view_count, round(click_coun
 def _(spark, d):
     """The exact columns of streaming_ctr: the days that the watermark has closed."""
     return queries()["streaming_ctr"](spark, d).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "click_count", "view_count", "ctr")
+
+
+# ------------------------------------------------------------------ jobs
+
+
+@query("job1_incremental_index", _BM + ", best AS (" + _TOP.format("sc") + ") SELECT query_id, rank, doc_id, score, doc_type AS lang FROM best JOIN l_documents USING (doc_id)")
+def _(spark, d):
+    """Two runs into one folder: the second finds nothing new."""
+    from jobs import incremental_index as job
+
+    where = (f"{d}/documents.parquet", f"{d}/benchmark.parquet", new_path(spark, "job1"))
+    for _ in range(2):
+        job.run(spark, *where)
+    return job.results(spark, *where)
+
+
+@query(
+    "job2_engagement_report",
+    L + """, c AS (SELECT doc_id, count(*) AS n FROM l_interactions GROUP BY 1),
+i AS (SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%W') AS week_num, specialty, interaction_type AS t, dwell_time_seconds AS w, physician_id, doc_id, c.n < 5 AS cold FROM l_interactions JOIN l_documents USING (doc_id) JOIN c USING (doc_id))
+SELECT year, week_num, specialty, count(*) AS interactions, count(*) FILTER (t = 'click') AS click_count, count(*) FILTER (t = 'view') AS view_count, round(coalesce(count(*) FILTER (t = 'click') / CAST(nullif(count(*) FILTER (t = 'view'), 0) AS DOUBLE), 0), 6) AS ctr,
+  CAST(sum(CASE t WHEN 'save' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS weighted_score, round(avg(w), 6) AS mean_dwell, count(DISTINCT physician_id) AS active_physicians, count(DISTINCT doc_id) AS docs_interacted, count(DISTINCT doc_id) FILTER (cold) AS cold_docs FROM i GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    """Two runs into one folder: the second writes the same weeks again."""
+    from jobs import engagement_report as job
+
+    out = new_path(spark, "job2")
+    for _ in range(2):
+        job.run(spark, d, out)
+    return rounded(job.report(spark, out))
