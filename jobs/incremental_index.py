@@ -8,6 +8,7 @@ without an id are left out. Every query is then ranked over the whole index, who
 the answers replace the former ones, partitioned by the documents' language.
 
 out/index/batch=N/<partition>=...   doc_id, dl, terms, tfs
+out/segments/batch=N                the same, inverted in segments for search
 out/frequencies/batch=N             term, df
 out/results/<partition>=...         query_id, rank, doc_id, score
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobs.config import load, logger
-from sparkwell.operators import retrieval
+from sparkwell.operators import blockmax, retrieval
 from sparkwell.streaming.ingest import batch_path, file_stream, ingest
 
 DEFAULTS = {"id": "doc_id", "text": "text", "partition": "lang", "query_id": "item_id", "query_text": "text", "files_per_batch": 64, "top_k": 10, "k1": 1.5, "b": 0.75}
@@ -43,7 +44,7 @@ def results(spark: SparkSession, documents: str, queries: str, out: str, config:
 def run(spark: SparkSession, documents: str, queries: str, out: str, config: dict | None = None, checkpoint: str | None = None) -> dict[str, int]:
     """Take in what is new, answer all queries; gives the numbers that were logged."""
     c = DEFAULTS | (config or {})
-    index, frequencies, checkpoint = f"{out}/index", f"{out}/frequencies", checkpoint or f"{out}/checkpoint"
+    index, segments, frequencies, checkpoint = f"{out}/index", f"{out}/segments", f"{out}/frequencies", checkpoint or f"{out}/checkpoint"
     stream = file_stream(spark, documents, c["files_per_batch"]).select(c["id"], c["partition"], c["text"])
     counts = {"batches": 0, "read": 0, "indexed": 0}
 
@@ -51,7 +52,8 @@ def run(spark: SparkSession, documents: str, queries: str, out: str, config: dic
         return retrieval.counted(new, c["id"], c["text"], (c["partition"],)).withColumnRenamed("doc_id", c["id"])
 
     def also(stored: DataFrame, n: int, read: int) -> None:
-        retrieval.document_frequencies(stored).write.mode("overwrite").parquet(batch_path(frequencies, n))
+        blockmax.segments(stored.withColumnRenamed(c["id"], "doc_id")).write.mode("overwrite").parquet(batch_path(segments, n))
+        retrieval.document_frequencies(spark.read.parquet(batch_path(segments, n))).write.mode("overwrite").parquet(batch_path(frequencies, n))
         indexed = stored.count()
         for name, m in (("batches", 1), ("read", read), ("indexed", indexed)):
             counts[name] += m
@@ -62,7 +64,7 @@ def run(spark: SparkSession, documents: str, queries: str, out: str, config: dic
 
     stored = spark.read.schema(rows(spark.createDataFrame([], stream.schema)).schema).option("basePath", index).parquet(index)
     df = spark.read.schema("term string, df long, batch int").parquet(frequencies).groupBy("term").agg(F.sum("df").alias("df"))
-    held = retrieval.Index(stored.withColumnRenamed(c["id"], "doc_id"), df=df)
+    held = retrieval.Index(stored.withColumnRenamed(c["id"], "doc_id"), spark.read.parquet(segments), df)
     asked = spark.read.parquet(queries).select(F.col(c["query_id"]).alias("query_id"), F.col(c["query_text"]).alias("query_text"))
     best = retrieval.retrieve(held, asked, c["top_k"], c["k1"], c["b"])
     kind = held.docs.select("doc_id", c["partition"])

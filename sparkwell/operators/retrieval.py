@@ -1,8 +1,8 @@
 """BM25 over a stored index with a row a document, TF-IDF, and retrieval reports.
 
-``fit`` tokenizes the corpus once and writes (doc_id, dl, terms, tfs). Retrieval scores each document inside its own row
-against the terms of all queries, which are broadcast up to MOST_TERMS, and keeps the best k of each task: pairs of query and
-document are never shuffled. More query terms than that are joined instead.
+``fit`` tokenizes the corpus once and writes (doc_id, dl, terms, tfs). Retrieval searches the rows' segments (blockmax) with
+the terms of all queries, which are broadcast up to MOST_TERMS, and keeps the best k of each task: pairs of query and document
+are never shuffled. More query terms than that are joined instead.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..functions.words import ENGLISH_STOP_WORDS
 from ..sources.shared import spread, written
+from . import blockmax
 from .analytics import top
 
 #: Terms of queries (a row for each query and term) that are broadcast: 100 MB at most.
 MOST_TERMS = 4_000_000
-#: Cells of a block of documents by queries in a task, and bytes of text tokenized at once.
-CELLS, SLICE = 1 << 21, 4 << 20
+#: Bytes of text tokenized at once.
+SLICE = 4 << 20
 K1, B = 1.5, 0.75
 
 # The report's queries, each with terms for the same concept that share no token with it.
@@ -41,12 +42,18 @@ MISMATCH_CASES = (
 
 @dataclass
 class Index:
-    """docs (doc_id, dl, terms, tfs), a row a document, where they are stored, and (term, df) where it is known already."""
+    """docs (doc_id, dl, terms, tfs), a row a document; segments of them for search, and (term, df), made when first asked for."""
 
     docs: DataFrame
-    path: str | None = None
+    stored_segments: DataFrame | None = None
     df: DataFrame | None = None
 
+    @property
+    def segments(self) -> DataFrame:
+        if self.stored_segments is None:
+            self.stored_segments = written(blockmax.segments(self.docs), "segments")
+        return self.stored_segments
+
     @property
     def postings(self) -> DataFrame:
         """(term, doc_id, tf)."""
@@ -64,12 +71,9 @@ class Index:
 
     def weights(self, vocabulary: DataFrame | None = None) -> DataFrame:
         """(term, df, idf, avgdl) of the terms in the vocabulary, or of all."""
-        if self.df is not None:
-            df = self.df
-            df = df if vocabulary is None else df.join(vocabulary, "term", "left_semi")
-        else:
-            t = self.docs.select(F.explode("terms").alias("term"))
-            df = (t if vocabulary is None else t.join(vocabulary, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
+        if self.df is None:
+            self.df = written(document_frequencies(self.segments), "frequencies")
+        df = self.df if vocabulary is None else self.df.join(vocabulary, "term", "left_semi")
         return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
 
 
@@ -102,9 +106,10 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text: str = "body_text", ke
     return d.mapInArrow(_counted, f"{types}, dl long, terms array<string>, tfs array<long>")
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) of index rows."""
-    return docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(segments: DataFrame) -> DataFrame:
+    """(term, df): a segment has a row a term, so its documents are counted already."""
+    t = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x"))
+    return t.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
 
 
 def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "body_text") -> Index:
@@ -112,13 +117,14 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text:
     rows = counted(spread(docs.select(id_col, text)), id_col, text)
     if path is None:
         return Index(written(rows, "index"))
-    stored = Index(written(rows, "index", f"{path}/docs"))
-    document_frequencies(stored.docs).write.parquet(f"{path}/terms")
+    stored = written(rows, "index", f"{path}/docs")
+    segments = written(blockmax.segments(stored), "segments", f"{path}/segments")
+    document_frequencies(segments).write.parquet(f"{path}/terms")
     return load(docs.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/docs"), path, spark.read.parquet(f"{path}/terms"))
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("docs", "segments", "terms")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -143,14 +149,19 @@ def _weighted(index: Index, queries: DataFrame, distinct: bool) -> DataFrame:
     return q.join(index.weights(q.select("term").distinct()), "term").select("query_id", "term", "qtf", "idf", "avgdl")
 
 
-def _scorer(held, pairs: list[tuple[float, float]], k: int | None, margin: float):
-    """Scores of a task's documents; of each query the best k (and all within the margin of the k-th) where k is given."""
+def _scorer(held, pairs: list[tuple[float, float]], k: int | None, margin: float, blocks=None):
+    """Scores of a task's segments; of each query the best k (and all within the margin of the k-th) where k is given.
+
+    blocks: accumulators of the blocks that hold a query's terms, and of those that were read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, vocabulary, first, who, weight, idf_, avgdl = held.value
+        query, vocabulary, term, first, weight, avgdl = held.value
         if not len(query):
             return
-        words, least, kept = pa.array(vocabulary, pa.string()), np.full(len(query), -np.inf), []
+        words, least = pa.array(vocabulary, pa.string()), np.full(len(query), -np.inf)
+        kept: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        names = ["query_id", "doc_id", *(f"s{i}" for i in range(len(pairs)))]
 
         def best() -> None:
             """Drop what cannot be among the k best: by score, then id."""
@@ -169,45 +180,37 @@ def _scorer(held, pairs: list[tuple[float, float]], k: int | None, margin: float
             kept[:] = [(ids.take(pa.array(order[stay])), q[stay], s[stay])]
 
         for b in batches:
-            at = b.column(2).offsets.to_numpy()
-            found = pc.index_in(b.column(2).values, words)
-            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            term, tf = found.take(pa.array(hit)).to_numpy(), b.column(3).values.to_numpy()[hit].astype(float)
-            row = np.searchsorted(at, hit, "right") - 1
-            dl = b.column(1).to_numpy().astype(float)
-            block = max(1, CELLS // len(query))
-            for s in range(0, b.num_rows, block):
-                lo, hi = np.searchsorted(row, (s, min(s + block, b.num_rows)))
-                t, r, n = term[lo:hi], row[lo:hi] - s, min(block, b.num_rows - s)
-                many = first[t + 1] - first[t]
-                entry = np.repeat(first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())  # the queries of each hit's term
-                cell = np.repeat(r, many) * len(query) + who[entry]
-                totals = []
-                for k1, b_ in pairs:
-                    x = idf_[t] * tf[lo:hi] * (k1 + 1) / (tf[lo:hi] + k1 * (1 - b_ + b_ * dl[row[lo:hi]] / avgdl))
-                    totals.append(np.bincount(cell, np.repeat(x, many) * weight[entry], n * len(query)).astype(float))  # of no cell: integers
-                if k is None:
-                    out = np.flatnonzero(totals[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(out % len(query))), b.column(0).take(pa.array(s + out // len(query))), *(pa.array(x[out]) for x in totals)], ["query_id", "doc_id", *(f"s{i}" for i in range(len(pairs)))])
-                    continue
-                x = totals[0].reshape(n, -1)
-                r, q = np.nonzero((x > 0) & (x >= least))
-                kept.append((b.column(0).take(pa.array(s + r)), q, x[r, q]))
-                if sum(len(x) for _, x, _ in kept) > CELLS:
+            for r in range(b.num_rows):
+                s = blockmax.Segment(b.slice(r, 1), avgdl)
+                lists = pc.fill_null(pc.index_in(words, s.terms), -1).to_numpy(zero_copy_only=False)
+                postings = [s.postings(*p) for p in pairs]
+                bounds = s.bounds(*pairs[0]) if k is not None else None
+                for q in np.unique(np.repeat(np.arange(len(query)), np.diff(first))[lists[term] >= 0]):  # those with a term here
+                    asked = blockmax.Query(s, lists[term[first[q] : first[q + 1]]], weight[first[q] : first[q + 1]])
+                    if k is None:
+                        slot, sums = asked.scores(postings)
+                        yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(np.full(len(slot), q))), s.ids.take(pa.array(slot)), *map(pa.array, sums)], names)
+                        continue
+                    slot, score, n, read = asked.best(k, least[q], margin, bounds, postings[0])
+                    if blocks is not None:
+                        blocks[0].add(n)
+                        blocks[1].add(read)
+                    kept.append((s.ids.take(pa.array(slot)), np.full(len(slot), q), score))
+                if kept:  # the k-th best scores hold for the next segment
                     best()
         if kept:
-            best()
             ids, q, s = kept[0]
-            yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(q)), ids, pa.array(s)], ["query_id", "doc_id", "s0"])
+            yield pa.RecordBatch.from_arrays([pa.array(query).take(pa.array(q)), ids, pa.array(s)], names)
 
     return run
 
 
-def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, grid: DataFrame | None = None, best: int | None = None, margin: float = 0.0) -> DataFrame:
+def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, grid: DataFrame | None = None, best: int | None = None, margin: float = 0.0, blocks=None) -> DataFrame:
     """(query_id, doc_id, score) of all pairs that share a term.
 
     With grid (columns k1, b) every pair of parameters is scored. best: only pairs that may be among a query's best are
-    needed, by score and then id; those within the margin of them are given too.
+    needed, by score and then id; those within the margin of them are given too, and blocks of documents that cannot hold
+    any are skipped. blocks: two accumulators, of the blocks that share a term and of those read.
     """
     pairs = [(k1, b)] if grid is None else [(r["k1"], r["b"]) for r in grid.collect()]  # a small parameter table
     names = [f"s{i}" for i in range(len(pairs))]
@@ -215,14 +218,13 @@ def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float =
     types = {"query_id": w.schema["query_id"].dataType.simpleString(), "doc_id": index.docs.schema["doc_id"].dataType.simpleString()}
     rows = w.limit(MOST_TERMS + 1).toArrow()
     if rows.num_rows <= MOST_TERMS:
-        rows = rows.sort_by([("term", "ascending")]).combine_chunks()
+        rows = rows.sort_by([("query_id", "ascending"), ("term", "ascending")]).combine_chunks()
         query, vocabulary = rows["query_id"].combine_chunks().dictionary_encode(), rows["term"].combine_chunks().dictionary_encode()
-        code = vocabulary.indices.to_numpy()
-        first = np.searchsorted(code, np.arange(len(vocabulary.dictionary) + 1))
-        idf_ = rows["idf"].to_numpy()[first[:-1]] if rows.num_rows else np.zeros(0)
-        data = (query.dictionary, vocabulary.dictionary.to_pylist(), first, query.indices.to_numpy(), rows["qtf"].to_numpy().astype(float), idf_, float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0)
-        run = _scorer(index.docs.sparkSession.sparkContext.broadcast(data), pairs, best if grid is None else None, margin)
-        sums = index.docs.select("doc_id", "dl", "terms", "tfs").mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in types.items()), *(f"{n} double" for n in names)]))
+        first = np.searchsorted(query.indices.to_numpy(), np.arange(len(query.dictionary) + 1))
+        weight = rows["qtf"].to_numpy() * rows["idf"].to_numpy() if rows.num_rows else np.zeros(0)
+        data = (query.dictionary, vocabulary.dictionary.to_pylist(), vocabulary.indices.to_numpy(), first, weight, float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0)
+        run = _scorer(index.docs.sparkSession.sparkContext.broadcast(data), pairs, best if grid is None else None, margin, blocks)
+        sums = index.segments.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in types.items()), *(f"{n} double" for n in names)]))
     else:
         hits = index.docs.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
         part = lambda x, y: F.sum(F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), x, y))
@@ -243,13 +245,14 @@ def pair_scores(index: Index, pairs: DataFrame, queries: DataFrame, k1: float =
     return p.select("query_id", "doc_id", F.coalesce(F.aggregate("w", F.lit(0.0), lambda a, x: a + one(x)), F.lit(0.0)).alias("score"))
 
 
-def retrieve(index: Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, padded: bool = False, digits: int = 6) -> DataFrame:
+def retrieve(index: Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, padded: bool = False, digits: int = 6, blocks=None) -> DataFrame:
     """(query_id, rank, doc_id, score): the best documents by the rounded score, ties by doc_id.
 
     padded: a query with fewer matches is filled up with unmatched documents of score 0 in the order of doc_id. Only the
-    top_k smallest ids and the matches can ever be needed for that, so no query meets the whole corpus.
+    top_k smallest ids and the matches can ever be needed for that, so no query meets the whole corpus. blocks: as in
+    matched_scores.
     """
-    s = matched_scores(index, queries, k1, b, best=top_k, margin=2 * 10.0**-digits).withColumn("score", F.round("score", digits))
+    s = matched_scores(index, queries, k1, b, best=top_k, margin=2 * 10.0**-digits, blocks=blocks).withColumn("score", F.round("score", digits))
     if padded:
         # among the first top_k + m ids at least top_k are unmatched, where m < top_k matches are all a short list has
         first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * top_k)
