@@ -1,13 +1,14 @@
 """Line dedup: lines that several documents share stay in the first of them only.
 
 Every text is split at line feeds and its lines exploded. A line's key is the line without white space at its ends and with
-A-Z lower-cased; the key is hashed to 128 bits, and the distinct documents of each hash are counted (two 64-bit hashes of
-different seeds; only 24 bytes a line move, partly summed before). Lines whose key reaches the number of documents are
+A-Z lower-cased; the key is hashed to 128 bits in Arrow batches of bounded bytes, and the distinct documents of each hash are
+counted (24 bytes a line move, partly summed before). Lines whose key reaches the number of documents are
 dropped except in the smallest document that holds it, and a text is put together again from the runs between its dropped
 positions, in time linear in its lines.
 
 A hash that holds more than one part in HOT_PARTS of the repeated lines is salted: there are at most HOT_PARTS of those, so
-their list is broadcast, and their lines are dealt by document. Positions of dropped lines, never lines, are grouped, and
+their list is broadcast, and their lines are dealt by document. Nothing is written: the plan is one query, whose shuffles are repeated for
+what a lost executor held. Positions of dropped lines, never lines, are grouped, and
 only within one text.
 
 Defined results: a null text is an empty one, and an empty text is one empty line; white space is ``[\\x20\\x09-\\x0D]``; a key
@@ -19,10 +20,15 @@ keep all lines and count for nothing; empty tables give no row. Other columns st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches
 
 LEAST_LENGTH = 10
 LEAST_DOCUMENTS = 2
@@ -31,22 +37,33 @@ HOT_PARTS = 4096
 #: Lines of one hash that a task takes.
 HOT_LINES = 100_000
 
-SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = b" \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased (other letters stay)."""
-    bare = F.btrim(line, F.lit(SPACE))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_hashes(text: bytes, least_length: int) -> tuple[list[int], list[bytes]]:
+    """Positions and 128-bit hashes of the keys with least_length code points or more. bytes.lower() lowers A-Z alone."""
+    at, digests = [], []
+    for i, line in enumerate(text.lower().split(b"\n")):
+        key = line.strip(SPACE)
+        if len(key) >= least_length and (len(key) >= 4 * least_length or len(key.decode("utf-8", "replace")) >= least_length):
+            at.append(i)
+            digests.append(xxhash.xxh3_128_digest(key))
+    return at, digests
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text: str, least_length: int) -> DataFrame:
     """(doc, row, pos, h1, h2) of the lines that can be dropped; row tells texts of one document apart."""
-    d = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    lines = d.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    keys = lines.select("doc", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_length)
-    return keys.select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [line_hashes(t, least_length) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(at) for at, _ in found]))
+            pos = np.array([i for at, _ in found for i in at], np.int32)
+            h = np.frombuffer(b"".join(d for _, digests in found for d in digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(pos), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc", "row", "pos", "h1", "h2"])
+
+    d = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), text)
+    return d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, row long, pos int, h1 long, h2 long")
 
 
 def repeated_lines(lines: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -60,7 +77,10 @@ def repeated_lines(lines: DataFrame, least_documents: int = LEAST_DOCUMENTS) ->
 
 
 def dropped_positions(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc, row, cut): the sorted positions that each text loses."""
+    """(doc, row, cut): the sorted positions that each text loses.
+
+    repeated is used three times; all three read one shuffle of it, as they need the same aggregates.
+    """
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     salted = repeated.crossJoin(F.broadcast(total)).withColumn("hot", (F.col("n") > HOT_LINES) & (F.col("n") * HOT_PARTS > F.col("total")))
     salts = F.when(F.col("hot"), F.ceil(F.col("n") / HOT_LINES)).otherwise(1).cast("int")
@@ -74,9 +94,9 @@ def dropped_positions(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, least_length: int = LEAST_LENGTH, least_documents: int = LEAST_DOCUMENTS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that is left, n_lines (before) and n_dropped."""
+    bounded_batches(spark)
     lines = keyed_lines(docs, id_col, text, least_length)
-    repeated = stored(repeated_lines(lines, least_documents), "repeated_lines")
-    cuts = dropped_positions(lines, repeated)
+    cuts = dropped_positions(lines, repeated_lines(lines, least_documents))
 
     others = [c for c in docs.columns if c not in (id_col, text, "n_lines", "n_dropped")]
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text, F.lit("")).alias("t"), F.xxhash64(text).alias("r"), (F.struct(*others) if others else F.lit(None)).alias("o"))
