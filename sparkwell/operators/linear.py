@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from .analytics import index_of
-from .ranking import FEATURES, standardized
+from .newton import Fit, areas, decisions, newton
+from .ranking import FEATURES
 
 # The grid of inverse regularisation strengths.
 GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -66,84 +66,50 @@ def _moments(df: DataFrame, features: tuple[str, ...]) -> tuple[np.ndarray, np.n
     return mean, np.where(scale > 1e-12, scale, 1.0)
 
 
-def _vectors(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="x").transform(standardized(df, features))
+def _prepared(df: DataFrame, features: tuple[str, ...], mean: np.ndarray, scale: np.ndarray, cv: int, label: str) -> DataFrame:
+    """(label, fold, standardised features), stored: every scan reads it. A missing feature counts as its mean."""
+    z = [F.coalesce((F.col(f) - float(m)) / float(s), F.lit(0.0)).alias(f"x{i}") for i, (f, m, s) in enumerate(zip(features, mean, scale, strict=True))]
+    d = df.withColumn("label", F.col(label).cast("int")).where("label is not null")
+    d = folds(d, n=cv) if cv > 1 else d.withColumn("fold", F.lit(0))
+    return written(d.select("label", "fold", *z), "pairs")
 
 
-def _auc(model_rows: DataFrame) -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label").evaluate(model_rows)
-
-
-def fit_logistic(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tuple[float, ...] = GRID, cv: int = 5, label: str = "label") -> LinearRanker:
-    """Grid search by AUC over cv folds, then a fit on all rows. C is the inverse strength over the number of rows."""
-    from pyspark.ml.classification import LogisticRegression
-
+def _fit(df: DataFrame, features: tuple[str, ...], grid: tuple[float, ...], cv: int, label: str, logistic: bool) -> LinearRanker:
+    """Grid search by the mean AUC over cv folds, all of the grid's models, held-out and whole, fitted in the same scans."""
     mean, scale = _moments(df, features)
-    d = _vectors(folds(df.withColumn("label", F.col(label).cast("double")), n=max(1, cv)), features).select("query_id", "doc_id", "label", "fold", "x").cache()
-    n = d.count()
+    search = cv > 1 and len(grid) > 1
+    rows = _prepared(df, features, mean, scale, cv if search else 1, label)
+    held = [Fit(c, len(features), f) for c in grid for f in range(cv)] if search else []
+    whole = [Fit(c, len(features)) for c in (grid if search else grid[:1])]
+    w = newton(rows, held + whole, logistic)
+    best, auc = 0, 0.0
+    if search:
+        area = areas(decisions(rows, w[: len(held)], held, True))
+        means = [float(np.mean([area.get(i * cv + f, 0.5) for f in range(cv)])) for i in range(len(grid))]
+        best = int(np.argmax(means))
+        auc = means[best]
+    final = w[len(held) + best]
+    return LinearRanker(features, mean, scale, final[:-1], float(final[-1]), logistic, grid[best], auc)
 
-    def model(rows: DataFrame, c: float, size: int):
-        return LogisticRegression(featuresCol="x", labelCol="label", rawPredictionCol="raw", regParam=1 / (c * max(1, size)), elasticNetParam=0.0, standardization=False, maxIter=200).fit(rows)
 
-    best = (0.0, grid[0])
-    if cv > 1 and len(grid) > 1:
-        scores = []
-        for c in grid:
-            auc = [_auc(model(d.where(F.col("fold") != f), c, n * (cv - 1) // cv).transform(d.where(F.col("fold") == f))) for f in range(cv)]
-            scores.append((float(np.mean(auc)), c))
-        best = max(scores, key=lambda s: s[0])
-    m = model(d, best[1], n)
-    d.unpersist()
-    return LinearRanker(features, mean, scale, np.array(m.coefficients.toArray()), float(m.intercept), True, best[1], best[0])
+def fit_logistic(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tuple[float, ...] = GRID, cv: int = 5, label: str = "label") -> LinearRanker:
+    """Logistic regression: C times the losses against half the squared weights."""
+    return _fit(df, features, grid, cv, label, True)
 
 
 def fit_svm(df: DataFrame, features: tuple[str, ...] = FEATURES, grid: tuple[float, ...] = GRID, cv: int = 5, label: str = "label") -> LinearRanker:
-    """Squared-hinge linear SVM by Newton steps; each step is one distributed aggregation of a small Gram matrix."""
-    mean, scale = _moments(df, features)
-    d = folds(df.withColumn("label", F.col(label).cast("double")), n=max(1, cv)).select("query_id", "doc_id", "label", "fold", *features).cache()
-
-    def fit(rows: DataFrame, c: float) -> tuple[np.ndarray, float]:
-        w = np.zeros(len(features) + 1)
-        z = [(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, scale)] + [F.lit(1.0)]
-        y = F.col("label") * 2 - 1
-        k = len(z)
-        for _ in range(20):
-            margin = y * sum((x * float(v) for x, v in zip(z[1:], w[1:])), z[0] * float(w[0]))
-            active = F.when(margin < 1, 1.0).otherwise(0.0)
-            gram = [F.sum(active * z[i] * z[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-            right = [F.sum(active * y * z[i]).alias(f"r{i}") for i in range(k)]
-            r = rows.agg(*gram, *right).first()
-            g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-            new = np.linalg.solve(2 * c * g + np.diag(np.append(np.ones(k - 1), 1e-9)), 2 * c * np.array([r[f"r{i}"] or 0.0 for i in range(k)]))
-            done = np.abs(new - w).max() < 1e-9
-            w = new
-            if done:
-                break
-        return w[:-1], float(w[-1])
-
-    def ranker(c: float, w: np.ndarray, b: float, auc: float) -> LinearRanker:
-        return LinearRanker(features, mean, scale, w, b, False, c, auc)
-
-    best = (0.0, grid[0])
-    if cv > 1 and len(grid) > 1:
-        scores = []
-        for c in grid:
-            auc = [_auc(d.where(F.col("fold") == f).withColumn("raw", ranker(c, *fit(d.where(F.col("fold") != f), c), 0.0).decision())) for f in range(cv)]
-            scores.append((float(np.mean(auc)), c))
-        best = max(scores, key=lambda s: s[0])
-    out = ranker(best[1], *fit(d, best[1]), best[0])
-    d.unpersist()
-    return out
+    """Squared-hinge linear SVM."""
+    return _fit(df, features, grid, cv, label, False)
 
 
 def ablation(df: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.0, label: str = "label") -> DataFrame:
-    """(n_features, last_feature, train_accuracy) of SVMs on growing prefixes of the features."""
-    rows = []
-    for n in range(1, len(features) + 1):
-        m = fit_svm(df, features[:n], (c,), 0, label)
-        right = ((m.decision() > 0).cast("int") == F.col(label)).cast("double")
-        rows.append((n, features[n - 1], float(df.select(F.avg(right)).first()[0] or 0.0)))
-    return df.sparkSession.createDataFrame(rows, "n_features int, last_feature string, train_accuracy double")
+    """(n_features, last_feature, train_accuracy) of SVMs on growing prefixes of the features, fitted in the same scans."""
+    mean, scale = _moments(df, features)
+    rows = _prepared(df, features, mean, scale, 1, label)
+    fits = [Fit(c, n) for n in range(1, len(features) + 1)]
+    d = decisions(rows, newton(rows, fits, False), fits, False)
+    right = {r["model"]: r["a"] for r in d.groupBy("model").agg(F.avg(((F.col("raw") > 0).cast("int") == F.col("label")).cast("double")).alias("a")).collect()}
+    return df.sparkSession.createDataFrame([(n, features[n - 1], float(right.get(n - 1, 0.0))) for n in range(1, len(features) + 1)], "n_features int, last_feature string, train_accuracy double")
 
 
 def tfidf_vectors(weights: DataFrame) -> tuple[DataFrame, list[str]]:

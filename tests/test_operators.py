@@ -245,16 +245,6 @@ def test_truncated_svd(spark):
     assert len(linear.truncated_svd(df.limit(3), 20)[0].first().features) == 3
 
 
-@pytest.mark.parametrize("fit", [fit_logistic, fit_svm])
-def test_held_out_parts_cover_every_row(spark, monkeypatch, fit):
-    df = spark.createDataFrame([(i % 4, i, i % 2, float(i % 7), float(i % 5)) for i in range(40)], "query_id int, doc_id int, label int, u double, v double")
-    held = []
-    monkeypatch.setattr(linear, "_auc", lambda rows: held.append([r.doc_id for r in rows.collect()]) or 0.5)
-    fit(df, ("u", "v"), (0.1, 1.0), 3)
-    assert [len(h) > 0 for h in held] == [True] * 6
-    assert sorted(sum(held[:3], [])) == sorted(sum(held[3:], [])) == list(range(40))
-
-
 # ------------------------------------------------------------------ embeddings
 
 
