@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.shared import written
+from .als import als
 from .analytics import als_cold_items, index_of, top
 
-# A stored pair without weight still states a preference, at the least confidence: a rating of 0 would be dropped.
-ZERO_WEIGHT = 1e-9
 ITERATIONS = (1, 3, 5, 10, 15, 20, 25, 30)
 SIZES = (32, 64, 128, 256)
 
@@ -98,36 +97,35 @@ class Factors:
         return loss.crossJoin(size(self.items, "item_factor_norm")).crossJoin(size(self.users, "user_factor_norm"))
 
 
-def fit_als(matrix: DataFrame, rank: int = 128, iterations: int = 15, regularization: float = 0.01, alpha: float = S.ALPHA, seed: int = 42, cold_threshold: int = S.COLD_START) -> Factors:
-    """Factors of an interaction matrix (physician_id, doc_id, weighted_score, ...).
+def _fitted(matrix: DataFrame, ranks: tuple[int, ...], iterations: int, regularization: float, alpha: float, seed: int, cold_threshold: int) -> tuple[list[Factors], list[dict]]:
+    """Factors of each rank from one fit, and its history."""
+    u, i = (written(index_of(matrix, k).withColumnRenamed("idx", n), "als-ids") for k, n in (("physician_id", "u"), ("doc_id", "i")))
+    data = matrix.join(u, "physician_id").join(i, "doc_id").select("u", "i", (1 + alpha * F.col("weighted_score").cast("double")).alias("c"))
+    users, items, history = als(data, ranks, iterations, regularization, seed)
+    cold, out, start = als_cold_items(matrix, cold_threshold), [], 1
+    for r in ranks:
+        f = F.transform(F.slice("f", start, r), lambda x: x.cast("float")).alias("factors")
+        out.append(Factors(users.join(u, F.col("id") == F.col("u")).select("physician_id", f), items.join(i, F.col("id") == F.col("i")).select("doc_id", f), cold, r))
+        start += r
+    return out, history
+
 
-    The rating is the weighted score, to which the solver applies 1 + alpha * rating itself: giving it the confidence
-    would apply alpha twice. Its regularisation scales with each row's number of pairs.
-    """
-    u, i = index_of(matrix, "physician_id").withColumnRenamed("idx", "u"), index_of(matrix, "doc_id").withColumnRenamed("idx", "i")
-    rating = F.greatest(F.col("weighted_score").cast("double"), F.lit(ZERO_WEIGHT)).cast("float")
-    data = matrix.join(u, "physician_id").join(i, "doc_id").select("u", "i", rating.alias("rating"))
-    m = ALS(userCol="u", itemCol="i", ratingCol="rating", implicitPrefs=True, alpha=float(alpha), rank=rank, maxIter=iterations, regParam=regularization, seed=seed).fit(data)
-    users = m.userFactors.join(u, F.col("id") == F.col("u")).select("physician_id", F.col("features").alias("factors"))
-    items = m.itemFactors.join(i, F.col("id") == F.col("i")).select("doc_id", F.col("features").alias("factors"))
-    return Factors(users, items, als_cold_items(matrix, cold_threshold), rank)
+def fit_als(matrix: DataFrame, rank: int = 128, iterations: int = 15, regularization: float = 0.01, alpha: float = S.ALPHA, seed: int = 42, cold_threshold: int = S.COLD_START) -> Factors:
+    """Factors of an interaction matrix (physician_id, doc_id, weighted_score, ...), whose confidence is 1 + alpha * weighted_score."""
+    return _fitted(matrix, (rank,), iterations, regularization, alpha, seed, cold_threshold)[0][0]
 
 
 def convergence(matrix: DataFrame, most: int = 30, rank: int = 128, iterations: tuple[int, ...] = ITERATIONS) -> DataFrame:
-    """(iterations, reconstruction_loss, item_factor_norm, user_factor_norm) of separate fits."""
-    out = None
-    for n in (n for n in iterations if n <= most):
-        r = fit_als(matrix, rank, n).reconstruction(matrix).withColumn("iterations", F.lit(n))
-        out = r if out is None else out.union(r)
-    return out.select("iterations", "reconstruction_loss", "item_factor_norm", "user_factor_norm")
+    """(iterations, reconstruction_loss, item_factor_norm, user_factor_norm) after those iterations of one fit."""
+    asked = [n for n in iterations if n <= most]
+    _, history = _fitted(matrix, (rank,), max(asked, default=0), 0.01, S.ALPHA, 42, S.COLD_START)
+    rows = [(h["iterations"], h["reconstruction_loss"], h["item_factor_norm"], h["user_factor_norm"]) for h in history if h["iterations"] in asked]
+    return matrix.sparkSession.createDataFrame(rows, "iterations int, reconstruction_loss double, item_factor_norm double, user_factor_norm double")
 
 
 def factor_sizes(matrix: DataFrame, sizes: tuple[int, ...] = SIZES, iterations: int = 15) -> DataFrame:
-    """(factors, reconstruction_loss, memory_mb) of fits of several ranks."""
-    out = None
-    for k in sizes:
-        f = fit_als(matrix, k, iterations)
-        rows = f.users.agg(F.count("*").alias("n")).union(f.items.agg(F.count("*").alias("n"))).agg((F.sum("n") * k * 4 / 1048576).alias("memory_mb"))
-        r = f.reconstruction(matrix).select(F.lit(k).alias("factors"), "reconstruction_loss").crossJoin(rows)
-        out = r if out is None else out.union(r)
-    return out
+    """(factors, reconstruction_loss, memory_mb) of several ranks, fitted side by side."""
+    _, history = _fitted(matrix, sizes, iterations, 0.01, S.ALPHA, 42, S.COLD_START)
+    loss = {h["rank"]: h["reconstruction_loss"] for h in history if h["iterations"] == iterations}
+    n = matrix.agg((F.count_distinct("physician_id") + F.count_distinct("doc_id")).alias("n")).first()["n"]
+    return matrix.sparkSession.createDataFrame([(k, loss[k], n * k * 4 / 1048576) for k in sizes], "factors int, reconstruction_loss double, memory_mb double")

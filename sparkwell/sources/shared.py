@@ -28,7 +28,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut, and it is computed once."""
     path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Delete a table made by written() that no later plan reads."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
