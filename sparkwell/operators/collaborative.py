@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,29 +20,26 @@ ITERATIONS = (1, 3, 5, 10, 15, 20, 25, 30)
 SIZES = (32, 64, 128, 256)
 
 
-TILE_USERS, BLOCK_ITEMS = 256, 2048
+#: Users of a cell (on average) and items of a block.
+TILE_USERS, BLOCK_ITEMS = 1024, 2048
 
 
-def _packed(df: DataFrame, key: str, size: int, name: str, *columns: str) -> DataFrame:
-    """Rows of about size rows each of df, dealt by a hash of key."""
-    n = max(1, -(-df.count() // size))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("part")).agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
+def _best_of_cell(k: int):
+    """The k best unseen items of a block for each user of a tile (rows with f are users, those with doc_id are seen pairs)."""
 
-
-def _partial_top(k: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            for users, items in zip(df["u"], df["i"]):
-                ids = [i["doc_id"] for i in items]
-                at = {d: n for n, d in enumerate(ids)}
-                s = np.stack([np.asarray(u["f"], float) for u in users]) @ np.stack([np.asarray(i["f"], float) for i in items]).T
-                rows = []
-                for u, own in zip(users, s):
-                    left = np.array([at[d] for d in (u["seen"] if u["seen"] is not None else ()) if d in at], int)
-                    own[left] = -np.inf
-                    least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
-                    rows += [(u["physician_id"], ids[j], float(own[j])) for j in np.flatnonzero(own >= least) if own[j] > -np.inf]
-                yield pd.DataFrame(rows, columns=["physician_id", "doc_id", "score"])
+    def run(users: pa.Table, items: pa.Table) -> pa.Table:
+        asked = users.filter(pc.is_valid(users["f"]))
+        ids, who = items["doc_id"].combine_chunks(), asked["physician_id"].combine_chunks()
+        matrix = lambda t: t["f"].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1)
+        if not len(ids) or not len(who):
+            return pa.table({"physician_id": who.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        s = matrix(asked) @ matrix(items).T
+        seen = users.filter(pc.is_null(users["f"]))
+        s[pc.index_in(seen["physician_id"], who).to_numpy(), pc.index_in(seen["doc_id"], ids).to_numpy()] = -np.inf
+        m = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+        u, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # ties at the border included
+        return pa.table({"physician_id": who.take(pa.array(u)), "doc_id": ids.take(pa.array(i)), "score": pa.array(s[u, i])})
 
     return run
 
@@ -75,19 +73,49 @@ class Factors:
     def recommend(self, users: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
         """(physician_id, rank, doc_id, score) by raw factors, cold documents included; unknown physicians get no row.
 
-        seen: interactions whose pairs are left out. Tiles of users meet blocks of items as matrix products, each with a
-        partial top k; k rows for each user and block are shuffled, never a row for each pair.
+        seen: interactions whose pairs are left out. Items lie in blocks by falling norm. Every user meets the first block;
+        its k-th score bounds from below what a further block must reach, and by Cauchy-Schwarz a user's scan ends where the
+        product of norms falls below it. Users are sent to the blocks they still need, in tiles, with their seen pairs of the
+        block; no user's seen items are ever in one list.
         """
-        u = users.select("physician_id").distinct().join(self.users, "physician_id").select("physician_id", F.col("factors").alias("f"))
-        if seen is None:
-            u = u.withColumn("seen", F.lit(None).cast(f"array<{self.items.schema['doc_id'].dataType.simpleString()}>"))
-        else:
-            u = u.join(seen.groupBy("physician_id").agg(F.collect_set("doc_id").alias("seen")), "physician_id", "left")
-        tiles = _packed(u, "physician_id", TILE_USERS, "u", "physician_id", "f", "seen")
-        blocks = _packed(self.items.select("doc_id", F.col("factors").alias("f")), "doc_id", BLOCK_ITEMS, "i", "doc_id", "f")
-        shape = self.users.select("physician_id").schema.add(self.items.schema["doc_id"]).add("score", "double")
-        s = tiles.crossJoin(blocks).mapInPandas(_partial_top(k), shape)
-        return top(s, ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).select("physician_id", "rank", "doc_id", "score")
+        kinds = f"physician_id {self.users.schema['physician_id'].dataType.simpleString()}, doc_id {self.items.schema['doc_id'].dataType.simpleString()}, score double"
+        length = F.sqrt(F.aggregate("factors", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        u = users.select("physician_id").distinct().join(self.users, "physician_id").select("physician_id", F.col("factors").alias("f"), length.alias("norm"))
+        u = written(u, "users")
+        tiles = max(1, -(-u.count() // TILE_USERS))
+        u = u.withColumn("tile", F.pmod(F.xxhash64("physician_id"), F.lit(tiles)))
+        items = written(self.items.select("doc_id", F.col("factors").alias("f"), length.alias("norm")), "items")
+        place = index_of(items.select(F.struct((-F.col("norm")).alias("n"), "doc_id").alias("x")), "x").select(F.col("x.doc_id").alias("doc_id"), F.floor(F.col("idx") / BLOCK_ITEMS).cast("int").alias("block"))
+        items = written(items.join(place, "doc_id"), "blocks")
+        bounds = np.array([r["n"] for r in items.groupBy("block").agg(F.max("norm").alias("n")).orderBy("block").collect()])  # one number a block
+        pairs = None
+        if seen is not None:
+            pairs = written(seen.select("physician_id", "doc_id").distinct().join(items.select("doc_id", "block"), "doc_id"), "seen")
+
+        def met(need: DataFrame) -> DataFrame:
+            """Scores of the users in need (physician_id, f, tile, block) with their blocks' items."""
+            cell = ["block", "tile"]
+            side = need.select(*cell, "physician_id", "f", F.lit(None).cast(items.schema["doc_id"].dataType).alias("doc_id"))
+            if pairs is not None:
+                left = pairs.join(need.select(*cell, "physician_id"), ["physician_id", "block"])
+                side = side.union(left.select(*cell, "physician_id", F.lit(None).cast(items.schema["f"].dataType), "doc_id"))
+            block = need.select(*cell).distinct().join(items.select("block", "doc_id", "f"), "block").toDF("b", "t", "doc_id", "f")
+            return side.groupBy(*cell).cogroup(block.groupBy("b", "t")).applyInArrow(_best_of_cell(k), kinds)
+
+        first = written(met(u.withColumn("block", F.lit(0))), "first")
+        kth = top(first, ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).groupBy("physician_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The number of blocks whose items can reach a user's k-th score; all, where fewer than k are found."""
+            for b in batches:
+                norm, least = b.column(3).to_numpy(), pc.fill_null(b.column(4), -np.inf).to_numpy(zero_copy_only=False)
+                n = [len(bounds) if t <= 0 else int(np.searchsorted(-bounds * v * (1 + 1e-9), -t, "right")) for v, t in zip(norm, least)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32())], ["physician_id", "f", "tile", "n"])
+
+        open_ = u.join(kth, "physician_id", "left").select("physician_id", "f", "tile", "norm", "least")
+        open_ = open_.mapInArrow(reach, f"{kinds.split(',')[0]}, f {items.schema['f'].dataType.simpleString()}, tile long, n int").where("n > 1")
+        more = met(open_.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).drop("n"))
+        return top(first.union(more), ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).select("physician_id", "rank", "doc_id", "score")
 
     def reconstruction(self, matrix: DataFrame) -> DataFrame:
         """One row: the mean squared difference of predictions from the confidences over all stored pairs, and factor norms."""

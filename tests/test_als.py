@@ -107,3 +107,53 @@ def test_tables_are_deleted(spark, pairs, monkeypatch):
 def test_no_pairs(spark, pairs):
     users, items, history = als(pairs[0].limit(0), (2,), 2, PENALTY)
     assert users.count() == items.count() == 0 and history[-1]["reconstruction_loss"] == 0
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_recommendations_equal_all_scores(spark, monkeypatch, flat):
+    """Blocks of 16 items: the best of every user over all items, seen pairs left out, ties by id; hot users see most items."""
+    from sparkwell.operators import collaborative as c
+
+    monkeypatch.setattr(c, "BLOCK_ITEMS", 16)
+    monkeypatch.setattr(c, "TILE_USERS", 6)
+    rng = np.random.default_rng(8)
+    length = np.ones(150) if flat else rng.pareto(1.0, 150) + 0.01  # falling norms let scans end early
+    v = rng.normal(size=(150, 5))
+    v = (v / np.linalg.norm(v, axis=1)[:, None] * length[:, None]).astype(np.float32)
+    v[20] = v[21] = v[22]
+    u = rng.normal(size=(23, 5)).astype(np.float32)
+    u[5] = 0
+    ids = rng.permutation(150)
+    users = spark.createDataFrame([(f"p{i}", x.tolist()) for i, x in enumerate(u)], "physician_id string, factors array<float>")
+    items = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "doc_id long, factors array<float>")
+    pairs = {(f"p{int(a)}", int(b)) for a, b in zip(rng.integers(0, 23, 200), rng.integers(0, 160, 200))} | {("p1", i) for i in range(147)}
+    seen = spark.createDataFrame([*pairs, *sorted(pairs)[:5]], "physician_id string, doc_id long")
+    f = c.Factors(users, items, spark.createDataFrame([], "doc_id long, n long"), 5)
+    out = f.recommend(users.select("physician_id"), 4, seen)
+    got = {(r.physician_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
+    want = {}
+    for a in range(23):
+        s = v.astype(float) @ u[a].astype(float)
+        best = sorted(((-x, int(i)) for x, i in zip(s, ids) if (f"p{a}", int(i)) not in pairs))[:4]
+        want |= {(f"p{a}", n + 1): (i, pytest.approx(-x, abs=1e-9)) for n, (x, i) in enumerate(best)}
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Cross" not in plan
+
+
+def test_a_scan_ends_early(spark, monkeypatch):
+    from sparkwell.operators import collaborative as c
+
+    monkeypatch.setattr(c, "BLOCK_ITEMS", 10)
+    calls, real = spark.sparkContext.accumulator(0), c._best_of_cell
+
+    def counting(k):
+        run = real(k)
+        return lambda users, items: (calls.add(items.num_rows), run(users, items))[1]
+
+    monkeypatch.setattr(c, "_best_of_cell", counting)
+    items = spark.createDataFrame([(i, [float(2.0**-i), 0.0]) for i in range(200)], "doc_id long, factors array<float>")
+    users = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 1.0])], "physician_id string, factors array<float>")
+    f = c.Factors(users, items, spark.createDataFrame([], "doc_id long, n long"), 2)
+    assert [r.doc_id for r in f.recommend(users, 3).where("physician_id = 'a'").orderBy("rank").collect()] == [0, 1, 2]
+    assert calls.value <= 4 * 10  # the first block, not twenty
