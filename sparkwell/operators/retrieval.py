@@ -23,6 +23,7 @@ from ..functions.words import ENGLISH_STOP_WORDS
 from ..sources.shared import spread, written
 from . import blockmax
 from .analytics import top
+from .matching import term_hits
 
 #: Terms of queries (a row for each query and term) that are broadcast: 100 MB at most.
 MOST_TERMS = 4_000_000
@@ -269,8 +270,8 @@ def mismatch_report(index: Index, docs: DataFrame, cases=MISMATCH_CASES, example
     spark = docs.sparkSession
     terms = spark.createDataFrame([(i, q, j, t) for i, (q, ts) in enumerate(cases) for j, t in enumerate(ts)], "case_id int, query string, term_no int, matched_term string")
     queries = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "query_id int, query_text string")
-    hit = docs.join(F.broadcast(terms), S.contains_ignoring_case(F.col("body_text"), F.col("matched_term")))  # a fixed list of terms
-    hit = hit.select("case_id", "query", "term_no", "matched_term", "doc_id", F.substring("body_text", 1, 200).alias("text_preview"))
+    hit = term_hits(docs.withColumn("text_preview", F.substring("body_text", 1, 200)), terms, "body_text", "matched_term", ("doc_id", "text_preview")).withColumnRenamed("term", "matched_term")
+    hit = hit.join(terms, "matched_term").select("case_id", "query", "term_no", "matched_term", "doc_id", "text_preview")
     found = hit.groupBy("case_id").agg(F.count("*").alias("found"))
     hit = top(hit, ["case_id"], [F.col("term_no"), F.col("doc_id")], examples, "n").join(found, "case_id")
     scores = pair_scores(index, hit.select(F.col("case_id").alias("query_id"), "doc_id"), queries).withColumnRenamed("query_id", "case_id").withColumnRenamed("score", "bm25_score")
