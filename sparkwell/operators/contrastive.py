@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,10 @@ from .embeddings import TEMPERATURE, Dense
 from .gradients import flat, summed, unflat
 
 
+#: Rows of one stored part, about those of an Arrow batch.
+ROWS = 10_000
+
+
 def forward(model: Dense, x: np.ndarray) -> tuple[np.ndarray, list]:
     """Unit-length outputs and what the backward pass needs."""
     saved = []
@@ -108,21 +113,21 @@ class ContrastiveTrainer:
     def train(self, data: DataFrame, epochs: int = 10, size: int = 64, mode: str = "sync", parts: int = 4) -> list[dict]:
         """data: (i, text, image, structured) arrays. Returns losses by epoch.
 
-        mode "sync": the rows are stored once; each epoch deals them by hash into batches of about size, and takes a step on
-        each of parts shares of the batches, from the sum of their gradients. mode "local": a step a batch on the driver, for
-        sets that fit it.
+        mode "sync": the rows are dealt by hash and stored once. Every task cuts the rows it reads, in a new random order each
+        epoch, into batches of about size, and each epoch takes a step on each of parts shares of the batches, from the sum of
+        their gradients; no vector is shuffled again. mode "local": a step a batch on the driver, for sets that fit it.
         """
         if mode == "local":
             d = data.orderBy("i").toPandas()
             xs = [np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")]
             return [{"epoch": e, **self.train_epoch(xs, e, size)} for e in range(epochs)]
-        rows = written(data.select("i", "text", "image", "structured"), "pairs")
-        batches, history = max(1, -(-rows.count() // size)), []
+        n = data.count()
+        rows = written(data.select("i", "text", "image", "structured").repartition(max(1, min(n // (4 * size), n // ROWS + data.sparkSession.sparkContext.defaultParallelism)), F.xxhash64(F.lit(self.seed), "i")), "pairs")
+        history = []
         for epoch in range(epochs):
             loss, n = 0.0, 0
-            dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(self.seed), F.lit(epoch), "i"), F.lit(batches)))
-            for part in range(min(parts, batches)):
-                total = summed(dealt.where(F.col("batch") % min(parts, batches) == part).groupBy("batch").applyInPandas(lambda d: self._one(d), "g array<double>"))
+            for part in range(parts):
+                total = summed(rows.mapInPandas(self._share(epoch, part, parts, size), "g array<double>"), rows.rdd.getNumPartitions())
                 if total is not None and total[-1]:
                     like = [x for m in self.models() for layer in m.layers for x in layer]
                     g = iter(unflat(total / total[-1], like))
@@ -131,13 +136,19 @@ class ContrastiveTrainer:
             history.append({"epoch": epoch, "loss": loss / max(1, n), "n_batches": n})
         return history
 
-    def _one(self, d: pd.DataFrame) -> pd.DataFrame:
-        """The flat gradients, loss and number (one, or none of a batch below two rows) of a batch."""
-        d = d.sort_values("i")
-        if len(d) < 2:
-            return pd.DataFrame({"g": []})
-        loss, grads = self.batch([np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")])
-        return pd.DataFrame({"g": [flat([x for model in grads for layer in model for x in layer], loss, 1.0)]})
+    def _share(self, epoch: int, part: int, parts: int, size: int):
+        """Flat gradients, losses and numbers of one share of the batches; those below two rows are left out."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in frames:
+                d = d.sort_values("i")
+                order = np.random.default_rng([self.seed, epoch, len(d)]).permutation(len(d))
+                for b, take in enumerate(np.array_split(order, max(1, round(len(d) / size)))):
+                    if b % parts == part and len(take) > 1:
+                        loss, grads = self.batch([np.stack(d[c].to_numpy()[take]).astype(float) for c in ("text", "image", "structured")])
+                        yield pd.DataFrame({"g": [flat([x for model in grads for layer in model for x in layer], loss, 1.0)]})
+
+        return run
 
     def save_all(self, spark: SparkSession, path: str) -> None:
         rows = [(n, json.dumps([[w.tolist(), b.tolist()] for w, b in m.layers])) for n, m in zip(("text", "image", "structured"), self.models())]

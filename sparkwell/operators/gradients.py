@@ -6,11 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+#: Values of one piece of a vector, and sums that one task adds.
+PIECE, FAN = 1 << 14, 32
 
-def summed(vectors: DataFrame) -> np.ndarray | None:
-    """The sum of column g (array<double>, of one length): a partial sum in each partition, and those added one by one."""
+
+def summed(vectors: DataFrame, partitions: int | None = None) -> np.ndarray | None:
+    """The sum of column g (array<double>, of one length), as a tree: a task's sum is cut into pieces, and each level adds the
+    same piece of FAN tasks. The driver gets every piece once, however many partitions there are.
+
+    partitions: how many there are at most, where the caller knows.
+    """
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -18,12 +26,21 @@ def summed(vectors: DataFrame) -> np.ndarray | None:
             for g in d["g"]:
                 total = np.array(g) if total is None else total + np.asarray(g)
         if total is not None:
-            yield pd.DataFrame({"g": [total]})
-
-    total = None
-    for r in vectors.select("g").mapInPandas(add, "g array<double>").toLocalIterator():  # a vector of fixed length for each partition
-        total = np.array(r["g"]) if total is None else total + np.asarray(r["g"])
-    return total
+            pieces = [total[s : s + PIECE] for s in range(0, len(total), PIECE)]
+            yield pd.DataFrame({"piece": np.arange(len(pieces), dtype=np.int32), "slot": TaskContext.get().partitionId(), "g": pieces})
+
+    def level(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("slot")  # the same order of additions each time
+        return pd.DataFrame({"piece": d["piece"].iloc[:1], "slot": d["slot"].iloc[:1] // FAN, "g": [np.sum(np.stack(d["g"].to_list()), axis=0)]})
+
+    shape = "piece int, slot int, g array<double>"
+    tree = vectors.select("g").mapInPandas(add, shape)
+    n = partitions or vectors.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN)
+        tree = tree.groupBy("piece", (tree["slot"] / FAN).cast("int")).applyInPandas(level, shape)
+    rows = sorted((r["piece"], r["g"]) for r in tree.collect())
+    return np.concatenate([np.array(g) for _, g in rows]) if rows else None
 
 
 def flat(arrays: list[np.ndarray], *more: float) -> np.ndarray:
