@@ -115,6 +115,25 @@ def equal_width_bins(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return df.crossJoin(edge).where(F.col(column).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with a column for each share: the exact percentile, linearly interpolated; null without values.
+
+    Values are counted, dealt in ranges and counted up inside a range; only the two values around each percentile are picked.
+    """
+    counts = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranges")
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    total = starts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(starts.select("part", "start")), "part").withColumn("end", end).crossJoin(F.broadcast(total))
+    at = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    holds = lambda i: (i >= F.col("end") - F.col("n")) & (i < F.col("end"))
+    low = {f"{name}_low": F.max(F.when(holds(F.floor(x)), F.col("x"))) for name, x in at.items()}
+    high = {f"{name}_high": F.max(F.when(holds(F.ceil(x)), F.col("x"))) for name, x in at.items()}
+    r = placed.agg(F.first("total").alias("total"), *(v.alias(k) for k, v in (low | high).items()))
+    return r.select(*((F.col(f"{name}_low") + (x - F.floor(x)) * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name) for name, x in at.items()))
+
+
 # ------------------------------------------------------------------ matrix coordinates
 
 

@@ -235,10 +235,11 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
 
 class _Lists:
-    """The k best vectors so far for each of the unit queries q."""
+    """The k best vectors so far for each of the unit queries q; product scores rows of what prepare made of q."""
 
-    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, digits: int | None, own: bool, blocks) -> None:
-        self.qid, self.q, self.k, self.digits, self.own = qid, q, k, digits, own
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, digits: int | None, own: bool, blocks, prepare=None, product=None) -> None:
+        self.qid, self.q, self.k, self.digits, self.own = qid, prepare(q) if prepare else q, k, digits, own
+        self.product = product or (lambda held, rows, v: held[rows] @ v.T)
         self.blocks = blocks(q) if blocks else lambda v: [(np.arange(len(q)), np.arange(len(v)))]
         self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
@@ -247,7 +248,7 @@ class _Lists:
         for rows, cols in self.blocks(v):
             for a in range(0, len(rows), TILE_ROWS):
                 r = rows[a : a + TILE_ROWS]
-                s = self.q[r] @ v[cols].T
+                s = self.product(self.q, r, v[cols])
                 s = s if self.digits is None else np.round(s, self.digits) + 0.0
                 if not self.own:
                     s[self.qid[r][:, None] == ids[cols][None]] = -np.inf
@@ -266,39 +267,44 @@ class _Lists:
         return pd.DataFrame({"query_id": self.qid[self.row], "vec_id": self.id, "score": self.score})
 
 
-def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None) -> DataFrame:
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None, held: int | None = None, rows=None, prepare=None, product=None) -> DataFrame:
     """The k best unit vectors of each unit query; own: also of the query's own id.
 
-    blocks, made for a task's queries, gives for a tile of vectors the rows of queries and vectors that are compared.
+    blocks, made for a task's queries, gives for a tile of vectors the rows of queries and vectors that are compared. rows
+    reads the vectors' column, where it holds something else; prepare and product say how they are scored, held how many
+    queries a task holds.
     """
     spark = vectors.sparkSession
     queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(asked or vector).alias("v")).where("v is not null")
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
     n, shape = queries.count(), "query_id long, vec_id long, score double"
     matrix = lambda col: _unit(np.stack(col.to_numpy()).astype(float))
+    read, most = rows or matrix, held or HELD_QUERIES
 
     def scan(lists: _Lists, df: pd.DataFrame) -> None:
         for a in range(0, len(df), VECTOR_ROWS):
-            lists.add(df["id"].to_numpy()[a : a + VECTOR_ROWS], matrix(df["v"].iloc[a : a + VECTOR_ROWS]))
+            lists.add(df["id"].to_numpy()[a : a + VECTOR_ROWS], read(df["v"].iloc[a : a + VECTOR_ROWS]))
 
-    if n <= HELD_QUERIES:
-        rows = queries.toPandas()
-        if rows.empty:
+    if n <= most:
+        all_ = queries.toPandas()
+        if all_.empty:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        held = spark.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["v"])))
+        sent = spark.sparkContext.broadcast((all_["id"].to_numpy(), matrix(all_["v"])))
 
         def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lists = _Lists(*held.value, k, digits, own, blocks)
+            lists = _Lists(*sent.value, k, digits, own, blocks, prepare, product)
             for df in parts:
                 scan(lists, df)
             yield lists.frame()
 
         found = vectors.mapInPandas(whole, shape)
     else:
-        tiles, shards = -(-n // HELD_QUERIES), max(1, -(-vectors.count() // SHARD_ROWS))
+        tiles, shards = -(-n // most), max(1, -(-vectors.count() // SHARD_ROWS))
         place = F.monotonically_increasing_id()
         q = queries.withColumn("tile", F.pmod(place, F.lit(tiles))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
         v = vectors.withColumn("shard", F.pmod(place, F.lit(shards))).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+        q = q.withColumn("w", F.lit(None).cast(vectors.schema["v"].dataType))
+        v = v.withColumnRenamed("v", "w").withColumn("v", F.lit(None).cast(queries.schema["v"].dataType))
         both = q.withColumn("asked", F.lit(0)).unionByName(v.withColumn("asked", F.lit(1)))
         dealt = both.repartition("tile", "shard").sortWithinPartitions("tile", "shard", "asked")
 
@@ -317,12 +323,12 @@ def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
                     if len(rows) and (waiting or lists is not None):
                         if lists is None:
                             every = pd.concat(waiting)
-                            lists, waiting = _Lists(every["id"].to_numpy(), matrix(every["v"]), k, digits, own, blocks), []
-                        scan(lists, rows)
+                            lists, waiting = _Lists(every["id"].to_numpy(), matrix(every["v"]), k, digits, own, blocks, prepare, product), []
+                        scan(lists, rows.assign(v=rows["w"]))
             if lists is not None:
                 yield lists.frame()
 
-        found = dealt.select("tile", "shard", "asked", "id", "v").mapInPandas(cells, shape)
+        found = dealt.select("tile", "shard", "asked", "id", "v", "w").mapInPandas(cells, shape)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -352,16 +358,29 @@ def build_cells(vectors: DataFrame, cells: int = 16, sample: int = 20_000, seed:
 
 
 def cell_search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 4, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, rank, vec_id, score): approximate cosine search in each query's probes nearest cells."""
-    c = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in index.centroids))
-    u = S.l2_normalized(F.col(vector))
-    q = queries.select(F.col(id_col).alias("query_id"), u.alias("q"))
-    far = F.transform(c, lambda x, i: F.struct(F.aggregate(F.zip_with(x, F.col("q"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y).alias("d"), i.alias("cell")))
-    q = q.withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(far), 1, probes), lambda x: x["cell"])))
-    v = index.vectors.select(F.col(id_col).alias("vec_id"), "cell", S.l2_normalized(F.col(vector)).alias("v"))
-    s = q.join(v, "cell").where("query_id <> vec_id").select("query_id", "vec_id", F.round(S.dot(F.col("q"), F.col("v")), digits).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """(query_id, rank, vec_id, score): approximate cosine search in each query's probes nearest cells.
+
+    A tile of vectors is cut by cell, and each cell is one matrix product with the queries that probe it; no cell is shuffled.
+    """
+    centroids = index.centroids
+
+    def near_cells(x: np.ndarray, n: int) -> np.ndarray:
+        far = (centroids * centroids).sum(axis=1)[None] - 2 * x @ centroids.T
+        return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+    def blocks(q: np.ndarray):
+        asked = near_cells(q, probes)
+
+        def near(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            cell = near_cells(v, 1)[:, 0]
+            for c in np.unique(cell):
+                rows = np.flatnonzero((asked == c).any(axis=1))
+                if len(rows):
+                    yield rows, np.flatnonzero(cell == c)
+
+        return near
+
+    return _tiled(index.vectors, queries, k, id_col, vector, digits, blocks=blocks)
 
 
 def hash_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, width: float = 1.0, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, seed: int = 42) -> DataFrame:

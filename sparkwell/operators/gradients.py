@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -13,34 +13,45 @@ from pyspark.sql import DataFrame
 PIECE, FAN = 1 << 14, 32
 
 
-def summed(vectors: DataFrame, partitions: int | None = None) -> np.ndarray | None:
-    """The sum of column g (array<double>, of one length), as a tree: a task's sum is cut into pieces, and each level adds the
-    same piece of FAN tasks. The driver gets every piece once, however many partitions there are.
+PIECES = "piece int, slot int, g binary"
+
+
+def pieces(total: np.ndarray, size: int | None = None) -> pa.RecordBatch:
+    """The rows (PIECES) of a task's sum: pieces of size values, marked with the task's number."""
+    cut = [total[s : s + (size or PIECE)] for s in range(0, len(total), size or PIECE)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.full(len(cut), TaskContext.get().partitionId(), np.int32)), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "slot", "g"])
+
+
+def tree(rows: DataFrame, partitions: int) -> np.ndarray | None:
+    """The sum of all tasks' pieces (PIECES): each level adds the same piece of FAN tasks, in their order; the driver gets
+    every piece once, however many partitions there are."""
 
-    partitions: how many there are at most, where the caller knows.
-    """
+    def level(t: pa.Table) -> pa.Table:
+        t = t.sort_by("slot")
+        total = np.array(np.frombuffer(t["g"][0].as_py()))
+        for g in t["g"][1:]:
+            total += np.frombuffer(g.as_py())
+        return pa.table({"piece": t["piece"].slice(0, 1), "slot": pa.array([t["slot"][0].as_py() // FAN], pa.int32()), "g": pa.array([total.tobytes()], pa.binary())})
 
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    while partitions > 1:
+        partitions = -(-partitions // FAN)
+        rows = rows.groupBy("piece", (rows["slot"] / FAN).cast("int")).applyInArrow(level, PIECES)
+    found = sorted((r["piece"], bytes(r["g"])) for r in rows.collect())
+    return np.concatenate([np.frombuffer(g) for _, g in found]) if found else None
+
+
+def summed(vectors: DataFrame, partitions: int | None = None) -> np.ndarray | None:
+    """The sum of column g (array<double>, of one length), as a tree over the partitions (their number, where the caller knows it)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for d in parts:
-            for g in d["g"]:
-                total = np.array(g) if total is None else total + np.asarray(g)
+        for b in batches:
+            for g in b.column(0):
+                total = np.array(g.values) if total is None else total + np.asarray(g.values)
         if total is not None:
-            pieces = [total[s : s + PIECE] for s in range(0, len(total), PIECE)]
-            yield pd.DataFrame({"piece": np.arange(len(pieces), dtype=np.int32), "slot": TaskContext.get().partitionId(), "g": pieces})
-
-    def level(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("slot")  # the same order of additions each time
-        return pd.DataFrame({"piece": d["piece"].iloc[:1], "slot": d["slot"].iloc[:1] // FAN, "g": [np.sum(np.stack(d["g"].to_list()), axis=0)]})
-
-    shape = "piece int, slot int, g array<double>"
-    tree = vectors.select("g").mapInPandas(add, shape)
-    n = partitions or vectors.rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // FAN)
-        tree = tree.groupBy("piece", (tree["slot"] / FAN).cast("int")).applyInPandas(level, shape)
-    rows = sorted((r["piece"], r["g"]) for r in tree.collect())
-    return np.concatenate([np.array(g) for _, g in rows]) if rows else None
+            yield pieces(total)
+
+    return tree(vectors.select("g").mapInArrow(add, PIECES), partitions or vectors.rdd.getNumPartitions())
 
 
 def flat(arrays: list[np.ndarray], *more: float) -> np.ndarray:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import written
 from .analytics import index_of
+from .gradients import PIECES, pieces, tree
 from .newton import Fit, areas, decisions, newton
 from .ranking import FEATURES
 
@@ -131,8 +132,8 @@ def truncated_svd(vectors: DataFrame, terms: int, k: int = DIRECTIONS, passes: i
     """(doc_id, features array) of the first k singular directions of sparse vectors (doc_id, i, w) over terms positions (fewer
     directions where the rank is smaller), and the share of variance they explain.
 
-    Subspace iteration from a random start, as the reference's solver: each pass is one scan in Arrow batches; each partition
-    gives its part of the matrix of terms x (k + 10) in blocks of BLOCK_TERMS terms, which are summed by block.
+    Subspace iteration from a random start: each pass is one scan in Arrow batches; each partition gives its part of the matrix
+    of terms x (k + 10) in blocks of BLOCK_TERMS terms, which are added as a tree.
     """
     sc = vectors.sparkSession.sparkContext
 
@@ -144,20 +145,12 @@ def truncated_svd(vectors: DataFrame, terms: int, k: int = DIRECTIONS, passes: i
             for batch in batches:
                 for i, w in _rows(batch):
                     z[i] += w[:, None] * (w @ held.value[i])
-            for b in range(0, len(z), BLOCK_TERMS):
-                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK_TERMS], pa.int32()), pa.array([z[b : b + BLOCK_TERMS].tobytes()], pa.binary())], ["block", "z"])
+            yield pieces(z.ravel(), BLOCK_TERMS * z.shape[1])
 
-        def total(t: pa.Table) -> pa.Table:
-            z = sum(np.frombuffer(x.as_py()) for x in t["z"])
-            return pa.table({"block": t["block"][:1], "z": pa.array([z.tobytes()], pa.binary())})
-
-        parts = vectors.select("i", "w").mapInArrow(add, "block int, z binary").groupBy("block").applyInArrow(total, "block int, z binary")
-        out = np.zeros_like(q)
-        for r in parts.collect():  # the matrix itself, once
-            z = np.frombuffer(r["z"]).reshape(-1, q.shape[1])
-            out[r["block"] * BLOCK_TERMS : r["block"] * BLOCK_TERMS + len(z)] = z
-        return out
+        total = tree(rows.mapInArrow(add, PIECES), rows.rdd.getNumPartitions())
+        return np.zeros_like(q) if total is None else total.reshape(q.shape)  # the matrix itself, once
 
+    rows = vectors.select("i", "w")
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(k + 10, terms))))[0]
     for _ in range(passes):
         q = np.linalg.qr(times(q))[0]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..sources.shared import written
 from ..sources.tables import DOC_TYPES
+from .analytics import exact_percentiles
 from .retrieval import B, K1, fit, pair_scores
 
 FEATURES = ("set_cosine", "bm25", "overlap", "doc_words", *(f"type_{i}" for i in range(5)), "same_specialty")
@@ -69,8 +71,9 @@ def ndcg(scored: DataFrame, k: int = 10, label: str = "relevance_score", score:
 
 def ndcg_summary(per_query: DataFrame, least_judgments: int = 2) -> DataFrame:
     """Mean, median and population deviation over queries with enough judgments."""
-    q = per_query.where(F.col("n") >= least_judgments)
-    return q.agg(F.count("*").alias("n_queries"), F.avg("ndcg").alias("mean_ndcg"), F.percentile("ndcg", 0.5).alias("median_ndcg"), F.stddev_pop("ndcg").alias("std_ndcg"))
+    q = written(per_query.where(F.col("n") >= least_judgments).select("ndcg"), "ndcg")  # read twice
+    one = q.agg(F.count("*").alias("n_queries"), F.avg("ndcg").alias("mean_ndcg"), F.stddev_pop("ndcg").alias("std_ndcg"))
+    return one.crossJoin(F.broadcast(exact_percentiles(q, "ndcg", {"median_ndcg": 0.5}))).select("n_queries", "mean_ndcg", "median_ndcg", "std_ndcg")
 
 
 # ------------------------------------------------------------------ LambdaRank

@@ -22,7 +22,7 @@ from ..functions import scalar as S
 from ..functions.words import ENGLISH_STOP_WORDS
 from ..sources.shared import spread, written
 from . import blockmax
-from .analytics import top
+from .analytics import exact_percentiles, top
 from .matching import term_hits
 
 #: Terms of queries (a row for each query and term) that are broadcast: 100 MB at most.
@@ -296,7 +296,8 @@ def measure_latency(index: Index, queries: list[str], top_k: int = 10) -> dict[s
 
 def latency_summary(latencies: DataFrame, column: str = "ms") -> DataFrame:
     """p50, p95, p99 (linearly interpolated), mean and number of a column of latencies."""
-    return latencies.agg(*(F.percentile(column, p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)), F.avg(column).alias("mean_ms"), F.count(column).alias("num_queries"))
+    shares = exact_percentiles(latencies, column, {f"p{p}_ms": p / 100 for p in (50, 95, 99)})
+    return shares.crossJoin(F.broadcast(latencies.agg(F.avg(column).alias("mean_ms"), F.count(column).alias("num_queries"))))  # a row each
 
 
 def tfidf(docs: DataFrame, max_features: int = 10_000, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS, text: str = "body_text") -> DataFrame:
