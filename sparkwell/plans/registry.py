@@ -80,6 +80,16 @@ def _(spark, d):
     return tables.first_wins(_twice(spark, d), ["query_id", "doc_id"], "arrival").drop("arrival")
 
 
+@query("s5_stored_tables", L + " " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {t}" for n, t in (("documents", "l_documents"), ("physicians", "l_physicians"), ("interactions", "l_interactions"), ("search_queries", "l_queries"), ("query_document_relevance", "l_judgments"))))
+def _(spark, d):
+    """All tables created empty, stored and loaded again; judgments arrive twice, and the first of each key stays."""
+    t, path = bridge.tables(spark, d), new_path(spark, "tables")
+    t.query_document_relevance = _twice(spark, d)
+    tables.create_tables(spark, path)
+    tables.write_tables(t, path)
+    return A.table_counts(tables.load_tables(spark, path))
+
+
 _KEY = "SELECT '{0}.key' AS check_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM {1} GROUP BY {2} HAVING count(*) > 1)"
 _DOMAIN = "SELECT '{0}.{2}', CAST(count(*) AS BIGINT) FROM {1} WHERE {2} NOT IN ({3})"
 
@@ -487,6 +497,20 @@ def _(spark, d):
     return rounded(A.top(t.predict(f).select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10))
 
 
+@query("l7_evaluated_ndcg", _FEATURES + ", js AS (SELECT query_id, doc_id, relevance_score, round(bm25, 6) AS score FROM ft WHERE query_id IN (SELECT query_id FROM ft GROUP BY 1 HAVING count(DISTINCT relevance_score) >= 2))" + _NDCG + " SELECT count(*) AS n_queries, round(avg(ndcg), 6) AS ndcg FROM nq")
+def _(spark, d):
+    """The trainer's evaluation of a network that passes the BM25 feature on."""
+    import numpy as np
+
+    from ..operators.lambdarank import Network, Trainer
+
+    w = np.array([[float(c == "bm25")] for c in _F])
+    f = rounded(_features(spark, d)).select("query_id", "doc_id", "relevance_score", F.array(*_F).alias("features"))
+    f = written(f, "features")
+    value = Trainer(Network([w], [np.zeros(1)])).evaluate(f)
+    return rounded(R.trainable_groups(f).agg(F.count_distinct("query_id").alias("n_queries"), F.lit(value).alias("ndcg")))
+
+
 @query("e2_method_ordering")
 def _(spark, d):
     """(method, n_queries, ndcg): mean NDCG@10 of BM25, both linear rankers, LambdaRank and LambdaRank with item factors on the test queries of one split."""
@@ -495,14 +519,14 @@ def _(spark, d):
     from ..operators.linear import fit_logistic, fit_svm
 
     f = R.standardized(_features(spark, d))
-    factors = fit_als(written(_matrix(spark, d), "matrix"), rank=16).item_factors(bridge.documents(spark, d))
+    factors = fit_als(written(_matrix(spark, d), "matrix")).item_factors(bridge.documents(spark, d))
     f = written(A.hash_split(f.join(factors, "doc_id"), "query_id"), "split")
     train, test = f.where("is_train"), f.where("not is_train")
     plain = F.array(*_F)
     scored = {"bm25": test.withColumn("score", F.col("bm25"))}
     for name, fit in (("logistic", fit_logistic), ("svm", fit_svm)):
-        scored[name] = test.withColumn("score", fit(train, grid=(1.0,), cv=1).score())
-    for name, x, width in (("lambdarank", plain, len(_F)), ("lambdarank_als", F.concat(plain, F.transform("factors", lambda v: v.cast("double"))), len(_F) + 16)):
+        scored[name] = test.withColumn("score", fit(train).score())
+    for name, x, width in (("lambdarank", plain, len(_F)), ("lambdarank_als", F.concat(plain, F.transform("factors", lambda v: v.cast("double"))), len(_F) + 128)):
         t = Trainer(Network.random(width))
         t.train(train.select("query_id", "doc_id", "relevance_score", x.alias("features")))
         scored[name] = t.predict(test.withColumn("features", x))
@@ -524,6 +548,16 @@ def _(spark, d):
     return fit_als(m).reconstruction(m)
 
 
+@query("c3_user_factors", L + " SELECT physician_id, physician_id NOT IN (SELECT DISTINCT physician_id FROM l_interactions WHERE physician_id IS NOT NULL) AS is_zero FROM (SELECT physician_id FROM l_physicians UNION ALL SELECT physician_id + 1000000000 FROM l_physicians)")
+def _(spark, d):
+    """Factors of all physicians, and zeros for as many that are unknown."""
+    from ..operators.collaborative import fit_als
+
+    known = bridge.physicians(spark, d).select("physician_id")
+    ids = known.union(known.select(F.col("physician_id") + 1_000_000_000))
+    return fit_als(written(_matrix(spark, d), "matrix")).user_factors(ids).select("physician_id", F.forall("factors", lambda x: x == 0).alias("is_zero"))
+
+
 @query("c4_item_factors")
 def _(spark, d):
     from ..operators.collaborative import fit_als
@@ -659,6 +693,14 @@ def _(spark, d):
     return E.hash_search(v, v.where("vec_id % 50 = 0"))
 
 
+@query("o16_quantised_search")
+def _(spark, d):
+    from ..operators import quantisation as Q
+
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return Q.search(Q.build(v), v.where("vec_id % 50 = 0"), rerank=20)
+
+
 def _recall(spark, d, name: str, every: int):
     """One row: queries, neighbours asked for, and whether at least nine tenths of the exact ones were found."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -681,35 +723,68 @@ def _(spark, d):
     return _recall(spark, d, "o16_hash_search", 50)
 
 
+@query("o16_quantised_recall", _RECALL.format(50))
+def _(spark, d):
+    return _recall(spark, d, "o16_quantised_search", 50)
+
+
 @query("o15_projection")
 def _(spark, d):
     return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", "pca")
 
 
+def _modalities(spark, d):
+    """(i, text, image, structured): hashed token counts, image features and structured inputs of each document."""
+    from ..sources.datagen import image_features
+
+    text = E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text", E.Dense([], False), out="text").select("doc_id", "text")
+    image = image_features(bridge.documents(spark, d).select("doc_id")).select("doc_id", F.col("vec").alias("image"))
+    structured = _metadata(spark, d).select("doc_id", E.structured_input(F.split("icd_codes", ","), F.col("labs"), F.col("markers")).alias("structured"))
+    return text.join(image, "doc_id").join(structured, "doc_id").withColumnRenamed("doc_id", "i")
+
+
 @query("o11_contrastive_training")
 def _(spark, d):
+    """(epoch, loss, n_batches): the three encoders at their own widths, trained on all documents."""
     from ..operators.contrastive import ContrastiveTrainer
 
-    v = E.embedding_pairs(spark, d).select("i", F.col("anchor").alias("text"), F.col("positive").alias("image"), F.col("anchor").alias("structured"))
-    t = ContrastiveTrainer(*(E.random_dense(64, 32, seed=s) for s in range(3)))
-    return spark.createDataFrame([(h["epoch"], h["loss"], h["n_batches"]) for h in t.train(v, 3)], "epoch int, loss double, n_batches int")
+    t = ContrastiveTrainer(E.random_dense(E.TEXT_WIDTH, E.WIDTH, seed=7), E.image_encoder(), E.structured_encoder())
+    return spark.createDataFrame([(h["epoch"], h["loss"], h["n_batches"]) for h in t.train(_modalities(spark, d))], "epoch int, loss double, n_batches int")
+
+
+@query("o14_early_fusion")
+def _(spark, d):
+    """The single network over all modalities' features: (doc_id, vec, norm)."""
+    x = _modalities(spark, d).select(F.col("i").alias("doc_id"), F.concat("text", F.transform("image", lambda v: v.cast("double")), "structured").alias("x"))
+    return E.encode(x, "x", E.early_fusion(text=E.TEXT_WIDTH)).select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("o5_encoded_tensors")
+def _(spark, d):
+    """The structured encoder on inputs that are computed and stored beforehand."""
+    x = _metadata(spark, d).select("doc_id", E.structured_input(F.split("icd_codes", ","), F.col("labs"), F.col("markers")).alias("x"))
+    return E.encode(written(x, "tensors"), "x", E.structured_encoder()).select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
 
 
 # ------------------------------------------------------------------ generated data and streams
 
 
-@query("g11_generated_dataset", "SELECT * FROM (VALUES ('documents', 200), ('physicians', 50), ('interactions', 2000), ('search_queries', 40), ('query_document_relevance', 800)) t(table_name, n)")
+@query("g11_generated_dataset", """SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'physicians', count(DISTINCT user_id) FROM events UNION ALL SELECT 'interactions', count(*) FROM events
+UNION ALL SELECT 'search_queries', count(*) FROM benchmark UNION ALL SELECT 'query_document_relevance', (SELECT count(*) FROM benchmark) * least(20, (SELECT count(*) FROM documents))""")
 def _(spark, d):
+    """A data set generated with as many rows as the given tables have."""
     from ..sources.datagen import Config, dataset
 
-    return A.table_counts(dataset(spark, Config(200, 50, 40, 2000)))
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    people = read("events").select(F.count_distinct("user_id")).first()[0]
+    return A.table_counts(dataset(spark, Config(read("documents").count(), people, read("benchmark").count(), read("events").count())))
 
 
 @query("g8_structured_metadata")
 def _(spark, d):
-    from ..sources.datagen import documents, structured_metadata
+    from ..sources.datagen import structured_metadata
 
-    m = structured_metadata(documents(spark, 200))
+    m = structured_metadata(bridge.documents(spark, d))
     return m.select("doc_id", F.size("lab_values").alias("labs"), F.size("biomarker_levels").alias("markers"), F.size("icd_codes_list").alias("codes"), "word_count")
 
 
