@@ -21,11 +21,18 @@ FILE_ROWS = 500_000
 LEAST_FILES = 8
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. rows: an upper bound of its rows, where known."""
+def stored(df: DataFrame, name: str, rows: int | None = None, summed: bool = False) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back. rows: an upper bound of its rows, where known.
+
+    summed: df is an aggregate of many more rows than it has; it runs in all its tasks, and its few rows are dealt to the files
+    after it.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if rows is None else df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))).write.parquet(path)
+    if rows is not None:
+        files = max(LEAST_FILES, rows // FILE_ROWS)
+        df = df.repartition(files) if summed else df.coalesce(files)
+    df.write.parquet(path)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

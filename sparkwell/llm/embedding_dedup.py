@@ -294,7 +294,7 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93,
     banded = _banded(coded, width, bands)
     bucket = ["label", "dim", "band", "key"]
     hot = banded.groupBy(*bucket).count().where(F.col("count") > HOT_BUCKET).select(*bucket, F.ceil(F.col("count") / HOT_BUCKET).cast("int").alias("parts"))
-    hot = stored(hot, "hot", size * bands // HOT_BUCKET)
+    hot = stored(hot, "hot", size * bands // HOT_BUCKET, summed=True)
     b = banded.join(hot, bucket, "left")
     b = b.withColumn("b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts"))).cast("int"))
     b = b.withColumn("x", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))

@@ -208,7 +208,7 @@ def index_lists(reps: DataFrame, percent: int) -> DataFrame:
     p = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "light", F.posexplode("prefix").alias("pos", "token")).withColumn("place", place)
     # only shingles in full buckets can have long lists; they are counted exactly
     hot = p.where("pos >= light").groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("rep", "place")).alias("l")).where(F.col("sets") > HOT_LIST)
-    hot = stored(hot.select("token", F.col("l.rep").alias("leader"), F.col("l.place").alias("first")), "hot", 0)
+    hot = stored(hot.select("token", F.col("l.rep").alias("leader"), F.col("l.place").alias("first")), "hot", 0, summed=True)
     p = p.select("token", "rep", "place")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def deal(lists: DataFrame) -> DataFrame:
     short = lists.where("not hot").withColumn("cell", F.lit(0).cast("long")).select(*columns)
     sizes = lists.where("hot").groupBy("token", "family").agg(F.count("*").alias("sets")).groupBy("token").agg(F.max(F.struct("sets", "family")).alias("top"), F.sum("sets").alias("all"))
     sizes = sizes.where("all > top.sets").select("token", F.col("top.family").alias("largest"), F.ceil(F.col("top.sets") / HOT_LIST).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("top.sets")) / HOT_LIST).cast("int").alias("rows"))
-    long = lists.where("hot").join(stored(sizes, "sizes", 0), "token")
+    long = lists.where("hot").join(stored(sizes, "sizes", 0, summed=True), "token")
     inside = F.col("family") == F.col("largest")
     long = long.withColumn("b", F.when(inside, F.col("rows") + F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rows"))).cast("int"))
     long = long.withColumn("x", F.explode(F.when(inside, F.sequence(F.lit(0), F.col("rows") - 1)).otherwise(F.sequence(F.lit(0), F.col("rows") + F.col("parts") - 1))))
