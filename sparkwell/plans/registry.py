@@ -701,6 +701,14 @@ def _(spark, d):
     return Q.search(Q.build(v), v.where("vec_id % 50 = 0"), rerank=20)
 
 
+@query("o16_graph_search")
+def _(spark, d):
+    from ..operators import graph_index as G
+
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return G.search(G.build(v), v.where("vec_id % 50 = 0"))
+
+
 def _recall(spark, d, name: str, every: int):
     """One row: queries, neighbours asked for, and whether at least nine tenths of the exact ones were found."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -728,6 +736,11 @@ def _(spark, d):
     return _recall(spark, d, "o16_quantised_search", 50)
 
 
+@query("o16_graph_recall", _RECALL.format(50))
+def _(spark, d):
+    return _recall(spark, d, "o16_graph_search", 50)
+
+
 @query("o15_projection")
 def _(spark, d):
     return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", "pca")
