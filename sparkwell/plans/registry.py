@@ -653,6 +653,15 @@ def _(spark, d):
     return E.encode_texts(bridge.documents(spark, d).select("doc_id", "body_text"), "body_text").select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
 
 
+@query("o7_learned_text_encoder")
+def _(spark, d):
+    """Vectors of an encoder learned from the documents' co-occurrences."""
+    from ..operators import text_encoder
+
+    docs = bridge.documents(spark, d).select("doc_id", "body_text")
+    return text_encoder.learn(docs).encode(docs, "body_text").select("doc_id", "vec", F.round(S.norm(F.col("vec")), 6).alias("norm"))
+
+
 @query("o9_l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) + 0.0 AS component_sum FROM embeddings")
 def _(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", S.l2_normalized(F.col("embedding")).alias("v"))
