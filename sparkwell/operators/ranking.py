@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..sources.shared import written
 from ..sources.tables import DOC_TYPES
 from .analytics import exact_percentiles
-from .retrieval import B, K1, fit, pair_scores
+from .retrieval import B, K1, Index, fit, pair_scores
 
 FEATURES = ("set_cosine", "bm25", "overlap", "doc_words", *(f"type_{i}" for i in range(5)), "same_specialty")
 
@@ -23,13 +23,16 @@ def one_hot(column: Column, values: tuple[str, ...], prefix: str = "type_") -> l
     return [F.coalesce(column == v, F.lit(False)).cast("double").alias(f"{prefix}{i}") for i, v in enumerate(values)]
 
 
-def bm25_feature(pairs: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, bm25): distinct query terms against the pair's own text, with the corpus' statistics."""
+def bm25_feature(pairs: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, index: Index | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25): distinct query terms against the pair's own text, with the corpus' statistics.
+
+    index: the corpus' index, where there is one; else the corpus is tokenized and stored for this call.
+    """
     queries = pairs.select("query_id", "query_text").dropDuplicates(["query_id"])
-    return pair_scores(fit(corpus), pairs, queries, k1, b, distinct=True, least_avgdl=1.0).withColumnRenamed("score", "bm25")
+    return pair_scores(index or fit(corpus), pairs, queries, k1, b, distinct=True, least_avgdl=1.0).withColumnRenamed("score", "bm25")
 
 
-def pair_features(pairs: DataFrame, corpus: DataFrame, types: tuple[str, ...] = DOC_TYPES) -> DataFrame:
+def pair_features(pairs: DataFrame, corpus: DataFrame, types: tuple[str, ...] = DOC_TYPES, index: Index | None = None) -> DataFrame:
     """The ten ranking features of judged pairs (as given by analytics.judged_pairs)."""
     q, d = F.array_distinct(S.tokens(F.col("query_text"))), F.array_distinct(S.tokens(F.col("body_text")))
     both = F.size(F.array_intersect(q, d))
@@ -39,7 +42,7 @@ def pair_features(pairs: DataFrame, corpus: DataFrame, types: tuple[str, ...] =
         F.when(F.size(q) > 0, both / F.size(q)).otherwise(0.0).alias("overlap"), F.coalesce(S.word_count(F.col("body_text")), F.lit(0)).cast("double").alias("doc_words"),
         *one_hot(F.col("doc_type"), types), F.coalesce(F.col("query_specialty") == F.col("doc_specialty"), F.lit(False)).cast("double").alias("same_specialty"),
     )
-    f = f.join(bm25_feature(pairs, corpus), ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    f = f.join(bm25_feature(pairs, corpus, index=index), ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     return f.select("query_id", "doc_id", "relevance_score", "label", *FEATURES)
 
 

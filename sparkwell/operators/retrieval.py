@@ -71,10 +71,17 @@ class Index:
         return self.weights().select("term", "df", "idf")
 
     def weights(self, vocabulary: DataFrame | None = None) -> DataFrame:
-        """(term, df, idf, avgdl) of the terms in the vocabulary, or of all."""
-        if self.df is None:
-            self.df = written(document_frequencies(self.segments), "frequencies")
-        df = self.df if vocabulary is None else self.df.join(vocabulary, "term", "left_semi")
+        """(term, df, idf, avgdl) of the terms in the vocabulary, or of all.
+
+        Where nothing is counted yet and no search has made segments, only the vocabulary's rows are counted, in passing.
+        """
+        if self.df is None and self.stored_segments is None and vocabulary is not None:
+            terms = self.docs.select(F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
+            df = terms.groupBy("term").agg(F.count("*").alias("df"))
+        else:
+            if self.df is None:
+                self.df = written(document_frequencies(self.segments), "frequencies")
+            df = self.df if vocabulary is None else self.df.join(vocabulary, "term", "left_semi")
         return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
 
 
@@ -215,6 +222,7 @@ def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float =
     """
     pairs = [(k1, b)] if grid is None else [(r["k1"], r["b"]) for r in grid.collect()]  # a small parameter table
     names = [f"s{i}" for i in range(len(pairs))]
+    segments = index.segments
     w = _weighted(index, queries, distinct)
     types = {"query_id": w.schema["query_id"].dataType.simpleString(), "doc_id": index.docs.schema["doc_id"].dataType.simpleString()}
     rows = w.limit(MOST_TERMS + 1).toArrow()
@@ -225,7 +233,7 @@ def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float =
         weight = rows["qtf"].to_numpy() * rows["idf"].to_numpy() if rows.num_rows else np.zeros(0)
         data = (query.dictionary, vocabulary.dictionary.to_pylist(), vocabulary.indices.to_numpy(), first, weight, float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0)
         run = _scorer(index.docs.sparkSession.sparkContext.broadcast(data), pairs, best if grid is None else None, margin, blocks)
-        sums = index.segments.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in types.items()), *(f"{n} double" for n in names)]))
+        sums = segments.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in types.items()), *(f"{n} double" for n in names)]))
     else:
         hits = index.docs.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
         part = lambda x, y: F.sum(F.col("qtf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), x, y))
