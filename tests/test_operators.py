@@ -123,16 +123,19 @@ def test_bm25_more_terms_than_are_broadcast(spark, monkeypatch):
 
 
 def test_bm25_best_of_each_task(spark, monkeypatch):
-    """Lists are cut often here; ties stay in the order of ids, and a stored index gives the same."""
+    """Segments of 64 postings, so that lists are cut often; ties stay in the order of ids, and a stored index gives the same."""
     import random
 
-    monkeypatch.setattr(B, "CELLS", 64)
+    from sparkwell.operators import blockmax
+
+    monkeypatch.setattr(blockmax, "POSTINGS", 64)
     rng = random.Random(1)
     words = ["ash", "Birch", "cedar", "oak", "elm", "fir", "É", "a1"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6)))) for i in range(300)] + [(300, None)]
     docs = spark.createDataFrame(rows, "doc_id long, body_text string").repartition(3)
     queries = spark.createDataFrame([(j, " ".join(rng.sample(words, 3))) for j in range(12)] + [(99, ""), (98, None)], "query_id int, query_text string")
     index = B.fit(docs)
+    assert index.segments.count() > 9
     every = B.matched_scores(index, queries).withColumn("score", F.round("score", 6))
     want = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in A.top(every, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 5).collect())
     assert sorted(map(tuple, B.retrieve(index, queries, 5).collect())) == want
