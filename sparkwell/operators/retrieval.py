@@ -48,6 +48,7 @@ class Index:
     docs: DataFrame
     stored_segments: DataFrame | None = None
     df: DataFrame | None = None
+    stored_stats: DataFrame | None = None
 
     @property
     def segments(self) -> DataFrame:
@@ -63,6 +64,8 @@ class Index:
     @property
     def stats(self) -> DataFrame:
         """One row: n_docs, avgdl."""
+        if self.stored_stats is not None:
+            return self.stored_stats
         return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
     @property
@@ -128,11 +131,12 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text:
     stored = written(rows, "index", f"{path}/docs")
     segments = written(blockmax.segments(stored), "segments", f"{path}/segments")
     document_frequencies(segments).write.parquet(f"{path}/terms")
+    Index(stored).stats.coalesce(1).write.parquet(f"{path}/stats")
     return load(docs.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("docs", "segments", "terms")))
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("docs", "segments", "terms", "stats")))
 
 
 def idf(n: Column, df: Column) -> Column:
