@@ -1,10 +1,14 @@
-"""Weekly engagement by specialty: clicks, views, CTR, dwell time, physicians, documents and cold documents.
+"""Engagement by week and specialty, and by document: clicks, views, CTR, dwell time, physicians, cold documents.
 
     python -m jobs.engagement_report --config jobs/engagement_report.json --tables DIR --out PATH [--since DATE] [--until DATE]
 
-Reads documents, events and benchmark of a folder of tables and writes a partition a week, out/year=.../week_num=...
+Reads documents, events and benchmark of a folder of tables.
+
+out/weeks/year=.../week_num=...   a row a specialty
+out/documents/specialty=...       a row a document, those nobody has opened included, with the words of its text
+
 With since or until only the weeks (Monday to Sunday) that the range touches are computed, and only their partitions are
-replaced; without a range the whole report is. Running it again gives the same partitions.
+replaced; documents are always reported by all interactions. Running it again gives the same partitions.
 """
 
 from __future__ import annotations
@@ -23,32 +27,43 @@ DEFAULTS = {"cold_start": 5, "since": None, "until": None}
 log = logger("engagement_report")
 
 
-SCHEMA = (
-    "interactions long, click_count long, view_count long, ctr double, weighted_score long, mean_dwell double, active_physicians long, docs_interacted long, cold_docs long, "
-    "year string, week_num string, specialty string"
-)
+MEASURES = "interactions long, click_count long, view_count long, ctr double, weighted_score long, mean_dwell double, active_physicians long"
+WEEKS = f"{MEASURES}, docs_interacted long, cold_docs long, specialty string, year string, week_num string"
+DOCUMENTS = f"doc_id long, {MEASURES}, is_cold_start int, words long, specialty string"
+
+
+def weeks(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(WEEKS).option("basePath", f"{out}/weeks").parquet(f"{out}/weeks")
+
+
+def documents(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(DOCUMENTS).option("basePath", f"{out}/documents").parquet(f"{out}/documents")
 
 
 def report(spark: SparkSession, out: str) -> DataFrame:
-    """The report as it stands."""
-    return spark.read.schema(SCHEMA).option("basePath", out).parquet(out)
+    """The whole report as it stands, both levels in one table."""
+    none = lambda kind: F.lit(None).cast(kind)
+    measures = [c.split()[0] for c in MEASURES.split(", ")]
+    w = weeks(spark, out).select(F.lit("week").alias("level"), "specialty", "year", "week_num", none("long").alias("doc_id"), *measures, "docs_interacted", "cold_docs", none("long").alias("words"))
+    d = documents(spark, out).select(F.lit("document").alias("level"), "specialty", none("string").alias("year"), none("string").alias("week_num"), "doc_id", *measures, none("long").alias("docs_interacted"), F.col("is_cold_start").cast("long").alias("cold_docs"), "words")
+    return w.union(d)
 
 
 def run(spark: SparkSession, tables: str, out: str, config: dict | None = None) -> dict[str, int]:
     """Compute and write the weeks asked for; gives the numbers that were logged."""
     c = DEFAULTS | (config or {})
-    interactions, documents = bridge.interactions(spark, tables), bridge.documents(spark, tables)
+    interactions, docs = bridge.interactions(spark, tables), bridge.documents(spark, tables)
     # a document is cold by all its interactions; the range bounds the weeks alone
-    weeks = analytics.weekly_engagement(interactions, documents, c["cold_start"], _in_weeks(c["since"], c["until"]))
-    weeks = weeks.repartition("year", "week_num")  # a file a week
+    by_week = analytics.weekly_engagement(interactions, docs, c["cold_start"], _in_weeks(c["since"], c["until"])).repartition("year", "week_num")  # a file a week
+    by_document = analytics.document_engagement(docs, interactions, c["cold_start"])
+    log.info("read %d interactions and %d documents of %s", interactions.count(), docs.count(), tables)
     mode = "dynamic" if c["since"] or c["until"] else "static"
-    read = interactions.count()
-    log.info("read %d interactions and %d documents of %s", read, documents.count(), tables)
-    weeks.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "week_num").parquet(out)
-    whole = report(spark, out)
-    r = whole.agg(F.count("*").alias("rows"), F.count_distinct("year", "week_num").alias("weeks")).first()
-    log.info("wrote %s; it holds %d rows of %d weeks", out, r["rows"], r["weeks"])
-    return {"read": read, "rows": r["rows"], "weeks": r["weeks"]}
+    by_week.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "week_num").parquet(f"{out}/weeks")
+    by_document.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("specialty").parquet(f"{out}/documents")
+    r = weeks(spark, out).agg(F.count("*").alias("rows"), F.count_distinct("year", "week_num").alias("weeks")).first()
+    n = documents(spark, out).count()
+    log.info("wrote %s; it holds %d rows of %d weeks and %d documents", out, r["rows"], r["weeks"], n)
+    return {"rows": r["rows"], "weeks": r["weeks"], "documents": n}
 
 
 def _in_weeks(since: str | None, until: str | None):

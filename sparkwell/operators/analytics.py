@@ -73,6 +73,24 @@ def weekly_engagement(interactions: DataFrame, documents: DataFrame, threshold:
     return g
 
 
+def document_engagement(documents: DataFrame, interactions: DataFrame, threshold: int = S.COLD_START) -> DataFrame:
+    """Engagement of every document, those without any included: the measures of weekly_engagement, and the words of its text.
+
+    Interactions are summed by document and physician, then by document, before they meet the documents.
+    """
+    by_pair = interactions.where("doc_id is not null").groupBy("doc_id", "physician_id").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("interaction_type") == "click", 1)).alias("clicks"), F.count(F.when(F.col("interaction_type") == "view", 1)).alias("views"),
+        F.sum(S.interaction_weight(F.col("interaction_type"))).alias("weight"), F.sum("dwell_time_seconds").alias("dwell"), F.count("dwell_time_seconds").alias("dwells"),
+    )
+    by_doc = by_pair.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n", "clicks", "views", "weight", "dwell", "dwells")), F.count("physician_id").alias("people"))
+    d = documents.select("doc_id", "specialty", F.coalesce(S.word_count(F.col("body_text")), F.lit(0)).cast("long").alias("words")).join(by_doc, "doc_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return d.select(
+        "doc_id", "specialty", none("n").alias("interactions"), none("clicks").alias("click_count"), none("views").alias("view_count"), S.guarded_ratio(none("clicks"), none("views")).alias("ctr"), none("weight").alias("weighted_score"),
+        (F.col("dwell") / F.nullif(F.col("dwells"), F.lit(0))).alias("mean_dwell"), none("people").alias("active_physicians"), S.cold_flag(none("n"), threshold).alias("is_cold_start"), "words",
+    )
+
+
 def sparsity(documents: DataFrame, physicians: DataFrame, interactions: DataFrame) -> DataFrame:
     """One row: sizes, possible and observed pairs, sparsity and its percent text."""
     one = documents.agg(F.count("*").alias("n_documents")).crossJoin(physicians.agg(F.count("*").alias("n_physicians"))).crossJoin(interactions.agg(F.count_distinct("physician_id", "doc_id").alias("observed_pairs")))

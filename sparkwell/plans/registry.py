@@ -847,12 +847,23 @@ def _(spark, d):
     return job.results(spark, *where)
 
 
+_ENGAGED = """count(*) FILTER ({0}.t = 'click') AS click_count, count(*) FILTER ({0}.t = 'view') AS view_count, round(coalesce(count(*) FILTER ({0}.t = 'click') / CAST(nullif(count(*) FILTER ({0}.t = 'view'), 0) AS DOUBLE), 0), 6) AS ctr,
+  CAST(coalesce(sum(CASE {0}.t WHEN 'save' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END), 0) AS BIGINT) AS weighted_score, round(avg({0}.w), 6) AS mean_dwell, count(DISTINCT {0}.physician_id) AS active_physicians"""
+
+
 @query(
     "job2_engagement_report",
     L + """, c AS (SELECT doc_id, count(*) AS n FROM l_interactions GROUP BY 1),
-i AS (SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%W') AS week_num, specialty, interaction_type AS t, dwell_time_seconds AS w, physician_id, doc_id, c.n < 5 AS cold FROM l_interactions JOIN l_documents USING (doc_id) JOIN c USING (doc_id))
-SELECT year, week_num, specialty, count(*) AS interactions, count(*) FILTER (t = 'click') AS click_count, count(*) FILTER (t = 'view') AS view_count, round(coalesce(count(*) FILTER (t = 'click') / CAST(nullif(count(*) FILTER (t = 'view'), 0) AS DOUBLE), 0), 6) AS ctr,
-  CAST(sum(CASE t WHEN 'save' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS weighted_score, round(avg(w), 6) AS mean_dwell, count(DISTINCT physician_id) AS active_physicians, count(DISTINCT doc_id) AS docs_interacted, count(DISTINCT doc_id) FILTER (cold) AS cold_docs FROM i GROUP BY 1, 2, 3""",
+i AS (SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%W') AS week_num, specialty, interaction_type AS t, dwell_time_seconds AS w, physician_id, doc_id, c.n < 5 AS cold FROM l_interactions JOIN l_documents USING (doc_id) JOIN c USING (doc_id)),
+x AS (SELECT d.doc_id, specialty, interaction_type AS t, dwell_time_seconds AS w, physician_id, interaction_id FROM l_documents d LEFT JOIN l_interactions USING (doc_id)),
+n AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(body_text, ''), '[^\\s\\x0B\\x1C-\\x1F\\x85]+')) AS BIGINT) AS words FROM l_documents),
+m AS (SELECT 'week' AS level, specialty, year, week_num, CAST(NULL AS BIGINT) AS doc_id, count(*) AS interactions, """
+    + _ENGAGED.format("i")
+    + """, count(DISTINCT doc_id) AS docs_interacted, count(DISTINCT doc_id) FILTER (cold) AS cold_docs FROM i GROUP BY specialty, year, week_num),
+o AS (SELECT 'document' AS level, specialty, CAST(NULL AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS week_num, doc_id, count(interaction_id) AS interactions, """
+    + _ENGAGED.format("x")
+    + """, CAST(NULL AS BIGINT) AS docs_interacted, CAST(count(interaction_id) < 5 AS BIGINT) AS cold_docs FROM x GROUP BY specialty, doc_id)
+SELECT m.*, CAST(NULL AS BIGINT) AS words FROM m UNION ALL SELECT o.*, words FROM o JOIN n USING (doc_id)""",
 )
 def _(spark, d):
     """Two runs into one folder: the second writes the same weeks again."""

@@ -99,7 +99,7 @@ def test_empty_input(spark, sf, tmp_path):
     r = incremental_index.run(spark, folder, f"{sf}/benchmark.parquet", str(tmp_path / "out"))
     assert r["indexed"] == r["answers"] == 0
     empty = copied(spark, sf, tmp_path / "tables", lambda e: e.limit(0))
-    assert engagement_report.run(spark, empty, str(tmp_path / "report")) == {"read": 0, "rows": 0, "weeks": 0}
+    assert engagement_report.run(spark, empty, str(tmp_path / "report")) == {"rows": 0, "weeks": 0, "documents": 200}
 
 
 def test_first_judgment_wins_over_batches(spark, tmp_path):
@@ -130,20 +130,21 @@ def test_report_replaces_only_the_weeks_asked_for(spark, sf, tmp_path):
     half = copied(spark, sf, tmp_path / "half", lambda e: e.where("ts < '2024-01-16'"))
     whole = engagement_report.run(spark, half, out)
     before = {p: p.stat().st_mtime_ns for p in Path(out).rglob("*.parquet")}
-    old = {r.week_num: r.n for r in engagement_report.report(spark, out).groupBy("week_num").agg(F.sum("interactions").alias("n")).collect()}
+    old = {r.week_num: r.n for r in engagement_report.weeks(spark, out).groupBy("week_num").agg(F.sum("interactions").alias("n")).collect()}
     part = engagement_report.run(spark, sf, out, {"since": "2024-01-18"})
     assert part["weeks"] > whole["weeks"]
     kept = [p for p, t in before.items() if p.exists() and p.stat().st_mtime_ns == t]
     assert kept and {p.parent.name for p in kept} < {p.parent.name for p in before}
     engagement_report.run(spark, sf, str(tmp_path / "all"))
-    want, got = (engagement_report.report(spark, p) for p in (str(tmp_path / "all"), out))
+    want, got = (engagement_report.weeks(spark, p) for p in (str(tmp_path / "all"), out))
     late = "week_num >= '03'"
     assert rows(got.where(late)) == rows(want.where(late)) and rows(got.where(late)) != []
     for r in got.where("week_num < '03'").groupBy("week_num").agg(F.sum("interactions").alias("n")).collect():
         assert old[r.week_num] == r.n  # as first written
+    assert rows(engagement_report.documents(spark, out)) == rows(engagement_report.documents(spark, str(tmp_path / "all")))  # by all interactions
     again = rows(got)
     engagement_report.run(spark, sf, out, {"since": "2024-01-18"})
-    assert rows(engagement_report.report(spark, out)) == again
+    assert rows(engagement_report.weeks(spark, out)) == again
 
 
 def test_config(tmp_path):
