@@ -755,6 +755,14 @@ def _(spark, d):
     return E.projected(spark.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", "pca")
 
 
+@query("o15_neighbour_embedding")
+def _(spark, d):
+    """Every vector in the plane: (vec_id, x, y)."""
+    from ..operators.neighbour_embedding import embed
+
+    return rounded(embed(spark.read.parquet(f"{d}/embeddings.parquet")))
+
+
 def _modalities(spark, d):
     """(i, text, image, structured): hashed token counts, image features and structured inputs of each document."""
     from ..sources.datagen import image_features

@@ -53,7 +53,7 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["j11_query_split", "f14_stratified_split", "l6_lambdarank", "c4_item_factors", "c5_augmented_features", "t5_recommendations", "o4_structured_encoder", "o6_image_encoder", "o7_text_encoder", "o7_learned_text_encoder", "o5_encoded_tensors", "o14_early_fusion", "o15_projection", "o16_quantised_search", "o16_graph_search", "o11_contrastive_training", "g8_structured_metadata", "b11_truncated_svd"])
+@pytest.mark.parametrize("name", ["j11_query_split", "f14_stratified_split", "l6_lambdarank", "c4_item_factors", "c5_augmented_features", "t5_recommendations", "o4_structured_encoder", "o6_image_encoder", "o7_text_encoder", "o7_learned_text_encoder", "o5_encoded_tensors", "o14_early_fusion", "o15_projection", "o15_neighbour_embedding", "o16_quantised_search", "o16_graph_search", "o11_contrastive_training", "g8_structured_metadata", "b11_truncated_svd"])
 def test_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
 
