@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import written
+from ..sources.shared import drop, written
 from .analytics import index_of
 from .gradients import PIECES, pieces, tree
 from .newton import Fit, areas, decisions, newton
@@ -90,6 +90,7 @@ def _fit(df: DataFrame, features: tuple[str, ...], grid: tuple[float, ...], cv:
         best = int(np.argmax(means))
         auc = means[best]
     final = w[len(held) + best]
+    drop(rows)
     return LinearRanker(features, mean, scale, final[:-1], float(final[-1]), logistic, grid[best], auc)
 
 
@@ -110,6 +111,7 @@ def ablation(df: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.0
     fits = [Fit(c, n) for n in range(1, len(features) + 1)]
     d = decisions(rows, newton(rows, fits, False), fits, False)
     right = {r["model"]: r["a"] for r in d.groupBy("model").agg(F.avg(((F.col("raw") > 0).cast("int") == F.col("label")).cast("double")).alias("a")).collect()}
+    drop(rows)
     return df.sparkSession.createDataFrame([(n, features[n - 1], float(right.get(n - 1, 0.0))) for n in range(1, len(features) + 1)], "n_features int, last_feature string, train_accuracy double")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import written
+from ..sources.shared import drop, written
 
 #: Rows that are multiplied at once in a task, and scans at most.
 ROWS, SCANS = 8192, 60
@@ -136,4 +136,6 @@ def areas(scored: DataFrame) -> dict[int, float]:
     inside = F.coalesce(F.sum("n").over(before("part", "model").orderBy("raw")), F.lit(0))
     counted = ranged.withColumn("below", inside).join(F.broadcast(starts), ["part", "model"])  # a row a range and model
     total = counted.groupBy("model").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("start") + F.col("below") + F.col("n") / 2)).alias("s"))
-    return {r["model"]: r["s"] / (r["p"] * r["n"]) if r["p"] and r["n"] else 0.5 for r in total.collect()}
+    out = {r["model"]: r["s"] / (r["p"] * r["n"]) if r["p"] and r["n"] else 0.5 for r in total.collect()}
+    drop(ranged)
+    return out

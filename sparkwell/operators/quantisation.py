@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..sources.shared import written
+from ..sources.shared import drop, written
 from .analytics import top
 from .embeddings import _tiled, _unit
 
@@ -95,6 +95,7 @@ def build(vectors: DataFrame, cells: int = 16, subspaces: int = 8, entries: int
     rest = lambda x: x - centroids[_nearest(x, centroids)]
     cut = lambda x: [rest(x)[:, a:b] for a, b in zip(ends[:-1], ends[1:])]
     books = np.stack(_lloyd(some, [b[:entries] for b in cut(first)], cut, iterations))
+    drop(some)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
