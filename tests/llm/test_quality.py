@@ -80,3 +80,63 @@ def test_repeated_labelled_rows_and_many_sites(spark, monkeypatch):
     assert rounded(classify(spark, docs, model, *SITE, ["doc_id", "source", "lang"])) == want
     monkeypatch.setattr(q, "MOST_LABELLED", 7)
     assert len(q._sample(docs, labels, "doc_id", "text", "quality")[0]) <= 7
+
+
+def by_loops(rows):
+    """Mean, strengths and posteriors from (host, path, evidence) rows alone, site by site."""
+    used = [r for r in rows if r[2] > 0]
+    mean = sum(r[2] for r in used) / len(used)
+
+    def strength(sites):
+        """sites: (n, mean of the site, prior mean)."""
+        n = sum(s[0] for s in sites)
+        observed = sum(s[0] * (s[1] - s[2]) ** 2 for s in sites) / n
+        sampling = sum(s[2] * (1 - s[2]) for s in sites) / n
+        spread = sum(s[0] * s[2] * (1 - s[2]) for s in sites) / n
+        between = observed - sampling
+        return q.STRONGEST if between <= spread / q.STRONGEST else min(q.STRONGEST, max(1.0, spread / between - 1))
+
+    def of(key):
+        groups = {}
+        for r in used:
+            groups.setdefault(key(r), []).append(r[2])
+        return groups
+
+    hosts, paths = of(lambda r: r[0]), of(lambda r: r[:2])
+    a = strength([(len(v), sum(v) / len(v), mean) for v in hosts.values()])
+    host = {h: (sum(v) + a * mean) / (len(v) + a) for h, v in hosts.items()}
+    b = strength([(len(v), sum(v) / len(v), host[h]) for (h, _), v in paths.items()])
+    return mean, a, b, {(h, p): (host[h], (sum(v) + b * host[h]) / (len(v) + b)) for (h, p), v in paths.items()}
+
+
+def test_strengths_and_posteriors_by_loops(spark):
+    """Hosts drawn around a mean with strength 12, paths around their hosts with 30: the moments find both about again.
+
+    A path's documents are part of its host's posterior, so the paths' strength comes out too large, the more so the fewer paths a
+    host has (about 60 with 6 paths); here there are 30.
+    """
+    rng = np.random.default_rng(11)
+    rows = []
+    for h in range(120):
+        p = rng.beta(12 * 0.7, 12 * 0.3)
+        for path in range(30):
+            r = rng.beta(30 * p, 30 * (1 - p))
+            rows += [(f"h{h}", f"p{path}", 1.0 if rng.random() < r else 1e-9) for _ in range(int(rng.integers(3, 40)))]
+    rows += [("h0", "p0", 0.0), ("only empty", "p", 0.0)]  # texts without a word
+    scored = spark.createDataFrame(rows, "__host string, __path string, evidence double").repartition(4)
+    mean, a, b, sites = by_loops(rows)
+    m = q.site_model(scored, None)
+    assert abs(m.mean - mean) < 1e-9 and abs(m.host_strength / a - 1) < 1e-6 and abs(m.path_strength / b - 1) < 1e-6
+    assert 7 < m.host_strength < 20 and 20 < m.path_strength < 50
+    got = {(r.host, r.path): (r.host_posterior, r.path_posterior) for r in m.sites.collect()}
+    assert got.keys() == sites.keys() and m.n_sites == len(sites)
+    assert all(abs(got[k][i] - sites[k][i]) < 1e-9 for k in sites for i in (0, 1))
+
+
+def test_sites_that_only_sampling_parts_are_shrunk_most(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"h{i % 40}", f"p{i % 80}", 1.0 if rng.random() < 0.5 else 1e-9) for i in range(4000)]
+    scored = spark.createDataFrame(rows, "__host string, __path string, evidence double")
+    m = q.site_model(scored, None)
+    mean, a, b, _ = by_loops(rows)
+    assert abs(m.host_strength / a - 1) < 1e-6 and abs(m.path_strength / b - 1) < 1e-6 and m.host_strength > 100
