@@ -20,8 +20,10 @@ ITERATIONS = (1, 3, 5, 10, 15, 20, 25, 30)
 SIZES = (32, 64, 128, 256)
 
 
-#: Users of a cell (on average) and items of a block.
-TILE_USERS, BLOCK_ITEMS = 1024, 2048
+#: Users of a cell (on average) and items of a block: a user is sent once to each block it needs, an item once to each tile.
+TILE_USERS, BLOCK_ITEMS = 16384, 8192
+#: Scores that a task holds at once.
+MOST_SCORES = 4_000_000
 
 
 def _best_of_cell(k: int):
@@ -33,13 +35,21 @@ def _best_of_cell(k: int):
         matrix = lambda t: t["f"].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1)
         if not len(ids) or not len(who):
             return pa.table({"physician_id": who.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
-        s = matrix(asked) @ matrix(items).T
         seen = users.filter(pc.is_null(users["f"]))
-        s[pc.index_in(seen["physician_id"], who).to_numpy(), pc.index_in(seen["doc_id"], ids).to_numpy()] = -np.inf
-        m = min(k, s.shape[1])
-        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-        u, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # ties at the border included
-        return pa.table({"physician_id": who.take(pa.array(u)), "doc_id": ids.take(pa.array(i)), "score": pa.array(s[u, i])})
+        row, col = (pc.index_in(seen[n], v).to_numpy() for n, v in (("physician_id", who), ("doc_id", ids)))
+        order = np.argsort(row, kind="stable")
+        row, col = row[order], col[order]
+        asked, items = matrix(asked), matrix(items).T
+        m, step, found = min(k, len(ids)), max(1, MOST_SCORES // len(ids)), []
+        for z in range(0, len(asked), step):
+            s = asked[z : z + step] @ items
+            a, b = np.searchsorted(row, [z, z + len(s)])
+            s[row[a:b] - z, col[a:b]] = -np.inf
+            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+            u, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # ties at the border included
+            found.append((u + z, i, s[u, i]))
+        u, i, s = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"physician_id": who.take(pa.array(u)), "doc_id": ids.take(pa.array(i)), "score": pa.array(s)})
 
     return run
 

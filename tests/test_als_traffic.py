@@ -33,3 +33,30 @@ def test_rows_shorter_and_longer_than_the_rank(penalty):
         v, w = y[at[s : s + n]], c[s : s + n]
         want = np.linalg.solve(y.T @ y + (v.T * (w - 1)) @ v + penalty * np.eye(6), v.T @ w)
         assert np.allclose(row, want, atol=1e-9) and error == pytest.approx(((v @ want - w) ** 2).sum())
+
+
+def test_scores_of_a_cell_come_in_strips(monkeypatch):
+    """A cell of 2,000 users and 2,000 items never has all its scores (32 MB) at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkwell.operators import collaborative as c
+
+    monkeypatch.setattr(c, "MOST_SCORES", 100_000, raising=False)
+    rng = np.random.default_rng(6)
+    u, v = (rng.normal(size=(2000, 4)).astype(np.float32) for _ in range(2))
+    seen = [(int(a), int(b)) for a, b in zip(rng.integers(0, 2000, 500), rng.integers(0, 2100, 500)) if b < 2000]
+    kinds = pa.schema([("physician_id", pa.int64()), ("f", pa.list_(pa.float32())), ("doc_id", pa.int64())])
+    users = pa.Table.from_pylist([{"physician_id": i, "f": x.tolist()} for i, x in enumerate(u)] + [{"physician_id": a, "doc_id": b} for a, b in seen], kinds)
+    items = pa.table({"doc_id": pa.array(range(2000)), "f": pa.array(v.tolist(), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    got = c._best_of_cell(3)(users, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = u.astype(float) @ v.astype(float).T
+    for a, b in seen:
+        s[a, b] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :3]
+    assert {(r["physician_id"], r["doc_id"]) for r in got.to_pylist()} == {(a, int(b)) for a in range(2000) for b in best[a]}
+    assert peak < 20e6
