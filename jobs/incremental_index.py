@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from jobs.config import load, logger
 from sparkwell.operators import blockmax, retrieval
+from sparkwell.sources.shared import LARGE_ROWS
 from sparkwell.streaming.ingest import batch_path, file_stream, ingest
 
 DEFAULTS = {"id": "doc_id", "text": "text", "partition": "lang", "query_id": "item_id", "query_text": "text", "files_per_batch": 64, "top_k": 10, "k1": 1.5, "b": 0.75}
@@ -52,7 +53,7 @@ def run(spark: SparkSession, documents: str, queries: str, out: str, config: dic
         return retrieval.counted(new, c["id"], c["text"], (c["partition"],)).withColumnRenamed("doc_id", c["id"])
 
     def also(stored: DataFrame, n: int, read: int) -> None:
-        blockmax.segments(stored.withColumnRenamed(c["id"], "doc_id")).write.mode("overwrite").parquet(batch_path(segments, n))
+        blockmax.segments(stored.withColumnRenamed(c["id"], "doc_id")).write.mode("overwrite").options(**LARGE_ROWS).parquet(batch_path(segments, n))
         retrieval.document_frequencies(spark.read.parquet(batch_path(segments, n))).write.mode("overwrite").parquet(batch_path(frequencies, n))
         indexed = stored.count()
         for name, m in (("batches", 1), ("read", read), ("indexed", indexed)):

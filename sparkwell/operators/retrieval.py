@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions.words import ENGLISH_STOP_WORDS
-from ..sources.shared import spread, written
+from ..sources.shared import LARGE_ROWS, bounded_batches, spread, written
 from . import blockmax
 from .analytics import exact_percentiles, top
 from .matching import term_hits
@@ -53,7 +53,7 @@ class Index:
     @property
     def segments(self) -> DataFrame:
         if self.stored_segments is None:
-            self.stored_segments = written(blockmax.segments(self.docs), "segments")
+            self.stored_segments = written(blockmax.segments(self.docs), "segments", options=LARGE_ROWS)
         return self.stored_segments
 
     @property
@@ -125,11 +125,12 @@ def document_frequencies(segments: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "body_text") -> Index:
     """Tokenize docs once and store the index, under path to be loaded again, else for this session."""
+    bounded_batches(docs.sparkSession)
     rows = counted(spread(docs.select(id_col, text)), id_col, text)
     if path is None:
         return Index(written(rows, "index"))
     stored = written(rows, "index", f"{path}/docs")
-    segments = written(blockmax.segments(stored), "segments", f"{path}/segments")
+    segments = written(blockmax.segments(stored), "segments", f"{path}/segments", LARGE_ROWS)
     document_frequencies(segments).write.parquet(f"{path}/terms")
     Index(stored).stats.coalesce(1).write.parquet(f"{path}/stats")
     return load(docs.sparkSession, path)

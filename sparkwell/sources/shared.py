@@ -24,10 +24,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: For rows of megabytes: Parquet's writer looks at its size after every row, and its row groups, which a reader holds whole, are small.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(df: DataFrame, name: str, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut, and it is computed once."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -42,6 +46,18 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows in one Arrow batch of text or of lists of terms.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, unless they are smaller already: what a Python task holds then does not grow with its partition."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # a larger unit was set by hand
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: small files come as one, and costly rows would run in one task."""
     n = df.sparkSession.sparkContext.defaultParallelism
