@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..sources.bridge import ICD_CODES
+from ..sources.shared import drop, written
 
 # The lab and biomarker vocabularies, in the order of the vector's components.
 LABS = ("creatinine", "ALT", "AST", "bilirubin", "albumin", "hemoglobin", "platelet_count", "neutrophil_count", "TSH", "free_T4", "troponin", "BNP", "LDH", "CEA", "CA-125", "PSA", "AFP")
@@ -267,6 +268,27 @@ class _Lists:
         return pd.DataFrame({"query_id": self.qid[self.row], "vec_id": self.id, "score": self.score})
 
 
+
+def wide_enough(search, vectors: DataFrame, width: int, goal: float = 0.95, probes: int = 100, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> int:
+    """The width, doubled as often as needed, at which search(queries, width) finds the goal's share of the exact neighbours.
+
+    It is measured with at most probes of the vectors as queries (chosen by a hash of their ids) against all vectors.
+    """
+    v = vectors.where(F.col(vector).isNotNull())
+    n = v.count()
+    asked = written(v.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(probes), "probes")
+    exact = written(flat_search(v, asked, id_col=id_col, vector=vector).select("query_id", "vec_id"), "exact")
+    while width < n:
+        found = search(asked, width).select("query_id", "vec_id").withColumn("found", F.lit(1))
+        r = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count("found").alias("found"), F.count("*").alias("n")).first()
+        if r["found"] >= goal * r["n"]:
+            break
+        width *= 2
+    drop(asked)
+    drop(exact)
+    return width
+
+
 def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None, held: int | None = None, rows=None, prepare=None, product=None) -> DataFrame:
     """The k best unit vectors of each unit query; own: also of the query's own id.
 
