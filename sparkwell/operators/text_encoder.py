@@ -26,6 +26,8 @@ from .linear import truncated_svd
 from .retrieval import counted
 
 VOCABULARY, WIDTH, WINDOW = 4096, 128, 5
+#: A counting task's words at once, pairs that it merges at least, and pairs that it holds at most when it has merged.
+WORDS, MERGE, MOST_HELD = 1 << 16, 1 << 20, 1 << 21
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -77,26 +79,53 @@ class TextEncoder:
 
 
 def co_occurrences(docs: DataFrame, terms: list[str], text: str, window: int = WINDOW) -> DataFrame:
-    """(i, j, n), i and j positions of terms: pairs at most window words apart, each weighted by one over its distance, both ways."""
+    """(i, j, n), i and j positions of terms: pairs at most window words apart, each weighted by one over its distance, both ways.
+
+    Counted one way (i <= j) and mirrored after the sums. A task merges what it has counted when as much again is new, so that
+    its time follows its words, and gives its sums away when they are more than MOST_HELD pairs.
+    """
     held = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, size = {t: i for i, t in enumerate(held.value)}, len(held.value)
-        for b in batches:
-            keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for t in b.column(0).to_pylist():
-                a = np.array([at.get(w, -1) for w in _TOKEN.findall((t or "").lower())], np.int64)
-                for d in range(1, window + 1):
-                    x, y = a[:-d], a[d:]
-                    ok = (x >= 0) & (y >= 0)
-                    keys += [x[ok] * size + y[ok], y[ok] * size + x[ok]]
-                    weights += [np.full(2 * int(ok.sum()), 1.0 / d)]
-                if sum(map(len, keys)) > 1 << 20:
-                    keys, weights = _merged(keys, weights)
-            (key,), (n,) = _merged(keys, weights)
-            yield pa.RecordBatch.from_arrays([pa.array((key // max(1, size)).astype(np.int32)), pa.array((key % max(1, size)).astype(np.int32)), pa.array(n)], ["i", "j", "n"])
-
-    return docs.select(text).mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+        at, size = {t: i for i, t in enumerate(held.value)}, max(1, len(held.value))
+        keys, weights, new, merged = [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0
+        for words in _runs(batches, at, window):
+            for d in range(1, window + 1):
+                x, y = words[:-d], words[d:]
+                ok = (x >= 0) & (y >= 0)
+                x, y = x[ok], y[ok]
+                keys.append(np.minimum(x, y) * size + np.maximum(x, y))
+                weights.append(np.where(x == y, 2.0, 1.0) / d)
+                new += len(x)
+            if new > max(MERGE, merged):
+                keys, weights = _merged(keys, weights)
+                new, merged = 0, len(keys[0])
+                if merged > MOST_HELD:
+                    yield _pairs(keys[0], weights[0], size)
+                    keys, weights, merged = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        (key,), (n,) = _merged(keys, weights)
+        yield _pairs(key, n, size)
+
+    one = docs.select(text).mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    both = F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    return one.select(F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("p")).select("p.*")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], at: dict[str, int], window: int) -> Iterator[np.ndarray]:
+    """Positions of the words of about WORDS words' texts at a time, -1 for others; window of these part two texts."""
+    words: list[int] = []
+    for b in batches:
+        for t in b.column(0):
+            words.extend(at.get(w, -1) for w in _TOKEN.findall((t.as_py() or "").lower()))
+            words.extend([-1] * window)
+            if len(words) > WORDS:
+                yield np.array(words, np.int64)
+                words = []
+    yield np.array(words, np.int64)
+
+
+def _pairs(key: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(n)], ["i", "j", "n"])
 
 
 def _merged(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:

@@ -3,6 +3,8 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,47 @@ def test_held_out_alignment_beats_the_hashed_substitute(spark):
 def test_empty_corpus(spark):
     e = T.learn(spark.createDataFrame([], "body_text string"))
     assert e.terms == [] and e.encode(spark.createDataFrame([("a",)], "t string"), "t").first().vec is not None
+
+
+def _watched(spark, monkeypatch, words):
+    """A stand-in for a table of texts whose task runs here, and the sizes of its merges."""
+    merges, merged = [], T._merged
+    monkeypatch.setattr(T, "_merged", lambda k, w: (merges.append(sum(map(len, k))), merged(k, w))[1])
+    held = type("Held", (), {"value": [f"w{i}" for i in range(int(words.max()) + 1)]})
+
+    class Docs:
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda terms: held)})})
+
+        def select(self, text):
+            return self
+
+        def mapInArrow(self, run, schema):
+            texts = pa.array([" ".join(f"w{i}" for i in r) for r in words])
+            got = pd.concat([b.to_pandas() for b in run(iter([pa.RecordBatch.from_arrays([texts], ["t"])]))])
+            return spark.createDataFrame(got if len(got) < 100_000 else got[:0], schema)
+
+    return Docs(), held.value, merges
+
+
+def test_co_occurrences_are_merged_in_proportion(spark, monkeypatch):
+    """More different pairs than a merge waits for: they are not sorted again with every text."""
+    words = np.random.default_rng(3).integers(0, 1500, (300, 1000))
+    docs, terms, merges = _watched(spark, monkeypatch, words)
+    T.co_occurrences(docs, terms, "t")
+    assert sum(merges) < 5 * 2 * T.WINDOW * words.size
+
+
+def test_co_occurrences_given_away_in_parts(spark, monkeypatch):
+    words = np.random.default_rng(3).integers(0, 200, (400, 60))
+    for name, value in (("MERGE", 500), ("WORDS", 100), ("MOST_HELD", 3000)):
+        monkeypatch.setattr(T, name, value)
+    docs, terms, merges = _watched(spark, monkeypatch, words)
+    got = {(r.i, r.j): r.n for r in T.co_occurrences(docs, terms, "t", 2).collect()}
+    want = Counter()
+    for r in words.tolist():
+        for i, a in enumerate(r):
+            for d in (1, 2):
+                if i + d < len(r):
+                    want[a, r[i + d]] += 1 / d
+                    want[r[i + d], a] += 1 / d
+    assert got == pytest.approx(dict(want)) and len(merges) > 5
