@@ -8,16 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import LARGE_ROWS, bounded_batches, drop, written
 from .embeddings import TEMPERATURE, Dense
-from .gradients import flat, summed, unflat
+from .gradients import PIECES, flat, pieces, tree, unflat
 
 
-#: Rows of one stored part, about those of an Arrow batch.
-ROWS = 10_000
+#: Rows of one stored part, and of one stored block at least (twice as many at most).
+ROWS, BLOCK = 10_000, 1024
+INPUTS = ("text", "image", "structured")
 
 
 def forward(model: Dense, x: np.ndarray) -> tuple[np.ndarray, list]:
@@ -41,7 +43,8 @@ def backward(model: Dense, saved: list, d: np.ndarray) -> list[tuple[np.ndarray,
         if mask is not None:
             d = d * mask
         grads[i] = (x.T @ d, d.sum(axis=0))
-        d = d @ model.layers[i][0].T
+        if i:  # nothing asks for the inputs' gradient
+            d = d @ model.layers[i][0].T
     return grads
 
 
@@ -58,6 +61,35 @@ def nce(a: np.ndarray, b: np.ndarray, temperature: float = TEMPERATURE) -> tuple
     return loss, p @ b, p.T @ a
 
 
+def _cut(seed: list[int], n: int, part: int, parts: int, size: int) -> list[np.ndarray]:
+    """One share of the batches of n rows in a random order, without those below two rows."""
+    order = np.random.default_rng(seed).permutation(n)
+    return [take for b, take in enumerate(np.array_split(order, max(1, round(n / size)))) if b % parts == part and len(take) > 1]
+
+
+def _blocks(kinds: list):
+    """Rows (i, text, image, structured) as blocks of their numbers, in the order of i: a reader copies them whole."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by("i").combine_chunks()
+        values = [np.asarray(rows[c].combine_chunks().flatten(), k).tobytes() for c, k in zip(INPUTS, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["n", *INPUTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n > 2 * BLOCK:
+                rows = pa.Table.from_batches(held)
+                yield block(rows.slice(0, BLOCK))
+                held, n = rows.slice(BLOCK).to_batches(), n - BLOCK
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
+
 @dataclass
 class ContrastiveTrainer:
     """One Adam optimizer for the text, image and structured networks; the loss sums the three pairs of modalities."""
@@ -113,27 +145,36 @@ class ContrastiveTrainer:
     def train(self, data: DataFrame, epochs: int = 10, size: int = 64, mode: str = "sync", parts: int = 4) -> list[dict]:
         """data: (i, text, image, structured) arrays. Returns losses by epoch.
 
-        mode "sync": the rows are dealt by hash and stored once. Every task cuts the rows it reads, in a new random order each
+        mode "sync": the rows are dealt by hash and stored once, in blocks. Every task cuts each block, in a new random order each
         epoch, into batches of about size, and each epoch takes a step on each of parts shares of the batches, from the sum of
-        their gradients; no vector is shuffled again. mode "local": a step a batch on the driver, for sets that fit it.
+        their gradients; no vector is shuffled again, and of gradients each core's sum is. mode "local": a step a batch on the
+        driver, for sets that fit it.
         """
         if mode == "local":
             d = data.orderBy("i").toPandas()
-            xs = [np.stack(d[c].to_numpy()).astype(float) for c in ("text", "image", "structured")]
+            xs = [np.stack(d[c].to_numpy()).astype(float) for c in INPUTS]
             return [{"epoch": e, **self.train_epoch(xs, e, size)} for e in range(epochs)]
-        n = data.count()
-        rows = written(data.select("i", "text", "image", "structured").repartition(max(1, min(n // (4 * size), n // ROWS + data.sparkSession.sparkContext.defaultParallelism)), F.xxhash64(F.lit(self.seed), "i")), "pairs")
-        history = []
+        spark = data.sparkSession
+        bounded_batches(spark)
+        cores, n = spark.sparkContext.defaultParallelism, data.count()
+        dealt = data.select("i", *INPUTS).repartition(max(1, min(n // (4 * size), n // ROWS + cores)), F.xxhash64(F.lit(self.seed), "i"))
+        kinds = [np.float32 if data.schema[c].dataType.elementType.simpleString() == "float" else np.float64 for c in INPUTS]
+        stored = written(dealt.mapInArrow(_blocks(kinds), "n int, " + ", ".join(f"{c} binary" for c in INPUTS)), "pairs", options=LARGE_ROWS)
+        rows = stored.coalesce(cores)
+        tasks, history = rows.rdd.getNumPartitions(), []
+        like = [x for m in self.models() for layer in m.layers for x in layer]
         for epoch in range(epochs):
             loss, n = 0.0, 0
             for part in range(parts):
-                total = summed(rows.mapInPandas(self._share(epoch, part, parts, size), "g array<double>"), rows.rdd.getNumPartitions())
+                held = spark.sparkContext.broadcast(self.models())
+                total = tree(rows.mapInArrow(self._sums(held, kinds, epoch, part, parts, size), PIECES), tasks)
+                held.destroy()
                 if total is not None and total[-1]:
-                    like = [x for m in self.models() for layer in m.layers for x in layer]
                     g = iter(unflat(total / total[-1], like))
                     self.step([[(next(g), next(g)) for _ in m.layers] for m in self.models()])
                     loss, n = loss + float(total[-2]), n + int(total[-1])
             history.append({"epoch": epoch, "loss": loss / max(1, n), "n_batches": n})
+        drop(stored)
         return history
 
     def _share(self, epoch: int, part: int, parts: int, size: int):
@@ -142,11 +183,34 @@ class ContrastiveTrainer:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for d in frames:
                 d = d.sort_values("i")
-                order = np.random.default_rng([self.seed, epoch, len(d)]).permutation(len(d))
-                for b, take in enumerate(np.array_split(order, max(1, round(len(d) / size)))):
-                    if b % parts == part and len(take) > 1:
-                        loss, grads = self.batch([np.stack(d[c].to_numpy()[take]).astype(float) for c in ("text", "image", "structured")])
-                        yield pd.DataFrame({"g": [flat([x for model in grads for layer in model for x in layer], loss, 1.0)]})
+                for take in _cut([self.seed, epoch, len(d)], len(d), part, parts, size):
+                    loss, grads = self.batch([np.stack(d[c].to_numpy()[take]).astype(float) for c in INPUTS])
+                    yield pd.DataFrame({"g": [flat([x for model in grads for layer in model for x in layer], loss, 1.0)]})
+
+        return run
+
+    def _sums(self, held, kinds: list, epoch: int, part: int, parts: int, size: int):
+        """What _share gives, of stored blocks and summed over a task (PIECES)."""
+        seed, temperature = self.seed, self.temperature
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = ContrastiveTrainer(*held.value, temperature=temperature)
+            total, loss, n = None, 0.0, 0
+            for b in batches:
+                for r in range(b.num_rows):
+                    count = b.column(0)[r].as_py()
+                    xs = [np.frombuffer(b.column(c + 1)[r].as_buffer(), kind).reshape(count, -1) for c, kind in enumerate(kinds)]
+                    for take in _cut([seed, epoch, count], count, part, parts, size):
+                        lost, grads = t.batch([x[take].astype(float) for x in xs])
+                        grads = [x for model in grads for layer in model for x in layer]
+                        loss, n = loss + lost, n + 1
+                        if total is None:
+                            total = grads
+                        else:
+                            for x, g in zip(total, grads, strict=True):
+                                x += g
+            if total is not None:
+                yield pieces(flat(total, loss, n))
 
         return run
 

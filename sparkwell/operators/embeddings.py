@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..sources.bridge import ICD_CODES
-from ..sources.shared import drop, written
+from ..sources.shared import bounded_batches, drop, written
 
 # The lab and biomarker vocabularies, in the order of the vector's components.
 LABS = ("creatinine", "ALT", "AST", "bilirubin", "albumin", "hemoglobin", "platelet_count", "neutrophil_count", "TSH", "free_T4", "troponin", "BNP", "LDH", "CEA", "CA-125", "PSA", "AFP")
@@ -122,6 +122,7 @@ def early_fusion(text: int = 512, image: int = IMAGE_WIDTH, structured: int = 53
 
 def encode(df: DataFrame, column: str, model: Dense, out: str = "vec", batch: int = 256) -> DataFrame:
     """Adds model(column) for array columns, batch rows at a time; null input gives null."""
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # a fixed-size network
 
     @F.pandas_udf("array<double>")
@@ -150,6 +151,7 @@ def hashed_text_features(text: Column, width: int = TEXT_WIDTH) -> Column:
 
 def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: int = TEXT_WIDTH, max_tokens: int | None = None, out: str = "vec", batch: int = 32) -> DataFrame:
     """Text to unit vectors by hashed token features and a projection, in Arrow batches. max_tokens: only so many first tokens, as a model with a window reads."""
+    bounded_batches(df.sparkSession)
     model = model or random_dense(width, WIDTH, seed=7)
     held = df.sparkSession.sparkContext.broadcast(model)
 

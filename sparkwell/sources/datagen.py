@@ -236,8 +236,8 @@ def structured_metadata(docs: DataFrame, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", chosen(tuple(n.replace("_", " ") for n in LABS), 3, 8, "lab", 15.0, 2).alias("lab_values"), chosen(tuple(n.replace("_", " ") for n in MARKERS), 1, 5, "marker", 100.0, 1).alias("biomarker_levels"), F.split("icd_codes", ",").alias("icd_codes_list"), S.word_count(F.col("body_text")).alias("word_count"))
 
 
-def image_features(docs: DataFrame, width: int = 2048, seed: int = 42) -> DataFrame:
-    """(doc_id, vec): Gaussian vectors of unit length, seeded by doc_id."""
+def image_features(docs: DataFrame, width: int = 2048, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, vec): Gaussian vectors of unit length, seeded by doc_id."""
 
     @F.pandas_udf("array<float>")
     def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -250,7 +250,7 @@ def image_features(docs: DataFrame, width: int = 2048, seed: int = 42) -> DataFr
                 out.append((x / np.linalg.norm(x)).astype(np.float32))
             yield pd.Series(out, dtype=object)
 
-    return docs.select("doc_id", make("doc_id").alias("vec"))
+    return docs.select("doc_id", *keep, make("doc_id").alias("vec"))
 
 
 def dataset(spark: SparkSession, config: Config, seed: int = 42) -> Tables:

@@ -50,3 +50,23 @@ def test_batches_are_cut_without_a_shuffle(spark):
     assert sorted(np.concatenate(np.array_split(x, 10)).tolist()) == list(range(103)) and len(d) == 103
     like = [np.zeros((2, 3)), np.zeros(4)]
     assert all((a == b).all() for a, b in zip(unflat(flat([np.arange(6.0).reshape(2, 3), np.arange(4.0)], 9.0), like), [np.arange(6.0).reshape(2, 3), np.arange(4.0)]))
+
+
+def test_a_task_gives_one_sum_of_its_batches(spark, monkeypatch):
+    """A step's tasks give their sums alone, no more rows than pieces, from stored blocks, as whole batches' gradients would sum."""
+    from sparkwell.operators import contrastive
+
+    monkeypatch.setattr(contrastive, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, *(rng.normal(size=k).tolist() for k in (3, 4, 5))) for i in range(103)], "i int, text array<double>, image array<double>, structured array<double>").coalesce(1)
+    kinds = [np.float64] * 3
+    blocks = df.mapInArrow(contrastive._blocks(kinds), "n int, text binary, image binary, structured binary")
+    assert [r.n for r in blocks.collect()] == [40, 63]
+    t = ContrastiveTrainer(*(random_dense(k, 6, 4, seed=k) for k in (3, 4, 5)))
+    held = spark.sparkContext.broadcast(t.models())
+    got = [np.frombuffer(r.g) for r in blocks.mapInArrow(t._sums(held, kinds, 0, 1, 4, 10), "piece int, slot int, g binary").collect()]
+    assert len(got) == 1
+    want = [r.g for lo, hi in ((0, 40), (40, 103)) for r in df.where(f"i >= {lo} and i < {hi}").mapInPandas(t._share(0, 1, 4, 10), "g array<double>").collect()]
+    assert len(want) == got[0][-1] == 3 and np.allclose(np.sum(want, axis=0), got[0])
+    t.train(df, 1, 10)
+    assert t.steps == 4
