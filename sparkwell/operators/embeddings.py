@@ -128,13 +128,14 @@ def encode(df: DataFrame, column: str, model: Dense, out: str = "vec", batch: in
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            got: list = [None] * len(s)
-            rows = [i for i, v in enumerate(s) if v is not None]
-            for a in range(0, len(rows), batch):
-                part = rows[a : a + batch]
-                for i, v in zip(part, held.value(np.stack([np.asarray(s.iloc[i], float) for i in part]))):
-                    got[i] = v
-            yield pd.Series(got, dtype=object)
+            for a in range(0, len(s), batch):  # given back at once: a batch of ids or texts may be far smaller than its vectors
+                x = s.iloc[a : a + batch].tolist()
+                got: list = [None] * len(x)
+                rows = [i for i, v in enumerate(x) if v is not None]
+                if rows:
+                    for i, v in zip(rows, held.value(np.stack([np.asarray(x[i], float) for i in rows]))):
+                        got[i] = v
+                yield pd.Series(got, dtype=object)
 
     return df.withColumn(out, run(F.col(column)))
 
@@ -162,15 +163,13 @@ def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: in
         import xxhash
 
         for s in parts:
-            got = []
             for a in range(0, len(s), batch):
                 x = np.zeros((len(s.iloc[a : a + batch]), width))
                 for i, t in enumerate(s.iloc[a : a + batch]):
                     for w in re.findall("[a-z0-9]+", (t or "").lower())[:max_tokens]:
                         h = xxhash.xxh64_intdigest(w)
                         x[i, h % width] += 1.0 if h >> 63 else -1.0
-                got.extend(held.value(x))
-            yield pd.Series(got, dtype=object)
+                yield pd.Series(list(held.value(x)), dtype=object)
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -70,10 +70,8 @@ class TextEncoder:
         @F.pandas_udf("array<double>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in parts:
-                got = []
                 for a in range(0, len(s), batch):
-                    got.extend(held.value.projection(held.value.features(s.iloc[a : a + batch].tolist())))
-                yield pd.Series(got, dtype=object)
+                    yield pd.Series(list(held.value.projection(held.value.features(s.iloc[a : a + batch].tolist()))), dtype=object)
 
         return df.withColumn(out, run(F.col(text)))
 

@@ -244,11 +244,12 @@ def image_features(docs: DataFrame, width: int = 2048, seed: int = 42, keep: tup
         import zlib
 
         for s in parts:
-            out = []
-            for d in s:
-                x = np.random.default_rng([seed, zlib.crc32(str(d).encode())]).standard_normal(width)
-                out.append((x / np.linalg.norm(x)).astype(np.float32))
-            yield pd.Series(out, dtype=object)
+            for a in range(0, len(s), 256):  # given back at once: a batch of ids is far smaller than its vectors
+                out = []
+                for d in s.iloc[a : a + 256]:
+                    x = np.random.default_rng([seed, zlib.crc32(str(d).encode())]).standard_normal(width)
+                    out.append((x / np.linalg.norm(x)).astype(np.float32))
+                yield pd.Series(out, dtype=object)
 
     return docs.select("doc_id", *keep, make("doc_id").alias("vec"))
 

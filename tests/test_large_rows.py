@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -24,3 +25,22 @@ def test_segments_are_written_so(spark, monkeypatch):
     index = retrieval.fit(docs)
     assert index.segments.count() >= 1 and asked["segments"] == LARGE_ROWS
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES
+
+
+def test_vectors_are_given_back_in_small_batches(spark, monkeypatch):
+    """A batch of ids or texts is far smaller than its vectors, so these are not kept until it ends."""
+    from sparkwell.operators import embeddings as E
+    from sparkwell.sources import datagen
+
+    made = []
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda f: (made.append(f), lambda c: F.lit(None))[1])
+    d = spark.createDataFrame([(1, "a", [1.0, 2.0])], "doc_id int, text string, x array<double>")
+    datagen.image_features(d, width=8)
+    E.encode(d, "x", E.random_dense(2, 3))
+    E.encode_texts(d, "text", width=8, model=E.random_dense(8, 3))
+    vectors = [[1.0, 2.0], None] * 1500
+    for f, values in zip(made, (range(3000), vectors, ["a b", None] * 1500), strict=True):
+        got = list(f(iter([pd.Series(values)])))
+        assert max(map(len, got)) <= 256 and sum(map(len, got)) == 3000
+        if values is vectors:
+            assert [v is None for g in got for v in g] == [False, True] * 1500
