@@ -318,11 +318,42 @@ def tfidf(docs: DataFrame, max_features: int = 10_000, stop_words: tuple[str, ..
 
     Terms have two characters or more and are no stop words (by default the English ones; others can be given); the
     max_features terms of the largest total count are kept (ties by term).
+
+    Texts are tokenized once and stored a row a document; only terms' counts are shuffled, and a document is weighted where its
+    row lies, by the kept terms, which are broadcast. Rows that share a doc_id are one document: only their terms are shuffled.
     """
-    d = spread(docs.select("doc_id", text)).select("doc_id", F.explode(F.filter(S.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words) if stop_words else F.length(t) > 1)).alias("term"))
-    tf = d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(max_features)
-    n = docs.agg(F.count("*").alias("n"))
-    w = tf.join(kept, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", (F.col("w") / length).alias("weight"))
+    bounded_batches(docs.sparkSession)
+    rows = written(counted(spread(docs.select("doc_id", text)), "doc_id", text).select("doc_id", "terms", "tfs"), "counts")
+    repeated = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    real = (F.length("term") > 1) & ~F.col("term").isin(*stop_words) if stop_words else F.length("term") > 1
+    postings = lambda d: d.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")).where(real)
+    shared = None
+    if repeated.isEmpty():
+        tf = postings(rows)
+    else:
+        same = rows["doc_id"].eqNullSafe(repeated["__id"])
+        shared = postings(rows.join(repeated, same, "left_semi")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+        one = rows.join(repeated, same, "left_anti")
+        tf = postings(one).union(shared)
+    top = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(max_features).select("term", "df").toArrow()  # a parameter
+    weight = np.log((1 + rows.count()) / (1 + top["df"].to_numpy())) + 1
+    held = docs.sparkSession.sparkContext.broadcast((top["term"].to_pylist(), weight))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weight = pa.array(held.value[0], pa.string()), held.value[1]
+        for b in batches:
+            at = pc.fill_null(pc.index_in(b.column(1).flatten(), words), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+            ok = at >= 0
+            at, row = at[ok], row[ok]
+            w = b.column(2).flatten().to_numpy()[ok] * weight[at]
+            length = np.sqrt(np.bincount(row, w * w, b.num_rows))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), words.take(pa.array(at)), pa.array(w / length[row])], ["doc_id", "term", "weight"])
+
+    types = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, weight double"
+    if shared is None:
+        return rows.mapInArrow(weigh, types)
+    kept = F.broadcast(docs.sparkSession.createDataFrame(list(zip(held.value[0], weight.tolist(), strict=True)), "term string, idf double"))  # max_features rows
+    w = shared.join(kept, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = w.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
+    return one.mapInArrow(weigh, types).union(w.select("doc_id", "term", F.col("w") / F.col("length")))
