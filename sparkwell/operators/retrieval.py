@@ -252,7 +252,8 @@ def matched_scores(index: Index, queries: DataFrame, k1: float = K1, b: float =
 def pair_scores(index: Index, pairs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, distinct: bool = False, least_avgdl: float = 0.0) -> DataFrame:
     """(query_id, doc_id, score) of the given pairs alone, 0 where no term is shared; other documents' texts aren't scored."""
     w = _weighted(index, queries, distinct).groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "idf")).alias("w"), F.first("avgdl").alias("avgdl"))
-    p = pairs.select("query_id", "doc_id").distinct().join(index.docs, "doc_id").join(w, "query_id", "left")
+    p = written(pairs.select("query_id", "doc_id").distinct(), "asked")  # its size is known then: few pairs are broadcast, and no document moves
+    p = p.join(index.docs, "doc_id").join(w, "query_id", "left")
     avgdl = F.greatest("avgdl", F.lit(float(least_avgdl)))
     tf = lambda t: F.element_at("tfs", F.array_position("terms", t).cast("int"))
     one = lambda x: F.when(F.array_contains("terms", x["term"]), x["qtf"] * term_score(tf(x["term"]), x["idf"], F.col("dl"), avgdl, k1, b)).otherwise(0.0)
