@@ -152,7 +152,7 @@ def truncated_svd(vectors: DataFrame, terms: int, k: int = DIRECTIONS, passes: i
         total = tree(rows.mapInArrow(add, PIECES), rows.rdd.getNumPartitions())
         return np.zeros_like(q) if total is None else total.reshape(q.shape)  # the matrix itself, once
 
-    rows = vectors.select("i", "w")
+    rows = vectors.select("i", "w").coalesce(sc.defaultParallelism)  # a matrix a core is shuffled, not a partition
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(k + 10, terms))))[0]
     for _ in range(passes):
         q = np.linalg.qr(times(q))[0]
@@ -169,8 +169,10 @@ def truncated_svd(vectors: DataFrame, terms: int, k: int = DIRECTIONS, passes: i
 
     kind = vectors.schema["doc_id"].dataType.simpleString()
     out = vectors.select("doc_id", "i", "w").mapInArrow(project, f"doc_id {kind}, features array<double>")
-    total = vectors.select(F.explode(F.arrays_zip("i", "w")).alias("s")).groupBy("s.i").agg(F.sum("s.w").alias("s"), F.sum(F.col("s.w") * F.col("s.w")).alias("q"))
-    n = vectors.count()
-    var = total.agg(F.sum(F.col("q") / n - F.pow(F.col("s") / n, 2))).first()[0] or 0.0
-    kept = out.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0] or 0.0
+    total = vectors.select(F.explode(F.arrays_zip("i", "w")).alias("s")).groupBy("s.i").agg(F.sum("s.w").alias("s"), F.sum(F.col("s.w") * F.col("s.w")).alias("q")).toArrow()  # a row a term
+    n = max(1, vectors.count())
+    mean = np.zeros(terms)
+    mean[total["i"].to_numpy()] = total["s"].to_numpy() / n
+    var = float(total["q"].to_numpy().sum() / n - (mean * mean).sum())
+    kept = float(size[best].sum() / n - ((mean @ v) ** 2).sum())  # a direction's sum of squares is its eigenvalue: the features need not be made for it
     return out, float(kept / var) if var else 0.0

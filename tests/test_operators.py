@@ -456,3 +456,14 @@ def test_folds_are_even_within_labels(spark):
     for label in (0, 1):
         sizes = [r["count"] for r in got if r.label == label]
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_truncated_svd_explains_what_its_features_vary(spark, monkeypatch):
+    """The share comes from the eigenvalues, without a pass over the features, and is that of the features."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((40, 15)) < 0.4) * rng.random((40, 15))
+    df = spark.createDataFrame([(d, [int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for d, r in enumerate(x)], "doc_id int, i array<int>, w array<double>").repartition(7)
+    monkeypatch.setattr(F, "posexplode", lambda c: pytest.fail("every feature becomes a row"))
+    out, share = linear.truncated_svd(df, 15, 4)
+    f = np.array([r.features for r in out.orderBy("doc_id").collect()])
+    assert share == pytest.approx(f.var(axis=0).sum() / x.var(axis=0).sum(), abs=1e-6)
