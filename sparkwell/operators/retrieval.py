@@ -76,14 +76,16 @@ class Index:
     def weights(self, vocabulary: DataFrame | None = None) -> DataFrame:
         """(term, df, idf, avgdl) of the terms in the vocabulary, or of all.
 
-        Where nothing is counted yet and no search has made segments, only the vocabulary's rows are counted, in passing.
+        Where no search has made segments, the documents' rows are counted: none are made for it. Where nothing is counted yet,
+        only the vocabulary's rows are, in passing.
         """
+        terms = self.docs.select(F.explode("terms").alias("term"))
+        count = lambda t: t.groupBy("term").agg(F.count("*").alias("df"))
         if self.df is None and self.stored_segments is None and vocabulary is not None:
-            terms = self.docs.select(F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-            df = terms.groupBy("term").agg(F.count("*").alias("df"))
+            df = count(terms.join(vocabulary, "term", "left_semi"))
         else:
             if self.df is None:
-                self.df = written(document_frequencies(self.segments), "frequencies")
+                self.df = written(count(terms) if self.stored_segments is None else document_frequencies(self.segments), "frequencies")
             df = self.df if vocabulary is None else self.df.join(vocabulary, "term", "left_semi")
         return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")  # one row of stats
 

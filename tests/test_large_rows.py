@@ -27,6 +27,16 @@ def test_segments_are_written_so(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES
 
 
+def test_term_statistics_need_no_segments(spark):
+    """Counts come from the documents' rows, by Spark's own expressions; once there are segments, from them, and are the same."""
+    docs = spark.createDataFrame([(1, "b a a"), (1, "a c"), (2, ""), (3, None), (4, "C a")], "doc_id long, body_text string")
+    index = retrieval.fit(docs)
+    got = {r.term: r.df for r in index.terms.collect()}
+    assert index.stored_segments is None and got == {"a": 3, "b": 1, "c": 2}
+    other = retrieval.fit(docs)
+    assert other.segments.count() >= 1 and sorted(map(tuple, other.terms.collect())) == sorted(map(tuple, index.terms.collect()))
+
+
 def test_vectors_are_given_back_in_small_batches(spark, monkeypatch):
     """A batch of ids or texts is far smaller than its vectors, so these are not kept until it ends."""
     from sparkwell.operators import embeddings as E
