@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bounded_batches
+
 #: Terms of one automaton (some 100 bytes a character); more are searched in several passes.
 MOST_TERMS = 100_000
 
@@ -31,6 +33,7 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: str, term: str = "term",
     """(kept columns, term): the distinct terms that a text holds anywhere, ignoring case; null texts and terms hold nothing."""
     lowered = terms.where(F.col(term).isNotNull()).select(F.lower(term).alias("low")).distinct().orderBy("low")
     spark, out = docs.sparkSession, None
+    bounded_batches(spark)
     d = docs.where(F.col(text).isNotNull()).select(*keep, F.lower(text).alias("__low"))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-1]), "low string"])
     words = [r["low"] for r in lowered.collect()]  # the terms themselves, a list given by the caller

@@ -4,11 +4,24 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from sparkwell.operators import retrieval
+from sparkwell.operators.matching import term_hits
 from sparkwell.sources.shared import BATCH_BYTES, LARGE_ROWS, written
 
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def large_batches(spark):
+    """The session as a caller hands it over: batches of up to 64 MB."""
+    now = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, str(64 << 20))
+    yield
+    spark.conf.set(ARROW, now.rstrip("b"))
+
 
 def test_row_groups_of_large_rows(spark):
     rows = spark.range(0, 60, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 30000), x -> uuid()), '') as binary)").alias("x"))
@@ -27,6 +40,12 @@ def test_segments_are_written_so(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES
 
 
+def test_searching_terms_takes_small_batches(spark, large_batches):
+    docs = spark.createDataFrame([(1, "Heart failure")], "doc_id int, body_text string")
+    hits = term_hits(docs, spark.createDataFrame([("heart",)], "term string"), "body_text")
+    assert int(spark.conf.get(ARROW).rstrip("b")) <= BATCH_BYTES and [r.term for r in hits.collect()] == ["heart"]
+
+
 def test_term_statistics_need_no_segments(spark):
     """Counts come from the documents' rows, by Spark's own expressions; once there are segments, from them, and are the same."""
     docs = spark.createDataFrame([(1, "b a a"), (1, "a c"), (2, ""), (3, None), (4, "C a")], "doc_id long, body_text string")
