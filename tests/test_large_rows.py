@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,20 @@ def test_segments_are_written_so(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES
 
 
+@pytest.mark.parametrize("rows", [100, 400])
+def test_tokenizing_takes_batches_of_one_size(spark, monkeypatch, large_batches, rows):
+    """A task of tokenizing holds no more of a larger partition (10 or 40 MB here)."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([b.nbytes]), pa.array([[]], pa.list_(pa.string())), pa.array([[]], pa.list_(pa.int64()))], ["doc_id", "dl", "terms", "tfs"])
+
+    monkeypatch.setattr(retrieval, "_counted", sizes)
+    docs = spark.range(0, rows, 1, 4).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 20000)").alias("body_text"))
+    got = [r.dl for r in retrieval.fit(docs).docs.collect()]
+    assert sum(got) >= rows * 100_000 and max(got) < BATCH_BYTES + (1 << 18)
+
+
 def test_searching_terms_takes_small_batches(spark, large_batches):
     docs = spark.createDataFrame([(1, "Heart failure")], "doc_id int, body_text string")
     hits = term_hits(docs, spark.createDataFrame([("heart",)], "term string"), "body_text")
