@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkwell.operators import retrieval
 from sparkwell.operators.matching import term_hits
+from sparkwell.plans import registry
+from sparkwell.sources import shared
 from sparkwell.sources.shared import BATCH_BYTES, LARGE_ROWS, written
 
 ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -55,6 +57,24 @@ def test_tokenizing_takes_batches_of_one_size(spark, monkeypatch, large_batches,
     assert sum(got) >= rows * 100_000 and max(got) < BATCH_BYTES + (1 << 18)
 
 
+@pytest.mark.parametrize("name", ["l6_lambdarank", "l2_delta_ndcg", "l7_evaluated_ndcg", "l1_trainable_groups", "f8_standardized_features"])
+def test_queries_tokenize_in_small_batches(spark, sf, monkeypatch, large_batches, name):
+    """All of them tokenize the corpus by the step that bounds its batches (16 KB here, where a partition has some 100)."""
+    real = retrieval._counted
+
+    def checked(batches):
+        def each():
+            for b in batches:
+                assert b.slice(0, b.num_rows - 1).nbytes < 1 << 15  # the last row may pass the bound
+                yield b
+
+        return real(each())
+
+    monkeypatch.setattr(shared, "BATCH_BYTES", 1 << 14)
+    monkeypatch.setattr(retrieval, "_counted", checked)
+    assert registry.queries()[name](spark, sf).count() > 0
+
+
 def test_searching_terms_takes_small_batches(spark, large_batches):
     docs = spark.createDataFrame([(1, "Heart failure")], "doc_id int, body_text string")
     hits = term_hits(docs, spark.createDataFrame([("heart",)], "term string"), "body_text")
