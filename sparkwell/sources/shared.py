@@ -53,8 +53,8 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_BYTES, unless they are smaller already: what a Python task holds then does not grow with its partition."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).rstrip("b")
-    if now.isdigit() and int(now) > BATCH_BYTES:  # a larger unit was set by hand
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))  # it may have a unit, as in 64m
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

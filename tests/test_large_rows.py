@@ -57,6 +57,13 @@ def test_tokenizing_takes_batches_of_one_size(spark, monkeypatch, large_batches,
     assert sum(got) >= rows * 100_000 and max(got) < BATCH_BYTES + (1 << 18)
 
 
+@pytest.mark.parametrize(("given", "bound"), [("64m", BATCH_BYTES), ("65536k", BATCH_BYTES), ("67108864b", BATCH_BYTES), ("67108864", BATCH_BYTES), ("1m", 1 << 20), ("4096", 4096)])
+def test_batches_are_bounded_whatever_the_unit(spark, large_batches, given, bound):
+    spark.conf.set(ARROW, given)
+    retrieval.fit(spark.createDataFrame([(1, "a")], "doc_id long, body_text string"))
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == bound
+
+
 @pytest.mark.parametrize("name", ["l6_lambdarank", "l2_delta_ndcg", "l7_evaluated_ndcg", "l1_trainable_groups", "f8_standardized_features"])
 def test_queries_tokenize_in_small_batches(spark, sf, monkeypatch, large_batches, name):
     """All of them tokenize the corpus by the step that bounds its batches (16 KB here, where a partition has some 100)."""
