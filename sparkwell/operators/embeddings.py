@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -255,7 +256,7 @@ class _Lists:
                 if not self.own:
                     s[self.qid[r][:, None] == ids[cols][None]] = -np.inf
                 ok = np.isfinite(s)
-                if s.shape[1] > self.k:
+                if s.shape[1] > self.k and np.count_nonzero(ok) > 4 * self.k * len(r):
                     ok &= s >= np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None]
                 i, j = np.nonzero(ok)
                 got.append((r[i], ids[cols[j]], s[i, j]))
@@ -269,7 +270,6 @@ class _Lists:
         return pd.DataFrame({"query_id": self.qid[self.row], "vec_id": self.id, "score": self.score})
 
 
-
 def wide_enough(search, vectors: DataFrame, width: int, goal: float = 0.95, probes: int = 100, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> int:
     """The width, doubled as often as needed, at which search(queries, width) finds the goal's share of the exact neighbours.
 
@@ -290,19 +290,50 @@ def wide_enough(search, vectors: DataFrame, width: int, goal: float = 0.95, prob
     return width
 
 
-def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None, held: int | None = None, rows=None, prepare=None, product=None) -> DataFrame:
+def _cells(vectors: DataFrame, queries: DataFrame, n: int, most: int) -> DataFrame:
+    """(tile, shard, asked, id, v, w) of n queries (id, v; asked 0) and vectors (id, v as w; asked 1), dealt and sorted by cell.
+
+    A cell has at most about most queries and SHARD_ROWS vectors; there are several for each core.
+    """
+    spark = vectors.sparkSession
+    tiles = max(1, -(-n // most))
+    shards = max(1, -(-vectors.count() // SHARD_ROWS), -(-4 * spark.sparkContext.defaultParallelism // tiles))
+    place = F.monotonically_increasing_id()
+    q = queries.withColumn("tile", F.pmod(place, F.lit(tiles))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    v = vectors.withColumn("shard", F.pmod(place, F.lit(shards))).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    q = q.withColumn("w", F.lit(None).cast(vectors.schema["v"].dataType))
+    v = v.withColumnRenamed("v", "w").withColumn("v", F.lit(None).cast(queries.schema["v"].dataType))
+    both = q.withColumn("asked", F.lit(0)).unionByName(v.withColumn("asked", F.lit(1)))
+    dealt = both.repartition(2 * tiles * shards, "tile", "shard").sortWithinPartitions("tile", "shard", "asked")
+    return dealt.select("tile", "shard", "asked", "id", "v", "w")
+
+
+def _cells_of(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Iterator[pd.DataFrame]]]:
+    """Of a task of _cells: each cell's queries, and its vectors as they come. Cells without queries or vectors are left out."""
+    runs = ((key, asked, rows) for df in parts for (*key, asked), rows in df.groupby(["tile", "shard", "asked"], sort=True))
+    for _, cell in itertools.groupby(runs, key=lambda r: r[0]):
+        waiting = []
+        for _, asked, rows in cell:
+            if asked:
+                if waiting:
+                    yield pd.concat(waiting), itertools.chain([rows], (r for _, _, r in cell))
+                break
+            waiting.append(rows)
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, digits: int | None, own: bool = False, blocks=None, asked: str | None = None, held: int | None = None, rows=None, prepare=None, product=None, ask=None) -> DataFrame:
     """The k best unit vectors of each unit query; own: also of the query's own id.
 
     blocks, made for a task's queries, gives for a tile of vectors the rows of queries and vectors that are compared. rows
-    reads the vectors' column, where it holds something else; prepare and product say how they are scored, held how many
-    queries a task holds.
+    reads the vectors' column, where it holds something else, and ask the queries'; prepare and product say how they are
+    scored, held how many queries a task holds.
     """
     spark = vectors.sparkSession
     queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(asked or vector).alias("v")).where("v is not null")
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
     n, shape = queries.count(), "query_id long, vec_id long, score double"
     matrix = lambda col: _unit(np.stack(col.to_numpy()).astype(float))
-    read, most = rows or matrix, held or HELD_QUERIES
+    read, ask, most = rows or matrix, ask or matrix, held or HELD_QUERIES
 
     def scan(lists: _Lists, df: pd.DataFrame) -> None:
         for a in range(0, len(df), VECTOR_ROWS):
@@ -312,7 +343,7 @@ def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
         all_ = queries.toPandas()
         if all_.empty:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        sent = spark.sparkContext.broadcast((all_["id"].to_numpy(), matrix(all_["v"])))
+        sent = spark.sparkContext.broadcast((all_["id"].to_numpy(), ask(all_["v"])))
 
         def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lists = _Lists(*sent.value, k, digits, own, blocks, prepare, product)
@@ -322,36 +353,16 @@ def _tiled(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
 
         found = vectors.mapInPandas(whole, shape)
     else:
-        tiles, shards = -(-n // most), max(1, -(-vectors.count() // SHARD_ROWS))
-        place = F.monotonically_increasing_id()
-        q = queries.withColumn("tile", F.pmod(place, F.lit(tiles))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        v = vectors.withColumn("shard", F.pmod(place, F.lit(shards))).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-        q = q.withColumn("w", F.lit(None).cast(vectors.schema["v"].dataType))
-        v = v.withColumnRenamed("v", "w").withColumn("v", F.lit(None).cast(queries.schema["v"].dataType))
-        both = q.withColumn("asked", F.lit(0)).unionByName(v.withColumn("asked", F.lit(1)))
-        dealt = both.repartition("tile", "shard").sortWithinPartitions("tile", "shard", "asked")
+        dealt = _cells(vectors, queries, n, most)
 
         def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, waiting, lists = None, [], None
-            for df in parts:
-                for key, rows in df.groupby(["tile", "shard"], sort=True):
-                    if key != at:
-                        if lists is not None:
-                            yield lists.frame()
-                        at, waiting, lists = key, [], None
-                    new = rows[rows["asked"] == 0]
-                    if len(new):
-                        waiting.append(new)
-                    rows = rows[rows["asked"] == 1]
-                    if len(rows) and (waiting or lists is not None):
-                        if lists is None:
-                            every = pd.concat(waiting)
-                            lists, waiting = _Lists(every["id"].to_numpy(), matrix(every["v"]), k, digits, own, blocks, prepare, product), []
-                        scan(lists, rows.assign(v=rows["w"]))
-            if lists is not None:
+            for every, scans in _cells_of(parts):
+                lists = _Lists(every["id"].to_numpy(), ask(every["v"]), k, digits, own, blocks, prepare, product)
+                for rows in scans:
+                    scan(lists, rows.assign(v=rows["w"]))
                 yield lists.frame()
 
-        found = dealt.select("tile", "shard", "asked", "id", "v", "w").mapInPandas(cells, shape)
+        found = dealt.mapInPandas(cells, shape)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -90,3 +90,31 @@ def test_exact_percentiles(spark, values):
         assert tuple(r) == (None,) * 5
     else:
         assert list(r) == pytest.approx([float(np.percentile(values, p)) for p in (50, 95, 99, 0, 100)])
+
+
+def test_search_lists_results_and_not_candidates(spark, monkeypatch):
+    """Whatever the width, a task's lists hold the results alone, and they are the best of at least k * rerank candidates."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 50 = 0")
+    index = Q.build(v, cells=4, subspaces=4, entries=16)
+    lists, tiled = [], Q._tiled
+    monkeypatch.setattr(Q, "_tiled", lambda v, q, k, *a, **more: lists.append(k) or tiled(v, q, k, *a, **more))
+    got = found(Q.search(index, q, 5, rerank=20))
+    assert lists == [5]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    best, every = found(Q.candidates(index, q, 100)), found(Q.candidates(index, q, 600))
+    least = {r.id: r.least for r in Q._least(index, q.toDF("id", "v"), 100).collect()}
+    for a in range(0, 600, 50):
+        among = [i for (j, i), s in every.items() if j == a and s >= least[a]]
+        assert {i for j, i in best if j == a} <= set(among) and len(among) <= 115
+        want = sorted(((-round(float(unit[a] @ unit[i]), 6), i) for i in among))[:5]
+        assert {i for j, i in got if j == a} == {i for _, i in want}
+    assert {r.least for r in Q._least(index, q.toDF("id", "v"), 600).collect()} == {-np.inf}
+
+
+def test_few_tiles_of_queries_keep_all_cores_busy(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "id long, v array<double>")
+    cells = E._cells(v, v.where("id < 60"), 60, 30).where("asked = 1").groupBy("tile", "shard").count().collect()
+    assert len(cells) >= 4 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in cells) == 2 * 400
