@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,12 +67,34 @@ def _cut(seed: list[int], n: int, part: int, parts: int, size: int) -> list[np.n
     return [take for b, take in enumerate(np.array_split(order, max(1, round(n / size)))) if b % parts == part and len(take) > 1]
 
 
-def _blocks(kinds: list):
-    """Rows (i, text, image, structured) as blocks of their numbers, in the order of i: a reader copies them whole."""
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers' bytes; one byte each where all are small whole numbers, as counts are."""
+    with np.errstate(invalid="ignore"):
+        small = x.astype(np.int8)
+    return (small if np.array_equal(small, x) else x).tobytes()
+
+
+def _unpacked(values: pa.Scalar, count: int, width: int, kind: type) -> np.ndarray:
+    """count rows of width numbers, as _packed stored them."""
+    b = values.as_buffer()
+    return np.frombuffer(b, kind if b.size > count * width else np.int8).reshape(count, -1)
+
+
+def _of(model: Dense, kind: type) -> Dense:
+    """The network in the precision of its inputs."""
+    return Dense([(w.astype(kind), b.astype(kind)) for w, b in model.layers], model.normalize, model.frozen)
+
+
+def _arrays(rows: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(rows[c].combine_chunks().flatten()) for c in INPUTS]
+
+
+def _blocks(kinds: list, features: Callable[[pa.Table], list[np.ndarray]] = _arrays):
+    """Rows (i, text, image, structured), or of what features makes of them, as blocks of their numbers, in the order of i: a reader copies them whole."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by("i").combine_chunks()
-        values = [np.asarray(rows[c].combine_chunks().flatten(), k).tobytes() for c, k in zip(INPUTS, kinds, strict=True)]
+        values = [_packed(np.asarray(x, k)) for x, k in zip(features(rows), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["n", *INPUTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +131,19 @@ class ContrastiveTrainer:
         return [self.text, self.image, self.structured]
 
     def batch(self, xs: list[np.ndarray]) -> tuple[float, list]:
+        return self.batches(xs, [len(xs[0])])
+
+    def batches(self, xs: list[np.ndarray], sizes: list[int]) -> tuple[float, list]:
+        """The summed losses and gradients of consecutive batches of those sizes: only the loss parts them, the layers take all rows at once."""
         out = [forward(m, x) for m, x in zip(self.models(), xs)]
         d = [np.zeros_like(o) for o, _ in out]
-        loss = 0.0
-        for i, j in ((0, 1), (0, 2), (1, 2)):
-            lost, di, dj = nce(out[i][0], out[j][0], self.temperature)
-            loss, d[i], d[j] = loss + lost, d[i] + di, d[j] + dj
+        loss, ends = 0.0, np.cumsum(sizes)
+        for s, e in zip(ends - sizes, ends):
+            for i, j in ((0, 1), (0, 2), (1, 2)):
+                lost, di, dj = nce(out[i][0][s:e], out[j][0][s:e], self.temperature)
+                loss += lost
+                d[i][s:e] += di
+                d[j][s:e] += dj
         return loss, [backward(m, s, g) for m, (_, s), g in zip(self.models(), out, d)]
 
     def step(self, grads: list) -> None:
@@ -142,32 +171,44 @@ class ContrastiveTrainer:
             losses.append(loss)
         return {"loss": float(np.mean(losses)) if losses else 0.0, "n_batches": len(losses)}
 
-    def train(self, data: DataFrame, epochs: int = 10, size: int = 64, mode: str = "sync", parts: int = 4) -> list[dict]:
-        """data: (i, text, image, structured) arrays. Returns losses by epoch.
+    def train(self, data: DataFrame, epochs: int = 10, size: int = 64, mode: str = "sync", parts: int = 4, features: Callable[[pa.Table], list[np.ndarray]] | None = None) -> list[dict]:
+        """data: (i, text, image, structured) arrays, or rows with i of which features makes these matrices. Returns losses by epoch.
 
-        mode "sync": the rows are dealt by hash and stored once, in blocks. Every task cuts each block, in a new random order each
-        epoch, into batches of about size, and each epoch takes a step on each of parts shares of the batches, from the sum of
-        their gradients; no vector is shuffled again, and of gradients each core's sum is. mode "local": a step a batch on the
-        driver, for sets that fit it.
+        mode "sync": the rows are dealt by hash, before features makes their vectors, and stored once, in blocks. Every task cuts
+        each block, in a new random order each epoch, into batches of about size, and each epoch takes a step on each of parts
+        shares of the batches, from the sum of their gradients; no vector is shuffled, and of gradients each core's sum is. Where
+        every core has several blocks of each share, a share is whole blocks, stored apart, and an epoch reads every row once. A
+        network computes in the precision of its inputs; sums are in 64 bits. mode "local": a step a batch on the driver, for sets that fit it.
         """
         if mode == "local":
-            d = data.orderBy("i").toPandas()
-            xs = [np.stack(d[c].to_numpy()).astype(float) for c in INPUTS]
+            if features:
+                xs = [x.astype(float) for x in features(data.orderBy("i").toArrow())]
+            else:
+                d = data.orderBy("i").toPandas()
+                xs = [np.stack(d[c].to_numpy()).astype(float) for c in INPUTS]
             return [{"epoch": e, **self.train_epoch(xs, e, size)} for e in range(epochs)]
         spark = data.sparkSession
         bounded_batches(spark)
         cores, n = spark.sparkContext.defaultParallelism, data.count()
-        dealt = data.select("i", *INPUTS).repartition(max(1, min(n // (4 * size), n // ROWS + cores)), F.xxhash64(F.lit(self.seed), "i"))
-        kinds = [np.float32 if data.schema[c].dataType.elementType.simpleString() == "float" else np.float64 for c in INPUTS]
-        stored = written(dealt.mapInArrow(_blocks(kinds), "n int, " + ", ".join(f"{c} binary" for c in INPUTS)), "pairs", options=LARGE_ROWS)
-        rows = stored.coalesce(cores)
-        tasks, history = rows.rdd.getNumPartitions(), []
+        apart = n >= 2 * cores * parts * BLOCK
+        if features:
+            kinds = [np.float32 if x.dtype == np.float32 else np.float64 for x in features(data.limit(1).toArrow())]
+        else:
+            data = data.select("i", *INPUTS)
+            kinds = [np.float32 if data.schema[c].dataType.elementType.simpleString() == "float" else np.float64 for c in INPUTS]
+        dealt = data.repartition(max(1, min(n // (4 * size), n // ROWS + cores)), F.xxhash64(F.lit(self.seed), "i"))
+        made = dealt.mapInArrow(_blocks(kinds, features or _arrays), "n int, " + ", ".join(f"{c} binary" for c in INPUTS))
+        made = made.withColumn("share", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(parts if apart else 1)).cast("int"))
+        stored = written(made, "pairs", options=LARGE_ROWS | {"compression": "none"}, by=["share"])
+        shares = [stored.where(F.col("share") == p).drop("share").coalesce(cores) for p in range(parts if apart else 1)]
+        tasks, history = [rows.rdd.getNumPartitions() for rows in shares], []
         like = [x for m in self.models() for layer in m.layers for x in layer]
         for epoch in range(epochs):
             loss, n = 0.0, 0
             for part in range(parts):
                 held = spark.sparkContext.broadcast(self.models())
-                total = tree(rows.mapInArrow(self._sums(held, kinds, epoch, part, parts, size), PIECES), tasks)
+                at, cut = (part, (0, 1)) if apart else (0, (part, parts))
+                total = tree(shares[at].mapInArrow(self._sums(held, kinds, epoch, *cut, size), PIECES), tasks[at])
                 held.destroy()
                 if total is not None and total[-1]:
                     g = iter(unflat(total / total[-1], like))
@@ -194,22 +235,21 @@ class ContrastiveTrainer:
         seed, temperature = self.seed, self.temperature
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = ContrastiveTrainer(*held.value, temperature=temperature)
-            total, loss, n = None, 0.0, 0
+            t = ContrastiveTrainer(*(_of(m, kind) for m, kind in zip(held.value, kinds, strict=True)), temperature=temperature)
+            total, loss, n = [np.zeros(x.shape) for m in t.models() for layer in m.layers for x in layer], 0.0, 0
             for b in batches:
                 for r in range(b.num_rows):
                     count = b.column(0)[r].as_py()
-                    xs = [np.frombuffer(b.column(c + 1)[r].as_buffer(), kind).reshape(count, -1) for c, kind in enumerate(kinds)]
-                    for take in _cut([seed, epoch, count], count, part, parts, size):
-                        lost, grads = t.batch([x[take].astype(float) for x in xs])
-                        grads = [x for model in grads for layer in model for x in layer]
-                        loss, n = loss + lost, n + 1
-                        if total is None:
-                            total = grads
-                        else:
-                            for x, g in zip(total, grads, strict=True):
-                                x += g
-            if total is not None:
+                    takes = _cut([seed, epoch, count], count, part, parts, size)
+                    if not takes:
+                        continue
+                    xs = [_unpacked(b.column(c + 1)[r], count, len(m.layers[0][0]), kind) for c, (m, kind) in enumerate(zip(t.models(), kinds, strict=True))]
+                    rows = np.concatenate(takes)
+                    lost, grads = t.batches([x[rows].astype(kind, copy=False) for x, kind in zip(xs, kinds, strict=True)], [len(x) for x in takes])
+                    loss, n = loss + lost, n + len(takes)
+                    for x, g in zip(total, (x for model in grads for layer in model for x in layer), strict=True):
+                        x += g
+            if n:
                 yield pieces(flat(total, loss, n))
 
         return run

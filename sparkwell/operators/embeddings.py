@@ -22,6 +22,8 @@ MARKERS = ("PD-L1", "EGFR", "ALK", "KRAS", "BRAF_V600E", "HER2", "BRCA1/2", "MSI
 LAB_SCALE, MARKER_SCALE = 15.0, 100.0
 ICD_DIM, WIDTH, IMAGE_WIDTH, IMAGE_HIDDEN, TEXT_WIDTH = 16, 128, 2048, 512, 768
 TEMPERATURE = 0.07
+#: Words whose hashes a task remembers.
+WORDS = 1 << 18
 
 
 # ------------------------------------------------------------------ structured metadata
@@ -151,6 +153,35 @@ def hashed_text_features(text: Column, width: int = TEXT_WIDTH) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(summed, i), F.lit(0.0)))
 
 
+class Places(dict):
+    """The component of a word; those of words that count down lie behind all others."""
+
+    def __init__(self, width: int = TEXT_WIDTH) -> None:
+        self.width = width
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        if len(self) >= WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(w)
+        self[w] = at = h % self.width + (0 if h >> 63 else self.width)
+        return at
+
+
+def hashed_counts(texts, places: Places, max_tokens: int | None = None) -> np.ndarray:
+    """Signed counts of the hashed tokens of each text."""
+    import re
+
+    width = places.width
+    x = np.zeros((len(texts), width))
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z0-9]+", (t or "").lower())[:max_tokens]
+        n = np.bincount(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), minlength=2 * width)
+        x[i] = n[:width] - n[width:]
+    return x
+
+
 def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: int = TEXT_WIDTH, max_tokens: int | None = None, out: str = "vec", batch: int = 32) -> DataFrame:
     """Text to unit vectors by hashed token features and a projection, in Arrow batches. max_tokens: only so many first tokens, as a model with a window reads."""
     bounded_batches(df.sparkSession)
@@ -159,17 +190,10 @@ def encode_texts(df: DataFrame, text: str, model: Dense | None = None, width: in
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        import xxhash
-
+        places = Places(width)
         for s in parts:
             for a in range(0, len(s), batch):
-                x = np.zeros((len(s.iloc[a : a + batch]), width))
-                for i, t in enumerate(s.iloc[a : a + batch]):
-                    for w in re.findall("[a-z0-9]+", (t or "").lower())[:max_tokens]:
-                        h = xxhash.xxh64_intdigest(w)
-                        x[i, h % width] += 1.0 if h >> 63 else -1.0
+                x = hashed_counts(s.iloc[a : a + batch], places, max_tokens)
                 yield pd.Series(list(held.value(x)), dtype=object)
 
     return df.withColumn(out, run(F.col(text)))

@@ -236,20 +236,25 @@ def structured_metadata(docs: DataFrame, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", chosen(tuple(n.replace("_", " ") for n in LABS), 3, 8, "lab", 15.0, 2).alias("lab_values"), chosen(tuple(n.replace("_", " ") for n in MARKERS), 1, 5, "marker", 100.0, 1).alias("biomarker_levels"), F.split("icd_codes", ",").alias("icd_codes_list"), S.word_count(F.col("body_text")).alias("word_count"))
 
 
+def image_vectors(ids, width: int = 2048, seed: int = 42) -> np.ndarray:
+    """Gaussian vectors of unit length, seeded by id."""
+    import zlib
+
+    out = np.empty((len(ids), width), np.float32)
+    for i, d in enumerate(ids):
+        x = np.random.default_rng([seed, zlib.crc32(str(d).encode())]).standard_normal(width)
+        out[i] = x / np.linalg.norm(x)
+    return out
+
+
 def image_features(docs: DataFrame, width: int = 2048, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, vec): Gaussian vectors of unit length, seeded by doc_id."""
 
     @F.pandas_udf("array<float>")
     def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
         for s in parts:
             for a in range(0, len(s), 256):  # given back at once: a batch of ids is far smaller than its vectors
-                out = []
-                for d in s.iloc[a : a + 256]:
-                    x = np.random.default_rng([seed, zlib.crc32(str(d).encode())]).standard_normal(width)
-                    out.append((x / np.linalg.norm(x)).astype(np.float32))
-                yield pd.Series(out, dtype=object)
+                yield pd.Series(list(image_vectors(s.iloc[a : a + 256], width, seed)), dtype=object)
 
     return docs.select("doc_id", *keep, make("doc_id").alias("vec"))
 

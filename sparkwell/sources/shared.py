@@ -28,10 +28,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
-def written(df: DataFrame, name: str, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
-    """df written as Parquet and read again: its lineage is cut, and it is computed once."""
+def written(df: DataFrame, name: str, path: str | None = None, options: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """df written as Parquet and read again: its lineage is cut, and it is computed once. by: columns that part its files."""
     path = path or new_path(df.sparkSession, name)
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*(by or [])).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

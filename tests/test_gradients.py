@@ -70,3 +70,41 @@ def test_a_task_gives_one_sum_of_its_batches(spark, monkeypatch):
     assert len(want) == got[0][-1] == 3 and np.allclose(np.sum(want, axis=0), got[0])
     t.train(df, 1, 10)
     assert t.steps == 4
+
+
+def test_whole_blocks_share_and_vectors_are_made_where_they_are_stored(spark, monkeypatch):
+    """With many blocks, a step reads its share's blocks alone and an epoch every row once; rows are dealt before their vectors are made."""
+    from sparkwell.operators import contrastive
+    from sparkwell.sources import shared
+
+    monkeypatch.setattr(contrastive, "BLOCK", 4)
+    monkeypatch.setattr(contrastive, "ROWS", 40)
+    kept = []
+    monkeypatch.setattr(contrastive, "written", lambda df, *a, **more: kept.append(shared.written(df, *a, **more)) or kept[-1])
+    read, sums = [], ContrastiveTrainer._sums
+    monkeypatch.setattr(ContrastiveTrainer, "_sums", lambda t, held, kinds, epoch, part, parts, size: read.append((part, parts)) or sums(t, held, kinds, epoch, part, parts, size))
+    monkeypatch.setattr(contrastive, "drop", lambda df: None)
+
+    def features(rows):
+        i = rows["i"].to_numpy()
+        return [np.column_stack([i % 3, i % 5, i % 7]).astype(float), np.column_stack([np.sin(i * k) for k in range(1, 5)]).astype(np.float32), np.column_stack([np.cos(i * k) for k in range(1, 6)])]
+
+    t = ContrastiveTrainer(*(random_dense(k, 6, 4, seed=k) for k in (3, 4, 5)))
+    h = t.train(spark.range(400).withColumnRenamed("id", "i"), 2, 4, features=features)
+    assert t.steps == 8 and read == [(0, 1)] * 8
+    rows = kept[0].collect()
+    assert {r.share for r in rows} == {0, 1, 2, 3} and sum(r.n for r in rows) == 400 and h[0]["n_batches"] >= 80
+    assert all(len(r.text) == 3 * r.n and len(r.image) == 16 * r.n and len(r.structured) == 40 * r.n for r in rows)
+    model = contrastive._of(t.image, np.float32)
+    assert model(np.ones((2, 4), np.float32)).dtype == np.float32
+
+
+def test_batches_of_a_block_are_summed_at_once():
+    rng = np.random.default_rng(2)
+    t = ContrastiveTrainer(*(random_dense(k, 6, 4, seed=k) for k in (3, 4, 5)))
+    xs = [rng.normal(size=(17, k)) for k in (3, 4, 5)]
+    loss, grads = t.batches(xs, [5, 5, 7])
+    each = [t.batch([x[s:e] for x in xs]) for s, e in ((0, 5), (5, 10), (10, 17))]
+    assert loss == pytest.approx(sum(a for a, _ in each))
+    for g, *w in zip(*(flat([x for m in g for layer in m for x in layer]) for g in (grads, *(g for _, g in each)))):
+        assert g == pytest.approx(sum(w), abs=1e-12)
