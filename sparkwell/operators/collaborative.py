@@ -20,34 +20,62 @@ ITERATIONS = (1, 3, 5, 10, 15, 20, 25, 30)
 SIZES = (32, 64, 128, 256)
 
 
-#: Users of a cell (on average) and items of a block: a user is sent once to each block it needs, an item once to each tile.
-TILE_USERS, BLOCK_ITEMS = 16384, 8192
-#: Scores that a task holds at once.
-MOST_SCORES = 4_000_000
+#: Users of a cell (on average) and items of a block: a user is sent once to each block it needs, an item once to each tile, so both
+#: are large (of 128 factors 34 and 67 MB). The first block, which every user meets, is small, and tiles are no larger than all cores ask for.
+TILE_USERS, BLOCK_ITEMS, FIRST_ITEMS, LEAST_TILE = 65536, 131072, 8192, 4096
+#: Scores that a task holds at once, and items of one product.
+MOST_SCORES, STRIP_ITEMS = 1_000_000, 4096
+#: What a product in 32 bits may be off, as a share of both norms.
+SLACK = 5e-5
 
 
 def _best_of_cell(k: int):
-    """The k best unseen items of a block for each user of a tile (rows with f are users, those with doc_id are seen pairs)."""
+    """The k best unseen items of a block for each user of a tile (rows with f are users, those with doc_id are seen pairs).
+
+    Users with a score to reach (least) get the items that reach it, or the best of them: products in 32 bits leave few pairs, and those
+    are computed in 64 bits.
+    """
 
     def run(users: pa.Table, items: pa.Table) -> pa.Table:
         asked = users.filter(pc.is_valid(users["f"]))
         ids, who = items["doc_id"].combine_chunks(), asked["physician_id"].combine_chunks()
-        matrix = lambda t: t["f"].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1)
+        matrix = lambda t: t["f"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         if not len(ids) or not len(who):
             return pa.table({"physician_id": who.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
         seen = users.filter(pc.is_null(users["f"]))
         row, col = (pc.index_in(seen[n], v).to_numpy() for n, v in (("physician_id", who), ("doc_id", ids)))
-        order = np.argsort(row, kind="stable")
+        order = np.lexsort((row, col // STRIP_ITEMS))
         row, col = row[order], col[order]
-        asked, items = matrix(asked), matrix(items).T
-        m, step, found = min(k, len(ids)), max(1, MOST_SCORES // len(ids)), []
-        for z in range(0, len(asked), step):
-            s = asked[z : z + step] @ items
-            a, b = np.searchsorted(row, [z, z + len(s)])
-            s[row[a:b] - z, col[a:b]] = -np.inf
-            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-            u, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # ties at the border included
-            found.append((u + z, i, s[u, i]))
+        ends = np.searchsorted(col // STRIP_ITEMS, np.arange(-(-len(ids) // STRIP_ITEMS) + 1))
+        least = np.full(len(who), -np.inf)
+        if "least" in asked.column_names:
+            least = pc.fill_null(asked["least"].combine_chunks(), -np.inf).to_numpy(zero_copy_only=False)
+        dots = lambda a, b: np.einsum("ij,ij->i", a.astype(float), b.astype(float))  # noqa: E731 equal items get equal scores
+        x, y = matrix(asked), matrix(items)
+        found = []
+        for c, z0 in enumerate(range(0, len(ids), STRIP_ITEMS)):
+            strip = y[z0 : z0 + STRIP_ITEMS]
+            exact, rough = strip.astype(float).T, strip.astype(np.float32).T
+            r, o = row[ends[c] : ends[c + 1]], col[ends[c] : ends[c + 1]] - z0
+            far = SLACK * np.sqrt((exact * exact).sum(axis=0).max())
+            m, step = min(k, len(strip)), max(1, MOST_SCORES // len(strip))
+            for z in range(0, len(x), step):
+                f, least_ = x[z : z + step], least[z : z + step]
+                a, b = np.searchsorted(r, [z, z + len(f)])
+                if np.isfinite(least_).all():
+                    s = f.astype(np.float32) @ rough
+                    s[r[a:b] - z, o[a:b]] = -np.inf
+                    u, i = np.divmod(np.flatnonzero(s >= (least_ - far * np.linalg.norm(f.astype(float), axis=1))[:, None].astype(np.float32)), len(strip))
+                    if len(u) <= 4 * k * len(f):
+                        got = dots(f[u], strip[i])
+                        stay = got >= least_[u] - 1e-9 * np.abs(least_[u])
+                        found.append((u[stay] + z, i[stay] + z0, got[stay]))
+                        continue
+                s = f.astype(float) @ exact
+                s[r[a:b] - z, o[a:b]] = -np.inf
+                best = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                u, i = np.nonzero((s >= best[:, None]) & (s > -np.inf))  # ties at the border included
+                found.append((u + z, i + z0, dots(f[u], strip[i])))
         u, i, s = (np.concatenate(x) for x in zip(*found))
         return pa.table({"physician_id": who.take(pa.array(u)), "doc_id": ids.take(pa.array(i)), "score": pa.array(s)})
 
@@ -84,7 +112,7 @@ class Factors:
         """(physician_id, rank, doc_id, score) by raw factors, cold documents included; unknown physicians get no row.
 
         seen: interactions whose pairs are left out. Items lie in blocks by falling norm. Every user meets the first block;
-        its k-th score bounds from below what a further block must reach, and by Cauchy-Schwarz a user's scan ends where the
+        its k-th score is what an item of a further block must reach, and by Cauchy-Schwarz a user's scan ends where the
         product of norms falls below it. Users are sent to the blocks they still need, in tiles, with their seen pairs of the
         block; no user's seen items are ever in one list.
         """
@@ -92,10 +120,12 @@ class Factors:
         length = F.sqrt(F.aggregate("factors", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         u = users.select("physician_id").distinct().join(self.users, "physician_id").select("physician_id", F.col("factors").alias("f"), length.alias("norm"))
         u = written(u, "users")
-        tiles = max(1, -(-u.count() // TILE_USERS))
+        n = u.count()
+        tiles = max(1, -(-n // TILE_USERS), min(u.sparkSession.sparkContext.defaultParallelism, n // LEAST_TILE))
         u = u.withColumn("tile", F.pmod(F.xxhash64("physician_id"), F.lit(tiles)))
         items = written(self.items.select("doc_id", F.col("factors").alias("f"), length.alias("norm")), "items")
-        place = index_of(items.select(F.struct((-F.col("norm")).alias("n"), "doc_id").alias("x")), "x").select(F.col("x.doc_id").alias("doc_id"), F.floor(F.col("idx") / BLOCK_ITEMS).cast("int").alias("block"))
+        first_items = min(FIRST_ITEMS, BLOCK_ITEMS)
+        place = index_of(items.select(F.struct((-F.col("norm")).alias("n"), "doc_id").alias("x")), "x").select(F.col("x.doc_id").alias("doc_id"), F.when(F.col("idx") < first_items, 0).otherwise(1 + F.floor((F.col("idx") - first_items) / BLOCK_ITEMS)).cast("int").alias("block"))
         items = written(items.join(place, "doc_id"), "blocks")
         bounds = np.array([r["n"] for r in items.groupBy("block").agg(F.max("norm").alias("n")).orderBy("block").collect()])  # one number a block
         pairs = None
@@ -103,16 +133,16 @@ class Factors:
             pairs = written(seen.select("physician_id", "doc_id").distinct().join(items.select("doc_id", "block"), "doc_id"), "seen")
 
         def met(need: DataFrame) -> DataFrame:
-            """Scores of the users in need (physician_id, f, tile, block) with their blocks' items."""
+            """Scores of the users in need (physician_id, f, least, tile, block) with their blocks' items."""
             cell = ["block", "tile"]
-            side = need.select(*cell, "physician_id", "f", F.lit(None).cast(items.schema["doc_id"].dataType).alias("doc_id"))
+            side = need.select(*cell, "physician_id", "f", "least", F.lit(None).cast(items.schema["doc_id"].dataType).alias("doc_id"))
             if pairs is not None:
                 left = pairs.join(need.select(*cell, "physician_id"), ["physician_id", "block"])
-                side = side.union(left.select(*cell, "physician_id", F.lit(None).cast(items.schema["f"].dataType), "doc_id"))
+                side = side.union(left.select(*cell, "physician_id", F.lit(None).cast(items.schema["f"].dataType), F.lit(None).cast("double"), "doc_id"))
             block = need.select(*cell).distinct().join(items.select("block", "doc_id", "f"), "block").toDF("b", "t", "doc_id", "f")
             return side.groupBy(*cell).cogroup(block.groupBy("b", "t")).applyInArrow(_best_of_cell(k), kinds)
 
-        first = written(met(u.withColumn("block", F.lit(0))), "first")
+        first = written(met(u.withColumns({"block": F.lit(0), "least": F.lit(None).cast("double")})), "first")
         kth = top(first, ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).groupBy("physician_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +150,10 @@ class Factors:
             for b in batches:
                 norm, least = b.column(3).to_numpy(), pc.fill_null(b.column(4), -np.inf).to_numpy(zero_copy_only=False)
                 n = [len(bounds) if t <= 0 else int(np.searchsorted(-bounds * v * (1 + 1e-9), -t, "right")) for v, t in zip(norm, least)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32())], ["physician_id", "f", "tile", "n"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(n, pa.int32())], ["physician_id", "f", "tile", "least", "n"])
 
         open_ = u.join(kth, "physician_id", "left").select("physician_id", "f", "tile", "norm", "least")
-        open_ = open_.mapInArrow(reach, f"{kinds.split(',')[0]}, f {items.schema['f'].dataType.simpleString()}, tile long, n int").where("n > 1")
+        open_ = open_.mapInArrow(reach, f"{kinds.split(',')[0]}, f {items.schema['f'].dataType.simpleString()}, tile long, least double, n int").where("n > 1")
         more = met(open_.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).drop("n"))
         return top(first.union(more), ["physician_id"], [F.col("score").desc(), F.col("doc_id")], k).select("physician_id", "rank", "doc_id", "score")
 
