@@ -68,16 +68,19 @@ def _cut(seed: list[int], n: int, part: int, parts: int, size: int) -> list[np.n
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """The numbers' bytes; one byte each where all are small whole numbers, as counts are."""
-    with np.errstate(invalid="ignore"):
-        small = x.astype(np.int8)
-    return (small if np.array_equal(small, x) else x).tobytes()
+    """The numbers' bytes; one or two each where all are small whole numbers, as counts are."""
+    for kind in (np.int8, np.int16):
+        with np.errstate(invalid="ignore"):
+            small = x.astype(kind)
+        if np.array_equal(small, x):
+            return small.tobytes()
+    return x.tobytes()
 
 
 def _unpacked(values: pa.Scalar, count: int, width: int, kind: type) -> np.ndarray:
     """count rows of width numbers, as _packed stored them."""
     b = values.as_buffer()
-    return np.frombuffer(b, kind if b.size > count * width else np.int8).reshape(count, -1)
+    return np.frombuffer(b, {1: np.int8, 2: np.int16}.get(b.size // (count * width), kind)).reshape(count, -1)
 
 
 def _of(model: Dense, kind: type) -> Dense:

@@ -108,3 +108,13 @@ def test_batches_of_a_block_are_summed_at_once():
     assert loss == pytest.approx(sum(a for a, _ in each))
     for g, *w in zip(*(flat([x for m in g for layer in m for x in layer]) for g in (grads, *(g for _, g in each)))):
         assert g == pytest.approx(sum(w), abs=1e-12)
+
+
+def test_counts_are_stored_in_few_bytes():
+    import pyarrow as pa
+
+    from sparkwell.operators.contrastive import _packed, _unpacked
+
+    for x, size in ((np.array([[1.0, -3.0], [127.0, 0.0]]), 1), (np.array([[1.0, 300.0]]), 2), (np.array([[1.0, 40000.0]]), 8), (np.array([[0.5, np.nan]], np.float32), 4)):
+        b = _packed(x)
+        assert len(b) == x.size * size and np.array_equal(_unpacked(pa.scalar(b, pa.binary()), len(x), 2, x.dtype.type), x, equal_nan=True)
